@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyedit.functions import fixed
-from keyedit.operators.joins import can_broadcast, keyed_join
+from keyedit.operators.joins import can_broadcast, change_stats, keyed_join, stats_fit
 from keyedit.operators.staging import KEY, KEY_CAST, ROW_NUM
 
 APPLIED = "applied"
@@ -49,7 +49,17 @@ def assert_unique_keys(coerced: DataFrame) -> None:
         raise ValueError("change set has duplicate keys; run the duplicate check first")
 
 
-def matched_key_counts(target: DataFrame, key_column: str, change_keys: DataFrame) -> DataFrame:
+def change_keys_fit(coerced: DataFrame) -> bool:
+    """Whether the change keys may be broadcast (bounded ``limit`` probe).
+
+    Every key list derived from them (present keys, per-key counts) has at
+    most as many rows, so one answer serves all joins of a check.
+    """
+    return can_broadcast(coerced.select(KEY_CAST))
+
+
+def matched_key_counts(target: DataFrame, key_column: str, change_keys: DataFrame,
+                       fits: bool | None = None) -> DataFrame:
     """``(key_cast, rows_matched)`` for change keys present in the target.
 
     The target is reduced to the change keys first (semi join), then counted
@@ -57,17 +67,21 @@ def matched_key_counts(target: DataFrame, key_column: str, change_keys: DataFram
     one task whole. Output size is bounded by the number of change keys.
     """
     tkey = _target_name(target, key_column)
-    keys = change_keys.select(F.col(KEY_CAST)).where(F.col(KEY_CAST).isNotNull()).distinct()
+    fits = change_keys_fit(change_keys) if fits is None else fits
+    keys = change_keys.select(F.col(KEY_CAST)).where(F.col(KEY_CAST).isNotNull())
+    if not fits:
+        keys = keys.distinct()
     tk = target.select(F.col(f"`{tkey}`").alias(KEY_CAST))
-    present = keyed_join(tk, keys, [KEY_CAST], "left_semi")
+    present = keyed_join(tk, keys, [KEY_CAST], "left_semi", small_fits=fits)
     return present.groupBy(KEY_CAST).agg(F.count(F.lit(1)).alias("rows_matched"))
 
 
 def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
-                 unmatched: str = "ignore") -> DataFrame:
-    """``row_num, key_value, status, reason, rows_matched`` for every change row."""
-    counts = matched_key_counts(target, key_column, coerced)
-    joined = keyed_join(coerced, counts, [KEY_CAST], "left")
+                 unmatched: str = "ignore", fits: bool | None = None) -> DataFrame:
+    """``row_num, key_value, status, reason, rows_updated, failed`` for every change row."""
+    fits = change_keys_fit(coerced) if fits is None else fits
+    counts = matched_key_counts(target, key_column, coerced, fits)
+    joined = keyed_join(coerced, counts, [KEY_CAST], "left", small_fits=fits)
     n = F.coalesce(F.col("rows_matched"), F.lit(0)).cast("long")
     status = (F.when(n == 0, F.lit(MISSING_KEY))
               .when(~F.col("type_ok"), F.lit(TYPE_MISMATCH))
@@ -96,19 +110,23 @@ def apply_updates(target: DataFrame, coerced: DataFrame, key_column: str,
     """New target: every target row once; matched rows get all listed columns.
 
     Unmatched changes are ignored (no inserts), no row is deleted, column
-    order and types are those of the target.
+    order and types are those of the target. One aggregate pass over the
+    passing changes both proves their keys unique and measures them for the
+    broadcast decision.
     """
     tkey = _target_name(target, key_column)
     names = [_target_name(target, c) for c in update_columns]
-    if check_unique:
-        assert_unique_keys(coerced)
     good = passing_changes(coerced).select(
         F.col(KEY_CAST).alias(tkey),
         *[F.col(f"`{n}`").alias(_NEW + n) for n in names],
         F.lit(True).alias(_HIT),
     )
-    if changes_fit is None:
-        changes_fit = can_broadcast(good)
+    if check_unique or changes_fit is None:
+        stats = change_stats(good, tkey)
+        if check_unique and stats["dup_keys"]:
+            raise ValueError("change set has duplicate keys; run the duplicate check first")
+        if changes_fit is None:
+            changes_fit = stats_fit(good, stats)
     joined = keyed_join(target, good, [tkey], "left", small_fits=changes_fit)
     hit = F.coalesce(F.col(_HIT), F.lit(False))
     out = []

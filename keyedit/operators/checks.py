@@ -73,24 +73,39 @@ def duplicate_key_rows(changes: DataFrame, key: str = KEY, rows_per_chunk: int =
 
 # --- keys against the target -----------------------------------------------
 
-def _target_keys(target: DataFrame, key_column: str, change_keys: DataFrame) -> DataFrame:
-    """Target keys that occur among the change keys, distinct (size <= change keys)."""
+def _present(target: DataFrame, key_column: str, coerced: DataFrame, fits: bool) -> DataFrame:
+    """Distinct target keys among the change keys (size <= change keys).
+
+    ``distinct`` is a map-side-combined aggregate: a hot target key becomes
+    one row per task before the shuffle.
+    """
     tkey = next(c for c in target.columns if c.lower() == key_column.lower())
     tk = target.select(F.col(f"`{tkey}`").alias(KEY_CAST))
-    keys = change_keys.select(KEY_CAST).where(F.col(KEY_CAST).isNotNull()).distinct()
-    return keyed_join(tk, keys, [KEY_CAST], "left_semi").distinct()
+    keys = coerced.select(KEY_CAST).where(F.col(KEY_CAST).isNotNull())
+    if not fits:
+        keys = keys.distinct()
+    return keyed_join(tk, keys, [KEY_CAST], "left_semi", small_fits=fits).distinct()
+
+
+def _keys_fit(coerced: DataFrame) -> bool:
+    from keyedit.operators.joins import can_broadcast
+    return can_broadcast(coerced.select(KEY_CAST))
 
 
-def missing_keys(coerced: DataFrame, target: DataFrame, key_column: str) -> DataFrame:
+def missing_keys(coerced: DataFrame, target: DataFrame, key_column: str, fits: bool | None = None) -> DataFrame:
     """Change rows whose key is not in the target; repeats kept (a bag difference)."""
-    present = _target_keys(target, key_column, coerced)
-    return keyed_join(coerced.select(ROW_NUM, KEY, KEY_CAST), present, [KEY_CAST], "left_anti").select(ROW_NUM, KEY)
+    fits = _keys_fit(coerced) if fits is None else fits
+    present = _present(target, key_column, coerced, fits)
+    return keyed_join(coerced.select(ROW_NUM, KEY, KEY_CAST), present, [KEY_CAST], "left_anti",
+                      small_fits=fits).select(ROW_NUM, KEY)
 
 
-def present_keys(coerced: DataFrame, target: DataFrame, key_column: str) -> DataFrame:
+def present_keys(coerced: DataFrame, target: DataFrame, key_column: str, fits: bool | None = None) -> DataFrame:
     """Change rows whose key is in the target."""
-    present = _target_keys(target, key_column, coerced)
-    return keyed_join(coerced.select(ROW_NUM, KEY, KEY_CAST), present, [KEY_CAST], "left_semi").select(ROW_NUM, KEY)
+    fits = _keys_fit(coerced) if fits is None else fits
+    present = _present(target, key_column, coerced, fits)
+    return keyed_join(coerced.select(ROW_NUM, KEY, KEY_CAST), present, [KEY_CAST], "left_semi",
+                      small_fits=fits).select(ROW_NUM, KEY)
 
 
 def consistency_summary(coerced: DataFrame, target: DataFrame, key_column: str) -> DataFrame:

@@ -66,6 +66,28 @@ def measured_size(df: DataFrame, max_rows: int) -> tuple[int, int] | None:
     return n, b
 
 
+def change_stats(df: DataFrame, key: str) -> dict:
+    """Rows, bytes and repeated keys of a keyed frame, in one aggregate pass.
+
+    The per-key partial aggregate is combined map-side, so a hot key costs
+    one row per task; the result also bounds the frame for broadcasting.
+    """
+    width = F.lit(8).cast("long")
+    for c in df.columns:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    per_key = df.groupBy(F.col(f"`{key}`").alias("__k")).agg(F.count(F.lit(1)).alias("__n"),
+                                                            F.sum(width).alias("__b"))
+    row = per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.sum("__b"), F.lit(0)).alias("bytes"),
+                      F.count_if((F.col("__n") > 1) & F.col("__k").isNotNull()).alias("dup_keys")).first()
+    return {"rows": int(row["rows"]), "bytes": int(row["bytes"]), "dup_keys": int(row["dup_keys"])}
+
+
+def stats_fit(df: DataFrame, stats: dict) -> bool:
+    max_rows, max_bytes = broadcast_limits(df)
+    return stats["rows"] <= max_rows and stats["bytes"] <= max_bytes
+
+
 def can_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     dr, db = broadcast_limits(df)
     max_rows = dr if max_rows is None else max_rows

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # measured shuffle sizes, splits skewed partitions and coalesces small ones.
 _DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

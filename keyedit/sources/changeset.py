@@ -3,29 +3,37 @@
 A change set is bound by position, so every source keeps the file's column
 order. Cells stay text unless the format is typed (parquet). The sheet row
 number (``row_num``, first data row = 2) is either a column of the source or
-derived from the record's position in the file with ``zipWithIndex`` (two
-distributed passes; no single-partition window).
+derived from the record's position in the file (per-partition counts and
+offsets; no window over the rows).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keyedit.functions import fixed
 from keyedit.operators.staging import ROW_NUM
 
 
 def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW) -> DataFrame:
-    """Add ``row_num`` = position in read order + ``first``.
-
-    Read order of one file is its line order; the index is computed per
-    partition and offset by the sizes of the earlier partitions.
+    """Add ``row_num`` = position in read order + ``first``, all on the JVM.
+
+    A file scan's partitions follow the file's byte order, and
+    ``monotonically_increasing_id`` is (partition << 33) + position in the
+    partition. Per-partition counts (one row per input partition) give each
+    partition's offset with a running sum over that small table, which is
+    broadcast back. Apply it directly to a file scan (the scan is read twice and
+    must split the same way both times).
     """
-    schema = T.StructType([T.StructField(ROW_NUM, T.LongType(), False)] + df.schema.fields)
-    rdd = df.rdd.zipWithIndex().map(lambda p: (p[1] + first,) + tuple(p[0]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    base = df.select(F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"), *df.columns)
+    counts = base.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__off"))
+    pos = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
+    row_num = (F.col("__off") + pos + F.lit(first)).cast("long")
+    return (base.join(F.broadcast(offsets), "__p")
+            .select(row_num.alias(ROW_NUM), *[F.col(f"`{c}`") for c in df.columns]))
 
 
 def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col: str | None = None,

@@ -166,3 +166,19 @@ def test_folder_watch_applies_each_file_once(spark, tmp_dir):
     now = current_target(spark, out, target_path)
     assert now != target_path
     assert spark.read.parquet(now).where("c_mktsegment = 'WATCHED'").count() == 2
+
+
+def test_row_numbers_across_many_input_partitions(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "big.csv")
+    with open(p, "w") as f:
+        f.write("ID,V\n")
+        for i in range(3000):
+            f.write(f"{i},v{i}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_changeset(spark, p, "csv")
+        assert df.rdd.getNumPartitions() > 4
+        got = sorted((r["row_num"], r["ID"]) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 2, str(i)) for i in range(3000)]

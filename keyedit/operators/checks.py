@@ -140,6 +140,27 @@ def target_columns(spark, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal long, column_name string, data_type string, nullable boolean")
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """The column dictionary of a table with observed statistics.
+
+    ``ordinal, column_name (upper), data_type, nullable, max_length, null_count``:
+    one aggregate over the whole table (max text length and NULL count per
+    column), laid out one row per column with ``stack``.
+    """
+    aggs = []
+    for i, c in enumerate(df.columns):
+        ref = F.col(f"`{c}`")
+        aggs.append(F.coalesce(F.max(F.length(ref.cast("string"))), F.lit(0)).cast("long").alias(f"l{i}"))
+        aggs.append(F.count_if(ref.isNull()).cast("long").alias(f"n{i}"))
+    one = df.agg(*aggs)
+    parts = []
+    for i, f in enumerate(df.schema.fields):
+        name = f.name.upper().replace("'", "''")
+        parts.append(f"{i + 1}L, '{name}', '{f.dataType.simpleString()}', {str(f.nullable).lower()}, l{i}, n{i}")
+    return one.select(F.expr(
+        f"stack({len(parts)}, {', '.join(parts)}) as (ordinal, column_name, data_type, nullable, max_length, null_count)"))
+
+
 # --- profile and gates -----------------------------------------------------
 
 def changeset_profile(raw_bound: DataFrame) -> DataFrame:

@@ -123,6 +123,8 @@ _GOOD = "good as (select * from co where type_ok and null_ok and key_cast is not
 CS1_NEW = (f"with {CS1_CO}, {_GOOD},\nnew_t as (select {_applied_sql(fx.CUSTOMER_SPEC, _CUSTOMER_COLS)} "
            f"from customer t left join good g on t.c_custkey = g.key_cast)")
 
+_HIST = f"h as ({fx.HIST_SQL})"
+
 # ======================================================================================
 # CS1: clean change set against customer
 # ======================================================================================
@@ -520,30 +522,33 @@ def q_target_keys(spark, d):
     return fx.table(spark, d, "customer").select("c_custkey")
 
 
-@query("target_columns", """
-select cast(ordinal_position as bigint) as ordinal, upper(column_name) as column_name
-from information_schema.columns where table_name = 'customer'""")
+def _profile_sql(table: str, cols: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        parts.append(f"select {i + 1} as ordinal, '{c.upper()}' as column_name, "
+                     f"coalesce(max(length(cast({c} as varchar))), 0) as max_length, "
+                     f"count(*) filter (where {c} is null) as null_count from {table}")
+    return "\nunion all ".join(parts)
+
+
+@query("target_columns", _profile_sql("customer", _CUSTOMER_COLS))
 def q_target_columns(spark, d):
-    """The target's columns in ordinal order."""
-    return ck.target_columns(spark, fx.table(spark, d, "customer").schema).select("ordinal", "column_name")
-
-
-@query("missing_columns", """
-with req as (
-  select cast(ordinal_position as bigint) as position, upper(column_name) as column_name
-  from information_schema.columns where table_name = 'customer'
-  union all
-  select cast(100 + ordinal_position as bigint), column_name from information_schema.columns where table_name = 'orders')
-select position, column_name from req
-where upper(column_name) not in (select upper(column_name) from information_schema.columns where table_name = 'customer')""")
+    """The target's columns in ordinal order, with observed length and NULLs."""
+    prof = ck.column_profile(fx.table(spark, d, "customer"))
+    return prof.select("ordinal", "column_name", "max_length", "null_count")
+
+
+@query("missing_columns", f"""with {_HIST},
+r as (select id, unnest(range(1, len(a) + 1)) as position, unnest(a) as name
+      from (select id, string_split(update_columns, ',') as a from h))
+select id, cast(position as bigint) as position, trim(name) as column_name from r
+where upper(trim(name)) not in (select upper(column_name) from information_schema.columns where table_name = 'lineitem')""")
 def q_missing_columns(spark, d):
-    """Requested columns the target lacks (case-insensitive)."""
-    cust = fx.table(spark, d, "customer")
-    orders = fx.table(spark, d, "orders")
-    req = [(i + 1, c.upper()) for i, c in enumerate(cust.columns)]
-    req += [(100 + i + 1, c) for i, c in enumerate(orders.columns)]
-    requested = spark.createDataFrame(req, "position long, column_name string")
-    return ck.missing_columns(requested, cust.schema)
+    """Columns each recorded run asked for that the target lacks (case-insensitive)."""
+    h = fx.hist(spark, d)
+    req = h.select("id", F.posexplode(F.split("update_columns", ",")).alias("pos", "name")).select(
+        "id", (F.col("pos") + 1).cast("long").alias("position"), F.trim("name").alias("column_name"))
+    return ck.missing_columns(req, fx.table(spark, d, "lineitem").schema)
 
 
 @query("column_widths", """
@@ -635,7 +640,6 @@ def q_audit_details(spark, d):
 # run history (HIST)
 # ======================================================================================
 
-_HIST = f"h as ({fx.HIST_SQL})"
 _HIST_COLS = ("id, timestamp, schema, \"table\", key_column, update_columns, total_count, success_count, "
               "fail_count, success, backup_table")
 

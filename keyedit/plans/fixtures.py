@@ -33,8 +33,6 @@ CUSTOMER_SPEC = UpdateSpec(table="customer", key_column="c_custkey",
 LINEITEM_SPEC = UpdateSpec(table="lineitem", key_column="l_orderkey",
                            update_columns=("l_returnflag", "l_linestatus", "l_quantity"),
                            not_null=frozenset({"l_returnflag"}))
-ORDERS_SPEC = UpdateSpec(table="orders", key_column="o_custkey",
-                         update_columns=("o_orderpriority",))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +165,28 @@ def audit_lines(spark, sf_dir) -> DataFrame:
     return a.select(F.col("id"), F.when(F.col("value") < 1.0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
 
 
+# the update columns a run asked for, by order priority (some are not lineitem columns)
+_REQUESTED = [
+    ("1-URGENT", "l_returnflag,l_linestatus"),
+    ("2-HIGH", "L_QUANTITY"),
+    ("3-MEDIUM", "l_returnflag, l_shipmode"),
+    ("4-NOT SPECIFIED", "l_tax,L_COMMENT"),
+    ("5-LOW", "l_discount"),
+]
+
+
+def _requested_columns(priority):
+    out = F.when(priority == _REQUESTED[0][0], F.lit(_REQUESTED[0][1]))
+    for p, cols in _REQUESTED[1:]:
+        out = out.when(priority == p, F.lit(cols))
+    return out.otherwise(F.lit("l_returnflag"))
+
+
+def _requested_sql() -> str:
+    whens = " ".join(f"when '{p}' then '{c}'" for p, c in _REQUESTED)
+    return f"case o_orderpriority {whens} else 'l_returnflag' end"
+
+
 def hist(spark, sf_dir) -> DataFrame:
     """Run history, one record per order: its line items as one update run.
 
@@ -176,7 +196,7 @@ def hist(spark, sf_dir) -> DataFrame:
     li = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
           .agg(F.count(F.lit(1)).cast("long").alias("total_count"),
                F.count_if(F.col("l_returnflag") != "R").cast("long").alias("success_count")))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"], "inner")
     fail = (F.col("total_count") - F.col("success_count")).cast("long")
     return j.select(
@@ -185,7 +205,7 @@ def hist(spark, sf_dir) -> DataFrame:
         F.lit("TPCH").alias("schema"),
         F.lit("lineitem").alias("table"),
         F.lit("l_orderkey").alias("key_column"),
-        F.lit("l_returnflag").alias("update_columns"),
+        _requested_columns(F.col("o_orderpriority")).alias("update_columns"),
         F.col("total_count"), F.col("success_count"), fail.alias("fail_count"),
         (fail == 0).alias("success"),
         F.concat(F.lit("lineitem"), F.lit(fixed.BACKUP_INFIX),
@@ -195,7 +215,7 @@ def hist(spark, sf_dir) -> DataFrame:
 
 
 HIST_SQL = """select o_orderkey as id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as timestamp,
-       'TPCH' as schema, 'lineitem' as "table", 'l_orderkey' as key_column, 'l_returnflag' as update_columns,
+       'TPCH' as schema, 'lineitem' as "table", 'l_orderkey' as key_column, """ + _requested_sql() + """ as update_columns,
        li.total_count, li.success_count, li.total_count - li.success_count as fail_count,
        li.total_count - li.success_count = 0 as success,
        'lineitem_BAK_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') as backup_table,

@@ -127,6 +127,22 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
             .select("path", "length"))
 
 
+def file_gate(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_FILE_BYTES,
+              glob: str | None = None) -> DataFrame:
+    """Existence and size gate per file: ``path, length, size_mb, passed``.
+
+    Only the listing and lengths are read (the ``content`` column is pruned).
+    An empty result means no file exists at ``path``.
+    """
+    from keyedit.functions.text import megabytes
+    r = spark.read.format("binaryFile")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    files = r.load(path).select("path", "length")
+    return files.select("path", "length", megabytes(F.col("length")).alias("size_mb"),
+                        (F.col("length") <= max_bytes).alias("passed"))
+
+
 def changes_from_workbooks(rows: DataFrame) -> DataFrame:
     """Drop the header row of each file: data rows start at sheet row 2."""
     return rows.where(F.col("row_num") >= fixed.FIRST_DATA_ROW)

@@ -182,3 +182,23 @@ def test_row_numbers_across_many_input_partitions(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [(i + 2, str(i)) for i in range(3000)]
+
+
+def test_file_gate_and_exports(spark, tmp_dir):
+    from keyedit.sinks.writers import export_csv
+    from keyedit.sources.workbook import file_gate
+    p = os.path.join(tmp_dir, "in")
+    os.makedirs(p)
+    with open(os.path.join(p, "small.csv"), "w") as f:
+        f.write("ID,V\n1,a\n")
+    with open(os.path.join(p, "big.csv"), "w") as f:
+        f.write("x" * 2048)
+    g = {os.path.basename(r["path"]): (r["passed"], r["size_mb"]) for r in file_gate(spark, p, max_bytes=1024).collect()}
+    assert g == {"small.csv": (True, "0.00"), "big.csv": (False, "0.00")}
+    failed = spark.createDataFrame([("1", "", "r", "2024-01-01 00:00:00")],
+                                   "key_value string, update_value string, reason string, timestamp string")
+    assert export_csv(failed, os.path.join(tmp_dir, "failed")) == 1
+    back = spark.read.option("header", "true").csv(os.path.join(tmp_dir, "failed"))
+    assert back.columns == ["key_value", "update_value", "reason", "timestamp"]
+    with pytest.raises(ValueError):
+        export_csv(failed.limit(0), os.path.join(tmp_dir, "none"))

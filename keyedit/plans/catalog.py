@@ -413,7 +413,7 @@ r as (select count(*) as n_rows, count(key_value) as n_keyed,
       from cs),
 k as (select count(*) filter (where n > 1) as n_dup_keys
       from (select coalesce(cast(key_cast as varchar), key_value) as dk, count(*) as n from co group by dk))
-select 1 as seq, 'has_data_rows' as check_name, n_rows >= 1 as passed, n_rows as observed, 1 as limit_value,
+select cast(1 as bigint) as seq, 'has_data_rows' as check_name, n_rows >= 1 as passed, n_rows as observed, cast(1 as bigint) as limit_value,
        'at least one data row' as message from r
 union all select 2, 'row_limit', n_rows <= 100000, n_rows, 100000, 'data rows within the limit' from r
 union all select 3, 'column_count', true, 3, 3, 'key column plus one column per update column'
@@ -444,7 +444,7 @@ select '2024-01-31 12:00:00' as timestamp, 'UPDATE' as action_type, 'system' as
        to_json({{'schema': '', 'table': 'customer', 'key_column': 'c_custkey',
                  'update_columns': ['c_mktsegment', 'c_nationkey'], 'total_count': total_count,
                  'success_count': success_count, 'fail_count': fail_count,
-                 'backup_table': 'customer_BAK_20240131_120000'}}) as details,
+                 'backup_table': 'customer_BAK_20240131_120000'}})::varchar as details,
        cast(0 as bigint) as id from s""")
 def q_audit_update_entry(spark, d):
     """The run's UPDATE audit entry."""
@@ -525,7 +525,7 @@ def q_target_keys(spark, d):
 def _profile_sql(table: str, cols: list[str]) -> str:
     parts = []
     for i, c in enumerate(cols):
-        parts.append(f"select {i + 1} as ordinal, '{c.upper()}' as column_name, "
+        parts.append(f"select cast({i + 1} as bigint) as ordinal, '{c.upper()}' as column_name, "
                      f"coalesce(max(length(cast({c} as varchar))), 0) as max_length, "
                      f"count(*) filter (where {c} is null) as null_count from {table}")
     return "\nunion all ".join(parts)
@@ -552,7 +552,7 @@ def q_missing_columns(spark, d):
 
 
 @query("column_widths", """
-select 1 as ordinal, 'c_custkey' as column_name, least(greatest(9, coalesce(max(length(cast(c_custkey as varchar))), 0)) + 2, 50) as width from customer
+select cast(1 as bigint) as ordinal, 'c_custkey' as column_name, least(greatest(9, coalesce(max(length(cast(c_custkey as varchar))), 0)) + 2, 50) as width from customer
 union all select 2, 'c_name', least(greatest(6, coalesce(max(length(c_name)), 0)) + 2, 50) from customer
 union all select 3, 'c_nationkey', least(greatest(11, coalesce(max(length(cast(c_nationkey as varchar))), 0)) + 2, 50) from customer
 union all select 4, 'c_acctbal', least(greatest(9, coalesce(max(length(cast(c_acctbal as varchar))), 0)) + 2, 50) from customer

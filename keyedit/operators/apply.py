@@ -50,7 +50,7 @@ def assert_unique_keys(coerced: DataFrame) -> None:
 
 
 def change_keys_fit(coerced: DataFrame) -> bool:
-    """Whether the change keys may be broadcast (bounded ``limit`` probe).
+    """Whether the change keys may be broadcast (one distributed count of them).
 
     Every key list derived from them (present keys, per-key counts) has at
     most as many rows, so one answer serves all joins of a check.

@@ -2,9 +2,8 @@
 
 ``keyed_join(big, small, keys, how)`` picks one of two plans:
 
-1. **Broadcast** the small side, but only after measuring it: at most
-   ``max_rows`` rows (checked with a bounded ``limit``) and at most
-   ``max_bytes`` bytes of data. The big side is then never shuffled, so a hot
+1. **Broadcast** the small side, but only after measuring it with one
+   distributed aggregate: at most ``max_rows`` rows and ``max_bytes`` bytes. The big side is then never shuffled, so a hot
    key on the big side costs nothing.
 2. Otherwise a **shuffle join with hot-key salting**: keys holding at least
    ``hot_rows`` rows of the big side are found with a map-side-combined count
@@ -46,24 +45,19 @@ def broadcast_limits(df: DataFrame) -> tuple[int, int]:
     return max_rows, max_bytes
 
 
-def measured_size(df: DataFrame, max_rows: int) -> tuple[int, int] | None:
-    """(rows, bytes) of ``df`` when it has at most ``max_rows`` rows, else None.
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df`` from one distributed aggregate.
 
-    The row test reads at most ``max_rows + 1`` rows. Bytes are the text
-    length of every column plus 8 per row, an upper bound for fixed widths.
+    Partial counts and byte sums are combined map-side; only one row per task
+    reaches the final merge (no ``limit`` funnel into a single task). Bytes
+    are the text length of every column plus 8 per row, an upper bound for
+    fixed-width values.
     """
-    if max_rows <= 0:
-        return None
-    probe = df.limit(max_rows + 1)
-    widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
-    total = F.lit(0).cast("long")
-    for w in widths:
-        total = total + w
-    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(total + F.lit(8)).alias("b")).first()
-    n, b = int(row["n"]), int(row["b"] or 0)
-    if n > max_rows:
-        return None
-    return n, b
+    total = F.lit(8).cast("long")
+    for c in df.columns:
+        total = total + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("b")).first()
+    return int(row["n"]), int(row["b"] or 0)
 
 
 def change_stats(df: DataFrame, key: str) -> dict:
@@ -92,8 +86,10 @@ def can_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | N
     dr, db = broadcast_limits(df)
     max_rows = dr if max_rows is None else max_rows
     max_bytes = db if max_bytes is None else max_bytes
-    size = measured_size(df, max_rows)
-    return size is not None and size[1] <= max_bytes
+    if max_rows <= 0 or max_bytes <= 0:
+        return False
+    n, b = measured_size(df)
+    return n <= max_rows and b <= max_bytes
 
 
 def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_hot: int) -> DataFrame | None:
@@ -105,7 +101,7 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_hot: int) -
     """
     hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
            .where(F.col("__n") >= hot_rows).select(*keys))
-    n = hot.limit(max_hot + 1).count()
+    n = hot.count()          # distributed; at most rows(big) / hot_rows
     if n == 0:
         return None
     if n > max_hot:

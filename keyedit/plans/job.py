@@ -30,7 +30,8 @@ class RunResult:
     ok: bool
     message: str
     target_path: str | None          # the version to use from now on
-    backup_path: str | None
+    backup_path: str | None          # where the pre-run version lives
+    backup_name: str | None          # ``<table>_BAK_<yyyyMMdd_HHmmss>``
     summary: dict
     gates: list[dict]
     outcomes_path: str | None
@@ -50,11 +51,14 @@ def _stamp(run_ts: str, fmt: str) -> str:
 
 def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, target_path: str,
                out_dir: str, run_ts: str, *, audit_path: str | None = None,
-               history_path: str | None = None) -> RunResult:
+               history_path: str | None = None, snapshot_mode: str = "pointer") -> RunResult:
     """Apply ``raw_changes`` (``row_num`` + positional data columns) to the parquet target.
 
-    Writes under ``out_dir``: ``<table>_BAK_<ts>`` (snapshot), ``target_<ts>``
-    (new version, unless nothing may be published), ``outcomes_<ts>``.
+    Writes under ``out_dir``: ``target_<ts>`` (new version, unless nothing may
+    be published) and ``outcomes_<ts>``. The input version is never modified,
+    so by default it *is* the snapshot (``snapshot_mode="pointer"``: the
+    backup is the old path, restore is a pointer change, nothing is copied).
+    ``snapshot_mode="copy"`` also writes ``<table>_BAK_<ts>`` as a full copy.
     """
     stamp = _stamp(run_ts, fixed.NAME_TS_FORMAT)
     target = spark.read.parquet(target_path)
@@ -64,10 +68,10 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     columns_missing = [c for c in spec.update_columns
                        if c.upper() not in {t.upper() for t in target.columns}]
     if spec.key_column.upper() not in {t.upper() for t in target.columns}:
-        return RunResult(False, f"key column {spec.key_column!r} not in target", None, None, {}, [], None)
+        return RunResult(False, f"key column {spec.key_column!r} not in target", None, None, None, {}, [], None)
     if columns_missing:
         return RunResult(False, f"update columns not in target: {', '.join(columns_missing)}",
-                         None, None, {}, [], None)
+                         None, None, None, {}, [], None)
     bound_all = bind_changeset(raw_changes, spec.update_columns, keep_null_keys=True)
     bound = bound_all.where(F.col("key_value").isNotNull())
     staged = stage_as_text(bound, spec.update_columns)
@@ -81,16 +85,21 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         coerced.unpersist()
         return RunResult(False, f"gate failed: {failed_gate['check_name']} "
                                 f"(observed {failed_gate['observed']}, limit {failed_gate['limit_value']})",
-                         None, None, {}, gates, None)
+                         None, None, None, {}, gates, None)
 
     # 2. snapshot before anything changes
-    backup_path = f"{out_dir.rstrip('/')}/{spec.table}{fixed.BACKUP_INFIX}{stamp}"
-    snapshot(target, backup_path)
-    backup = spark.read.parquet(backup_path)
+    bak_name = f"{spec.table}{fixed.BACKUP_INFIX}{stamp}"
+    if snapshot_mode == "copy":
+        backup_path = f"{out_dir.rstrip('/')}/{bak_name}"
+        snapshot(target, backup_path)
+        backup = spark.read.parquet(backup_path)
+    else:
+        backup_path, backup = target_path, target
 
     # 3. outcomes (written: they feed the summary, the report and the decision)
     outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
-    write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched), outcomes_path)
+    # run outputs are unique per run and never inputs (checked), so a retried run overwrites its own partial output
+    write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched), outcomes_path, mode="overwrite")
     outcomes = spark.read.parquet(outcomes_path)
     summary = ap.run_summary(outcomes).first().asDict()
 
@@ -100,11 +109,10 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     if publish:
         new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
         new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False)
-        write_counted(new_t, new_path)
+        write_counted(new_t, new_path, mode="overwrite")
     coerced.unpersist()
 
     # 5. audit entry and history record
-    bak_name = f"{spec.table}{fixed.BACKUP_INFIX}{stamp}"
     one = spark.createDataFrame([summary])
     if audit_path:
         au.append_json(au.update_entry(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
@@ -121,5 +129,5 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         msg = f"applied {summary['success_count']}, failed {summary['fail_count']}"
     else:
         msg = f"{summary['fail_count']} changes failed; nothing published, target unchanged"
-    return RunResult(publish, msg, new_path if publish else target_path, backup_path, summary, gates,
+    return RunResult(publish, msg, new_path if publish else target_path, backup_path, bak_name, summary, gates,
                      outcomes_path)

@@ -48,7 +48,7 @@ def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
 
 def snapshot(df: DataFrame, path: str) -> int:
     """Copy the target as it is to ``path`` (the backup); returns its row count."""
-    return write_counted(df, path, "parquet")
+    return write_counted(df, path, "parquet", mode="overwrite")
 
 
 def export_csv(df: DataFrame, path: str, empty_ok: bool = False) -> int:

@@ -131,7 +131,7 @@ def test_run_update_end_to_end(spark, tmp_dir):
     r = run_update(spark, spec, cs, target_path, out, "2024-01-31 12:00:00",
                    audit_path=os.path.join(tmp_dir, "audit"), history_path=os.path.join(tmp_dir, "hist"))
     assert r.ok and r.summary["success_count"] == 1 and r.summary["fail_count"] == 1
-    assert r.backup_path.endswith("customer_BAK_20240131_120000")
+    assert r.backup_name == "customer_BAK_20240131_120000" and r.backup_path == target_path
     new = spark.read.parquet(r.target_path)
     assert new.where("c_custkey = 1").first()["c_mktsegment"] == "S1"
     assert new.count() == spark.read.parquet(target_path).count()
@@ -139,8 +139,11 @@ def test_run_update_end_to_end(spark, tmp_dir):
     # all-or-nothing: the failed row keeps the published target unchanged
     spec2 = UpdateSpec(table="customer", key_column="c_custkey", update_columns=["c_mktsegment", "c_nationkey"],
                        not_null={"c_nationkey"}, on_failure="restore")
-    r2 = run_update(spark, spec2, cs, target_path, os.path.join(tmp_dir, "out2"), "2024-01-31 12:00:00")
+    r2 = run_update(spark, spec2, cs, target_path, os.path.join(tmp_dir, "out2"), "2024-01-31 12:00:00",
+                    snapshot_mode="copy")
     assert not r2.ok and r2.target_path == target_path
+    assert r2.backup_path.endswith("customer_BAK_20240131_120000")
+    assert spark.read.parquet(r2.backup_path).count() == spark.read.parquet(target_path).count()
     # a duplicate key stops the run at the gates
     dup = _cs(spark, [(2, "1", "a", "1"), (3, "01", "b", "2")])
     r3 = run_update(spark, spec, dup, target_path, os.path.join(tmp_dir, "out3"), "2024-01-31 12:00:00")

@@ -205,3 +205,29 @@ def test_file_gate_and_exports(spark, tmp_dir):
     assert back.columns == ["key_value", "update_value", "reason", "timestamp"]
     with pytest.raises(ValueError):
         export_csv(failed.limit(0), os.path.join(tmp_dir, "none"))
+
+
+def test_partitioned_table_rewrites_only_touched_partitions(spark, tmp_dir):
+    from keyedit.operators.staging import coerce_changes, stage_as_text
+    from keyedit.plans.partitioned import apply_to_partitions
+    src = spark.read.parquet(f"{SF001}/customer.parquet")
+    loc = os.path.join(tmp_dir, "cust_part")
+    spark.sql("drop table if exists cust_part")
+    src.write.partitionBy("c_nationkey").option("path", loc).saveAsTable("cust_part")
+    before = {r["c_nationkey"]: r["count"] for r in spark.table("cust_part").groupBy("c_nationkey").count().collect()}
+    keys = [r["c_custkey"] for r in src.where("c_nationkey = 3").limit(2).collect()]
+    raw = spark.createDataFrame([(2 + i, str(k), "PART") for i, k in enumerate(keys)],
+                                "row_num long, k string, seg string")
+    bound = bind_changeset(raw, ["c_mktsegment"])
+    t = spark.table("cust_part")
+    co = coerce_changes(stage_as_text(bound, ["c_mktsegment"]), t.schema, "c_custkey", ["c_mktsegment"])
+    untouched_files = sorted(f for f in os.listdir(os.path.join(loc, "c_nationkey=4")) if f.endswith(".parquet"))
+    run = apply_to_partitions(spark, "cust_part", ["c_nationkey"], "c_custkey", ["c_mktsegment"], co,
+                              os.path.join(tmp_dir, "bak"), "r1")
+    assert run.touched_partitions == 1 and run.rows_rewritten == before[3]
+    spark.catalog.refreshTable("cust_part")
+    after = spark.table("cust_part")
+    assert after.count() == src.count()
+    assert after.where("c_mktsegment = 'PART'").count() == 2
+    assert sorted(f for f in os.listdir(os.path.join(loc, "c_nationkey=4")) if f.endswith(".parquet")) == untouched_files
+    assert spark.read.parquet(run.backup_path).where("c_mktsegment = 'PART'").count() == 0

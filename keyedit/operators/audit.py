@@ -135,6 +135,33 @@ def purge_counts(audit: DataFrame, before: str, corrupt: DataFrame | None = None
                      F.coalesce(F.sum("c"), z).alias("corrupt_count"))
 
 
+def purge_audit(spark, path: str, before: str, out_path: str) -> dict:
+    """Write the entries kept by a purge (and the unreadable lines, apart) to new paths.
+
+    Returns ``{deleted_count, kept_count, corrupt_count}``; the counts come from
+    the same jobs as the writes (``Observation``). The old files stay as they
+    are until the caller switches to ``out_path``.
+    """
+    from keyedit.sinks.writers import write_counted
+    lines = spark.read.text(path)
+    entries = parse_audit_lines(lines)
+    kept, _ = purge_before(entries, before)
+    n_kept = write_counted(kept, out_path, "json", mode="overwrite")
+    n_bad = write_counted(audit_corrupt(lines), f"{out_path.rstrip('/')}_corrupt", "text", mode="overwrite")
+    total = entries.count()
+    return {"deleted_count": total - n_kept, "kept_count": n_kept, "corrupt_count": n_bad}
+
+
+def audit_view(audit: DataFrame, limit: int = fixed.HISTORY_LIMIT, action_type: str | None = None) -> DataFrame:
+    """Newest ``limit`` entries, optionally of one action type."""
+    return newest_first(by_action(audit, action_type), limit)
+
+
+def clear_history(history: DataFrame) -> DataFrame:
+    """An empty history with the same columns (what is written back on 'clear all')."""
+    return history.where(F.lit(False))
+
+
 def delete_ids(history: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """History without the given record ids (anti join on a broadcast id list when small)."""
     from keyedit.operators.joins import keyed_join

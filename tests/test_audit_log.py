@@ -110,3 +110,18 @@ def test_classify_errors_first_code_wins(spark):
 def test_percent_is_exact(spark):
     df = spark.createDataFrame([(29, 100), (57, 100), (58, 100), (0, 0), (1, 3)], "c long, t long")
     assert [r[0] for r in df.select(percent(F.col("c"), F.col("t"))).collect()] == [29, 57, 58, 0, 33]
+
+
+def test_purge_writes_kept_entries_and_counts(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "audit")
+    os.makedirs(path)
+    with open(os.path.join(path, "part-0.json"), "w", encoding="utf-8") as f:
+        for r in _audit_rows():
+            f.write(json.dumps(r, ensure_ascii=False) + "\n")
+        f.write("not json\n")
+    out = os.path.join(tmp_dir, "audit_v2")
+    c = au.purge_audit(spark, path, "2024-02-01 00:00:00", out)
+    assert c == {"deleted_count": 1, "kept_count": 2, "corrupt_count": 1}
+    assert rows(au.read_audit(spark, out), "id") == [(2,), (3,)]
+    assert [r["id"] for r in au.audit_view(au.read_audit(spark, path), 10, "EXPORT").collect()] == [3]
+    assert au.clear_history(au.read_audit(spark, path)).count() == 0

@@ -56,32 +56,3 @@ def canonical_key(text: Column, dt: T.DataType) -> Column:
         d = text.try_cast(_WIDE)
         return F.when((d == F.floor(d)) & d.between(F.lit(lo), F.lit(hi)), d.try_cast(dt))
     return text.try_cast(dt)
-
-
-# DuckDB spellings of the same rules, used by the oracle SQL.
-_DUCK_INTEGRAL = {
-    T.ByteType: "tinyint", T.ShortType: "smallint",
-    T.IntegerType: "integer", T.LongType: "bigint",
-}
-
-
-def duck_coerce(expr: str, dt: T.DataType) -> str:
-    if isinstance(dt, T.StringType):
-        return expr
-    if is_integral(dt):
-        lo, hi = _INTEGRAL_RANGE[type(dt)]
-        w = f"round(try_cast({expr} as decimal(38,10)), 0)"
-        return (f"case when {w} between {lo} and {hi} "
-                f"then try_cast({w} as {_DUCK_INTEGRAL[type(dt)]}) end")
-    return f"try_cast({expr} as {dt.simpleString()})"
-
-
-def duck_canonical_key(expr: str, dt: T.DataType) -> str:
-    if isinstance(dt, T.StringType):
-        return expr
-    if is_integral(dt):
-        lo, hi = _INTEGRAL_RANGE[type(dt)]
-        d = f"try_cast({expr} as decimal(38,10))"
-        return (f"case when {d} = floor({d}) and {d} between {lo} and {hi} "
-                f"then try_cast({d} as {_DUCK_INTEGRAL[type(dt)]}) end")
-    return f"try_cast({expr} as {dt.simpleString()})"

@@ -156,13 +156,13 @@ from events"""
 
 
 def audit_lines(spark, sf_dir) -> DataFrame:
-    """The audit entries as JSON lines; entries of events with ``value < 1`` were
-    cut short while being written (malformed lines a reader must skip)."""
+    """The audit entries as JSON lines; for events with ``value < 1`` the line
+    lost its closing brace while being written (malformed lines a reader must skip)."""
     a = table(spark, sf_dir, "events").select(*_aud_columns(), "value")
     line = F.to_json(F.struct(
         "timestamp", "action_type", F.col("user_name").alias("user"), "success", "error_msg",
         F.col("details"), F.col("id")))
-    return a.select(F.col("id"), F.when(F.col("value") < 1.0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    return a.select(F.col("id"), F.when(F.col("value") < 1.0, F.regexp_replace(line, "}$", "")).otherwise(line).alias("value"))
 
 
 # the update columns a run asked for, by order priority (some are not lineitem columns)

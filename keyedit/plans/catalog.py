@@ -781,12 +781,20 @@ def q_normalize_columns(spark, d):
 
 
 @query("header_gate", """
-select doc_id, coalesce(trim(split_part(text, chr(10), 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as blank_header from documents""")
+select conv_id, coalesce(trim(role, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as first_blank,
+       coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as second_blank,
+       not (coalesce(trim(role, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' or coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '') as passed
+from conversations where turn = 0""")
 def q_header_gate(spark, d):
-    """Blank-header test on each file's first line."""
-    docs = fx.table(spark, d, "documents")
-    first = F.split(F.col("text"), "\n").getItem(0)
-    return docs.select("doc_id", is_blank(first).alias("blank_header"))
+    """The first two header cells must not be blank.
+
+    Each conversation stands for a two-column sheet whose first turn is the
+    header row: its ``role`` and ``text`` cells are the two headers.
+    """
+    conv = fx.table(spark, d, "conversations").where(F.col("turn") == 0)
+    first, second = is_blank(F.col("role")), is_blank(F.col("text"))
+    return conv.select("conv_id", first.alias("first_blank"), second.alias("second_blank"),
+                       (~(first | second)).alias("passed"))
 
 
 # ======================================================================================

@@ -3,8 +3,9 @@
     python tests/scale_check.py /root/testdata/sf0.1 10 /tmp/run-XXXX
 
 Writes the replicated tables under the given scratch folder and prints one
-JSON line with seconds per plan: broadcast, shuffle (no broadcast), and the
-salted plan when one key holds a third of the target rows.
+JSON line with seconds per plan: ``auto`` (the library measures the change
+set and broadcasts it only under the bound), ``shuffle`` (no broadcast), and
+the salted plan when one key holds a third of the target rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def main(sf_dir: str, factor: int, scratch: str) -> None:
                         extra={"spark.driver.memory": "16g"})
     rep = F.explode(F.sequence(F.lit(0), F.lit(factor - 1))).alias("__r")
     li = fx.table(spark, sf_dir, "lineitem")
-    big = li.select(rep, *li.columns).withColumn("l_orderkey", F.col("l_orderkey") + F.col("__r") * OFFSET).drop("__r")
+    big = li.select(rep, *li.columns).withColumn("l_orderkey", F.col("l_orderkey") + F.col("__r").cast("long") * OFFSET).drop("__r")
     tpath = f"{scratch}/lineitem_x{factor}"
     if not os.path.exists(tpath):
         big.write.parquet(tpath)
@@ -44,10 +45,10 @@ def main(sf_dir: str, factor: int, scratch: str) -> None:
 
     cs = fx.csl(spark, sf_dir)
     cs = cs.select(rep, *cs.columns).withColumn(
-        "key_value", (F.col("key_value").cast("long") + F.col("__r") * OFFSET).cast("string")).drop("__r")
+        "key_value", (F.col("key_value").cast("long") + F.col("__r").cast("long") * OFFSET).cast("string")).drop("__r")
     spec = fx.LINEITEM_SPEC
     out = {"factor": factor}
-    for label, path, fit in (("broadcast", tpath, True), ("shuffle", tpath, False), ("hot_key_salted", hpath, False)):
+    for label, path, fit in (("auto", tpath, None), ("shuffle", tpath, False), ("hot_key_salted", hpath, False)):
         target = spark.read.parquet(path)
         bound = bind_changeset(cs, spec.update_columns)
         co = coerce_changes(stage_as_text(bound, spec.update_columns), target.schema, spec.key_column,

@@ -170,18 +170,25 @@ def failed_records(outcomes: DataFrame, run_ts) -> DataFrame:
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
-    """One row: totals of a run; ``success`` means no failed change."""
+    """One row: totals of a run, as the run's audit entry reports them.
+
+    ``total_count = success_count + fail_count``; a missing key is neither
+    unless it counts as a failure (``unmatched='fail'``). ``change_rows`` is
+    every change row with a key; ``rows_updated`` counts target rows.
+    ``success`` means no failed change.
+    """
     s = F.col("status")
     agg = outcomes.agg(
-        F.count(F.lit(1)).alias("total_count"),
+        F.count(F.lit(1)).alias("change_rows"),
         F.count_if(s == APPLIED).alias("success_count"),
         F.count_if(F.col("failed")).alias("fail_count"),
         F.count_if(s == MISSING_KEY).alias("missing_count"),
         F.coalesce(F.sum("rows_updated"), F.lit(0)).cast("long").alias("rows_updated"),
     )
     return agg.select(
-        *[F.col(c).cast("long").alias(c) for c in
-          ("total_count", "success_count", "fail_count", "missing_count", "rows_updated")],
+        F.col("change_rows").cast("long").alias("change_rows"),
+        (F.col("success_count") + F.col("fail_count")).cast("long").alias("total_count"),
+        *[F.col(c).cast("long").alias(c) for c in ("success_count", "fail_count", "missing_count", "rows_updated")],
         (F.col("fail_count") == 0).alias("success"),
     )
 

@@ -373,7 +373,9 @@ def q_failures_by_reason(spark, d):
     return ap.failures_by_reason(_outcomes(spark, d, fx.cs2, fx.CUSTOMER_SPEC))
 
 
-_SUMMARY_SQL = """select count(*) as total_count, count(*) filter (where status = 'applied') as success_count,
+_SUMMARY_SQL = """select count(*) as change_rows,
+       count(*) filter (where status = 'applied') + count(*) filter (where failed) as total_count,
+       count(*) filter (where status = 'applied') as success_count,
        count(*) filter (where failed) as fail_count, count(*) filter (where status = 'missing_key') as missing_count,
        cast(coalesce(sum(rows_updated), 0) as bigint) as rows_updated,
        count(*) filter (where failed) = 0 as success from oc"""

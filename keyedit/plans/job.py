@@ -123,7 +123,7 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
                           update_columns=spec.update_columns, backup_table=bak_name,
                           run_ts=run_ts).write.mode("append").parquet(history_path)
 
-    if summary["total_count"] and summary["success_count"] == 0 and summary["fail_count"] == 0:
+    if summary["change_rows"] and summary["success_count"] == 0 and summary["fail_count"] == 0:
         msg = "no change matched the target"
     elif publish:
         msg = f"applied {summary['success_count']}, failed {summary['fail_count']}"

@@ -50,7 +50,8 @@ def test_outcomes_order_and_reasons(spark):
     oc_fail = {r["row_num"]: r["failed"] for r in ap.row_outcomes(co, t, "ID", unmatched="fail").collect()}
     assert oc_fail[3] is True
     s = ap.run_summary(ap.row_outcomes(co, t, "ID")).first()
-    assert (s["total_count"], s["success_count"], s["fail_count"], s["missing_count"], s["success"]) == (5, 1, 2, 2, False)
+    assert (s["change_rows"], s["total_count"], s["success_count"], s["fail_count"], s["missing_count"],
+            s["success"]) == (5, 3, 1, 2, 2, False)
     new = ap.apply_updates(t, co, "ID", ["qty", "name"])
     assert rows(new) == [(1, "x", 5, 1.5), (2, "b", 20, 2.5), (3, "c", 30, 3.5)]
 

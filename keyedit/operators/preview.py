@@ -17,6 +17,18 @@ def preview(bound_with_nulls: DataFrame, max_rows: int = fixed.PREVIEW_ROWS) ->
     return bound_with_nulls.orderBy(ROW_NUM).limit(max_rows)
 
 
+def preview_headers(raw: DataFrame, update_columns: Sequence[str] | None = None) -> list[str]:
+    """Header row of a preview (schema only, no job).
+
+    With update columns: the file's key header, then the requested names cut
+    to the data columns the file has. Without: the file's first two headers.
+    """
+    data = [c for c in raw.columns if c != ROW_NUM]
+    if update_columns is None:
+        return data[:2]
+    return data[:1] + list(update_columns)[:max(len(data) - 1, 0)]
+
+
 def preview_summary(bound_with_nulls: DataFrame, max_rows: int = fixed.PREVIEW_ROWS) -> DataFrame:
     """One row: ``total_rows, shown_rows, has_more, more_rows`` against the actual limit."""
     n = F.count(F.lit(1)).cast("long")

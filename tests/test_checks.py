@@ -127,3 +127,14 @@ def test_empty_and_header_only_change_set(spark):
     co = coerce_changes(stage_as_text(bound.where(F.col("key_value").isNotNull()), ["name"]), target.schema, "ID", ["name"])
     g = {r["check_name"]: r["passed"] for r in ck.gate_report(bound, co, ["name"], 4).collect()}
     assert g["has_data_rows"] is False and g["has_keyed_rows"] is False
+
+
+def test_preview_headers_and_top_rows(spark):
+    from keyedit.operators import preview as pv
+    raw = spark.createDataFrame(DUP_ROWS + [(10, None, "n", 1, "d")], SCHEMA)
+    assert pv.preview_headers(raw, ["name", "age", "department", "extra"]) == ["ID", "name", "age", "department"]
+    assert pv.preview_headers(raw) == ["ID", "name"]
+    bound = bind_changeset(raw, ["name"], keep_null_keys=True)
+    assert [r["row_num"] for r in pv.preview(bound, 3).collect()] == [2, 3, 4]
+    s = pv.preview_summary(bound, 5).first()
+    assert (s["total_rows"], s["shown_rows"], s["has_more"], s["more_rows"]) == (9, 5, True, 4)

@@ -130,10 +130,11 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     if hot is None:
         return big.join(small, keys, how)
 
-    big_cols = big.columns
+    # content hash of the row: the same row lands in the same bucket on a retry
+    # (maps cannot be hashed; they are left out of the hash input)
+    hashable = [F.col(f"`{f.name}`") for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
     salted_big = (big.join(F.broadcast(hot), keys, "left")
-                  .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big_cols]),
-                                                              F.lit(salt_buckets)))
+                  .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*hashable), F.lit(salt_buckets)))
                               .otherwise(F.lit(0)).cast("int"))
                   .drop(_HOT))
     reps = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))

@@ -33,3 +33,14 @@ def test_size_checks(spark):
     assert can_broadcast(df)
     assert not can_broadcast(df, max_rows=2)
     assert not can_broadcast(df, max_bytes=10)
+
+
+def test_salted_join_with_a_map_column(spark):
+    b = spark.createDataFrame([(0, {"a": i}) for i in range(30)] + [(1, {"b": 1})], "k long, m map<string,int>")
+    s = spark.createDataFrame([(0, "x"), (1, "y")], "k long, c string")
+    spark.conf.set("keyedit.skew.hotRows", "10")
+    try:
+        out = keyed_join(b, s, ["k"], "inner", small_fits=False)
+        assert out.count() == 31
+    finally:
+        spark.conf.unset("keyedit.skew.hotRows")

@@ -241,7 +241,10 @@ def restore_rows(current: DataFrame, backup: DataFrame, keys: DataFrame, key_col
     names = [_target_name(current, c) for c in columns]
     old = keyed_join(backup.select(tkey, *names), sel, [tkey], "left_semi").select(
         tkey, *[F.col(f"`{n}`").alias(_NEW + n) for n in names], F.lit(True).alias(_HIT))
-    joined = keyed_join(current, old, [tkey], "left")
+    stats = change_stats(old, tkey)
+    if stats["dup_keys"]:
+        raise ValueError("the backup holds several rows for a selected key; restore whole rows instead")
+    joined = keyed_join(current, old, [tkey], "left", small_fits=stats_fit(old, stats))
     hit = F.coalesce(F.col(_HIT), F.lit(False))
     return joined.select(*[
         (F.when(hit, F.col(f"`{_NEW}{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`"))

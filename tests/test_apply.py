@@ -144,3 +144,11 @@ def test_text_keys_with_leading_zeros_match_exactly(spark):
     bound = bind_changeset(raw, ["label"])
     co = coerce_changes(stage_as_text(bound, ["label"]), t.schema, "code", ["label"])
     assert rows(ap.apply_updates(t, co, "code", ["label"])) == [("001", "A"), ("1", "b")]
+
+
+def test_restore_columns_needs_one_backup_row_per_key(spark):
+    t = spark.createDataFrame([(1, "a", 1, 0.0), (1, "b", 2, 0.0)], TARGET_SCHEMA)
+    with pytest.raises(ValueError):
+        ap.restore_rows(t, t, t.select("ID"), "ID", ["name"]).count()
+    whole = ap.restore_rows(t, t, t.select("ID"), "ID")
+    assert rows(whole) == rows(t)

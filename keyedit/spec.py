@@ -60,6 +60,11 @@ class UpdateSpec:
             out.append("key column is required")
         if not self.update_columns:
             out.append("at least one update column is required")
+        seen = set()
+        for c in self.update_columns:
+            if c.upper() in seen:
+                out.append(f"update column {c!r} is listed twice")
+            seen.add(c.upper())
         if self.on_failure not in ("keep", "restore"):
             out.append("on_failure must be 'keep' or 'restore'")
         if self.unmatched not in ("ignore", "fail"):

@@ -20,6 +20,10 @@ def test_normalize_columns():
     assert normalize_columns([" A ", "", "  ", "B", "A", None]) == ["A", "B", "A"]
     with pytest.raises(ValueError):
         UpdateSpec(table="t", key_column="k", update_columns=[" ", ""])
+    with pytest.raises(ValueError):
+        UpdateSpec(table="t", key_column="k", update_columns=["a", "A "])
+    with pytest.raises(ValueError):
+        UpdateSpec(table="", key_column="k", update_columns=["a"])
 
 
 def test_csv_change_set_row_numbers_and_padding(spark, tmp_dir):

@@ -152,3 +152,11 @@ def test_restore_columns_needs_one_backup_row_per_key(spark):
         ap.restore_rows(t, t, t.select("ID"), "ID", ["name"]).count()
     whole = ap.restore_rows(t, t, t.select("ID"), "ID")
     assert rows(whole) == rows(t)
+
+
+def test_column_names_in_another_case(spark):
+    t = _target(spark)
+    co = _co(spark, t, [(2, "1", "77", "zz")], cols=("QTY", "Name"), not_null=frozenset({"qty"}))
+    new = ap.apply_updates(t, co, "id", ["QTY", "Name"])
+    assert new.columns == t.columns
+    assert rows(new)[0] == (1, "zz", 77, 1.5)

@@ -62,18 +62,25 @@ def matched_key_counts(target: DataFrame, key_column: str, change_keys: DataFram
                        fits: bool | None = None) -> DataFrame:
     """``(key_cast, rows_matched)`` for change keys present in the target.
 
-    The target is reduced to the change keys first (semi join), then counted
-    with a map-side-combined aggregate, so a hot target key never lands in
-    one task whole. Output size is bounded by the number of change keys.
+    When the change keys fit a broadcast, the target is filtered map-side by
+    a broadcast semi join, then counted. Otherwise the target key column is
+    counted first (a map-side-combined aggregate: a hot key leaves each task
+    as one row), and those unique per-key counts are semi-joined with the
+    change keys. Either way no task holds a hot key's rows and the output
+    is bounded by the number of change keys.
     """
     tkey = _target_name(target, key_column)
     fits = change_keys_fit(change_keys) if fits is None else fits
     keys = change_keys.select(F.col(KEY_CAST)).where(F.col(KEY_CAST).isNotNull())
-    if not fits:
-        keys = keys.distinct()
     tk = target.select(F.col(f"`{tkey}`").alias(KEY_CAST))
-    present = keyed_join(tk, keys, [KEY_CAST], "left_semi", small_fits=fits)
-    return present.groupBy(KEY_CAST).agg(F.count(F.lit(1)).alias("rows_matched"))
+    if fits:
+        # broadcast semi join filters the target map-side, then a small count
+        present = keyed_join(tk, keys, [KEY_CAST], "left_semi", small_fits=True)
+        return present.groupBy(KEY_CAST).agg(F.count(F.lit(1)).alias("rows_matched"))
+    # count first: one row per target key leaves the map side, so a hot key is
+    # one row per task and the join below has a unique side
+    counts = tk.groupBy(KEY_CAST).agg(F.count(F.lit(1)).alias("rows_matched"))
+    return keyed_join(counts, keys.distinct(), [KEY_CAST], "left_semi", small_fits=False, big_unique=True)
 
 
 def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,

@@ -82,9 +82,10 @@ def _present(target: DataFrame, key_column: str, coerced: DataFrame, fits: bool)
     tkey = next(c for c in target.columns if c.lower() == key_column.lower())
     tk = target.select(F.col(f"`{tkey}`").alias(KEY_CAST))
     keys = coerced.select(KEY_CAST).where(F.col(KEY_CAST).isNotNull())
-    if not fits:
-        keys = keys.distinct()
-    return keyed_join(tk, keys, [KEY_CAST], "left_semi", small_fits=fits).distinct()
+    if fits:
+        return keyed_join(tk, keys, [KEY_CAST], "left_semi", small_fits=True).distinct()
+    # distinct first (map-side combined), then a join whose target side is unique
+    return keyed_join(tk.distinct(), keys.distinct(), [KEY_CAST], "left_semi", small_fits=False, big_unique=True)
 
 
 def _keys_fit(coerced: DataFrame) -> bool:

@@ -111,17 +111,20 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_hot: int) -
 
 def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                *, small_fits: bool | None = None, hot_rows: int | None = None,
-               salt_buckets: int | None = None) -> DataFrame:
+               salt_buckets: int | None = None, big_unique: bool = False) -> DataFrame:
     """Join ``big`` with ``small`` on equal ``keys`` (USING semantics).
 
     ``how`` is one of ``left``, ``inner``, ``left_semi``, ``left_anti``; the
-    big side is always the preserved/probe side.
+    big side is always the preserved/probe side. ``big_unique`` says the big
+    side has one row per key (e.g. an aggregate), so no key can be hot.
     """
     keys = list(keys)
     if small_fits is None:
         small_fits = can_broadcast(small)
     if small_fits:
         return big.join(F.broadcast(small), keys, how)
+    if big_unique:
+        return big.join(small, keys, how)
 
     hot_rows = hot_rows or _conf_int(big, "keyedit.skew.hotRows", 1_000_000)
     salt_buckets = salt_buckets or _conf_int(big, "keyedit.skew.saltBuckets", 64)

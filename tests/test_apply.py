@@ -160,3 +160,10 @@ def test_column_names_in_another_case(spark):
     new = ap.apply_updates(t, co, "id", ["QTY", "Name"])
     assert new.columns == t.columns
     assert rows(new)[0] == (1, "zz", 77, 1.5)
+
+
+def test_outcomes_without_broadcast_count_every_target_row(spark):
+    t = spark.createDataFrame([(1, "a", i, 0.0) for i in range(25)] + [(2, "b", 1, 0.0)], TARGET_SCHEMA)
+    co = _co(spark, t, [(2, "1", "5", "x"), (3, "2", "6", "y"), (4, "9", "7", "z")])
+    got = {r["row_num"]: (r["status"], r["rows_updated"]) for r in ap.row_outcomes(co, t, "ID", fits=False).collect()}
+    assert got == {2: ("applied", 25), 3: ("applied", 1), 4: ("missing_key", 0)}

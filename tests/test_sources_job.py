@@ -11,7 +11,7 @@ from keyedit.operators.staging import bind_changeset
 from keyedit.plans.job import run_update
 from keyedit.sinks.writers import refuse_same_path, snapshot, write_counted
 from keyedit.sources.changeset import read_changeset
-from keyedit.sources.target import columns_of, key_values, list_tables, read_jdbc, table_exists
+from keyedit.sources.target import columns_of, key_values, list_tables, table_exists
 from keyedit.sources.workbook import changes_from_workbooks, decode_workbook, read_workbooks
 from keyedit.spec import UpdateSpec, normalize_columns
 
@@ -90,17 +90,6 @@ def test_workbook_ingest_by_sheet_name(spark, tmp_dir):
     assert got == [(2, "001", "p"), (2, "1001", "x"), (3, "1002", "y"), (5, "1003", None)]
 
 
-def test_jdbc_derby_round_trip(spark, tmp_dir):
-    from keyedit.sinks.writers import write_jdbc
-    url = f"jdbc:derby:{tmp_dir}/db;create=true"
-    df = spark.range(0, 100).select(F.col("id").alias("ID"), (F.col("id") * 2).alias("V"))
-    write_jdbc(df, url, "T1", mode="overwrite", driver="org.apache.derby.jdbc.EmbeddedDriver")
-    back = read_jdbc(spark, url, "T1", partition_column="ID", lower_bound=0, upper_bound=100,
-                     num_partitions=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
-    assert back.rdd.getNumPartitions() == 4
-    assert back.where(F.col("ID") >= 90).count() == 10
-
-
 def test_catalog_metadata(spark):
     t = spark.read.parquet(f"{SF001}/customer.parquet")
     t.createOrReplaceTempView("cust_view")

@@ -224,3 +224,27 @@ def test_partitioned_table_rewrites_only_touched_partitions(spark, tmp_dir):
     assert after.where("c_mktsegment = 'PART'").count() == 2
     assert sorted(f for f in os.listdir(os.path.join(loc, "c_nationkey=4")) if f.endswith(".parquet")) == untouched_files
     assert spark.read.parquet(run.backup_path).where("c_mktsegment = 'PART'").count() == 0
+
+
+def test_command_line_run_check_preview(spark, tmp_dir, capsys):
+    import json as _json
+    from keyedit.__main__ import main
+    target_path = os.path.join(tmp_dir, "customer")
+    spark.read.parquet(f"{SF001}/customer.parquet").write.parquet(target_path)
+    cs = os.path.join(tmp_dir, "cs.csv")
+    with open(cs, "w") as f:
+        f.write("KEY,SEGMENT\n1,CLI\n2,CLI\n2,DUP\n999999,X\n")
+    assert main(["preview", "--changes", cs, "--columns", "c_mktsegment", "--rows", "2"]) == 0
+    p = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert p["headers"] == ["KEY", "c_mktsegment"] and p["total_rows"] == 4 and len(p["rows"]) == 2
+    rc = main(["check", "--changes", cs, "--columns", "c_mktsegment", "--target", target_path,
+               "--key", "c_custkey", "--out", os.path.join(tmp_dir, "chk")])
+    c = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert rc == 2 and c["duplicate_repeats"] == 1 and c["missing_keys"] == 1
+    with open(cs, "w") as f:
+        f.write("KEY,SEGMENT\n1,CLI\n2,CLI\n")
+    rc = main(["run", "--changes", cs, "--columns", "c_mktsegment", "--target", target_path,
+               "--key", "c_custkey", "--out", os.path.join(tmp_dir, "run")])
+    r = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert rc == 0 and r["summary"]["success_count"] == 2
+    assert spark.read.parquet(r["target_path"]).where("c_mktsegment = 'CLI'").count() == 2

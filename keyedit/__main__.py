@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit -m keyedit <command> …`` or ``python -m keyedit <command> …``.
+"""Command line: ``python -m keyedit <command> …`` (cluster settings come from the environment).
 
 Commands:
 

@@ -37,14 +37,16 @@ def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW) -> DataFr
 
 
 def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col: str | None = None,
-                   **options) -> DataFrame:
+                   schema=None, **options) -> DataFrame:
     """Read a change set; returns ``row_num`` followed by the data columns in file order.
 
     ``fmt``: ``csv`` (header line, every cell as text, ragged rows padded with
     NULL), ``json`` (one object per line), ``parquet``. With ``row_num_col``
-    the source already carries the sheet row.
+    the source already carries the sheet row. Binding is positional, so for
+    ``json`` pass ``schema``: without it Spark infers the fields sorted by
+    name, not in the order they were written.
     """
-    reader = spark.read
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
     for k, v in options.items():

@@ -248,3 +248,15 @@ def test_command_line_run_check_preview(spark, tmp_dir, capsys):
     r = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert rc == 0 and r["summary"]["success_count"] == 2
     assert spark.read.parquet(r["target_path"]).where("c_mktsegment = 'CLI'").count() == 2
+
+
+def test_json_and_parquet_change_sets(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "cs.json")
+    with open(p, "w") as f:
+        f.write('{"Z": "1", "A": "a"}\n{"Z": null, "A": "b"}\n{"Z": "3", "A": "c"}\n')
+    raw = read_changeset(spark, p, "json", schema="Z string, A string")     # key column Z first
+    assert rows(bind_changeset(raw, ["A"])) == [(2, "1", "a"), (4, "3", "c")]
+    pq = os.path.join(tmp_dir, "cs.parquet")
+    spark.createDataFrame([(7, 5, "x"), (9, 6, "y")], "sheet_row long, ID long, V string").write.parquet(pq)
+    raw2 = read_changeset(spark, pq, "parquet", row_num_col="sheet_row")
+    assert rows(bind_changeset(raw2, ["V"])) == [(7, 5, "x"), (9, 6, "y")]

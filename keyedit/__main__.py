@@ -26,6 +26,7 @@ def _args(argv):
         s.add_argument("--changes", required=True, help="change-set file or folder")
         s.add_argument("--format", default="csv", choices=["csv", "json", "parquet"])
         s.add_argument("--row-num-col", default=None, help="column holding the sheet row, if any")
+        s.add_argument("--schema", default=None, help="DDL schema of the file (needed for json: keeps the column order)")
         s.add_argument("--columns", required=True, help="update columns, comma separated, in file order")
         if name != "preview":
             s.add_argument("--target", required=True, help="parquet path of the target")
@@ -56,7 +57,7 @@ def main(argv=None) -> int:
 
     spark = get_session(app=f"keyedit-{a.cmd}")
     cols = normalize_columns(a.columns.split(","))
-    raw = read_changeset(spark, a.changes, a.format, a.row_num_col)
+    raw = read_changeset(spark, a.changes, a.format, a.row_num_col, schema=a.schema)
 
     if a.cmd == "preview":
         bound = bind_changeset(raw, cols, keep_null_keys=True)

@@ -70,3 +70,46 @@ def apply_to_partitions(spark: SparkSession, table: str, partition_cols: Sequenc
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
     return PartitionRun(n_parts, n_rows, backup_path, staged)
+
+
+def merge_sql(table: str, source_view: str, key_column: str, update_columns: Sequence[str]) -> str:
+    """``MERGE INTO`` text for table formats that support it (Delta, Iceberg).
+
+    Identifiers are back-quoted; the caller has already resolved them against
+    the table's schema, so nothing user-typed reaches the SQL unchecked.
+    """
+    q = lambda n: "`" + n.replace("`", "``") + "`"
+    sets = ", ".join(f"t.{q(c)} = s.{q(c)}" for c in update_columns)
+    return (f"MERGE INTO {table} AS t USING {q(source_view)} AS s "
+            f"ON t.{q(key_column)} = s.{q(key_column)} WHEN MATCHED THEN UPDATE SET {sets}")
+
+
+def apply_with_merge(spark: SparkSession, table: str, key_column: str, update_columns: Sequence[str],
+                     coerced: DataFrame, *, partition_cols: Sequence[str] | None = None,
+                     backup_path: str | None = None, run_id: str = "run") -> str:
+    """Apply passing changes with ``MERGE INTO`` where the table format supports it.
+
+    Returns ``"merge"`` or, when the table refuses MERGE (plain parquet),
+    ``"partitions"`` after rewriting only the touched partitions instead.
+    Keys must be unique (checked first), so MERGE never matches a target row twice.
+    """
+    target = spark.table(table)
+    cols = {c.lower(): c for c in target.columns}
+    key = cols[key_column.lower()]
+    names = [cols[c.lower()] for c in update_columns]
+    ap.assert_unique_keys(coerced)
+    good = ap.passing_changes(coerced).select(F.col(KEY_CAST).alias(key), *[F.col(f"`{n}`") for n in names])
+    view = f"keyedit_changes_{run_id}"
+    good.createOrReplaceTempView(view)
+    try:
+        spark.sql(merge_sql(table, view, key, names))
+        return "merge"
+    except Exception as exc:  # AnalysisException / UnsupportedOperation on formats without MERGE
+        if "MERGE" not in str(exc).upper() and "UNSUPPORTED" not in str(exc).upper():
+            raise
+        if not partition_cols or backup_path is None:
+            raise ValueError(f"table {table} does not support MERGE; give partition_cols and backup_path") from exc
+        apply_to_partitions(spark, table, partition_cols, key, names, coerced, backup_path, run_id)
+        return "partitions"
+    finally:
+        spark.catalog.dropTempView(view)

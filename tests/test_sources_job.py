@@ -260,3 +260,24 @@ def test_json_and_parquet_change_sets(spark, tmp_dir):
     spark.createDataFrame([(7, 5, "x"), (9, 6, "y")], "sheet_row long, ID long, V string").write.parquet(pq)
     raw2 = read_changeset(spark, pq, "parquet", row_num_col="sheet_row")
     assert rows(bind_changeset(raw2, ["V"])) == [(7, 5, "x"), (9, 6, "y")]
+
+
+def test_merge_text_and_fallback_on_parquet(spark, tmp_dir):
+    from keyedit.operators.staging import coerce_changes, stage_as_text
+    from keyedit.plans.partitioned import apply_with_merge, merge_sql
+    assert merge_sql("db.t", "v", "id", ["a", "b"]) == (
+        "MERGE INTO db.t AS t USING `v` AS s ON t.`id` = s.`id` "
+        "WHEN MATCHED THEN UPDATE SET t.`a` = s.`a`, t.`b` = s.`b`")
+    loc = os.path.join(tmp_dir, "cust_merge")
+    spark.sql("drop table if exists cust_merge")
+    spark.read.parquet(f"{SF001}/customer.parquet").write.partitionBy("c_nationkey").option("path", loc) \
+        .saveAsTable("cust_merge")
+    raw = spark.createDataFrame([(2, "1", "MERGED")], "row_num long, k string, seg string")
+    bound = bind_changeset(raw, ["c_mktsegment"])
+    t = spark.table("cust_merge")
+    co = coerce_changes(stage_as_text(bound, ["c_mktsegment"]), t.schema, "c_custkey", ["c_mktsegment"])
+    how = apply_with_merge(spark, "cust_merge", "C_CUSTKEY", ["C_MKTSEGMENT"], co, partition_cols=["c_nationkey"],
+                           backup_path=os.path.join(tmp_dir, "bak"), run_id="m1")
+    assert how == "partitions"
+    spark.catalog.refreshTable("cust_merge")
+    assert spark.table("cust_merge").where("c_custkey = 1").first()["c_mktsegment"] == "MERGED"

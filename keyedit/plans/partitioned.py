@@ -57,7 +57,11 @@ def apply_to_partitions(spark: SparkSession, table: str, partition_cols: Sequenc
     n_parts = parts.count()
     if n_parts == 0:
         return PartitionRun(0, 0, backup_path, "")
-    affected = target.join(F.broadcast(parts), list(partition_cols), "left_semi")
+    # the partition list is counted above; broadcast it (which also enables
+    # dynamic partition pruning of the scan) only while it is small
+    max_parts = int(spark.conf.get("keyedit.partitions.maxBroadcast", "1000000"))
+    parts_side = F.broadcast(parts) if n_parts <= max_parts else parts
+    affected = target.join(parts_side, list(partition_cols), "left_semi")
     write_counted(affected.select(*target.columns), backup_path, mode="overwrite")
     old = spark.read.parquet(backup_path)
     new = ap.apply_updates(old, coerced, key_column, update_columns, check_unique=False)

@@ -61,9 +61,9 @@ def audit_corrupt(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def read_audit(spark, path: str) -> DataFrame:
-    """Audit table from JSON-lines files; a missing path gives an empty table."""
+    """Audit table from JSON-lines files anywhere under ``path``; a missing path gives an empty table."""
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path)
     except Exception as exc:  # AnalysisException for a missing path
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], AUDIT_SCHEMA)
@@ -72,7 +72,8 @@ def read_audit(spark, path: str) -> DataFrame:
 
 
 def read_history(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """History records from parquet files anywhere under ``path`` (one folder per run)."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
 # --- views -------------------------------------------------------------------

@@ -114,14 +114,15 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
 
     # 5. audit entry and history record
     one = spark.createDataFrame([summary])
+    # one folder per run, overwritten: a retried run replaces its own entry, never adds a second
     if audit_path:
-        au.append_json(au.update_entry(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
-                                       update_columns=spec.update_columns, backup_table=bak_name,
-                                       run_ts=run_ts), audit_path)
+        au.update_entry(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
+                        update_columns=spec.update_columns, backup_table=bak_name, run_ts=run_ts) \
+            .write.mode("overwrite").json(f"{audit_path.rstrip('/')}/run={stamp}")
     if history_path:
         au.history_record(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
                           update_columns=spec.update_columns, backup_table=bak_name,
-                          run_ts=run_ts).write.mode("append").parquet(history_path)
+                          run_ts=run_ts).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/run={stamp}")
 
     if summary["change_rows"] and summary["success_count"] == 0 and summary["fail_count"] == 0:
         msg = "no change matched the target"

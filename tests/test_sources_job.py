@@ -128,7 +128,13 @@ def test_run_update_end_to_end(spark, tmp_dir):
     new = spark.read.parquet(r.target_path)
     assert new.where("c_custkey = 1").first()["c_mktsegment"] == "S1"
     assert new.count() == spark.read.parquet(target_path).count()
-    assert spark.read.json(os.path.join(tmp_dir, "audit")).count() == 1
+    from keyedit.operators.audit import read_audit, read_history
+    assert read_audit(spark, os.path.join(tmp_dir, "audit")).count() == 1
+    # a retried run replaces its own audit entry and history record
+    run_update(spark, spec, cs, target_path, out, "2024-01-31 12:00:00",
+               audit_path=os.path.join(tmp_dir, "audit"), history_path=os.path.join(tmp_dir, "hist"))
+    assert read_audit(spark, os.path.join(tmp_dir, "audit")).count() == 1
+    assert read_history(spark, os.path.join(tmp_dir, "hist")).count() == 1
     # all-or-nothing: the failed row keeps the published target unchanged
     spec2 = UpdateSpec(table="customer", key_column="c_custkey", update_columns=["c_mktsegment", "c_nationkey"],
                        not_null={"c_nationkey"}, on_failure="restore")

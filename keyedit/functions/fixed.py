@@ -41,6 +41,10 @@ STATUS_PARTIAL = "部分失败"
 MISSING_TEXT = "--"
 MISSING_COUNT = "0"
 
+# --- fixed values: exports and empty views ---------------------------------
+LOG_EXPORT_HEADERS = ("时间", "级别", "消息")      # time, level, message
+NO_RECORDS = "无记录"                            # status text of the empty-history row
+
 # --- fixed values: audit action types --------------------------------------
 ACTION_CONNECTION = "CONNECTION"
 ACTION_UPDATE = "UPDATE"

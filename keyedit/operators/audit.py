@@ -87,12 +87,20 @@ def newest_first(df: DataFrame, limit: int = fixed.HISTORY_LIMIT) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc()).limit(limit)
 
 
-def history_view(history: DataFrame, limit: int = fixed.HISTORY_LIMIT) -> DataFrame:
+def history_view(history: DataFrame, limit: int = fixed.HISTORY_LIMIT, placeholder: bool = False) -> DataFrame:
     """The history table as shown: 1-based sequence, defaults, status text.
 
-    The window runs over the already limited top-k rows only.
+    The window runs over the already limited top-k rows only. With
+    ``placeholder`` an empty history shows one "no records" row, as the
+    tool's table did.
     """
     top = newest_first(history, limit)
+    if placeholder and top.limit(1).count() == 0:
+        row = [(1, fixed.MISSING_TEXT, fixed.MISSING_TEXT, fixed.MISSING_TEXT, fixed.MISSING_COUNT,
+                fixed.MISSING_COUNT, fixed.MISSING_COUNT, fixed.NO_RECORDS)]
+        return history.sparkSession.createDataFrame(
+            row, "seq long, timestamp string, table string, schema string, total_count string, "
+                 "success_count string, fail_count string, status string")
     w = Window.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc())
     txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(fixed.MISSING_TEXT))
     num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(fixed.MISSING_COUNT))
@@ -218,6 +226,14 @@ def append_json(df: DataFrame, path: str) -> None:
 
 # --- run log -------------------------------------------------------------------
 
+def export_log_csv(parsed: DataFrame, path: str) -> int:
+    """Write parsed log lines with the tool's three column headers; returns the line count."""
+    from keyedit.sinks.writers import export_csv
+    h = fixed.LOG_EXPORT_HEADERS
+    out = parsed.select(F.col("time").alias(h[0]), F.col("level").alias(h[1]), F.col("message").alias(h[2]))
+    return export_csv(out, path, empty_ok=True)
+
+
 def parse_log(lines: DataFrame, value_col: str = "value", normalize_level: bool = False) -> DataFrame:
     """``(time, level, message)`` per non-blank line.
 

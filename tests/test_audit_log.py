@@ -125,3 +125,16 @@ def test_purge_writes_kept_entries_and_counts(spark, tmp_dir):
     assert rows(au.read_audit(spark, out), "id") == [(2,), (3,)]
     assert [r["id"] for r in au.audit_view(au.read_audit(spark, path), 10, "EXPORT").collect()] == [3]
     assert au.clear_history(au.read_audit(spark, path)).count() == 0
+
+
+def test_empty_history_placeholder_and_log_export(spark, tmp_dir):
+    empty = spark.createDataFrame([], "id string, timestamp string, schema string, table string, "
+                                      "total_count long, success_count long, fail_count long, success boolean")
+    v = au.history_view(empty, placeholder=True).collect()
+    assert len(v) == 1 and v[0]["status"] == fixed.NO_RECORDS and v[0]["seq"] == 1
+    assert au.history_view(empty).count() == 0
+    lines = spark.createDataFrame([(1, "[t] INFO - m")], "n long, value string")
+    out = os.path.join(tmp_dir, "log")
+    assert au.export_log_csv(au.parse_log(lines), out) == 1
+    back = spark.read.option("header", "true").csv(out)
+    assert back.columns == list(fixed.LOG_EXPORT_HEADERS)

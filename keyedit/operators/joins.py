@@ -96,17 +96,20 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_hot: int) -
     """Keys with at least ``hot_rows`` big-side rows, or None when there are none.
 
     The count is a partial (map-side) aggregate, so a hot key is combined
-    before the shuffle. The result has at most ``rows(big) / hot_rows`` rows;
-    it is checked against ``max_hot`` before it is broadcast.
+    before the shuffle. At most ``rows(big) / hot_rows`` keys qualify and at
+    most ``max_hot`` are accepted, so the set is materialised once (one job)
+    and handed back as a small local relation that both join sides
+    broadcast, instead of re-aggregating the big side for each of them.
     """
     hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
            .where(F.col("__n") >= hot_rows).select(*keys))
-    n = hot.count()          # distributed; at most rows(big) / hot_rows
-    if n == 0:
+    found = hot.limit(max_hot + 1).collect()          # bounded: <= max_hot + 1 small rows
+    if not found:
         return None
-    if n > max_hot:
+    if len(found) > max_hot:
         raise ValueError(f"more than {max_hot} hot keys; raise keyedit.skew.hotRows")
-    return hot.withColumn(_HOT, F.lit(True))
+    local = big.sparkSession.createDataFrame(found, hot.schema)
+    return local.withColumn(_HOT, F.lit(True))
 
 
 def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",

@@ -20,7 +20,8 @@ from keyedit.functions import fixed
 from keyedit.operators import apply as ap
 from keyedit.operators import audit as au
 from keyedit.operators import checks as ck
-from keyedit.operators.staging import bind_changeset, coerce_changes, stage_as_text
+from keyedit.operators.joins import change_stats, stats_fit
+from keyedit.operators.staging import KEY_CAST, bind_changeset, coerce_changes, stage_as_text
 from keyedit.sinks.writers import snapshot, write_counted
 from keyedit.spec import UpdateSpec
 
@@ -96,10 +97,15 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     else:
         backup_path, backup = target_path, target
 
+    # one measurement of the staged changes bounds every join of the run: the
+    # key list and the passing changes are both subsets of it
+    fits = stats_fit(coerced, change_stats(coerced, KEY_CAST))
+
     # 3. outcomes (written: they feed the summary, the report and the decision)
     outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
     # run outputs are unique per run and never inputs (checked), so a retried run overwrites its own partial output
-    write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched), outcomes_path, mode="overwrite")
+    write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits), outcomes_path,
+                  mode="overwrite")
     outcomes = spark.read.parquet(outcomes_path)
     summary = ap.run_summary(outcomes).first().asDict()
 
@@ -108,7 +114,8 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     new_path = None
     if publish:
         new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
-        new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False)
+        new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
+                                 changes_fit=fits)
         write_counted(new_t, new_path, mode="overwrite")
     coerced.unpersist()
 

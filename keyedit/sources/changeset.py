@@ -16,6 +16,9 @@ from keyedit.functions import fixed
 from keyedit.operators.staging import ROW_NUM
 
 
+_MAX_BROADCAST_PARTITIONS = 1_000_000
+
+
 def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW) -> DataFrame:
     """Add ``row_num`` = position in read order + ``first``, all on the JVM.
 
@@ -32,7 +35,10 @@ def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW) -> DataFr
     offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__off"))
     pos = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
     row_num = (F.col("__off") + pos + F.lit(first)).cast("long")
-    return (base.join(F.broadcast(offsets), "__p")
+    # one offset row per input partition; the count is known from planning (no job)
+    n_parts = df.rdd.getNumPartitions()
+    side = F.broadcast(offsets) if n_parts <= _MAX_BROADCAST_PARTITIONS else offsets
+    return (base.join(side, "__p")
             .select(row_num.alias(ROW_NUM), *[F.col(f"`{c}`") for c in df.columns]))
 
 

@@ -287,3 +287,28 @@ def test_merge_text_and_fallback_on_parquet(spark, tmp_dir):
     assert how == "partitions"
     spark.catalog.refreshTable("cust_merge")
     assert spark.table("cust_merge").where("c_custkey = 1").first()["c_mktsegment"] == "MERGED"
+
+
+def test_folder_watch_restart_applies_only_new_files(spark, tmp_dir):
+    from pyspark.sql import types as T
+    from keyedit.streaming.folder_watch import current_target, watch_folder
+    target_path = os.path.join(tmp_dir, "customer")
+    spark.read.parquet(f"{SF001}/customer.parquet").write.parquet(target_path)
+    src, out, ckpt = (os.path.join(tmp_dir, n) for n in ("incoming", "runs", "ckpt"))
+    os.makedirs(src)
+    schema = T.StructType([T.StructField("row_num", T.LongType()), T.StructField("key", T.StringType()),
+                           T.StructField("seg", T.StringType())])
+    spec = UpdateSpec(table="customer", key_column="c_custkey", update_columns=["c_mktsegment"])
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("row_num,key,seg\n2,1,FIRST\n")
+    watch_folder(spark, spec, src, schema, target_path, out, once=True, checkpoint=ckpt).awaitTermination(120)
+    v1 = current_target(spark, out, target_path)
+    with open(os.path.join(src, "b.csv"), "w") as f:
+        f.write("row_num,key,seg\n2,2,SECOND\n")
+    watch_folder(spark, spec, src, schema, target_path, out, once=True, checkpoint=ckpt).awaitTermination(120)
+    v2 = current_target(spark, out, target_path)
+    assert v2 != v1
+    now = spark.read.parquet(v2)
+    assert now.where("c_custkey = 1").first()["c_mktsegment"] == "FIRST"
+    assert now.where("c_custkey = 2").first()["c_mktsegment"] == "SECOND"
+    assert len([d for d in os.listdir(out) if d.startswith("batch_")]) == 2

@@ -71,6 +71,30 @@ def read_audit(spark, path: str) -> DataFrame:
     return parse_audit_lines(lines)
 
 
+HISTORY_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("timestamp", T.StringType()),
+    T.StructField("schema", T.StringType()),
+    T.StructField("table", T.StringType()),
+    T.StructField("key_column", T.StringType()),
+    T.StructField("update_columns", T.ArrayType(T.StringType())),
+    T.StructField("total_count", T.LongType()),
+    T.StructField("success_count", T.LongType()),
+    T.StructField("fail_count", T.LongType()),
+    T.StructField("success", T.BooleanType()),
+    T.StructField("backup_table", T.StringType()),
+])
+
+
+def read_history_json(spark, path: str) -> DataFrame:
+    """Import a history kept as one JSON array per file (the desktop tool's format).
+
+    Each array element becomes a row; the file is read whole by one task (it
+    is one JSON document), which is why runs here keep history as parquet.
+    """
+    return spark.read.schema(HISTORY_SCHEMA).option("multiLine", "true").json(path)
+
+
 def read_history(spark, path: str) -> DataFrame:
     """History records from parquet files anywhere under ``path`` (one folder per run)."""
     return spark.read.option("recursiveFileLookup", "true").parquet(path)

@@ -138,3 +138,19 @@ def test_empty_history_placeholder_and_log_export(spark, tmp_dir):
     assert au.export_log_csv(au.parse_log(lines), out) == 1
     back = spark.read.option("header", "true").csv(out)
     assert back.columns == list(fixed.LOG_EXPORT_HEADERS)
+
+
+def test_import_history_json_array(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "history.json")
+    recs = [{"schema": "APPS", "table": "T", "key_column": "K", "update_columns": ["A", "B"], "total_count": 3,
+             "success_count": 3, "fail_count": 0, "success": True, "backup_table": "T_BAK_20240101_000000",
+             "id": "20240101000000000001", "timestamp": "2024-01-01 00:00:00"},
+            {"schema": "APPS", "table": "T", "key_column": "K", "update_columns": ["A"], "total_count": 2,
+             "success_count": 1, "fail_count": 1, "success": False, "backup_table": "T_BAK_20240102_000000",
+             "id": "20240102000000000001", "timestamp": "2024-01-02 00:00:00"}]
+    with open(p, "w", encoding="utf-8") as f:
+        json.dump(recs, f, ensure_ascii=False, indent=2)
+    h = au.read_history_json(spark, p)
+    assert h.count() == 2
+    v = au.history_view(h).orderBy("seq").collect()
+    assert [(r["seq"], r["status"]) for r in v] == [(1, fixed.STATUS_PARTIAL), (2, fixed.STATUS_SUCCESS)]

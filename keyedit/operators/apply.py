@@ -241,12 +241,13 @@ def restore_rows(current: DataFrame, backup: DataFrame, keys: DataFrame, key_col
     """
     tkey = _target_name(current, key_column)
     sel = keys.select(F.col(tkey)).where(F.col(tkey).isNotNull()).distinct()
+    sel_fits = can_broadcast(sel)                 # measured once, used by every join below
     if columns is None:
-        kept = keyed_join(current, sel, [tkey], "left_anti")
-        back = keyed_join(backup, sel, [tkey], "left_semi")
+        kept = keyed_join(current, sel, [tkey], "left_anti", small_fits=sel_fits)
+        back = keyed_join(backup, sel, [tkey], "left_semi", small_fits=sel_fits)
         return kept.unionByName(back.select(*current.columns))
     names = [_target_name(current, c) for c in columns]
-    old = keyed_join(backup.select(tkey, *names), sel, [tkey], "left_semi").select(
+    old = keyed_join(backup.select(tkey, *names), sel, [tkey], "left_semi", small_fits=sel_fits).select(
         tkey, *[F.col(f"`{n}`").alias(_NEW + n) for n in names], F.lit(True).alias(_HIT))
     stats = change_stats(old, tkey)
     if stats["dup_keys"]:

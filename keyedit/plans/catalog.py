@@ -816,3 +816,20 @@ def q_apply_updates_lineitem(spark, d):
 def q_row_outcomes_lineitem(spark, d):
     """R2 on lineitem: rows_updated counts every target row of the key."""
     return _outcomes(spark, d, fx.csl, fx.LINEITEM_SPEC)
+
+
+_CSL_CO = _coerced_sql(fx.CSL_SQL, fx.LINEITEM_SPEC, _LINEITEM_TYPES)
+
+
+@query("restore_rows_lineitem", f"""with {_CSL_CO}, {_GOOD},
+new_t as (select {_applied_sql(fx.LINEITEM_SPEC, _LINEITEM_COLS)} from lineitem t left join good g on t.l_orderkey = g.key_cast),
+sel as (select key_cast from good where l_returnflag = 'A')
+select * from new_t where l_orderkey not in (select key_cast from sel)
+union all
+select * from lineitem where l_orderkey in (select key_cast from sel)""")
+def q_restore_rows_lineitem(spark, d):
+    """J8, whole rows: selected keys get all their rows back from the backup (several rows per key)."""
+    target, coerced = _prepared(spark, d, fx.csl, fx.LINEITEM_SPEC)
+    new_t = ap.apply_updates(target, coerced, "l_orderkey", fx.LINEITEM_SPEC.update_columns)
+    sel = ap.passing_changes(coerced).where(F.col("l_returnflag") == "A").select(F.col(KEY_CAST).alias("l_orderkey"))
+    return ap.restore_rows(new_t, target, sel, "l_orderkey")

@@ -3,19 +3,21 @@
 ``keyed_join(big, small, keys, how)`` picks one of two plans:
 
 1. **Broadcast** the small side, but only after measuring it with one
-   distributed aggregate: at most ``max_rows`` rows and ``max_bytes`` bytes. The big side is then never shuffled, so a hot
-   key on the big side costs nothing.
+   distributed aggregate: at most ``max_rows`` rows and ``max_bytes`` bytes.
+   The big side is then never shuffled, so a hot key on the big side costs
+   nothing.
 2. Otherwise a **shuffle join with hot-key salting**: keys holding at least
-   ``hot_rows`` rows of the big side are found with a map-side-combined count
-   (at most ``rows(big) / hot_rows`` of them, checked); their big-side rows are
-   spread over ``salt_buckets`` buckets by a content hash (stable under task
-   retries), and their small-side rows are repeated once per bucket. All other
-   keys join in bucket 0. Every row keeps exactly its partners, nothing is
-   dropped or capped.
-
-Salting keeps every pair exactly once: a big-side row sits in one bucket
-and each small-side row of a hot key is present in every bucket. The
-replicated part is at most ``rows(small for hot keys) * salt_buckets``.
+   ``hot_rows`` rows of the big side are found with a map-side-combined
+   count (at most ``rows(big) / hot_rows`` of them, checked). Each hot key's
+   big-side rows are spread by a content hash (stable under task retries)
+   over ``ceil(rows / rows_per_bucket)`` buckets, so every piece holds about
+   ``rows_per_bucket`` rows however hot the key, and its small-side rows are
+   repeated once per bucket. All other keys join in bucket 0.
+
+Salting keeps every pair exactly once: a big-side row sits in one bucket and
+each small-side row of a hot key is present in every bucket of that key.
+Nothing is dropped, capped or sampled; the replicated part is the small-side
+rows of hot keys times their bucket counts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 _SALT = "__salt"
 _HOT = "__hot"
+_BUCKETS = "__buckets"
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -92,17 +95,23 @@ def can_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | N
     return n <= max_rows and b <= max_bytes
 
 
-def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_hot: int) -> DataFrame | None:
-    """Keys with at least ``hot_rows`` big-side rows, or None when there are none.
+def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int, max_hot: int,
+             rows_per_bucket: int | None = None, max_buckets: int = 100_000) -> DataFrame | None:
+    """Keys with at least ``hot_rows`` big-side rows, with a bucket count each.
 
     The count is a partial (map-side) aggregate, so a hot key is combined
     before the shuffle. At most ``rows(big) / hot_rows`` keys qualify and at
     most ``max_hot`` are accepted, so the set is materialised once (one job)
     and handed back as a small local relation that both join sides
-    broadcast, instead of re-aggregating the big side for each of them.
+    broadcast. A key gets ``ceil(rows / rows_per_bucket)`` buckets (at least
+    2, at most ``max_buckets``), so its share of the join is split into
+    pieces of about ``rows_per_bucket`` rows however large it is.
     """
+    per = rows_per_bucket or hot_rows
     hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-           .where(F.col("__n") >= hot_rows).select(*keys))
+           .where(F.col("__n") >= hot_rows)
+           .select(*keys, F.least(F.greatest(F.ceil(F.col("__n") / F.lit(per)), F.lit(2)),
+                                  F.lit(max_buckets)).cast("int").alias(_BUCKETS)))
     found = hot.limit(max_hot + 1).collect()          # bounded: <= max_hot + 1 small rows
     if not found:
         return None
@@ -120,6 +129,8 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     ``how`` is one of ``left``, ``inner``, ``left_semi``, ``left_anti``; the
     big side is always the preserved/probe side. ``big_unique`` says the big
     side has one row per key (e.g. an aggregate), so no key can be hot.
+    ``salt_buckets`` caps the buckets of one hot key (its rows are split into
+    pieces of about ``keyedit.skew.rowsPerBucket`` rows).
     """
     keys = list(keys)
     if small_fits is None:
@@ -130,9 +141,10 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
         return big.join(small, keys, how)
 
     hot_rows = hot_rows or _conf_int(big, "keyedit.skew.hotRows", 1_000_000)
-    salt_buckets = salt_buckets or _conf_int(big, "keyedit.skew.saltBuckets", 64)
+    max_buckets = salt_buckets or _conf_int(big, "keyedit.skew.saltBuckets", 100_000)
+    per_bucket = _conf_int(big, "keyedit.skew.rowsPerBucket", hot_rows)
     max_hot = _conf_int(big, "keyedit.skew.maxHotKeys", 100_000)
-    hot = hot_keys(big, keys, hot_rows, max_hot)
+    hot = hot_keys(big, keys, hot_rows, max_hot, per_bucket, max_buckets)
     if hot is None:
         return big.join(small, keys, how)
 
@@ -140,12 +152,12 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     # (maps cannot be hashed; they are left out of the hash input)
     hashable = [F.col(f"`{f.name}`") for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
     salted_big = (big.join(F.broadcast(hot), keys, "left")
-                  .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*hashable), F.lit(salt_buckets)))
+                  .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*hashable), F.col(_BUCKETS)))
                               .otherwise(F.lit(0)).cast("int"))
-                  .drop(_HOT))
-    reps = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+                  .drop(_HOT, _BUCKETS))
+    reps = F.when(F.col(_HOT), F.sequence(F.lit(0), F.col(_BUCKETS) - 1)).otherwise(F.array(F.lit(0)))
     salted_small = (small.join(F.broadcast(hot), keys, "left")
                     .withColumn(_SALT, F.explode(reps))
-                    .drop(_HOT))
+                    .drop(_HOT, _BUCKETS))
     out = salted_big.join(salted_small, keys + [_SALT], how).drop(_SALT)
     return out

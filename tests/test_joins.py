@@ -44,3 +44,13 @@ def test_salted_join_with_a_map_column(spark):
         assert out.count() == 31
     finally:
         spark.conf.unset("keyedit.skew.hotRows")
+
+
+def test_bucket_count_follows_the_size_of_each_hot_key(spark):
+    from keyedit.operators.joins import hot_keys
+    b = spark.createDataFrame([(1, i) for i in range(95)] + [(2, i) for i in range(25)] + [(3, 0)], "k long, a long")
+    got = {r["k"]: r["__buckets"] for r in hot_keys(b, ["k"], hot_rows=20, max_hot=10, rows_per_bucket=10).collect()}
+    assert got == {1: 10, 2: 3}
+    capped = {r["k"]: r["__buckets"] for r in
+              hot_keys(b, ["k"], hot_rows=20, max_hot=10, rows_per_bucket=10, max_buckets=4).collect()}
+    assert capped == {1: 4, 2: 3}

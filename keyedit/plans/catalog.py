@@ -783,20 +783,24 @@ def q_normalize_columns(spark, d):
 
 
 @query("header_gate", """
-select conv_id, coalesce(trim(role, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as first_blank,
-       coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as second_blank,
-       not (coalesce(trim(role, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' or coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '') as passed
-from conversations where turn = 0""")
+with h as (select conv_id, arg_min(role, turn) as h1, arg_min(text, turn) as h2 from conversations group by conv_id)
+select conv_id, coalesce(trim(h1, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as first_blank,
+       coalesce(trim(h2, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' as second_blank,
+       not (coalesce(trim(h1, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '' or coalesce(trim(h2, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '') = '') as passed
+from h""")
 def q_header_gate(spark, d):
     """The first two header cells must not be blank.
 
     Each conversation stands for a two-column sheet whose first turn is the
-    header row: its ``role`` and ``text`` cells are the two headers.
+    header row: its ``role`` and ``text`` cells are the two headers. They are
+    taken with ``min_by(…, turn)`` over the whole table (one bounded value per
+    group), not by filtering rows.
     """
-    conv = fx.table(spark, d, "conversations").where(F.col("turn") == 0)
-    first, second = is_blank(F.col("role")), is_blank(F.col("text"))
-    return conv.select("conv_id", first.alias("first_blank"), second.alias("second_blank"),
-                       (~(first | second)).alias("passed"))
+    conv = fx.table(spark, d, "conversations")
+    heads = conv.groupBy("conv_id").agg(F.min_by("role", "turn").alias("h1"), F.min_by("text", "turn").alias("h2"))
+    first, second = is_blank(F.col("h1")), is_blank(F.col("h2"))
+    return heads.select("conv_id", first.alias("first_blank"), second.alias("second_blank"),
+                        (~(first | second)).alias("passed"))
 
 
 # ======================================================================================

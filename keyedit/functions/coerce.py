@@ -3,7 +3,7 @@
 Every change arrives as text. Conversion is done with ``try_cast`` so a bad
 value marks its row instead of failing the job:
 
-* integral target: the text is read as ``decimal(38,10)`` and rounded half
+* integral target: the text is read as ``decimal(38,18)`` and rounded half
   away from zero (``'1.5'`` -> 2, ``'1e3'`` -> 1000, ``' 7 '`` -> 7,
   ``'12abc'`` -> NULL), then range-checked for the target width;
 * key against an integral key column: as above but only whole numbers match;
@@ -24,7 +24,7 @@ _INTEGRAL_RANGE = {
     T.LongType: (-(2 ** 63), 2 ** 63 - 1),
 }
 
-_WIDE = "decimal(38,10)"
+_WIDE = "decimal(38,18)"   # 20 integer digits hold any 64-bit key; 18 decimals
 
 
 def is_integral(dt: T.DataType) -> bool:
@@ -54,5 +54,8 @@ def canonical_key(text: Column, dt: T.DataType) -> Column:
     if is_integral(dt):
         lo, hi = _INTEGRAL_RANGE[type(dt)]
         d = text.try_cast(_WIDE)
-        return F.when((d == F.floor(d)) & d.between(F.lit(lo), F.lit(hi)), d.try_cast(dt))
+        # whole number test as floor = ceil: both sides share one type, whereas
+        # d = floor(d) is compared at a common decimal type that drops the last
+        # fractional digit (1e-10 would pass as whole)
+        return F.when((F.floor(d) == F.ceil(d)) & d.between(F.lit(lo), F.lit(hi)), d.try_cast(dt))
     return text.try_cast(dt)

@@ -21,7 +21,7 @@ def duck_coerce(expr: str, dt: T.DataType) -> str:
         return expr
     if is_integral(dt):
         lo, hi = _INTEGRAL_RANGE[type(dt)]
-        w = f"round(try_cast({expr} as decimal(38,10)), 0)"
+        w = f"round(try_cast({expr} as decimal(38,18)), 0)"
         return (f"case when {w} between {lo} and {hi} "
                 f"then try_cast({w} as {_DUCK_INTEGRAL[type(dt)]}) end")
     return f"try_cast({expr} as {dt.simpleString()})"
@@ -32,7 +32,7 @@ def duck_canonical_key(expr: str, dt: T.DataType) -> str:
         return expr
     if is_integral(dt):
         lo, hi = _INTEGRAL_RANGE[type(dt)]
-        d = f"try_cast({expr} as decimal(38,10))"
-        return (f"case when {d} = floor({d}) and {d} between {lo} and {hi} "
+        d = f"try_cast({expr} as decimal(38,18))"
+        return (f"case when floor({d}) = ceil({d}) and {d} between {lo} and {hi} "
                 f"then try_cast({d} as {_DUCK_INTEGRAL[type(dt)]}) end")
     return f"try_cast({expr} as {dt.simpleString()})"

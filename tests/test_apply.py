@@ -167,3 +167,10 @@ def test_outcomes_without_broadcast_count_every_target_row(spark):
     co = _co(spark, t, [(2, "1", "5", "x"), (3, "2", "6", "y"), (4, "9", "7", "z")])
     got = {r["row_num"]: (r["status"], r["rows_updated"]) for r in ap.row_outcomes(co, t, "ID", fits=False).collect()}
     assert got == {2: ("applied", 25), 3: ("applied", 1), 4: ("missing_key", 0)}
+
+
+def test_tiny_fraction_key_is_not_whole(spark):
+    t = _target(spark)
+    co = _co(spark, t, [(2, "1000000e-16", "5", "x"), (3, "1e0", "6", "y"), (4, "2.00000000004", "7", "z")])
+    got = {r["row_num"]: r["key_cast"] for r in co.collect()}
+    assert got == {2: None, 3: 1, 4: None}

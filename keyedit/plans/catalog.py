@@ -837,3 +837,25 @@ def q_restore_rows_lineitem(spark, d):
     new_t = ap.apply_updates(target, coerced, "l_orderkey", fx.LINEITEM_SPEC.update_columns)
     sel = ap.passing_changes(coerced).where(F.col("l_returnflag") == "A").select(F.col(KEY_CAST).alias("l_orderkey"))
     return ap.restore_rows(new_t, target, sel, "l_orderkey")
+
+
+_ORDERS_TYPES = {"o_orderkey": T.LongType(), "o_totalprice": T.DoubleType(),
+                 "o_orderdate": T.TimestampNTZType(), "o_orderstatus": T.StringType()}
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_CSO_CO = _coerced_sql(fx.CSO_SQL, fx.ORDERS_SPEC, _ORDERS_TYPES)
+
+
+@query("coerce_values_orders", f"""with {_CSO_CO}
+select row_num, key_value, key_cast, o_totalprice, o_orderdate, o_orderstatus, type_ok, null_ok from co""")
+def q_coerce_values_orders(spark, d):
+    """P5: text to double and to timestamp, per-row verdicts."""
+    _, coerced = _prepared(spark, d, fx.cso, fx.ORDERS_SPEC)
+    return coerced.select(ROW_NUM, KEY, KEY_CAST, "o_totalprice", "o_orderdate", "o_orderstatus", "type_ok", "null_ok")
+
+
+@query("apply_updates_orders", f"""with {_CSO_CO}, {_GOOD}
+select {_applied_sql(fx.ORDERS_SPEC, _ORDERS_COLS)} from orders t left join good g on t.o_orderkey = g.key_cast""")
+def q_apply_updates_orders(spark, d):
+    """J4 with double and timestamp columns: only rows whose every value converts are applied."""
+    target, coerced = _prepared(spark, d, fx.cso, fx.ORDERS_SPEC)
+    return ap.apply_updates(target, coerced, "o_orderkey", fx.ORDERS_SPEC.update_columns)

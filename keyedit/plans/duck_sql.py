@@ -16,6 +16,14 @@ _DUCK_INTEGRAL = {
 }
 
 
+def _duck_type(dt: T.DataType) -> str:
+    if isinstance(dt, T.TimestampNTZType):
+        return "timestamp"
+    if isinstance(dt, T.TimestampType):
+        return "timestamptz"
+    return dt.simpleString()
+
+
 def duck_coerce(expr: str, dt: T.DataType) -> str:
     if isinstance(dt, T.StringType):
         return expr
@@ -24,7 +32,7 @@ def duck_coerce(expr: str, dt: T.DataType) -> str:
         w = f"round(try_cast({expr} as decimal(38,18)), 0)"
         return (f"case when {w} between {lo} and {hi} "
                 f"then try_cast({w} as {_DUCK_INTEGRAL[type(dt)]}) end")
-    return f"try_cast({expr} as {dt.simpleString()})"
+    return f"try_cast({expr} as {_duck_type(dt)})"
 
 
 def duck_canonical_key(expr: str, dt: T.DataType) -> str:
@@ -35,4 +43,4 @@ def duck_canonical_key(expr: str, dt: T.DataType) -> str:
         d = f"try_cast({expr} as decimal(38,18))"
         return (f"case when floor({d}) = ceil({d}) and {d} between {lo} and {hi} "
                 f"then try_cast({d} as {_DUCK_INTEGRAL[type(dt)]}) end")
-    return f"try_cast({expr} as {dt.simpleString()})"
+    return f"try_cast({expr} as {_duck_type(dt)})"

@@ -30,6 +30,8 @@ RUN_TS = "2024-01-31 12:00:00"   # wall clock is an argument: results stay deter
 CUSTOMER_SPEC = UpdateSpec(table="customer", key_column="c_custkey",
                            update_columns=("c_mktsegment", "c_nationkey"),
                            not_null=frozenset({"c_nationkey"}))
+ORDERS_SPEC = UpdateSpec(table="orders", key_column="o_orderkey",
+                         update_columns=("o_totalprice", "o_orderdate", "o_orderstatus"))
 LINEITEM_SPEC = UpdateSpec(table="lineitem", key_column="l_orderkey",
                            update_columns=("l_returnflag", "l_linestatus", "l_quantity"),
                            not_null=frozenset({"l_returnflag"}))
@@ -121,6 +123,25 @@ CSL_SQL = """select cast(o_orderkey + 2 as bigint) as row_num,
 from orders"""
 
 
+def cso(spark, sf_dir) -> DataFrame:
+    """Change set for ``orders``: prices and dates as text, some of them unusable."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 9 == 4, F.lit("n/a")).otherwise(F.concat(_s(k % 1000), F.lit(".25")))
+    day = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
+    date = F.when(k % 7 == 3, F.lit("2024-13-45")).otherwise(F.concat(day, F.lit(" 08:30:00")))
+    status = F.when(k % 5 == 1, F.lit("X")).otherwise(F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select(
+        (k + 2).cast("long").alias("row_num"), _s(k).alias("key_value"),
+        price.alias("o_totalprice"), date.alias("o_orderdate"), status.alias("o_orderstatus"))
+
+
+CSO_SQL = """select cast(o_orderkey + 2 as bigint) as row_num, cast(o_orderkey as varchar) as key_value,
+       case when o_orderkey % 9 = 4 then 'n/a' else cast(o_orderkey % 1000 as varchar) || '.25' end as o_totalprice,
+       case when o_orderkey % 7 = 3 then '2024-13-45' else strftime(o_orderdate, '%Y-%m-%d') || ' 08:30:00' end as o_orderdate,
+       case when o_orderkey % 5 = 1 then 'X' else o_orderstatus end as o_orderstatus
+from orders"""
+
+
 # --- audit, history, log, errors ------------------------------------------------
 
 def _aud_columns():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from keyedit.functions import fixed
-from keyedit.functions.text import classify_error, parse_log_line, percent
+from keyedit.functions.text import classify_error, percent
 from keyedit.operators import audit as au
 
 

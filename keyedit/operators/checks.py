@@ -23,39 +23,54 @@ ROWS_PER_CHUNK = 1000
 
 
 # --- duplicates ------------------------------------------------------------
+# ``key`` is one column name or a list of them (e.g. ``["path", "key_value"]``
+# for a folder of workbooks, where sheet row numbers repeat across files).
 
-def first_rows(changes: DataFrame, key: str = KEY) -> DataFrame:
-    """``(key, first_row, occurrences)`` per key, from a partial aggregate."""
-    return (changes.where(F.col(key).isNotNull()).groupBy(key)
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _keyed(changes: DataFrame, key) -> DataFrame:
+    cond = None
+    for k in _keys(key):
+        c = F.col(k).isNotNull()
+        cond = c if cond is None else cond & c
+    return changes.where(cond)
+
+
+def first_rows(changes: DataFrame, key=KEY) -> DataFrame:
+    """``(key…, first_row, occurrences)`` per key, from a partial aggregate."""
+    return (_keyed(changes, key).groupBy(*_keys(key))
             .agg(F.min(ROW_NUM).alias("first_row"), F.count(F.lit(1)).cast("long").alias("occurrences")))
 
 
-def duplicate_keys(changes: DataFrame, key: str = KEY) -> DataFrame:
+def duplicate_keys(changes: DataFrame, key=KEY) -> DataFrame:
     """Distinct duplicated keys with their count and first row."""
     return first_rows(changes, key).where(F.col("occurrences") > 1)
 
 
-def duplicate_pairs(changes: DataFrame, key: str = KEY) -> DataFrame:
-    """Every repeat as ``(key, first_row, row_num)``: k occurrences give k-1 rows."""
-    dups = duplicate_keys(changes, key).select(key, "first_row")
-    rows = changes.where(F.col(key).isNotNull()).select(key, ROW_NUM)
-    j = keyed_join(rows, dups, [key], "inner")
-    return j.where(F.col(ROW_NUM) > F.col("first_row")).select(key, "first_row", ROW_NUM)
+def duplicate_pairs(changes: DataFrame, key=KEY) -> DataFrame:
+    """Every repeat as ``(key…, first_row, row_num)``: k occurrences give k-1 rows."""
+    ks = _keys(key)
+    dups = duplicate_keys(changes, key).select(*ks, "first_row")
+    rows = _keyed(changes, key).select(*ks, ROW_NUM)
+    j = keyed_join(rows, dups, ks, "inner")
+    return j.where(F.col(ROW_NUM) > F.col("first_row")).select(*ks, "first_row", ROW_NUM)
 
 
-def duplicate_keys_ordered(changes: DataFrame, key: str = KEY) -> DataFrame:
+def duplicate_keys_ordered(changes: DataFrame, key=KEY) -> DataFrame:
     """Duplicated keys ordered by their second occurrence (``second_row``)."""
-    return (duplicate_pairs(changes, key).groupBy(key)
+    return (duplicate_pairs(changes, key).groupBy(*_keys(key))
             .agg(F.min(ROW_NUM).alias("second_row"))
             .orderBy("second_row"))
 
 
-def duplicate_keys_top(changes: DataFrame, n: int = 5, key: str = KEY) -> DataFrame:
+def duplicate_keys_top(changes: DataFrame, n: int = 5, key=KEY) -> DataFrame:
     """The first ``n`` duplicated keys in order of their second occurrence."""
     return duplicate_keys_ordered(changes, key).limit(n)
 
 
-def duplicate_key_rows(changes: DataFrame, key: str = KEY, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def duplicate_key_rows(changes: DataFrame, key=KEY, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Every duplicated key with all its row numbers as ``"2, 5, 9"`` text.
 
     The list is split by blocks of ``rows_per_chunk`` sheet rows
@@ -63,10 +78,11 @@ def duplicate_key_rows(changes: DataFrame, key: str = KEY, rows_per_chunk: int =
     that many rows however hot the key; concatenating a key's chunks in
     ``chunk`` order gives its full list.
     """
-    dups = duplicate_keys(changes, key).select(key)
-    rows = keyed_join(changes.where(F.col(key).isNotNull()).select(key, ROW_NUM), dups, [key], "left_semi")
+    ks = _keys(key)
+    dups = duplicate_keys(changes, key).select(*ks)
+    rows = keyed_join(_keyed(changes, key).select(*ks, ROW_NUM), dups, ks, "left_semi")
     chunk = (F.col(ROW_NUM) / F.lit(rows_per_chunk)).cast("long")
-    return (rows.groupBy(F.col(key), chunk.alias("chunk"))
+    return (rows.groupBy(*[F.col(k) for k in ks], chunk.alias("chunk"))
             .agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                  F.array_join(F.array_sort(F.collect_list(F.col(ROW_NUM))), ", ").alias("rows")))
 

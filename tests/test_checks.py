@@ -138,3 +138,11 @@ def test_preview_headers_and_top_rows(spark):
     assert [r["row_num"] for r in pv.preview(bound, 3).collect()] == [2, 3, 4]
     s = pv.preview_summary(bound, 5).first()
     assert (s["total_rows"], s["shown_rows"], s["has_more"], s["more_rows"]) == (9, 5, True, 4)
+
+
+def test_duplicates_per_file_with_a_composite_key(spark):
+    raw = spark.createDataFrame([("a.xlsx", 2, "1"), ("a.xlsx", 3, "1"), ("b.xlsx", 2, "1"), ("b.xlsx", 3, "2")],
+                                "path string, row_num long, key_value string")
+    assert rows(ck.duplicate_pairs(raw, ["path", "key_value"])) == [("a.xlsx", "1", 2, 3)]
+    assert rows(ck.duplicate_key_rows(raw, ["path", "key_value"]), "path", "rows") == [("a.xlsx", "2, 3")]
+    assert rows(ck.duplicate_keys(raw), "key_value", "occurrences") == [("1", 3)]

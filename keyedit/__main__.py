@@ -24,7 +24,8 @@ def _args(argv):
     for name in ("run", "check", "preview"):
         s = sub.add_parser(name)
         s.add_argument("--changes", required=True, help="change-set file or folder")
-        s.add_argument("--format", default="csv", choices=["csv", "json", "parquet"])
+        s.add_argument("--format", default="csv", choices=["csv", "json", "parquet", "xlsx"])
+        s.add_argument("--sheet", default=None, help="xlsx: sheet name (default: the first sheet)")
         s.add_argument("--row-num-col", default=None, help="column holding the sheet row, if any")
         s.add_argument("--schema", default=None, help="DDL schema of the file (needed for json: keeps the column order)")
         s.add_argument("--columns", required=True, help="update columns, comma separated, in file order")
@@ -45,6 +46,22 @@ def _args(argv):
     return p.parse_args(argv)
 
 
+def _workbook_changes(spark, path: str, n_columns: int, sheet: str | None):
+    """One workbook as a change set: ``row_num`` then its first ``n_columns`` cells.
+
+    The header row (sheet row 1) names the columns; data rows start at row 2.
+    """
+    from pyspark.sql import functions as F
+    from keyedit.sources.workbook import read_workbooks
+    rows = read_workbooks(spark, path, n_columns, sheet=sheet)
+    if rows.select("path").distinct().limit(2).count() > 1:
+        raise SystemExit("give one workbook per run (sheet row numbers repeat across files)")
+    header = rows.where(F.col("row_num") == 1).first()
+    names = [(header[f"c{i + 1}"] if header and header[f"c{i + 1}"] else f"c{i + 1}") for i in range(n_columns)]
+    data = rows.where(F.col("row_num") >= 2)
+    return data.select("row_num", *[F.col(f"c{i + 1}").alias(n) for i, n in enumerate(names)])
+
+
 def main(argv=None) -> int:
     a = _args(sys.argv[1:] if argv is None else argv)
     from keyedit.operators import checks as ck
@@ -57,7 +74,10 @@ def main(argv=None) -> int:
 
     spark = get_session(app=f"keyedit-{a.cmd}")
     cols = normalize_columns(a.columns.split(","))
-    raw = read_changeset(spark, a.changes, a.format, a.row_num_col, schema=a.schema)
+    if a.format == "xlsx":
+        raw = _workbook_changes(spark, a.changes, len(cols) + 1, a.sheet)
+    else:
+        raw = read_changeset(spark, a.changes, a.format, a.row_num_col, schema=a.schema)
 
     if a.cmd == "preview":
         bound = bind_changeset(raw, cols, keep_null_keys=True)

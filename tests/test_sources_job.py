@@ -312,3 +312,17 @@ def test_folder_watch_restart_applies_only_new_files(spark, tmp_dir):
     assert now.where("c_custkey = 1").first()["c_mktsegment"] == "FIRST"
     assert now.where("c_custkey = 2").first()["c_mktsegment"] == "SECOND"
     assert len([d for d in os.listdir(out) if d.startswith("batch_")]) == 2
+
+
+def test_command_line_reads_a_workbook(spark, tmp_dir, capsys):
+    import json as _json
+    from keyedit.__main__ import main
+    target_path = os.path.join(tmp_dir, "customer")
+    spark.read.parquet(f"{SF001}/customer.parquet").write.parquet(target_path)
+    book = os.path.join(tmp_dir, "changes.xlsx")
+    _xlsx(book, [["ID", "SEGMENT"], [1, "BOOK"], [2, "BOOK"], [None, "skip"]])
+    rc = main(["run", "--changes", book, "--format", "xlsx", "--sheet", "Data", "--columns", "c_mktsegment",
+               "--target", target_path, "--key", "c_custkey", "--out", os.path.join(tmp_dir, "run")])
+    r = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert rc == 0 and r["summary"]["success_count"] == 2
+    assert spark.read.parquet(r["target_path"]).where("c_mktsegment = 'BOOK'").count() == 2

@@ -22,6 +22,7 @@ from keyedit.operators import audit as au
 from keyedit.operators import checks as ck
 from keyedit.operators.joins import change_stats, stats_fit
 from keyedit.operators.staging import KEY_CAST, bind_changeset, coerce_changes, stage_as_text
+from keyedit.session import ensure_checkpoint_dir
 from keyedit.sinks.writers import snapshot, write_counted
 from keyedit.spec import UpdateSpec
 
@@ -100,6 +101,16 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     # one measurement of the staged changes bounds every join of the run: the
     # key list and the passing changes are both subsets of it
     fits = stats_fit(coerced, change_stats(coerced, KEY_CAST))
+    staged_cache = coerced
+    if not fits:
+        # too large to broadcast: hash-partition the changes by key once and
+        # checkpoint them to the shared folder. The checkpoint keeps that
+        # partitioning, so the outcome and apply joins shuffle only the target
+        # side, and it cuts the lineage (a lost executor re-reads the files).
+        ensure_checkpoint_dir(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        coerced = coerced.repartition(n, KEY_CAST).checkpoint()
+        staged_cache.unpersist()
 
     # 3. outcomes (written: they feed the summary, the report and the decision)
     outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
@@ -117,7 +128,8 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
                                  changes_fit=fits)
         write_counted(new_t, new_path, mode="overwrite")
-    coerced.unpersist()
+    if fits:
+        coerced.unpersist()
 
     # 5. audit entry and history record
     one = spark.createDataFrame([summary])

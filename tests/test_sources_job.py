@@ -326,3 +326,20 @@ def test_command_line_reads_a_workbook(spark, tmp_dir, capsys):
     r = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert rc == 0 and r["summary"]["success_count"] == 2
     assert spark.read.parquet(r["target_path"]).where("c_mktsegment = 'BOOK'").count() == 2
+
+
+def test_run_update_above_the_broadcast_bound_gives_the_same_result(spark, tmp_dir):
+    target_path = os.path.join(tmp_dir, "customer")
+    spark.read.parquet(f"{SF001}/customer.parquet").write.parquet(target_path)
+    spec = UpdateSpec(table="customer", key_column="c_custkey", update_columns=["c_mktsegment", "c_nationkey"],
+                      not_null={"c_nationkey"})
+    cs = _cs(spark, [(2, "1", "S1", "3"), (3, "2", "S2", "x"), (4, "999999", "S3", "1"), (5, "3", "", "4")])
+    small = run_update(spark, spec, cs, target_path, os.path.join(tmp_dir, "a"), "2024-01-31 12:00:00")
+    spark.conf.set("keyedit.broadcast.maxRows", "0")
+    try:
+        big = run_update(spark, spec, cs, target_path, os.path.join(tmp_dir, "b"), "2024-01-31 12:00:00")
+    finally:
+        spark.conf.unset("keyedit.broadcast.maxRows")
+    assert small.summary == big.summary
+    a, b = spark.read.parquet(small.target_path), spark.read.parquet(big.target_path)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

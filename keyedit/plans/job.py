@@ -22,7 +22,7 @@ from keyedit.operators import audit as au
 from keyedit.operators import checks as ck
 from keyedit.operators.joins import change_stats, stats_fit
 from keyedit.operators.staging import KEY_CAST, bind_changeset, coerce_changes, stage_as_text
-from keyedit.session import ensure_checkpoint_dir
+from keyedit.session import checkpoint_by_key
 from keyedit.sinks.writers import snapshot, write_counted
 from keyedit.spec import UpdateSpec
 
@@ -107,9 +107,7 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         # checkpoint them to the shared folder. The checkpoint keeps that
         # partitioning, so the outcome and apply joins shuffle only the target
         # side, and it cuts the lineage (a lost executor re-reads the files).
-        ensure_checkpoint_dir(spark)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        coerced = coerced.repartition(n, KEY_CAST).checkpoint()
+        coerced = checkpoint_by_key(coerced, KEY_CAST)
         staged_cache.unpersist()
 
     # 3. outcomes (written: they feed the summary, the report and the decision)

@@ -65,3 +65,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def checkpoint_by_key(df, keys, num_partitions: int | None = None):
+    """Hash-partition ``df`` by ``keys`` and checkpoint it to the shared folder.
+
+    The checkpointed frame remembers its hash partitioning, so later
+    aggregates and joins on ``keys`` do not shuffle it again. The checkpoint
+    is planned with adaptive execution off: an adaptive plan does not report
+    a definite partitioning for the checkpoint to record. The setting is
+    restored afterwards; later queries plan adaptively as usual.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    previous = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, *keys).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", previous)

@@ -59,3 +59,24 @@ def test_no_cross_join_anywhere(spark):
     for name in ("consistency_summary", "gate_report", "audit_purge_count", "history_delete_count"):
         p = _plan(QUERIES[name](spark, SF001))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_checkpointed_changes_are_not_shuffled_again(spark):
+    from keyedit.operators import apply as ap
+    from keyedit.operators.staging import KEY_CAST
+    from keyedit.plans import fixtures as fx
+    from keyedit.plans.catalog import _prepared
+    from keyedit.session import checkpoint_by_key
+    target, co = _prepared(spark, SF01, fx.csl, fx.LINEITEM_SPEC)
+    cp = checkpoint_by_key(co, KEY_CAST)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("keyedit.skew.hotRows", "100000000")
+    try:
+        new = ap.apply_updates(target, cp, "l_orderkey", fx.LINEITEM_SPEC.update_columns, check_unique=False,
+                               changes_fit=False)
+        p = _plan(new)
+        assert p.count("Exchange hashpartitioning") == 1      # the target side only
+        assert new.count() == target.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("keyedit.skew.hotRows")

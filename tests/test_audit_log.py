@@ -154,3 +154,11 @@ def test_import_history_json_array(spark, tmp_dir):
     assert h.count() == 2
     v = au.history_view(h).orderBy("seq").collect()
     assert [(r["seq"], r["status"]) for r in v] == [(1, fixed.STATUS_PARTIAL), (2, fixed.STATUS_SUCCESS)]
+
+
+def test_classify_errors_key_query_and_connect_stages(spark):
+    df = spark.createDataFrame([("ORA-00904: bad column",), ("ORA-01017: denied",), ("timeout",)], "m string")
+    got = [tuple(r) for r in df.select(classify_error(F.col("m"), "keys"), classify_error(F.col("m"), "connect")).collect()]
+    assert got[0][0] == "列名无效: ORA-00904: bad column"
+    assert got[1][1] == "连接失败: 用户名或密码无效"
+    assert got[2] == ("查询失败: timeout", "连接失败: timeout")

@@ -146,3 +146,19 @@ def test_duplicates_per_file_with_a_composite_key(spark):
     assert rows(ck.duplicate_pairs(raw, ["path", "key_value"])) == [("a.xlsx", "1", 2, 3)]
     assert rows(ck.duplicate_key_rows(raw, ["path", "key_value"]), "path", "rows") == [("a.xlsx", "2, 3")]
     assert rows(ck.duplicate_keys(raw), "key_value", "occurrences") == [("1", 3)]
+
+
+def test_batch_progress_hand_computed(spark):
+    from keyedit.operators import preview as pv
+    got = [(r["phase"], r["processed"], r["pct"], r["overall_pct"])
+           for r in pv.progress(spark, 250, 120).orderBy("phase", "batch").collect()]
+    assert got == [("import", 100, 40, 38), ("import", 200, 80, 46), ("import", 250, 100, 50),
+                   ("update", 50, 41, 71), ("update", 100, 83, 88), ("update", 120, 100, 95)]
+    assert pv.progress(spark, 0, 0).count() == 0
+
+
+def test_column_profile_types_and_nulls(spark):
+    df = spark.createDataFrame([(1, None, 2.5), (22, "abc", None)], "id long, name string, v double")
+    got = [(r["ordinal"], r["column_name"], r["data_type"], r["max_length"], r["null_count"])
+           for r in ck.column_profile(df).orderBy("ordinal").collect()]
+    assert got == [(1, "ID", "bigint", 2, 0), (2, "NAME", "string", 3, 1), (3, "V", "double", 3, 1)]

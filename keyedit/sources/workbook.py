@@ -14,6 +14,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime, timedelta
 from typing import Iterator
 from xml.etree import ElementTree as ET
 
@@ -56,7 +57,44 @@ def _sheet_path(z: zipfile.ZipFile, sheet: str | None) -> str:
     raise ValueError("sheet relationship not found")
 
 
-def _cell_text(c, shared: list[str]) -> str | None:
+# number formats that show a date or time: built-in ids, and custom codes with date/time tokens
+_DATE_FORMAT_IDS = set(range(14, 23)) | {45, 46, 47}
+_QUOTED_OR_BRACKETED = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.')
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Indexes of the cell styles whose number format is a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    st = ET.fromstring(z.read("xl/styles.xml"))
+    custom = {}
+    fmts = st.find("m:numFmts", _NS)
+    if fmts is not None:
+        for f in fmts.findall("m:numFmt", _NS):
+            code = _QUOTED_OR_BRACKETED.sub("", f.get("formatCode", "")).lower()
+            custom[int(f.get("numFmtId"))] = bool(re.search(r"[ymdhs]", code))
+    out = set()
+    xfs = st.find("m:cellXfs", _NS)
+    if xfs is not None:
+        for i, xf in enumerate(xfs.findall("m:xf", _NS)):
+            fid = int(xf.get("numFmtId", "0"))
+            if fid in _DATE_FORMAT_IDS or custom.get(fid, False):
+                out.add(i)
+    return out
+
+
+def _serial_to_text(serial: float, date1904: bool) -> str:
+    """A date serial as ``yyyy-MM-dd HH:mm:ss`` (1900 system: day 60 is the phantom 1900-02-29)."""
+    if date1904:
+        base = datetime(1904, 1, 1)
+    else:
+        base = datetime(1899, 12, 31) if serial < 60 else datetime(1899, 12, 30)
+    value = base + timedelta(days=serial)
+    value = value.replace(microsecond=0) if value.microsecond < 500000 else (value + timedelta(seconds=1)).replace(microsecond=0)
+    return value.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _cell_text(c, shared: list[str], date_styles: set[int] = frozenset(), date1904: bool = False) -> str | None:
     t = c.get("t")
     if t == "inlineStr":
         node = c.find("m:is", _NS)
@@ -69,6 +107,12 @@ def _cell_text(c, shared: list[str]) -> str | None:
     if t == "b":
         return "TRUE" if v.text == "1" else "FALSE"
     text = v.text
+    style = c.get("s")
+    if t in (None, "n") and style is not None and int(style) in date_styles:
+        try:
+            return _serial_to_text(float(text), date1904)
+        except ValueError:
+            return text
     if re.fullmatch(r"-?\d+\.0+", text):        # whole numbers stored as floats
         text = text.split(".")[0]
     return text
@@ -83,6 +127,9 @@ def decode_workbook(data: bytes, sheet: str | None = None) -> list[tuple[int, li
             for si in sst.findall("m:si", _NS):
                 shared.append("".join(x.text or "" for x in si.iter(f"{{{_NS['m']}}}t")))
         root = ET.fromstring(z.read(_sheet_path(z, sheet)))
+        date_styles = _date_styles(z)
+        pr = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+        date1904 = pr is not None and pr.get("date1904", "0").lower() in ("1", "true")
     rows = []
     for r in root.iter(f"{{{_NS['m']}}}row"):
         num = int(r.get("r"))
@@ -90,7 +137,7 @@ def decode_workbook(data: bytes, sheet: str | None = None) -> list[tuple[int, li
         for c in r.findall("m:c", _NS):
             m = _REF.fullmatch(c.get("r", ""))
             idx = _col_index(m.group(1)) if m else len(cells)
-            cells[idx] = _cell_text(c, shared)
+            cells[idx] = _cell_text(c, shared, date_styles, date1904)
         width = max(cells) + 1 if cells else 0
         rows.append((num, [cells.get(i) for i in range(width)]))
     return rows

@@ -343,3 +343,28 @@ def test_run_update_above_the_broadcast_bound_gives_the_same_result(spark, tmp_d
     assert small.summary == big.summary
     a, b = spark.read.parquet(small.target_path), spark.read.parquet(big.target_path)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _styled_xlsx(path, date1904=False):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        pr = '<workbookPr date1904="1"/>' if date1904 else ""
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+                   f'{pr}<sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId1" Target="worksheets/sheet1.xml" Type="x"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy-mm-dd hh:mm"/>'
+                   '</numFmts><cellXfs count="4"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="2"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>'
+                   '<row r="2"><c r="A2" s="1"><v>45292</v></c><c r="B2" s="2"><v>45292.5</v></c>'
+                   '<c r="C2" s="3"><v>45292</v></c><c r="D2"><v>12.0</v></c></row></sheetData></worksheet>')
+
+
+def test_workbook_date_cells_become_date_text(tmp_dir):
+    p = os.path.join(tmp_dir, "dates.xlsx")
+    _styled_xlsx(p)
+    with open(p, "rb") as f:
+        assert decode_workbook(f.read()) == [(2, ["2024-01-01 00:00:00", "2024-01-01 12:00:00", "45292", "12"])]
+    _styled_xlsx(p, date1904=True)
+    with open(p, "rb") as f:
+        assert decode_workbook(f.read())[0][1][0] == "2028-01-02 00:00:00"

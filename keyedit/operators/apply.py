@@ -212,12 +212,17 @@ def apply_all_or_nothing(target: DataFrame, new_target: DataFrame, outcomes: Dat
 
 
 def upsert_by_key(target: DataFrame, new_target: DataFrame, coerced: DataFrame, key_column: str,
-                  update_columns: Sequence[str], outcomes: DataFrame) -> DataFrame:
-    """Applied target plus one inserted row per passing change whose key is absent."""
+                  update_columns: Sequence[str], outcomes: DataFrame, fits: bool | None = None) -> DataFrame:
+    """Applied target plus one inserted row per passing change whose key is absent.
+
+    The missing-key rows are a subset of the change rows, so the change-key
+    bound (``fits``) also bounds them; they are not measured again.
+    """
     tkey = _target_name(target, key_column)
     names = [_target_name(target, c) for c in update_columns]
+    fits = change_keys_fit(coerced) if fits is None else fits
     missing = outcomes.where(F.col("status") == MISSING_KEY).select(ROW_NUM)
-    new_rows = keyed_join(passing_changes(coerced), missing, [ROW_NUM], "left_semi")
+    new_rows = keyed_join(passing_changes(coerced), missing, [ROW_NUM], "left_semi", small_fits=fits)
     fields = {f.name: f.dataType for f in target.schema.fields}
     cols = []
     for c in target.columns:

@@ -275,8 +275,9 @@ def q_upsert_by_key(spark, d):
     target, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
     spec = fx.CUSTOMER_SPEC
     new_t = ap.apply_updates(target, coerced, spec.key_column, spec.update_columns)
-    oc = ap.row_outcomes(coerced, target, spec.key_column)
-    return ap.upsert_by_key(target, new_t, coerced, spec.key_column, spec.update_columns, oc)
+    fits = ap.change_keys_fit(coerced)
+    oc = ap.row_outcomes(coerced, target, spec.key_column, fits=fits)
+    return ap.upsert_by_key(target, new_t, coerced, spec.key_column, spec.update_columns, oc, fits=fits)
 
 
 @query("restore_rows", f"""{CS1_NEW},

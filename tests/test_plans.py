@@ -80,3 +80,10 @@ def test_checkpointed_changes_are_not_shuffled_again(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("keyedit.skew.hotRows")
+
+
+def test_apply_reads_the_target_once(spark):
+    from keyedit.plans.catalog import QUERIES
+    p = _plan(QUERIES["apply_updates_lineitem"](spark, SF01))
+    assert p.count("lineitem.parquet") == 1          # the target: one scan
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p

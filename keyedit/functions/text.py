@@ -73,12 +73,15 @@ def classify_error(message: Column, stage: str) -> Column:
 
 
 def stamp(ts: Column, fmt: str) -> Column:
+    """A time as text in one of the fixed formats (``fixed.*_TS_FORMAT``)."""
     return F.date_format(ts, fmt)
 
 
 def backup_name(table: Column, ts: Column) -> Column:
+    """``<table>_BAK_<yyyyMMdd_HHmmss>``: the snapshot's name for a run time."""
     return F.concat(table, F.lit(fixed.BACKUP_INFIX), stamp(ts, fixed.NAME_TS_FORMAT))
 
 
 def staging_name(ts: Column) -> Column:
+    """``TEMP_UPDATE_<yyyyMMdd_HHmmss>``: the staging table's name for a run time."""
     return F.concat(F.lit(fixed.STAGING_PREFIX), stamp(ts, fixed.NAME_TS_FORMAT))

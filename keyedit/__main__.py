@@ -92,9 +92,12 @@ def main(argv=None) -> int:
         co = coerce_changes(stage_as_text(bound, cols), target.schema, a.key, cols)
         n_dup = export_csv(ck.duplicate_pairs(bound), f"{a.out}/duplicate_pairs", empty_ok=True)
         n_miss = export_csv(ck.missing_keys(co, target, a.key), f"{a.out}/missing_keys", empty_ok=True)
-        print(json.dumps({"duplicate_repeats": n_dup, "missing_keys": n_miss,
-                          "passed": n_dup == 0 and n_miss == 0}))
-        return 0 if n_dup == 0 and n_miss == 0 else 2
+        n_data = len([c for c in raw.columns if c != "row_num"])
+        gates = [r.asDict() for r in ck.gate_report(bind_changeset(raw, cols, keep_null_keys=True), co, cols, n_data)
+                 .orderBy("seq").collect()]                                   # six rows
+        ok = n_dup == 0 and n_miss == 0 and all(g["passed"] for g in gates)
+        print(json.dumps({"duplicate_repeats": n_dup, "missing_keys": n_miss, "gates": gates, "passed": ok}))
+        return 0 if ok else 2
 
     from keyedit.plans.job import run_update
     from keyedit.spec import UpdateSpec

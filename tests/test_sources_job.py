@@ -247,6 +247,7 @@ def test_command_line_run_check_preview(spark, tmp_dir, capsys):
                "--key", "c_custkey", "--out", os.path.join(tmp_dir, "chk")])
     c = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert rc == 2 and c["duplicate_repeats"] == 1 and c["missing_keys"] == 1
+    assert [g["check_name"] for g in c["gates"] if not g["passed"]] == ["unique_keys"]
     with open(cs, "w") as f:
         f.write("KEY,SEGMENT\n1,CLI\n2,CLI\n")
     rc = main(["run", "--changes", cs, "--columns", "c_mktsegment", "--target", target_path,

@@ -79,67 +79,68 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     staged = stage_as_text(bound, spec.update_columns)
     coerced = coerce_changes(staged, target.schema, spec.key_column, spec.update_columns, spec.not_null)
     coerced = coerced.persist(StorageLevel.MEMORY_AND_DISK)
-    gates = [r.asDict() for r in ck.gate_report(bound_all, coerced, spec.update_columns, n_data,
-                                                max_rows=spec.max_rows, max_text=spec.max_text)
-             .orderBy("seq").collect()]          # six rows
-    failed_gate = next((g for g in gates if not g["passed"]), None)
-    if failed_gate:
-        coerced.unpersist()
-        return RunResult(False, f"gate failed: {failed_gate['check_name']} "
-                                f"(observed {failed_gate['observed']}, limit {failed_gate['limit_value']})",
-                         None, None, None, {}, gates, None)
-
-    # 2. snapshot before anything changes
-    bak_name = f"{spec.table}{fixed.BACKUP_INFIX}{stamp}"
-    if snapshot_mode == "copy":
-        backup_path = f"{out_dir.rstrip('/')}/{bak_name}"
-        snapshot(target, backup_path)
-        backup = spark.read.parquet(backup_path)
-    else:
-        backup_path, backup = target_path, target
-
-    # one measurement of the staged changes bounds every join of the run: the
-    # key list and the passing changes are both subsets of it
-    fits = stats_fit(coerced, change_stats(coerced, KEY_CAST))
     staged_cache = coerced
-    if not fits:
-        # too large to broadcast: hash-partition the changes by key once and
-        # checkpoint them to the shared folder. The checkpoint keeps that
-        # partitioning, so the outcome and apply joins shuffle only the target
-        # side, and it cuts the lineage (a lost executor re-reads the files).
-        coerced = checkpoint_by_key(coerced, KEY_CAST)
-        staged_cache.unpersist()
-
-    # 3. outcomes (written: they feed the summary, the report and the decision)
-    outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
-    # run outputs are unique per run and never inputs (checked), so a retried run overwrites its own partial output
-    write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits), outcomes_path,
-                  mode="overwrite")
-    outcomes = spark.read.parquet(outcomes_path)
-    summary = ap.run_summary(outcomes).first().asDict()
-
-    # 4. publish a new version unless all-or-nothing forbids it
-    publish = not (spec.on_failure == "restore" and summary["fail_count"] > 0)
-    new_path = None
-    if publish:
-        new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
-        new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
-                                 changes_fit=fits)
-        write_counted(new_t, new_path, mode="overwrite")
-    if fits:
-        coerced.unpersist()
-
-    # 5. audit entry and history record
-    one = spark.createDataFrame([summary])
-    # one folder per run, overwritten: a retried run replaces its own entry, never adds a second
-    if audit_path:
-        au.update_entry(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
-                        update_columns=spec.update_columns, backup_table=bak_name, run_ts=run_ts) \
-            .write.mode("overwrite").json(f"{audit_path.rstrip('/')}/run={stamp}")
-    if history_path:
-        au.history_record(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
-                          update_columns=spec.update_columns, backup_table=bak_name,
-                          run_ts=run_ts).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/run={stamp}")
+    try:
+        gates = [r.asDict() for r in ck.gate_report(bound_all, coerced, spec.update_columns, n_data,
+                                                    max_rows=spec.max_rows, max_text=spec.max_text)
+                 .orderBy("seq").collect()]          # six rows
+        failed_gate = next((g for g in gates if not g["passed"]), None)
+        if failed_gate:
+            return RunResult(False, f"gate failed: {failed_gate['check_name']} "
+                                    f"(observed {failed_gate['observed']}, limit {failed_gate['limit_value']})",
+                             None, None, None, {}, gates, None)
+
+        # 2. snapshot before anything changes
+        bak_name = f"{spec.table}{fixed.BACKUP_INFIX}{stamp}"
+        if snapshot_mode == "copy":
+            backup_path = f"{out_dir.rstrip('/')}/{bak_name}"
+            snapshot(target, backup_path)
+            backup = spark.read.parquet(backup_path)
+        else:
+            backup_path, backup = target_path, target
+
+        # one measurement of the staged changes bounds every join of the run: the
+        # key list and the passing changes are both subsets of it
+        fits = stats_fit(coerced, change_stats(coerced, KEY_CAST))
+        if not fits:
+            # too large to broadcast: hash-partition the changes by key once and
+            # checkpoint them to the shared folder. The checkpoint keeps that
+            # partitioning, so the outcome and apply joins shuffle only the target
+            # side, and it cuts the lineage (a lost executor re-reads the files).
+            coerced = checkpoint_by_key(coerced, KEY_CAST)
+            staged_cache.unpersist()          # the checkpoint replaces the cached copy
+
+        # 3. outcomes (written: they feed the summary, the report and the decision)
+        outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
+        # run outputs are unique per run and never inputs (checked), so a retried run overwrites its own partial output
+        write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits), outcomes_path,
+                      mode="overwrite")
+        outcomes = spark.read.parquet(outcomes_path)
+        summary = ap.run_summary(outcomes).first().asDict()
+
+        # 4. publish a new version unless all-or-nothing forbids it
+        publish = not (spec.on_failure == "restore" and summary["fail_count"] > 0)
+        new_path = None
+        if publish:
+            new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
+            new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
+                                     changes_fit=fits)
+            write_counted(new_t, new_path, mode="overwrite")
+
+        # 5. audit entry and history record
+        one = spark.createDataFrame([summary])
+        # one folder per run, overwritten: a retried run replaces its own entry, never adds a second
+        if audit_path:
+            au.update_entry(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
+                            update_columns=spec.update_columns, backup_table=bak_name, run_ts=run_ts) \
+                .write.mode("overwrite").json(f"{audit_path.rstrip('/')}/run={stamp}")
+        if history_path:
+            au.history_record(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
+                              update_columns=spec.update_columns, backup_table=bak_name,
+                              run_ts=run_ts).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/run={stamp}")
+
+    finally:
+        staged_cache.unpersist()          # staging is dropped on every path, failures included
 
     if summary["change_rows"] and summary["success_count"] == 0 and summary["fail_count"] == 0:
         msg = "no change matched the target"

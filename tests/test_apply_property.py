@@ -19,6 +19,10 @@ def _dec(text):
         return None
 
 
+def _order(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
 def model(target, changes):
     keys_in_target = {}
     for k, _, _ in target:
@@ -40,7 +44,7 @@ def model(target, changes):
         else:
             outcomes[row_num] = "applied"
             updates[key] = (qty, name)
-    new = sorted((k, *updates[k]) if k in updates else (k, q, n) for k, q, n in target)
+    new = _order((k, *updates[k]) if k in updates else (k, q, n) for k, q, n in target)
     return outcomes, new
 
 
@@ -55,7 +59,7 @@ def test_outcomes_and_target_match_the_model(spark, target, change_specs, keys):
     bound = bind_changeset(raw, ["qty", "name"])
     co = coerce_changes(stage_as_text(bound, ["qty", "name"]), t.schema, "ID", ["qty", "name"], frozenset({"QTY"}))
     got_oc = {r["row_num"]: r["status"] for r in ap.row_outcomes(co, t, "ID").collect()}
-    got_new = sorted(tuple(r) for r in ap.apply_updates(t, co, "ID", ["qty", "name"]).collect())
+    got_new = _order(tuple(r) for r in ap.apply_updates(t, co, "ID", ["qty", "name"]).collect())
     want_oc, want_new = model(target, changes)
     assert got_oc == want_oc
     assert got_new == want_new

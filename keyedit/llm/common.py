@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pyarrow as pa
@@ -19,8 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it (a cluster may have it installed as well)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text: other columns, whatever their names, play no part."""
+    on_workers(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
 
@@ -42,28 +53,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_batch_rows(spark: SparkSession, rows: int):
-    """Context manager: the number of rows handed to Python at once."""
-    return _Conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-class _Conf:
-    def __init__(self, spark, key, value):
-        self.spark, self.key, self.value = spark, key, value
-
-    def __enter__(self):
-        self.old = self.spark.conf.get(self.key, None)
-        self.spark.conf.set(self.key, self.value)
-
-    def __exit__(self, *_):
-        if self.old is None:
-            self.spark.conf.unset(self.key)
-        else:
-            self.spark.conf.set(self.key, self.old)
+def slices(batches, rows: int = 256):
+    """Parts of Arrow batches, so that Python objects exist for a few hundred texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def text_bytes(column: pa.Array | pa.ChunkedArray):
+def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; NULL gives an empty text."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from keyedit.llm.pieces import op8_pieces
+from keyedit.llm.quality_model import op10_quality_model
 from keyedit.llm.quality_rules import OP1_SQL, op1_quality_rules
+from keyedit.llm.token_ids import op7_token_ids
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_token_ids": op7_token_ids,
+    "op8_pieces": op8_pieces,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLE = {

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from keyedit.llm.decontaminate import OP4_SQL, op4_decontaminate
+from keyedit.llm.jaccard_join import OP9_SQL, op9_jaccard_join
+from keyedit.llm.language_id import op3_language_id
 from keyedit.llm.pieces import op8_pieces
 from keyedit.llm.quality_model import op10_quality_model
 from keyedit.llm.quality_rules import OP1_SQL, op1_quality_rules
@@ -9,11 +12,16 @@ from keyedit.llm.token_ids import op7_token_ids
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_language_id": op3_language_id,
+    "op4_decontaminate": op4_decontaminate,
     "op7_token_ids": op7_token_ids,
     "op8_pieces": op8_pieces,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_model": op10_quality_model,
 }
 
 ORACLE = {
     "op1_quality_rules": OP1_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }

@@ -1,14 +1,79 @@
-"""The corpus pipeline: stages over ``documents``, each reread from Parquet."""
+"""The corpus pipeline: five stages over ``documents``, each reread from Parquet.
+
+1. quality_model: documents that the quality classifier rejects go;
+2. jaccard_join: of each group of near-duplicates the smallest doc_id stays;
+3. decontaminate: documents that hold a benchmark window go;
+4. secret_scan: secrets in the texts are replaced by a mask;
+5. pieces: the texts are encoded and decoded; returns the digests per document.
+
+A stage gets what its predecessor kept and works on all of it. Repeated doc_ids:
+stage 2 keeps one row for each doc_id, stage 3 judges the rows of an id together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyedit.llm.common import stored, table
+from keyedit.llm.decontaminate import decontaminate
+from keyedit.llm.jaccard_join import jaccard_components
+from keyedit.llm.pieces import piece_digests
+from keyedit.llm.quality_model import document_statistics, fit_quality, held_out, keep_quality
+from keyedit.llm.secret_scan import learn_secrets, redact
+
+#: Ids dropped by a stage are sent to the tasks up to this number (8 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (NULL equals NULL) is not in ``ids`` (doc_id)."""
+    ids = stored(ids.select(F.col("doc_id").alias("gone")).distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = fit_quality(document_statistics(docs), labels)
+    return keep_quality(docs.select(COLUMNS), model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    groups = jaccard_components(docs)
+    kept = without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    return redact(docs, *learn_secrets(docs))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_digests(docs)
+
 
-STAGES = []
+STAGES = [("quality_model", quality), ("jaccard_join", near_duplicates), ("decontaminate", decontaminated),
+          ("secret_scan", secrets), ("pieces", pieces)]
 
-#: Stages learn models and call a tokeniser: SQL can't express them.
+#: Stages learn models and call a tokeniser: SQL can't express them; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

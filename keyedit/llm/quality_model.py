@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyedit.llm.common import crc_bucket, slices, stored, table, text_bytes, texts
+from keyedit.llm.common import crc_bucket, on_workers, slices, stored, table, text_bytes, texts
 
 FEATURES = 128         # random Fourier features
 WIDTH = 4.0            # kernel width in standard deviations, over all statistics
@@ -167,6 +167,18 @@ def score_quality(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, judged in place: no join, no shuffle."""
+    on_workers(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            x = np.array([statistics(t) for t in text_bytes(batch.column(place))], float).reshape(-1, len(STATS))
+            yield batch.filter(pa.array(np.clip(model.score(x), 0, 1) >= THRESHOLD))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_bucket(doc_id, 5) == 0, F.lit(False))
 

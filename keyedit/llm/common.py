@@ -6,6 +6,7 @@ import os
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,31 @@ def slices(batches, rows: int = 256):
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; NULL gives an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Split:
+    """Texts of an Arrow array cut at single spaces, with each distinct piece once.
+
+    ``pieces`` are the distinct pieces; ``join`` puts a value for each piece back
+    into the texts' order, one value per text.
+    """
+
+    def __init__(self, column: pa.Array):
+        lists = pc.split_pattern(column, " ")
+        self.offsets = lists.offsets
+        coded = lists.flatten().dictionary_encode()
+        self.indices = coded.indices
+        self.pieces: list[str] = coded.dictionary.to_pylist()
+
+    def join(self, values: list[bytes | None], separator: bytes, skip_first: bool = False) -> list[bytes | None]:
+        """Joined values of each text's pieces; None where a piece's value is None."""
+        indices = self.indices
+        if skip_first:
+            values = [*values, b""]
+            at = self.offsets.to_numpy()[:-1]
+            at = at[at < self.offsets.to_numpy()[1:]]
+            x = indices.to_numpy().copy()
+            x[at] = len(values) - 1
+            indices = pa.array(x)
+        taken = pa.array(values, pa.large_binary()).take(indices)
+        return pc.binary_join(pa.ListArray.from_arrays(self.offsets, taken), pa.scalar(separator, pa.large_binary())).to_pylist()

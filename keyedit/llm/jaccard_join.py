@@ -133,7 +133,7 @@ def subset_keys(s: np.ndarray) -> np.ndarray:
     """Keys of all subsets of the needed sizes (commutative sums of mixed shingles)."""
     v, out = _mix(s + np.uint64(1)), []
     for c in subset_sizes(len(s)):
-        drop = np.array(list(itertools.combinations(range(len(s)), len(s) - c)), np.int64).reshape(-1, len(s) - c)
+        drop = np.array(list(itertools.combinations(range(len(s)), len(s) - c)), np.int64).reshape(math.comb(len(s), c), len(s) - c)
         out.append(_mix(v.sum(dtype=np.uint64) - v[drop].sum(axis=1, dtype=np.uint64) + np.uint64(c) * _K[4]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

@@ -23,14 +23,15 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from keyedit.llm.common import slices, table, texts
+from keyedit.llm.common import Split, slices, table, texts
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE_CHUNKS = 300_000     # remembered chunks of a worker; beyond, the memory starts anew
+CACHE_CHUNKS = 600_000     # remembered chunks of a worker; beyond, the memory starts anew
 
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -54,7 +55,7 @@ class MergeVocabulary:
                       for p, i in id_of.items() for k in range(1, len(p)) if p[:k] in id_of and p[k:] in id_of}
         self.chars = {p: i for p, i in id_of.items() if len(p) == 1}
         #: What a chunk (without its first mark) is encoded to: decimals joined by commas.
-        self.known: dict[str, str] = {}
+        self.known: dict[str, bytes] = {}
         self.odd: dict[str, str] = {}       # chunks that do not decode to themselves
 
     def merge(self, chunk: str) -> list[int]:
@@ -115,9 +116,9 @@ class MergeVocabulary:
             ids = self.merge(MARK + c)
             if ids != theirs and c:
                 raise ValueError(f"agenda and library differ on {c!r}: {ids} and {theirs}")
-            self.known[c] = ",".join(map(str, ids))
-            if "".join([pieces[i] for i in ids]) != MARK + c or MARK in c:
-                if (back := self.text_of(ids)) != " " + c:
+            self.known[c] = ",".join(map(str, ids)).encode()
+            if "".join([pieces[i] for i in ids]) != MARK + c:
+                if (back := self.text_of(ids)) != " " + c.replace(MARK, " "):
                     self.odd[c] = back
 
     def chunks(self, text: str) -> list[str]:
@@ -128,20 +129,29 @@ class MergeVocabulary:
             return text.split(" ")
         return [c[1:] for c in _CHUNKS.findall(MARK + text.replace(" ", MARK))]
 
-    def encode(self, texts: list[str]) -> tuple[list[str], list[str]]:
+    def encode(self, column: pa.Array) -> tuple[list[bytes], list[str]]:
         """Ids (decimals joined by commas) and decoded text of each text."""
-        rows = [self.chunks(t) for t in texts]
-        found = set().union(*rows)
+        texts = pc.fill_null(column, "").to_pylist()
+        # texts with runs of spaces or marks of their own are cut by the chunk rule, the others at their spaces
+        plain = [t != "" and t[0] != " " and "  " not in t and MARK not in t for t in texts]
+        cut = Split(pa.array([t if p else None for t, p in zip(texts, plain)], pa.string()))
+        rows = {k: self.chunks(t) for k, (t, p) in enumerate(zip(texts, plain)) if not p}
+        found = set(cut.pieces).union(*rows.values())
         new = found - self.known.keys()
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known, self.odd, new = {}, {}, found
         if new:
             self.learn(new)
-        known, odd = self.known.__getitem__, self.odd
-        back = [t if not odd or odd.keys().isdisjoint(cs)
-                else "".join([odd[c] if c in odd else " " + c for c in cs])[1:]
-                for t, cs in zip(texts, rows)]
-        return [",".join(map(known, cs)) for cs in rows], back
+        known = self.known
+        csv = cut.join([known[c] for c in cut.pieces], b",")
+        if self.odd and not self.odd.keys().isdisjoint(cut.pieces):
+            for k, t in enumerate(texts):
+                if plain[k] and not self.odd.keys().isdisjoint(cs := t.split(" ")):
+                    rows[k] = cs
+        for k, cs in rows.items():
+            csv[k] = b",".join([known[c] for c in cs])
+            texts[k] = "".join([self.odd.get(c, " " + c.replace(MARK, " ")) for c in cs])[1:]
+        return csv, texts
 
 
 _LOADED: dict[str, MergeVocabulary] = {}
@@ -157,13 +167,13 @@ def _encode(path: str, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in slices(batches):
-            csv, back = v.encode([t or "" for t in batch.column("text").to_pylist()])
-            out = [batch.column("doc_id"), pa.array([c.count(",") + 1 if c else 0 for c in csv], pa.int64())]
+            csv, back = v.encode(batch.column("text"))
+            out = [batch.column("doc_id"), pa.array([c.count(b",") + 1 if c else 0 for c in csv], pa.int64())]
             if ids:
-                out += [pa.array([[int(x) for x in c.split(",")] if c else [] for c in csv], pa.list_(pa.int32())),
+                out += [pa.array([[int(x) for x in c.split(b",")] if c else [] for c in csv], pa.list_(pa.int32())),
                         pa.array(back, pa.string())]
             else:
-                out += [pa.array([hashlib.sha256(c.encode()).hexdigest() for c in csv]),
+                out += [pa.array([hashlib.sha256(c).hexdigest() for c in csv]),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids" if ids else "ids_sha256",
                                                          "decoded" if ids else "decoded_sha256"])

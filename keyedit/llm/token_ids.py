@@ -33,12 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyedit.llm.common import slices, table, texts
+from keyedit.llm.common import Split, slices, table, texts
 from keyedit.session import scratch_path
 
 MODEL = "byte_bpe_50k.json"
@@ -46,7 +47,7 @@ END_ID = 0
 BLOCK_IDS = 1024
 SEGMENT_IDS = 1 << 18
 FIT = 0.9                  # share of a block's values that its width holds
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 #: A piece whose ends can't be taken for white space by any reading of the term.
 _SAFE = re.compile(r"(?s)[!-~¡-ɏ](?:.*[!-~¡-ɏ])?")
@@ -64,17 +65,19 @@ class Encoder:
         for name, i in names.items():
             self.opens[i] = name.startswith("Ġ")
         self.known: dict[str, bytes | None] = {}
+        self.firsts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Ids of ' ' + piece; None marks pieces that can't be taken by themselves."""
         safe = [p for p in pieces if _SAFE.fullmatch(p)]
-        self.known.update(dict.fromkeys(pieces.difference(safe)))
-        for at in range(0, len(safe), 2000):
-            part = safe[at:at + 2000]
-            ids = np.asarray(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+        self.known.update(dict.fromkeys(set(pieces).difference(safe)))
+        parts = [safe[at:at + 2000] for at in range(0, len(safe), 2000)]
+        coded = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
+        for part, x in zip(parts, coded):
+            ids = np.asarray(x.ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):    # white space inside a piece opens an id of its own
                 for p in part:
@@ -84,23 +87,31 @@ class Encoder:
             for p, a, b in zip(part, (starts * 4).tolist(), ends, strict=True):
                 self.known[p] = raw[a:b]
 
-    def encode(self, rows: list[str]) -> list[bytes]:
+    def first(self, piece: str, more: bool) -> bytes | None:
+        """Ids of a text's first piece, which no space precedes."""
+        if more and not _SAFE.fullmatch(piece):
+            return None
+        got = self.firsts.get(piece)
+        if got is None:
+            if len(self.firsts) > CACHE_PIECES // 10:
+                self.firsts = {}
+            got = self.firsts[piece] = self.whole(piece)
+        return got
+
+    def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.split(" ") for t in rows]
-        found = set().union(*(c[1:] for c in cut))
-        new = found - self.known.keys()
+        column = pc.fill_null(column, "")
+        cut = Split(column)
+        new = [p for p in cut.pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, found
+            self.known, new = {}, cut.pieces
         if new:
             self.learn(new)
-        get, out = self.known.__getitem__, []
-        for text, c in zip(rows, cut):
-            try:
-                if len(c) > 1 and not _SAFE.fullmatch(c[0]):
-                    raise TypeError
-                out.append(b"".join([self.whole(c[0]), *map(get, c[1:])]))
-            except TypeError:               # a piece that can't be taken by itself
-                out.append(self.whole(text))
+        rest = cut.join([self.known[p] for p in cut.pieces], b"", skip_first=True)
+        out, ends, at = [], cut.offsets.to_pylist(), cut.indices.to_numpy()
+        for k, (ids, a, b) in enumerate(zip(rest, ends, ends[1:])):
+            head = self.first(cut.pieces[at[a]], b > a + 1) if ids is not None and b > a else None
+            out.append(head + ids if head is not None else self.whole(column[k].as_py()))
         return out
 
 
@@ -209,7 +220,7 @@ def _segments(path: str, end_id: int):
 
         for batch in slices(batches):
             for doc, x in zip(batch.column("doc_id").to_pylist(),
-                              enc.encode([t or "" for t in batch.column("text").to_pylist()])):
+                              enc.encode(batch.column("text"))):
                 x += end
                 if size and size + len(x) // 4 > SEGMENT_IDS:
                     yield flush()

@@ -1,0 +1,282 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from conftest import SF01
+from llm.conftest import SCHEMA, got, prose, rows_of
+
+from keyedit.llm import language_id as li
+from keyedit.llm import lm_score as lm
+from keyedit.llm import pieces as pc
+from keyedit.llm import quality_model as qm
+from keyedit.llm import secret_scan as ss
+from keyedit.llm import token_ids as ti
+from keyedit.llm.common import table
+
+ODD = ["", " ", "   ", "  a  b\n c\td ", "a" * 3000, "é😀▁x ▁▁ y", "\x00\x01<s></s><unk><0x0A>", "<|endoftext|> a", "日本語 テスト　x",
+       "it's I'll 12ab", "foo\xa0bar", "a\x85 b \x1c c", "foo\nbar baz\n\nqux  end\n", "a ' b 's", "é ﬁ x", "​ a"]
+
+
+def mixed(seed, n=300):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("ab \n'é1.\x85 s▁😀<") for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+# ---------------------------------------------------------------- 2
+
+def test_lm_base_score_equals_brute_force(spark, monkeypatch):
+    """Also with most words joined instead of sent."""
+    monkeypatch.setattr(lm, "HEAD", 200)
+    docs = table(spark, SF01, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    c = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update(lm.tokens(t.encode()))
+    n, v = sum(c.values()), len(c)
+    out = {r["doc_id"]: r for r in lm.op2_lm_score(spark, SF01).collect()}
+    assert len(out) == len(rows)
+    better = 0
+    for i, t in rows:
+        w, r = lm.tokens(t.encode()), out[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + .5) / (n + .5 * (v + 1))) for x in w), rel=1e-9)
+        better += (r["score"] - r["base_score"]) * r["held_out"]
+    assert better > 0          # on held-out documents the model is better than single-word counts
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    m = lm.LogBilinear(rng.random(20) + .1)
+    trainer = lm.Trainer(m, 1)
+    ids = rng.integers(0, 20, 500)
+    for _ in range(20):
+        trainer.step(ids, lm.contexts_of(ids))
+    c = lm.contexts_of(ids)
+    p = np.exp(m.predicted(c) @ m.target.T + m.bias - m.log_sums()[c[:, 0], c[:, 1]][:, None])
+    assert p.sum(axis=1) == pytest.approx(np.ones(len(ids)), abs=1e-4)
+
+
+def test_lm_learns_an_order():
+    """A sequence that alternates is told from single-word counts."""
+    m = lm.LogBilinear(np.array([1.0, 1, 1, 1]))
+    ids = np.tile([2, 3], 4096)
+    trainer = lm.Trainer(m, 1)
+    for _ in range(300):
+        trainer.step(ids, lm.contexts_of(ids))
+    c = lm.contexts_of(np.array([2, 3, 2, 3]))
+    s = (m.predicted(c) * m.target[[2, 3, 2, 3]]).sum(axis=1) + m.bias[[2, 3, 2, 3]] - m.log_sums()[c[:, 0], c[:, 1]]
+    assert np.exp(s[2:]).min() > 0.6
+
+
+def test_lm_edge_rows(spark, edge, nothing):
+    rows = lm.lm_scores(edge).collect()
+    assert len(rows) == edge.count()
+    for r in rows:
+        if r["doc_id"] in (2, 3, 4):
+            assert r["n_tokens"] == 1
+        if r["doc_id"] is None:
+            assert not r["held_out"]
+        assert math.isfinite(r["score"]) and r["score"] < 0
+    assert lm.lm_scores(nothing).count() == 0
+    only = spark.createDataFrame(rows_of([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:3]), SCHEMA)
+    for r in lm.lm_scores(only).collect():
+        assert (r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0) and -20 < r["score"] < 0
+
+
+# ---------------------------------------------------------------- 3
+
+def test_cross_parsing_equals_brute_force(monkeypatch):
+    rng = random.Random(1)
+    samples = {"x": "abracadabra the cat", "y": "le chat est la"}
+
+    def phrases(t, s):
+        n = i = 0
+        while i < len(t):
+            j = i + 1
+            while t[i] in s and j < len(t) and t[i:j + 1] in s:
+                j += 1
+            n, i = n + 1, j
+        return n
+
+    texts = ["".join(rng.choice("abrcdhe tlsq") for _ in range(rng.randrange(1, 200))).strip() for _ in range(200)]
+    p = li.CrossParser(samples)
+    found, sizes = p.parse(texts)
+    for k, t in enumerate(texts):
+        t = li.normal_text(t)
+        assert sizes[k] == len(t)
+        assert [f[k] for f in found] == [phrases(t, samples[x]) for x in p.languages]
+
+
+def test_language_on_tables(spark):
+    truth = {r["doc_id"]: r["lang"] for r in table(spark, SF01, "documents").select("doc_id", "lang").collect()}
+    out = li.op3_language_id(spark, SF01).collect()
+    assert len(out) == len(truth)
+    held = [r for r in out if r["held_out"]]
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= .98 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_language_edge_rows(spark, edge, nothing):
+    samples = li.sample_languages(edge.where("doc_id = 5").select("doc_id", "text", "lang"))
+    out = {r["doc_id"]: r for r in li.predict_languages(edge, samples).collect()}
+    assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (2, 3, 4))
+    assert out[1]["lang_pred"] == "en" == out[9]["lang_pred"]
+    assert li.predict_languages(nothing, samples).count() == 0
+    assert li.sample_languages(nothing.select("doc_id", "text", "lang")) == {}
+    assert {r["lang_pred"] for r in li.predict_languages(edge, {}).collect()} == {"und"}
+
+
+def test_language_with_many_letters():
+    """Letters beyond the own classes share classes: the step table stays bounded."""
+    s = "".join(chr(0x4E00 + k % 3000) for k in range(9000))
+    p = li.CrossParser({"zh": s, "en": "plain words here"})
+    assert p.width <= li.LETTERS + li.SHARED + 3
+    assert p.predict([s[100:400], "here words"])[0] == ["zh", "en"]
+
+
+# ---------------------------------------------------------------- 5
+
+def test_secrets_found_and_masked(spark, nothing, edge):
+    rng = random.Random(3)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, truth = [], {}
+    for i in range(240):
+        t = prose(rng, 60)
+        if i % 3 == 0:
+            truth[i] = rng.choice(["AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)), hexa(40)])
+            t += (' token = "' + truth[i] + '" ') if truth[i][0] != "A" else f" {truth[i]} "
+        elif i % 3 == 1:
+            t += f" {rng.randrange(10**15, 10**16)} "
+        rows.append((i, t + prose(rng, 20)))
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA).repartition(3)
+    words, forest = ss.learn_secrets(docs)
+    found = ss.scan_secrets(docs, words, forest).collect()
+    text = dict(rows)
+    assert {(r["doc_id"], text[r["doc_id"]][r["start"]:r["start"] + r["length"]]) for r in found if r["is_secret"]} == set(truth.items())
+    masked = ss.redact(docs, words, forest)
+    assert masked.schema == docs.schema
+    for r in masked.collect():
+        assert r["text"] == text[r["doc_id"]].replace(truth.get(r["doc_id"], "\0"), ss.MASK) and r["n_chars"] == len(r["text"])
+    assert got(ss.redact(edge, words, forest)) == got(edge)
+    assert ss.scan_secrets(nothing, words, forest).count() == 0 and ss.redact(nothing, words, forest).count() == 0
+    unlearned = ss.learn_secrets(nothing)
+    assert all(r["is_secret"] for r in ss.scan_secrets(docs, *unlearned).collect())
+
+
+def test_secrets_learn_from_given_labels(spark):
+    """Reviewed findings replace the labels by shape."""
+    rng = random.Random(4)
+    rows = [(i, "id " + "".join(rng.choice("0123456789") for _ in range(16)) if i % 2 else "ref x" + "".join(rng.choice("0123456789abcdef") for _ in range(30)))
+            for i in range(200)]
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA)
+    labels = spark.createDataFrame([(i, 3 if i % 2 else 4, i % 2) for i in range(100)], "doc_id long, start long, label int")
+    found = ss.scan_secrets(docs, *ss.learn_secrets(docs, labels)).collect()
+    assert all(r["is_secret"] == (r["doc_id"] % 2 == 1) for r in found) and len(found) == 200
+
+
+# ---------------------------------------------------------------- 7
+
+@pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
+@pytest.mark.parametrize("high", [1, 2, 300, 50257, 2**32 - 1])
+def test_blocks_round_trip(n, high):
+    rng = random.Random(n)
+    x = np.array([rng.randrange(high) if rng.random() < .9 else rng.randrange(2**32) for _ in range(n)], "<u4")
+    assert (ti.unpack_blocks(*ti.pack_blocks(x)) == x).all()
+
+
+def test_token_ids_equal_the_library(spark, edge, tmp_dir, monkeypatch):
+    monkeypatch.setattr(ti, "SEGMENT_IDS", 3000)
+    t = Tokenizer.from_file(public_tokenizers.path(ti.MODEL))
+    t.encode_special_tokens = True
+    docs = edge.union(spark.createDataFrame(rows_of([(100 + k, x) for k, x in enumerate(ODD + mixed(5))]), SCHEMA))
+    path = tmp_dir + "/ids"
+    ti.write_token_ids(docs, path)
+    order = docs.selectExpr("doc_id", "text", "xxhash64(text) as tie").orderBy("doc_id", "tie").collect()
+    want, start = [], 0
+    for r in order:
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want.append((r["doc_id"], start, len(ids), ids))
+        start += len(ids)
+    assert got(ti.read_token_ids(spark, path)) == sorted(want, key=str)
+    crc = [(d, s, n, zlib.crc32(np.array(x, "<u4").tobytes())) for d, s, n, x in want]
+    assert got(ti.read_token_digests(spark, path)) == sorted(crc, key=str)
+
+
+def test_token_ids_empty(spark, nothing, tmp_dir):
+    ti.write_token_ids(nothing, tmp_dir + "/none")
+    assert ti.read_token_ids(spark, tmp_dir + "/none").count() == 0
+
+
+# ---------------------------------------------------------------- 8
+
+def test_pieces_equal_the_library(spark, edge, monkeypatch):
+    monkeypatch.setattr(pc, "CACHE_CHUNKS", 500)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pc.MODEL))
+    rows = [(r["doc_id"], r["text"]) for r in edge.collect()] + [(100 + k, x) for k, x in enumerate(ODD + mixed(6))]
+    docs = edge.union(spark.createDataFrame(rows_of(rows[-len(ODD) - 300:]), SCHEMA))
+    want = []
+    for i, t in rows:
+        ids = sp.encode(t or "")
+        want.append((i, len(ids), ids, sp.decode(ids)))
+    assert got(pc.encode_pieces(docs)) == sorted(want, key=str)
+    sha = [(i, n, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, n, x, t in want]
+    assert got(pc.piece_digests(docs)) == sorted(sha, key=str)
+
+
+def test_pieces_without_a_small_memory():
+    v = pc.MergeVocabulary(public_tokenizers.path(pc.MODEL))
+    sp = v.library
+    for t in ODD[1:] + mixed(7):
+        csv, back = v.encode(pa.array([t]))
+        assert [int(x) for x in csv[0].split(b",")] if t else [] == sp.encode(t)
+        assert back[0] == sp.decode(sp.encode(t))
+
+
+def test_pieces_empty(nothing):
+    assert pc.encode_pieces(nothing).count() == 0
+
+
+# ---------------------------------------------------------------- 10
+
+def test_quality_on_held_out_documents(spark):
+    out = {r["doc_id"]: r for r in qm.op10_quality_model(spark, SF01).collect()}
+    assert len(out) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= .3) for r in out.values())
+    held = [(out[r["doc_id"]]["predicted"], r["quality"]) for r in table(spark, SF01, "labels").collect() if out[r["doc_id"]]["held_out"]]
+    assert len(held) > 40 and sum(p == q for p, q in held) >= .93 * len(held)
+
+
+def test_quality_edge_rows(spark, edge, nothing):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (5, 1), (14, 0), (13, 0), (9, 0), (8, None), (None, 1), (4242, 1)], "doc_id long, quality int")
+    out = qm.quality_scores(edge, labels)
+    assert out.count() == edge.count()
+    assert all(math.isfinite(r["score"]) for r in out.collect())
+    assert {r["score"] for r in qm.quality_scores(edge, labels.limit(0)).collect()} == {.5}
+    assert qm.quality_scores(nothing, labels).count() == 0
+    model = qm.fit_quality(qm.document_statistics(edge), labels)
+    kept = qm.keep_quality(edge, model)
+    scores = qm.score_quality(qm.document_statistics(edge), model)
+    assert kept.schema == edge.schema and kept.count() == scores.where("predicted = 1").count()
+
+
+def test_isotonic_rises():
+    x, y = qm.isotonic(np.arange(5.0), np.array([.1, .5, .3, .2, .9]), np.ones(5))
+    assert (np.diff(y) > 0).all() and y[-1] == .9 and y[1] == pytest.approx(1 / 3)
+
+
+def test_random_features_approximate_the_kernel():
+    m = qm.QualityModel(np.zeros(len(qm.STATS)), np.ones(len(qm.STATS)))
+    x = np.random.default_rng(3).normal(size=(40, len(qm.STATS)))
+    f = m.features(x)[:, :-1]
+    true = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * qm.WIDTH ** 2))
+    assert np.abs(f @ f.T - true).mean() < .1

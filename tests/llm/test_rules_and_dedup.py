@@ -223,7 +223,7 @@ def near_copies(seed, n, size):
 @pytest.mark.parametrize("block", [2000, 5])
 def test_jaccard_equals_sql(spark, monkeypatch, block):
     monkeypatch.setattr(jj, "LIST_BLOCK", block)
-    found = [t for k, size in enumerate((9, 10, 12, 20, 24, 40, 148)) for t in near_copies(k, 40, size)]
+    found = [t for k, size in enumerate((9, 10, 12, 20, 24, 40, 148, 2500, 5000)) for t in near_copies(k, 40, size)]
     random.Random(9).shuffle(found)
     docs = spark.createDataFrame(rows_of(list(enumerate(found))), SCHEMA).repartition(4)
     assert got(jj.jaccard_components(docs)) == duck(jj.OP9_SQL, pdf(docs))

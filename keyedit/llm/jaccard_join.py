@@ -49,7 +49,7 @@ TENTHS = 9                 # threshold in tenths: 100 * intersection >= 90 * uni
 HOT_SHARE = 200_000        # shingles put last: those with more than 1/HOT_SHARE of all list entries
 MIN_HOT = 64               # and at least so many entries; there are at most HOT_SHARE of them
 LIST_BLOCK = 2000          # longer lists are cut into blocks of about this length
-SKETCH_BITS = 512
+SKETCH_BITS = 512          # of sets up to 2,048 shingles; longer sets have more
 BROADCAST_IDS = 500_000    # candidate documents looked up by broadcast (16 bytes each); beyond, by shuffle
 LIGHT_LIMIT = 30           # sizes tried for the boundary
 
@@ -93,11 +93,27 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def sketch_bits(n: int) -> int:
+    """Unrelated sets differ in half of the bits: more than linked sets of ``n`` may differ in."""
+    bits = SKETCH_BITS
+    while bits * 4 < n:
+        bits *= 2
+    return bits
+
+
 def sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+    """Parity of the shingles in each of ``sketch_bits`` classes; folding halves gives the smaller sketches."""
+    n = sketch_bits(len(s))
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(sk: np.ndarray, words: int) -> np.ndarray:
+    while len(sk) > words:
+        sk = sk[:len(sk) // 2] ^ sk[len(sk) // 2:]
+    return sk
+
+
 def prefix_length(n: int) -> int:
     return n - -(-TENTHS * n // 10) + 1
 
@@ -181,9 +197,21 @@ def _signatures(hot: np.ndarray, light: int):
     return run
 
 
-def _pairs(g, side, n, node, sk, part):
+def _pairs(g, side, n, node, sketches, part):
     """Positions of the surviving pairs of a chunk that holds whole lists (rows sorted by list)."""
     left, right, dist = [], [], []
+    own = [np.frombuffer(x, np.uint64) for x in sketches]
+    size = np.array([len(x) for x in own])
+    least = SKETCH_BITS // 64
+    levels = {least: (np.arange(len(own)), np.stack([folded(x, least) for x in own]))}
+    w = least * 2
+    while (size >= w).any():            # finer sketches of the long sets
+        rows = np.flatnonzero(size >= w)
+        at = np.zeros(len(own), np.int64)
+        at[rows] = np.arange(len(rows))
+        levels[w] = at, np.stack([folded(own[k], w) for k in rows])
+        w *= 2
+
     alive = np.arange(len(g) - 1)
     d = 1
     while len(alive):
@@ -195,9 +223,15 @@ def _pairs(g, side, n, node, sk, part):
         if part is not None:
             ok &= part[i] != part[j]
         i, j = i[ok], j[ok]
-        x = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1)
-        ok = x * (10 + TENTHS) <= (10 - TENTHS) * (n[i] + n[j])
-        left.append(i[ok]); right.append(j[ok]); dist.append(x[ok])
+        x = np.zeros(len(i), np.int64)
+        for words, (at, sk) in levels.items():
+            finer = np.flatnonzero(np.minimum(size[i], size[j]) >= words)
+            x[finer] = np.bitwise_count(sk[at[i[finer]]] ^ sk[at[j[finer]]]).sum(axis=1)
+            ok = x * (10 + TENTHS) <= (10 - TENTHS) * (n[i] + n[j])
+            i, j, x = i[ok], j[ok], x[ok]
+        left.append(i)
+        right.append(j)
+        dist.append(x)
         d += 1
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else empty for x in (left, right, dist))
@@ -209,8 +243,7 @@ def _scan(forest: bool):
         g, n, node = (t.column(c).to_numpy() for c in ("g", "n", "node"))
         side = t.column("side").to_numpy()
         part = None if forest else t.column("part").to_numpy()
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-        i, j, dist = _pairs(g, side, n, node, sk, part)
+        i, j, dist = _pairs(g, side, n, node, t.column("sketch").to_pylist(), part)
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         order = np.lexsort((b, a, dist))
         a, b = a[order], b[order]
@@ -293,7 +326,7 @@ def _lists(sigs: DataFrame) -> DataFrame:
     entries = nodes.select("node", F.explode("entries").alias("tok"))
     counts = entries.groupBy("tok").agg(F.count("*").alias("cnt")).where("cnt > 1")
     full = (entries.join(counts, "tok")
-            .join(sigs.where("n > 0").dropDuplicates(["node"]).select("node", "n", "sketch"), "node"))
+            .join(nodes.select("node", "n", "sketch"), "node"))
     blocks = F.ceil(F.col("cnt") / LIST_BLOCK).cast("int")
     full = full.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.hash("node"), F.col("blocks")))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -90,7 +90,7 @@ def main(argv=None) -> int:
         target = spark.read.parquet(a.target)
         bound = bind_changeset(raw, cols)
         co = coerce_changes(stage_as_text(bound, cols), target.schema, a.key, cols)
-        n_dup = export_csv(ck.duplicate_pairs(bound), f"{a.out}/duplicate_pairs", empty_ok=True)
+        n_dup = export_csv(ck.duplicate_pairs(ck.canonical_keys(co)), f"{a.out}/duplicate_pairs", empty_ok=True)
         n_miss = export_csv(ck.missing_keys(co, target, a.key), f"{a.out}/missing_keys", empty_ok=True)
         n_data = len([c for c in raw.columns if c != "row_num"])
         gates = [r.asDict() for r in ck.gate_report(bind_changeset(raw, cols, keep_null_keys=True), co, cols, n_data)

@@ -10,19 +10,11 @@ MAX_FILE_BYTES = 10 * 1024 * 1024          # largest change-set file accepted
 MAX_ROWS = 100000                          # most data rows in one change set
 PREVIEW_ROWS = 50                          # rows shown by a preview
 STAGED_TEXT_MAX = 4000                     # longest staged text value
-IMPORT_BATCH = 100                         # rows per staging commit
-UPDATE_BATCH = 50                          # rows per update commit
 WIDTH_PAD = 2                              # export column width padding
 WIDTH_CAP = 50                             # export column width cap
 HISTORY_LIMIT = 100                        # rows in audit / history views
 FIRST_DATA_ROW = 2                         # sheet row of the first data row
 
-# --- fixed values: progress rescaling (overall bar) -----------------------
-IMPORT_PROGRESS_BASE = 30                  # import phase: 30 + pct * 0.2
-IMPORT_PROGRESS_TENTHS = 2
-UPDATE_PROGRESS_BASE = 55                  # update phase: 55 + pct * 0.4
-UPDATE_PROGRESS_TENTHS = 4
-
 # --- fixed values: names and formats --------------------------------------
 BACKUP_INFIX = "_BAK_"
 STAGING_PREFIX = "TEMP_UPDATE_"

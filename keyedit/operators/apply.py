@@ -88,7 +88,7 @@ def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
     """``row_num, key_value, status, reason, rows_updated, failed`` for every change row."""
     fits = change_keys_fit(coerced) if fits is None else fits
     counts = matched_key_counts(target, key_column, coerced, fits)
-    joined = keyed_join(coerced, counts, [KEY_CAST], "left", small_fits=fits)
+    joined = keyed_join(coerced, counts, [KEY_CAST], "left", small_fits=fits, big_unique=True)
     n = F.coalesce(F.col("rows_matched"), F.lit(0)).cast("long")
     status = (F.when(n == 0, F.lit(MISSING_KEY))
               .when(~F.col("type_ok"), F.lit(TYPE_MISMATCH))
@@ -150,7 +150,7 @@ def match_changes(target: DataFrame, staged_keys: DataFrame, key_column: str) ->
     tkey = _target_name(target, key_column)
     ch = staged_keys.select(F.col(KEY_CAST).alias(tkey), F.col(ROW_NUM), F.col(KEY))
     ch = ch.where(F.col(tkey).isNotNull())
-    return keyed_join(target.select(tkey), ch, [tkey], "inner").select(ROW_NUM, KEY, tkey)
+    return keyed_join(target.select(tkey), ch, [tkey], "inner", equal_rows=True).select(ROW_NUM, KEY, tkey)
 
 
 def old_new_values(target: DataFrame, coerced: DataFrame, key_column: str,
@@ -162,7 +162,7 @@ def old_new_values(target: DataFrame, coerced: DataFrame, key_column: str,
                         *[F.col(f"`{n}__raw`").alias(f"new_{n}") for n in names]
                         ).where(F.col(tkey).isNotNull())
     t = target.select(tkey, *[F.col(f"`{n}`").alias(f"old_{n}") for n in names])
-    j = keyed_join(t, ch, [tkey], "inner")
+    j = keyed_join(t, ch, [tkey], "inner", equal_rows=True)
     return j.select(ROW_NUM, tkey, *[f"old_{n}" for n in names], *[f"new_{n}" for n in names])
 
 
@@ -212,17 +212,18 @@ def apply_all_or_nothing(target: DataFrame, new_target: DataFrame, outcomes: Dat
 
 
 def upsert_by_key(target: DataFrame, new_target: DataFrame, coerced: DataFrame, key_column: str,
-                  update_columns: Sequence[str], outcomes: DataFrame, fits: bool | None = None) -> DataFrame:
+                  update_columns: Sequence[str], fits: bool | None = None) -> DataFrame:
     """Applied target plus one inserted row per passing change whose key is absent.
 
-    The missing-key rows are a subset of the change rows, so the change-key
-    bound (``fits``) also bounds them; they are not measured again.
+    The keys present are a subset of the change keys, so the change-key bound
+    (``fits``) also bounds them; they are not measured again.
     """
     tkey = _target_name(target, key_column)
     names = [_target_name(target, c) for c in update_columns]
     fits = change_keys_fit(coerced) if fits is None else fits
-    missing = outcomes.where(F.col("status") == MISSING_KEY).select(ROW_NUM)
-    new_rows = keyed_join(passing_changes(coerced), missing, [ROW_NUM], "left_semi", small_fits=fits)
+    # by key, not by row number: row numbers repeat where a change set comes from several files
+    present = matched_key_counts(target, key_column, coerced, fits).select(KEY_CAST)
+    new_rows = keyed_join(passing_changes(coerced), present, [KEY_CAST], "left_anti", small_fits=fits, big_unique=True)
     fields = {f.name: f.dataType for f in target.schema.fields}
     cols = []
     for c in target.columns:

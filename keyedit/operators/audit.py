@@ -8,6 +8,7 @@ deletions write a new table and report counts.
 
 from __future__ import annotations
 
+import json
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -41,23 +42,31 @@ UPDATE_DETAILS = T.StructType([
 
 # --- reading -----------------------------------------------------------------
 
+_CORRUPT = "_corrupt"
+_READABLE = "a is not null and a._corrupt is null"
+
+
+def _parsed(lines: DataFrame, value_col: str) -> DataFrame:
+    schema = T.StructType([*AUDIT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    return lines.select(F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+                        .alias("a"), F.col(value_col))
+
+
 def parse_audit_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """Decode JSON lines; a line that does not parse is dropped (see ``audit_corrupt``).
+    """Decode JSON lines; a line that is not a JSON object is dropped (see ``audit_corrupt``).
+
+    An entry without an ``action_type`` is an entry like any other.
 
     ``details`` stays JSON text so every action type fits one schema; decode it
     per action with ``from_json`` (``UPDATE_DETAILS`` for updates).
     """
-    parsed = lines.select(F.from_json(F.col(value_col), AUDIT_SCHEMA,
-                                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("a"),
-                          F.col(value_col).alias("__line"))
-    ok = F.col("a").isNotNull() & F.col("a.action_type").isNotNull()
-    return parsed.where(ok).select("a.*")
+    parsed = _parsed(lines, value_col)
+    return parsed.where(_READABLE).select("a.*").drop(_CORRUPT)
 
 
 def audit_corrupt(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """The lines that ``parse_audit_lines`` drops, kept as a side output."""
-    parsed = lines.select(F.from_json(F.col(value_col), AUDIT_SCHEMA).alias("a"), F.col(value_col))
-    return parsed.where(F.col("a").isNull() | F.col("a.action_type").isNull()).select(value_col)
+    return _parsed(lines, value_col).where(~F.expr(_READABLE)).select(value_col)
 
 
 def read_audit(spark, path: str) -> DataFrame:
@@ -171,18 +180,24 @@ def purge_counts(audit: DataFrame, before: str, corrupt: DataFrame | None = None
 def purge_audit(spark, path: str, before: str, out_path: str) -> dict:
     """Write the entries kept by a purge (and the unreadable lines, apart) to new paths.
 
-    Returns ``{deleted_count, kept_count, corrupt_count}``; the counts come from
-    the same jobs as the writes (``Observation``). The old files stay as they
-    are until the caller switches to ``out_path``.
+    Returns ``{deleted_count, kept_count, corrupt_count}``; all three are counted
+    in the job that writes the kept entries (``Observation``). The old files stay
+    as they are until the caller switches to ``out_path``.
     """
-    from keyedit.sinks.writers import write_counted
+    from pyspark.sql import Observation
+
+    from keyedit.sinks.writers import refuse_same_path, write_counted
     lines = spark.read.text(path)
-    entries = parse_audit_lines(lines)
-    kept, _ = purge_before(entries, before)
-    n_kept = write_counted(kept, out_path, "json", mode="overwrite")
-    n_bad = write_counted(audit_corrupt(lines), f"{out_path.rstrip('/')}_corrupt", "text", mode="overwrite")
-    total = entries.count()
-    return {"deleted_count": total - n_kept, "kept_count": n_kept, "corrupt_count": n_bad}
+    refuse_same_path(lines, out_path)
+    counts = Observation("keyedit_purge")
+    old = F.coalesce(F.col("a.timestamp"), F.lit("")) < F.lit(before)
+    good = F.expr(_READABLE)
+    seen = _parsed(lines, "value").observe(
+        counts, F.count_if(good & old).alias("deleted_count"), F.count_if(good & ~old).alias("kept_count"),
+        F.count_if(~good).alias("corrupt_count"))
+    seen.where(good & ~old).select("a.*").drop(_CORRUPT).write.mode("overwrite").json(out_path)
+    write_counted(audit_corrupt(lines), f"{out_path.rstrip('/')}_corrupt", "text", mode="overwrite")
+    return {k: int(v) for k, v in counts.get.items()}
 
 
 def audit_view(audit: DataFrame, limit: int = fixed.HISTORY_LIMIT, action_type: str | None = None) -> DataFrame:
@@ -230,6 +245,44 @@ def update_entry(summary: DataFrame, *, schema: str, table: str, key_column: str
     )
 
 
+def _entry(spark, action: str, details: dict, *, success: bool, run_ts: str, error_msg: str = "",
+           user: str = "system", entry_id: int = 0) -> DataFrame:
+    """One audit entry of a given kind; ``details`` is kept as JSON text."""
+    one = spark.range(1)
+    return one.select(
+        F.date_format(F.lit(run_ts).cast("timestamp"), fixed.TEXT_TS_FORMAT).alias("timestamp"),
+        F.lit(action).alias("action_type"), F.lit(user).alias("user"), F.lit(success).alias("success"),
+        F.lit(error_msg).alias("error_msg"), F.lit(json.dumps(details, ensure_ascii=False)).alias("details"),
+        F.lit(entry_id).cast("long").alias("id"))
+
+
+def connection_entry(spark, *, source: str, success: bool, run_ts: str, error_msg: str = "", **more) -> DataFrame:
+    """A source or target was opened (or could not be)."""
+    return _entry(spark, fixed.ACTION_CONNECTION, {"source": source}, success=success, run_ts=run_ts,
+                  error_msg=error_msg, **more)
+
+
+def export_entry(spark, *, kind: str, path: str, record_count: int, success: bool, run_ts: str,
+                 error_msg: str = "", **more) -> DataFrame:
+    """Records were exported (or the export failed)."""
+    return _entry(spark, fixed.ACTION_EXPORT, {"export_type": kind, "file_path": path, "record_count": record_count},
+                  success=success, run_ts=run_ts, error_msg=error_msg, **more)
+
+
+def rollback_entry(spark, *, schema: str, table: str, backup_table: str, success: bool, run_ts: str,
+                   error_msg: str = "", **more) -> DataFrame:
+    """A target went back to, or stayed at, the version before a run."""
+    return _entry(spark, fixed.ACTION_ROLLBACK, {"schema": schema, "table": table, "backup_table": backup_table},
+                  success=success, run_ts=run_ts, error_msg=error_msg, **more)
+
+
+def write_history(history: DataFrame, remaining: DataFrame, path: str) -> dict:
+    """Write a shortened or cleared history to a new path: ``{deleted_count, remaining_count}``."""
+    from keyedit.sinks.writers import write_counted
+    n = write_counted(remaining, path, mode="overwrite")
+    return {"deleted_count": history.count() - n, "remaining_count": n}
+
+
 def history_record(summary: DataFrame, *, schema: str, table: str, key_column: str,
                    update_columns: Sequence[str], backup_table: str, run_ts: str) -> DataFrame:
     ts = F.lit(run_ts).cast("timestamp")

@@ -18,8 +18,8 @@ from keyedit.functions import fixed
 from keyedit.operators.joins import keyed_join
 from keyedit.operators.staging import KEY, KEY_CAST, ROW_NUM
 
-# Row numbers of one duplicated key are listed per block of this many sheet rows.
-ROWS_PER_CHUNK = 1000
+# A key with more occurrences than this has its row numbers listed in blocks of about as many.
+ROWS_PER_CHUNK = 100_000
 
 
 # --- duplicates ------------------------------------------------------------
@@ -38,6 +38,16 @@ def _keyed(changes: DataFrame, key) -> DataFrame:
     return changes.where(cond)
 
 
+def canonical_keys(coerced: DataFrame) -> DataFrame:
+    """``row_num, key_value`` with the key in its canonical spelling.
+
+    A key that converts to the target's key type is written as that value, so
+    ``7`` and ``007`` are one key; one that does not stays as it is. All duplicate
+    checks take these rows, and so agree with the ``unique_keys`` gate.
+    """
+    return coerced.select(ROW_NUM, F.coalesce(F.col(KEY_CAST).cast("string"), F.col(KEY)).alias(KEY))
+
+
 def first_rows(changes: DataFrame, key=KEY) -> DataFrame:
     """``(key…, first_row, occurrences)`` per key, from a partial aggregate."""
     return (_keyed(changes, key).groupBy(*_keys(key))
@@ -73,15 +83,15 @@ def duplicate_keys_top(changes: DataFrame, n: int = 5, key=KEY) -> DataFrame:
 def duplicate_key_rows(changes: DataFrame, key=KEY, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Every duplicated key with all its row numbers as ``"2, 5, 9"`` text.
 
-    The list is split by blocks of ``rows_per_chunk`` sheet rows
-    (``chunk = row_num div rows_per_chunk``), so no group holds more than
-    that many rows however hot the key; concatenating a key's chunks in
-    ``chunk`` order gives its full list.
+    A key is one row (``chunk = 0``), unless it occurs more than
+    ``rows_per_chunk`` times: its list is then split by blocks of as many sheet
+    rows (``chunk = row_num div rows_per_chunk``), so no group grows with a hot
+    key; concatenating a key's chunks in ``chunk`` order gives its full list.
     """
     ks = _keys(key)
-    dups = duplicate_keys(changes, key).select(*ks)
-    rows = keyed_join(_keyed(changes, key).select(*ks, ROW_NUM), dups, ks, "left_semi")
-    chunk = (F.col(ROW_NUM) / F.lit(rows_per_chunk)).cast("long")
+    dups = duplicate_keys(changes, key).select(*ks, "occurrences")
+    rows = keyed_join(_keyed(changes, key).select(*ks, ROW_NUM), dups, ks, "inner")
+    chunk = F.when(F.col("occurrences") > rows_per_chunk, (F.col(ROW_NUM) / F.lit(rows_per_chunk)).cast("long")).otherwise(F.lit(0).cast("long"))
     return (rows.groupBy(*[F.col(k) for k in ks], chunk.alias("chunk"))
             .agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                  F.array_join(F.array_sort(F.collect_list(F.col(ROW_NUM))), ", ").alias("rows")))
@@ -191,12 +201,13 @@ def changeset_profile(raw_bound: DataFrame) -> DataFrame:
 
 
 def gate_report(raw_bound: DataFrame, coerced: DataFrame, update_columns: Sequence[str],
-                n_data_columns: int, *, max_rows: int | None = fixed.MAX_ROWS,
-                max_text: int | None = fixed.STAGED_TEXT_MAX) -> DataFrame:
+                n_data_columns: int, *, max_rows: int | None = None,
+                max_text: int | None = None) -> DataFrame:
     """The quality gates as rows ``(seq, check_name, passed, observed, limit_value, message)``.
 
     One aggregate over the rows and one over the canonical keys; the gates are
     laid out with ``stack`` from those one-row results, nothing is collected.
+    There is no row or text limit unless one is given.
     """
     texts = [F.octet_length(F.col(KEY).cast("string"))]
     texts += [F.octet_length(F.col(f"`{c}`").cast("string")) for c in update_columns]

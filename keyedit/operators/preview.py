@@ -1,4 +1,4 @@
-"""Previews, batch progress and export column widths."""
+"""Previews and export column widths."""
 
 from __future__ import annotations
 
@@ -57,37 +57,6 @@ def column_widths(df: DataFrame, pad: int = fixed.WIDTH_PAD, cap: int = fixed.WI
     return one.select(F.expr(f"stack({len(cols)}, {', '.join(parts)}) as (ordinal, column_name, width)"))
 
 
-def batch_plan(spark: SparkSession, total: int, batch_size: int, base: int, tenths: int,
-               phase: str) -> DataFrame:
-    """Progress after each batch of a phase.
-
-    ``processed = min((b + 1) * size, total)``, ``pct = processed * 100 div total``
-    (0 for an empty phase) and the overall bar ``base + pct * tenths div 10``.
-    The batches are generated by ``spark.range`` (partitioned), not in one row.
-    """
-    n_batches = -(-total // batch_size) if total > 0 else 0
-    b = F.col("id")
-    processed = F.least((b + 1) * batch_size, F.lit(total).cast("long"))
-    pct = percent(processed, F.lit(total).cast("long"))
-    return spark.range(0, n_batches).select(
-        F.lit(phase).alias("phase"),
-        b.cast("long").alias("batch"),
-        processed.cast("long").alias("processed"),
-        F.lit(total).cast("long").alias("total"),
-        pct.alias("pct"),
-        (F.lit(base) + idiv(pct * tenths, 10)).cast("long").alias("overall_pct"),
-    )
-
-
-def progress(spark: SparkSession, imported: int, matched: int) -> DataFrame:
-    """Import and update phases of a run, with the tool's batch sizes and rescaling."""
-    imp = batch_plan(spark, imported, fixed.IMPORT_BATCH, fixed.IMPORT_PROGRESS_BASE,
-                     fixed.IMPORT_PROGRESS_TENTHS, "import")
-    upd = batch_plan(spark, matched, fixed.UPDATE_BATCH, fixed.UPDATE_PROGRESS_BASE,
-                     fixed.UPDATE_PROGRESS_TENTHS, "update")
-    return imp.unionByName(upd)
-
-
 def export_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Records for export: a missing (NULL) field is written as ``''``."""
     cols = columns or df.columns

@@ -235,33 +235,12 @@ def q_preview_summary(spark, d):
     return pv.preview_summary(bound, fixed.PREVIEW_ROWS)
 
 
-@query("batch_progress", f"""with {CS1_CO},
-n as (select (select count(*) from co) as imp,
-             (select count(*) from customer t join co on t.c_custkey = co.key_cast) as upd)
-select 'import' as phase, b as batch, least((b + 1) * 100, imp) as processed, imp as total,
-       least((b + 1) * 100, imp) * 100 // imp as pct, 30 + (least((b + 1) * 100, imp) * 100 // imp) * 2 // 10 as overall_pct
-from n, range(0, (imp + 99) // 100) r(b)
-union all
-select 'update', b, least((b + 1) * 50, upd), upd, least((b + 1) * 50, upd) * 100 // upd,
-       55 + (least((b + 1) * 50, upd) * 100 // upd) * 4 // 10
-from n, range(0, (upd + 49) // 50) r(b)""")
-def q_batch_progress(spark, d):
-    """Progress after each import and update batch."""
-    target, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
-    imported = coerced.count()
-    matched = ap.match_changes(target, coerced, "c_custkey").count()
-    return pv.progress(spark, imported, matched)
-
-
 @query("import_count", f"""with {CS1_CO}
-select count(*) as imported_count, (count(*) + 99) // 100 as batches from co""")
+select count(*) as imported_count from co""")
 def q_import_count(spark, d):
-    """K3: rows staged and the number of 100-row batches."""
+    """K3: rows staged."""
     _, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
-    n = F.count(F.lit(1)).cast("long")
-    return coerced.agg(n.alias("imported_count")).select(
-        "imported_count", idiv(F.col("imported_count") + (fixed.IMPORT_BATCH - 1), fixed.IMPORT_BATCH)
-        .alias("batches"))
+    return coerced.agg(F.count(F.lit(1)).cast("long").alias("imported_count"))
 
 
 @query("upsert_by_key", f"""{CS1_NEW},
@@ -275,9 +254,7 @@ def q_upsert_by_key(spark, d):
     target, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
     spec = fx.CUSTOMER_SPEC
     new_t = ap.apply_updates(target, coerced, spec.key_column, spec.update_columns)
-    fits = ap.change_keys_fit(coerced)
-    oc = ap.row_outcomes(coerced, target, spec.key_column, fits=fits)
-    return ap.upsert_by_key(target, new_t, coerced, spec.key_column, spec.update_columns, oc, fits=fits)
+    return ap.upsert_by_key(target, new_t, coerced, spec.key_column, spec.update_columns)
 
 
 @query("restore_rows", f"""{CS1_NEW},
@@ -296,22 +273,35 @@ def q_restore_rows(spark, d):
     return ap.restore_rows(new_t, target, sel, "c_custkey", spec.update_columns)
 
 
+def _snapshot(spark, d) -> tuple[str, str]:
+    """A copy of customer under its backup name in the shared folder: (name, path)."""
+    import uuid
+
+    from keyedit.session import scratch_path
+    from keyedit.sinks.writers import snapshot
+    name = spark.range(1).select(backup_name(F.lit("customer"), F.lit(fx.RUN_TS).cast("timestamp")).alias("n")).first()["n"]
+    path = scratch_path(spark, f"{uuid.uuid4().hex}/{name}")
+    snapshot(fx.table(spark, d, "customer"), path)
+    return name, path
+
+
 @query("restore_full", "select * from customer")
 def q_restore_full(spark, d):
-    """Whole-table restore from the snapshot taken before the run."""
+    """Whole-table restore from a snapshot written before the run and read back."""
     from keyedit.plans.job import restore_full
+    _, path = _snapshot(spark, d)
     target, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
     new_t = ap.apply_updates(target, coerced, "c_custkey", fx.CUSTOMER_SPEC.update_columns)
-    return restore_full(current=new_t, backup=target)
+    return restore_full(current=new_t, backup=spark.read.parquet(path))
 
 
 @query("backup_verify", """
-select 'customer_BAK_20240131_120000' as backup_table, count(*) as row_count from customer""")
+select 'customer_BAK_20240131_120000' as backup_table, count(*) as row_count, sum(c_custkey) as key_sum from customer""")
 def q_backup_verify(spark, d):
-    """The snapshot's name and row count."""
-    target = fx.table(spark, d, "customer")
-    return target.agg(F.count(F.lit(1)).cast("long").alias("row_count")).select(
-        backup_name(F.lit("customer"), F.lit(fx.RUN_TS).cast("timestamp")).alias("backup_table"), "row_count")
+    """A snapshot written under its name; rows and keys counted in what was written."""
+    name, path = _snapshot(spark, d)
+    return spark.read.parquet(path).select("*", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("backup_table")).groupBy(
+        "backup_table").agg(F.count(F.lit(1)).cast("long").alias("row_count"), F.sum("c_custkey").alias("key_sum"))
 
 
 # ======================================================================================
@@ -401,6 +391,15 @@ def q_apply_all_or_nothing(spark, d):
     return ap.apply_all_or_nothing(target, new_t, oc)
 
 
+@query("apply_all_or_nothing_clean", f"""{CS1_NEW}
+select * from new_t""")
+def q_apply_all_or_nothing_clean(spark, d):
+    """Without a failed change the new version is published."""
+    target, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
+    new_t = ap.apply_updates(target, coerced, "c_custkey", fx.CUSTOMER_SPEC.update_columns)
+    return ap.apply_all_or_nothing(target, new_t, ap.row_outcomes(coerced, target, "c_custkey"))
+
+
 @query("changeset_profile", f"""
 select count(*) as total_rows, count(key_value) as valid_rows, count(*) filter (where key_value is null) as null_key_rows,
        count(distinct key_value) as distinct_keys from ({fx.CS2_SQL})""")
@@ -430,7 +429,28 @@ def q_gate_report(spark, d):
     bound = bind_changeset(raw, spec.update_columns, keep_null_keys=True)
     target, coerced = _prepared(spark, d, fx.cs2, spec)
     n_data = len(raw.columns) - 1
-    return ck.gate_report(bound, coerced, spec.update_columns, n_data)
+    return ck.gate_report(bound, coerced, spec.update_columns, n_data, max_rows=fixed.MAX_ROWS,
+                          max_text=fixed.STAGED_TEXT_MAX)
+
+
+@query("gate_report_broken", f"""with k as (select row_num, key_value from ({fx.CSD_SQL})),
+c as (select coalesce(cast(try_cast(key_value as bigint) as varchar), key_value) as dk, count(*) as n from k group by dk),
+r as (select count(*) as n_rows, count(key_value) as n_keyed, max(strlen(key_value)) as longest from k)
+select cast(1 as bigint) as seq, 'has_data_rows' as check_name, n_rows >= 1 as passed, n_rows as observed, cast(1 as bigint) as limit_value,
+       'at least one data row' as message from r
+union all select 2, 'row_limit', n_rows <= 10, n_rows, 10, 'data rows within the limit' from r
+union all select 3, 'column_count', false, 2, 3, 'key column plus one column per update column'
+union all select 4, 'has_keyed_rows', n_keyed >= 1, n_keyed, 1, 'at least one row with a key' from r
+union all select 5, 'unique_keys', count(*) = 0, count(*), 0, 'no key appears twice' from c where n > 1
+union all select 6, 'text_length', m <= 9, m, 9, 'staged text within the limit'
+          from (select greatest(longest, (select max(strlen(o_orderpriority)) from orders)) as m from r)""")
+def q_gate_report_broken(spark, d):
+    """A change set that breaks the row, column, duplicate and text gates."""
+    raw = fx.csd(spark, d)
+    bound = bind_changeset(raw, ["new_priority"], keep_null_keys=True)
+    coerced = _csd_coerced(spark, d)
+    return ck.gate_report(bound.withColumn("more", F.lit(None).cast("string")), coerced, ["new_priority", "more"], 2,
+                          max_rows=10, max_text=9)
 
 
 @query("export_fill", f"""with {CS2_CO}
@@ -462,14 +482,22 @@ def q_audit_update_entry(spark, d):
 # CSD: duplicate keys
 # ======================================================================================
 
-_CSD_K = f"k as (select row_num, key_value from ({fx.CSD_SQL}) where key_value is not null)"
+# keys in their canonical spelling: the key as a number where it is one
+_CSD_K = ("k as (select row_num, coalesce(cast(try_cast(key_value as bigint) as varchar), key_value) as key_value "
+          f"from ({fx.CSD_SQL}) where key_value is not null)")
 _CSD_F = "f as (select key_value, min(row_num) as first_row, count(*) as occurrences from k group by key_value)"
 _CSD_P = ("p as (select k.key_value, f.first_row, k.row_num from k join f using (key_value) "
           "where f.occurrences > 1 and k.row_num > f.first_row)")
 
 
+def _csd_coerced(spark, d):
+    staged = stage_as_text(bind_changeset(fx.csd(spark, d), ["new_priority"]), ["new_priority"])
+    schema = T.StructType([*fx.table(spark, d, "customer").schema.fields, T.StructField("new_priority", T.StringType())])
+    return coerce_changes(staged, schema, "c_custkey", ["new_priority"])
+
+
 def _csd(spark, d):
-    return bind_changeset(fx.csd(spark, d), ["new_priority"])
+    return ck.canonical_keys(_csd_coerced(spark, d))
 
 
 @query("duplicate_keys", f"with {_CSD_K}, {_CSD_F} select * from f where occurrences > 1")
@@ -479,12 +507,12 @@ def q_duplicate_keys(spark, d):
 
 
 @query("duplicate_key_rows", f"""with {_CSD_K}, {_CSD_F}
-select key_value, row_num // 1000 as chunk, count(*) as n_rows,
+select key_value, cast(0 as bigint) as chunk, count(*) as n_rows,
        string_agg(cast(row_num as varchar), ', ' order by row_num) as rows
 from k where key_value in (select key_value from f where occurrences > 1)
-group by key_value, row_num // 1000""")
+group by key_value""")
 def q_duplicate_key_rows(spark, d):
-    """Every duplicated key with all its rows, in bounded chunks."""
+    """Every duplicated key with all its rows."""
     return ck.duplicate_key_rows(_csd(spark, d))
 
 
@@ -529,6 +557,10 @@ def _profile_sql(table: str, cols: list[str]) -> str:
     parts = []
     for i, c in enumerate(cols):
         parts.append(f"select cast({i + 1} as bigint) as ordinal, '{c.upper()}' as column_name, "
+                     f"(select case data_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(data_type) end "
+                     f"from information_schema.columns where table_name = '{table}' and column_name = '{c}') as data_type, "
+                     f"(select is_nullable = 'YES' from information_schema.columns "
+                     f"where table_name = '{table}' and column_name = '{c}') as nullable, "
                      f"coalesce(max(length(cast({c} as varchar))), 0) as max_length, "
                      f"count(*) filter (where {c} is null) as null_count from {table}")
     return "\nunion all ".join(parts)
@@ -538,7 +570,7 @@ def _profile_sql(table: str, cols: list[str]) -> str:
 def q_target_columns(spark, d):
     """The target's columns in ordinal order, with observed length and NULLs."""
     prof = ck.column_profile(fx.table(spark, d, "customer"))
-    return prof.select("ordinal", "column_name", "max_length", "null_count")
+    return prof.select("ordinal", "column_name", "data_type", "nullable", "max_length", "null_count")
 
 
 @query("missing_columns", f"""with {_HIST},
@@ -617,18 +649,51 @@ def q_audit_purge_count(spark, d):
     return au.purge_counts(au.parse_audit_lines(lines), "2024-01-15 00:00:00", au.audit_corrupt(lines))
 
 
-@query("audit_append", f"""with {CS2_OC}, s as ({_SUMMARY_SQL}), {_AUD}
-select {_AUD_COLS} from a
+@query("audit_append", f"""with {CS2_OC}, s as ({_SUMMARY_SQL}), e as (select * from events)
+select strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp,
+       case when event_type in ('click', 'error') then 'UPDATE' when event_type = 'view' then 'CONNECTION'
+            when event_type = 'purchase' then 'EXPORT' when event_type = 'signup' then 'ROLLBACK' end as action_type,
+       'user_' || cast(user_id as varchar) as "user", event_type <> 'error' as success, event_id as id
+from e where not (value < 1.0)
 union all
-select '2024-01-31 12:00:00', 'UPDATE', 'system', success, '', 'run', cast(-1 as bigint) from s""")
+select '2024-01-31 12:00:00', 'UPDATE', 'system', success, cast(-1 as bigint) from s""")
 def q_audit_append(spark, d):
-    """The audit table with a new run's entry appended."""
-    a = fx.aud(spark, d).select(*_AUD_COLS.split(", "))
+    """A log of JSON lines, a run's entry appended to its files, and all read back."""
+    import uuid
+
+    from keyedit.session import scratch_path
+    path = scratch_path(spark, f"audit-{uuid.uuid4().hex}")
+    au.append_json(au.parse_audit_lines(fx.audit_lines(spark, d)), path)
     s = ap.run_summary(_outcomes(spark, d, fx.cs2, fx.CUSTOMER_SPEC))
-    entry = s.select(F.lit("2024-01-31 12:00:00").alias("timestamp"), F.lit(fixed.ACTION_UPDATE).alias("action_type"),
-                     F.lit("system").alias("user_name"), "success", F.lit("").alias("error_msg"),
-                     F.lit("run").alias("details"), F.lit(-1).cast("long").alias("id"))
-    return a.unionByName(entry)
+    spec = fx.CUSTOMER_SPEC
+    au.append_json(au.update_entry(s, schema=spec.schema, table=spec.table, key_column=spec.key_column,
+                                   update_columns=spec.update_columns, backup_table="customer_BAK_20240131_120000",
+                                   run_ts=fx.RUN_TS, entry_id=-1), path)
+    return au.read_audit(spark, path).select("timestamp", "action_type", "user", "success", "id")
+
+
+@query("audit_entries_by_kind", """
+select kind as action_type, n as n_records, ok as success from (
+  select 'CONNECTION' as kind, count(*) as n, true as ok from customer
+  union all select 'EXPORT', count(*), true from customer where c_acctbal < 0
+  union all select 'ROLLBACK', count(*), true from customer)""")
+def q_audit_entries_by_kind(spark, d):
+    """Entries for opening, exporting and rolling back, written as JSON lines and read back."""
+    import uuid
+
+    from keyedit.session import scratch_path
+    from keyedit.sinks.writers import export_csv, snapshot
+    path = scratch_path(spark, f"audit-{uuid.uuid4().hex}")
+    target = fx.table(spark, d, "customer")
+    n = target.count()
+    au.append_json(au.connection_entry(spark, source="customer", success=True, run_ts=fx.RUN_TS, entry_id=n), path)
+    out = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    k = export_csv(target.where("c_acctbal < 0"), out, empty_ok=True)
+    au.append_json(au.export_entry(spark, kind="csv", path=out, record_count=k, success=True, run_ts=fx.RUN_TS, entry_id=k), path)
+    m = snapshot(target, scratch_path(spark, f"back-{uuid.uuid4().hex}"))
+    au.append_json(au.rollback_entry(spark, schema="", table="customer", backup_table="customer_BAK_20240131_120000",
+                                     success=True, run_ts=fx.RUN_TS, entry_id=m), path)
+    return au.read_audit(spark, path).select("action_type", F.col("id").cast("long").alias("n_records"), "success")
 
 
 @query("audit_details", f"""with {_AUD}

@@ -94,12 +94,17 @@ from customer"""
 def csd(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         (F.col("o_orderkey") + 2).cast("long").alias("row_num"),
-        _s(F.col("o_custkey")).alias("key_value"),
+        F.when(F.col("o_orderkey") % 3 == 1, F.lpad(_s(F.col("o_custkey")), 9, "0"))
+        .when(F.col("o_orderkey") % 17 == 3, F.concat(F.lit("no key "), _s(F.col("o_custkey") % 40)))
+        .otherwise(_s(F.col("o_custkey"))).alias("key_value"),
         F.col("o_orderpriority").alias("new_priority"),
     )
 
 
-CSD_SQL = """select cast(o_orderkey + 2 as bigint) as row_num, cast(o_custkey as varchar) as key_value,
+CSD_SQL = """select cast(o_orderkey + 2 as bigint) as row_num,
+       case when o_orderkey % 3 = 1 then lpad(cast(o_custkey as varchar), 9, '0')
+            when o_orderkey % 17 = 3 then 'no key ' || cast(o_custkey % 40 as varchar)
+            else cast(o_custkey as varchar) end as key_value,
        o_orderpriority as new_priority
 from orders"""
 

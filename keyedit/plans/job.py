@@ -11,8 +11,10 @@ path, the input is never overwritten.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +47,20 @@ def restore_full(current: DataFrame, backup: DataFrame) -> DataFrame:
 
 
 def _stamp(run_ts: str, fmt: str) -> str:
-    from datetime import datetime
     dt = datetime.strptime(run_ts, "%Y-%m-%d %H:%M:%S")
     java_to_py = {"yyyyMMdd_HHmmss": "%Y%m%d_%H%M%S", "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S"}
     return dt.strftime(java_to_py[fmt])
 
 
+def _rolled_back(spark: SparkSession, spec: UpdateSpec, bak_name: str, run_ts: str, summary: dict) -> DataFrame:
+    return au.rollback_entry(spark, schema=spec.schema, table=spec.table, backup_table=bak_name, success=True,
+                             run_ts=run_ts, error_msg=f"{summary['fail_count']} changes failed")
+
+
 def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, target_path: str,
                out_dir: str, run_ts: str, *, audit_path: str | None = None,
-               history_path: str | None = None, snapshot_mode: str = "pointer") -> RunResult:
+               history_path: str | None = None, snapshot_mode: str = "pointer",
+               run_id: str | None = None) -> RunResult:
     """Apply ``raw_changes`` (``row_num`` + positional data columns) to the parquet target.
 
     Writes under ``out_dir``: ``target_<ts>`` (new version, unless nothing may
@@ -61,9 +68,20 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     so by default it *is* the snapshot (``snapshot_mode="pointer"``: the
     backup is the old path, restore is a pointer change, nothing is copied).
     ``snapshot_mode="copy"`` also writes ``<table>_BAK_<ts>`` as a full copy.
+
+    Audit entry and history record go to a folder of their own, named by
+    ``run_id`` (default: table, stamp and microseconds of the clock); a retry
+    that is given the id of its first try replaces what that wrote. A run that
+    publishes nothing adds a ROLLBACK entry.
     """
     stamp = _stamp(run_ts, fixed.NAME_TS_FORMAT)
-    target = spark.read.parquet(target_path)
+    run_id = run_id or f"{spec.table}-{stamp}-{datetime.now():%f}"
+    try:
+        target = spark.read.parquet(target_path)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return RunResult(False, f"target {target_path!r} does not exist", None, None, None, {}, [], None)
 
     # 1. gates: one pass over the change set, one over its canonical keys
     n_data = len([c for c in raw_changes.columns if c != "row_num"])
@@ -133,11 +151,12 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         if audit_path:
             au.update_entry(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
                             update_columns=spec.update_columns, backup_table=bak_name, run_ts=run_ts) \
-                .write.mode("overwrite").json(f"{audit_path.rstrip('/')}/run={stamp}")
+                .unionByName(_rolled_back(spark, spec, bak_name, run_ts, summary).limit(0 if publish else 1)) \
+                .coalesce(1).write.mode("overwrite").json(f"{audit_path.rstrip('/')}/run={run_id}")
         if history_path:
             au.history_record(one, schema=spec.schema, table=spec.table, key_column=spec.key_column,
                               update_columns=spec.update_columns, backup_table=bak_name,
-                              run_ts=run_ts).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/run={stamp}")
+                              run_ts=run_ts).write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/run={run_id}")
 
     finally:
         staged_cache.unpersist()          # staging is dropped on every path, failures included

@@ -9,27 +9,42 @@ job, so counting costs no second pass.
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
 def _norm(path: str) -> str:
-    return os.path.normpath(path.replace("file:", "")).rstrip("/")
+    """Plain absolute form of a path or URI: percent codes decoded, the local scheme left out."""
+    if "://" in path or path.startswith("file:"):
+        u = urlsplit(path)
+        path = unquote(u.path)
+        if u.scheme != "file":
+            return f"{u.scheme}://{u.netloc}{os.path.normpath(path)}"
+    return os.path.abspath(path)
 
 
 def input_paths(df: DataFrame) -> list[str]:
-    try:
-        return [_norm(p) for p in df.inputFiles()]
-    except Exception:  # not file based
-        return []
+    """Root folders and files of the file relations that ``df`` reads (no listing of their files)."""
+    found: set[str] = set()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            roots = relation.location().rootPaths()
+            found.update(_norm(roots.apply(k).toString()) for k in range(roots.size()))
+    return sorted(found)
 
 
 def refuse_same_path(df: DataFrame, path: str) -> None:
-    """Refuse to write over any file the frame reads."""
+    """Refuse to write over, into or around anything the frame reads."""
     out = _norm(path)
     for p in input_paths(df):
-        if p == out or p.startswith(out + "/"):
+        if p == out or p.startswith(out + "/") or out.startswith(p + "/"):
             raise ValueError(f"output path {path!r} is also an input of this job")
 
 

@@ -3,8 +3,8 @@
 A change set is bound by position, so every source keeps the file's column
 order. Cells stay text unless the format is typed (parquet). The sheet row
 number (``row_num``, first data row = 2) is either a column of the source or
-derived from the record's position in the file (per-partition counts and
-offsets; no window over the rows).
+derived from the record's position in its file (counts and offsets per piece of
+a file; no window over the rows).
 """
 
 from __future__ import annotations
@@ -16,34 +16,47 @@ from keyedit.functions import fixed
 from keyedit.operators.staging import ROW_NUM
 
 
-_MAX_BROADCAST_PARTITIONS = 1_000_000
+_MAX_BROADCAST_BLOCKS = 1_000_000
 
 
-def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW) -> DataFrame:
-    """Add ``row_num`` = position in read order + ``first``, all on the JVM.
+def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW, with_path: bool = False) -> DataFrame:
+    """Add ``row_num`` = position in its own file + ``first``, all on the JVM.
 
-    A file scan's partitions follow the file's byte order, and
-    ``monotonically_increasing_id`` is (partition << 33) + position in the
-    partition. Per-partition counts (one row per input partition) give each
-    partition's offset with a running sum over that small table, which is
-    broadcast back. Apply it directly to a file scan (the scan is read twice and
-    must split the same way both times).
+    ``df`` must be a file scan. A scan task reads its pieces of files one after
+    another, so the rows of a piece (file and block start) are consecutive in
+    ``monotonically_increasing_id``; how Spark packs pieces into tasks does not
+    matter. Counts per piece (a small table, one row per piece of a file) give
+    each piece's offset with a running sum within its file. ``with_path`` adds
+    the file as ``path``: row numbers repeat across the files of a folder.
     """
-    base = df.select(F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"), *df.columns)
-    counts = base.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__off"))
-    pos = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
-    row_num = (F.col("__off") + pos + F.lit(first)).cast("long")
-    # one offset row per input partition; the count is known from planning (no job)
+    cols = df.columns
+    base = df.select(F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
+                     F.monotonically_increasing_id().alias("__m"), *cols)
+    counts = base.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__min"))
+    before = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__f", "__b", "__min", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__off"))
+    # one offset row per piece; a piece has a task of its own or shares one, so planning knows the bound (no job)
     n_parts = df.rdd.getNumPartitions()
-    side = F.broadcast(offsets) if n_parts <= _MAX_BROADCAST_PARTITIONS else offsets
-    return (base.join(side, "__p")
-            .select(row_num.alias(ROW_NUM), *[F.col(f"`{c}`") for c in df.columns]))
+    side = F.broadcast(offsets) if n_parts <= _MAX_BROADCAST_BLOCKS else offsets
+    row_num = (F.col("__off") + F.col("__m") - F.col("__min") + F.lit(first)).cast("long")
+    path = [F.col("__f").alias("path")] if with_path else []
+    return base.join(side, ["__f", "__b"]).select(row_num.alias(ROW_NUM), *path, *[F.col(f"`{c}`") for c in cols])
+
+
+def _numbered_csv(spark: SparkSession, path: str, schema, with_path: bool, options: dict) -> DataFrame:
+    """CSV rows with the numbers of their lines: blank lines count, the header line is line 1 of each file."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    named = reader.option("header", "true").option("inferSchema", "false").options(**options).csv(path)
+    lines = with_row_numbers(spark.read.text(path), first=1, with_path=True)
+    cells = lines.where((F.col(ROW_NUM) > 1) & (F.trim("value") != "")).select(
+        ROW_NUM, "path", F.from_csv("value", ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(named.schema.fields)),
+                                    {"mode": "PERMISSIVE", **{k: str(v) for k, v in options.items()}}).alias("r"))
+    return cells.select(ROW_NUM, *(["path"] if with_path else []),
+                        *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(named.columns)])
 
 
 def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col: str | None = None,
-                   schema=None, **options) -> DataFrame:
+                   schema=None, with_path: bool = False, **options) -> DataFrame:
     """Read a change set; returns ``row_num`` followed by the data columns in file order.
 
     ``fmt``: ``csv`` (header line, every cell as text, ragged rows padded with
@@ -51,7 +64,13 @@ def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col
     the source already carries the sheet row. Binding is positional, so for
     ``json`` pass ``schema``: without it Spark infers the fields sorted by
     name, not in the order they were written.
+
+    Without ``row_num_col`` rows are numbered by their place in their own file;
+    ``with_path`` adds the file. For ``csv`` the number is the line's: blank lines
+    count. (With ``multiLine`` or another ``encoding`` only records are counted.)
     """
+    if fmt == "csv" and not row_num_col and not {k.lower() for k in options} & {"multiline", "encoding", "charset", "header", "linesep"}:
+        return _numbered_csv(spark, path, schema, with_path, options)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
@@ -61,7 +80,7 @@ def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col
     if row_num_col:
         rest = [c for c in df.columns if c != row_num_col]
         return df.select(F.col(row_num_col).cast("long").alias(ROW_NUM), *rest)
-    return with_row_numbers(df)
+    return with_row_numbers(df, with_path=with_path)
 
 
 def header_names(df: DataFrame) -> list[str]:

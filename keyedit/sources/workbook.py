@@ -144,15 +144,18 @@ def decode_workbook(data: bytes, sheet: str | None = None) -> list[tuple[int, li
 
 
 def read_workbooks(spark: SparkSession, path: str, n_columns: int, sheet: str | None = None,
-                   max_bytes: int | None = fixed.MAX_FILE_BYTES) -> DataFrame:
+                   max_bytes: int | None = None) -> DataFrame:
     """Rows of every workbook under ``path`` (glob allowed), ``n_columns`` cells wide.
 
-    Files over ``max_bytes`` are not decoded; check them with ``file_sizes``.
+    With ``max_bytes`` a larger file stops the read, and the error names every
+    such file; no file is ever left out.
     Cells past a row's end are NULL (short rows are padded).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
+        large = [r["path"] for r in files.where(F.col("length") > max_bytes).select("path").orderBy("path").collect()]
+        if large:       # names only
+            raise ValueError(f"{len(large)} workbook(s) over {max_bytes} bytes: {', '.join(large)}")
     cols = [f"c{i + 1}" for i in range(n_columns)]
     schema = "path string, row_num long, n_cells int, " + ", ".join(f"{c} string" for c in cols)
 

@@ -41,7 +41,7 @@ def main(sf_dir: str) -> None:
     # at scale Spark's own size estimate would not broadcast either side; show that plan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("keyedit.skew.hotRows", "7")       # l_orderkey has up to 7 rows: every key is "hot"
-    spark.conf.set("keyedit.skew.saltBuckets", "8")
+    spark.conf.set("keyedit.skew.rowsPerBucket", "8")
     salted = ap.apply_updates(target, co, "l_orderkey", fx.LINEITEM_SPEC.update_columns, changes_fit=False)
     print("## apply_updates_lineitem, change set above the broadcast bound, hot keys salted\n")
     print(f"```\n{tree(salted)}\n```\n")

@@ -78,14 +78,14 @@ def test_salted_and_broadcast_plans_agree(spark):
     co = _co(spark, t, [(2, "1", "9", "z"), (3, "3", "8", "w")])
     a = ap.apply_updates(t, co, "ID", ["qty", "name"], changes_fit=True)
     spark.conf.set("keyedit.skew.hotRows", "10")
-    spark.conf.set("keyedit.skew.saltBuckets", "4")
+    spark.conf.set("keyedit.skew.rowsPerBucket", "4")
     try:
         b = ap.apply_updates(t, co, "ID", ["qty", "name"], changes_fit=False)
         assert "__salt" in b._jdf.queryExecution().analyzed().toString()
         assert rows(a) == rows(b)
     finally:
         spark.conf.unset("keyedit.skew.hotRows")
-        spark.conf.unset("keyedit.skew.saltBuckets")
+        spark.conf.unset("keyedit.skew.rowsPerBucket")
 
 
 def test_apply_twice_equals_once_and_restore(spark):
@@ -122,11 +122,20 @@ def test_zero_matches_and_upsert(spark):
     co = _co(spark, t, [(2, "50", "5", "new")])
     new = ap.apply_updates(t, co, "ID", ["qty", "name"])
     assert rows(new) == rows(t)
-    oc = ap.row_outcomes(co, t, "ID")
-    up = ap.upsert_by_key(t, new, co, "ID", ["qty", "name"], oc)
+    up = ap.upsert_by_key(t, new, co, "ID", ["qty", "name"])
     assert rows(up)[-1] == (50, "new", 5, None)
 
 
+def test_upsert_with_repeated_row_numbers(spark):
+    """Row numbers repeat across files: a matched change is never inserted."""
+    t = _target(spark)
+    co = _co(spark, t, [(2, "1", "5", "x"), (2, "99", "6", "new")])
+    before = t.count()
+    up = ap.upsert_by_key(t, ap.apply_updates(t, co, "ID", ["qty", "name"]), co, "ID", ["qty", "name"])
+    ids = sorted(r["id"] if "id" in up.columns else r[0] for r in up.collect())
+    assert up.count() == before + 1 and ids.count(1) == 1 and ids.count(99) == 1
+
+
 def test_all_or_nothing(spark):
     t = _target(spark)
     co = _co(spark, t, [(2, "1", "5", "x"), (3, "2", "bad", "y")])

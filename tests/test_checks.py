@@ -112,7 +112,7 @@ def test_gate_report_limits(spark):
     raw = spark.createDataFrame([(2, "1", long_text)], "row_num long, ID string, name string")
     bound = bind_changeset(raw, ["name"], keep_null_keys=True)
     co = coerce_changes(stage_as_text(bound, ["name"]), target.schema, "ID", ["name"])
-    g = {r["check_name"]: r["passed"] for r in ck.gate_report(bound, co, ["name"], 2, max_rows=1).collect()}
+    g = {r["check_name"]: r["passed"] for r in ck.gate_report(bound, co, ["name"], 2, max_rows=1, max_text=4000).collect()}
     assert g == {"has_data_rows": True, "row_limit": True, "column_count": True, "has_keyed_rows": True,
                  "unique_keys": True, "text_length": False}
     bound2 = bind_changeset(raw, ["name", "x"], keep_null_keys=True)   # "x" is past the data width: padded
@@ -148,15 +148,6 @@ def test_duplicates_per_file_with_a_composite_key(spark):
     assert rows(ck.duplicate_keys(raw), "key_value", "occurrences") == [("1", 3)]
 
 
-def test_batch_progress_hand_computed(spark):
-    from keyedit.operators import preview as pv
-    got = [(r["phase"], r["processed"], r["pct"], r["overall_pct"])
-           for r in pv.progress(spark, 250, 120).orderBy("phase", "batch").collect()]
-    assert got == [("import", 100, 40, 38), ("import", 200, 80, 46), ("import", 250, 100, 50),
-                   ("update", 50, 41, 71), ("update", 100, 83, 88), ("update", 120, 100, 95)]
-    assert pv.progress(spark, 0, 0).count() == 0
-
-
 def test_column_profile_types_and_nulls(spark):
     df = spark.createDataFrame([(1, None, 2.5), (22, "abc", None)], "id long, name string, v double")
     got = [(r["ordinal"], r["column_name"], r["data_type"], r["max_length"], r["null_count"])

@@ -122,7 +122,7 @@ def test_run_update_end_to_end(spark, tmp_dir):
     cs = _cs(spark, [(2, "1", "S1", "3"), (3, "2", "S2", "x"), (4, "999999", "S3", "1")])
     out = os.path.join(tmp_dir, "out")
     r = run_update(spark, spec, cs, target_path, out, "2024-01-31 12:00:00",
-                   audit_path=os.path.join(tmp_dir, "audit"), history_path=os.path.join(tmp_dir, "hist"))
+                   audit_path=os.path.join(tmp_dir, "audit"), history_path=os.path.join(tmp_dir, "hist"), run_id="one")
     assert r.ok and r.summary["success_count"] == 1 and r.summary["fail_count"] == 1
     assert r.backup_name == "customer_BAK_20240131_120000" and r.backup_path == target_path
     new = spark.read.parquet(r.target_path)
@@ -132,7 +132,7 @@ def test_run_update_end_to_end(spark, tmp_dir):
     assert read_audit(spark, os.path.join(tmp_dir, "audit")).count() == 1
     # a retried run replaces its own audit entry and history record
     run_update(spark, spec, cs, target_path, out, "2024-01-31 12:00:00",
-               audit_path=os.path.join(tmp_dir, "audit"), history_path=os.path.join(tmp_dir, "hist"))
+               audit_path=os.path.join(tmp_dir, "audit"), history_path=os.path.join(tmp_dir, "hist"), run_id="one")
     assert read_audit(spark, os.path.join(tmp_dir, "audit")).count() == 1
     assert read_history(spark, os.path.join(tmp_dir, "hist")).count() == 1
     # all-or-nothing: the failed row keeps the published target unchanged

@@ -735,7 +735,7 @@ select cast(row_number() over (order by timestamp desc, id desc) as bigint) as s
        coalesce(cast(total_count as varchar), '0') as total_count,
        coalesce(cast(success_count as varchar), '0') as success_count,
        coalesce(cast(fail_count as varchar), '0') as fail_count,
-       case when coalesce(success, false) then '成功' else '部分失败' end as status
+       case when coalesce(success, false) then '{fixed.STATUS_SUCCESS}' else '{fixed.STATUS_PARTIAL}' end as status
 from top""")
 def q_history_view(spark, d):
     """The history as displayed."""

@@ -52,6 +52,17 @@ def _stamp(run_ts: str, fmt: str) -> str:
     return dt.strftime(java_to_py[fmt])
 
 
+def _join_partitions(spark: SparkSession, target: DataFrame) -> int:
+    """Partitions for a join with the whole target: its planned size in pieces of the advisory size.
+
+    The checkpointed changes fix the join's partition count (adaptive execution
+    can't change it), so it follows the larger side.
+    """
+    size = int(str(target._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    piece = int(spark.conf.get("keyedit.join.partitionBytes", str(128 << 20)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // piece))
+
+
 def _rolled_back(spark: SparkSession, spec: UpdateSpec, bak_name: str, run_ts: str, summary: dict) -> DataFrame:
     return au.rollback_entry(spark, schema=spec.schema, table=spec.table, backup_table=bak_name, success=True,
                              run_ts=run_ts, error_msg=f"{summary['fail_count']} changes failed")
@@ -125,7 +136,7 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
             # checkpoint them to the shared folder. The checkpoint keeps that
             # partitioning, so the outcome and apply joins shuffle only the target
             # side, and it cuts the lineage (a lost executor re-reads the files).
-            coerced = checkpoint_by_key(coerced, KEY_CAST)
+            coerced = checkpoint_by_key(coerced, KEY_CAST, _join_partitions(spark, target))
             staged_cache.unpersist()          # the checkpoint replaces the cached copy
 
         # 3. outcomes (written: they feed the summary, the report and the decision)

@@ -14,7 +14,8 @@ and then drives dynamic partition pruning. Only those partitions are:
    overwrite never reads what it replaces),
 3. swapped in with ``insertInto(..., overwrite=True)`` under dynamic partition
    overwrite, which replaces exactly the partitions present in the staged data;
-   partitions that lost all their rows are then dropped.
+   partitions that lost all their rows are then dropped (of an external table the
+   catalog forgets them; their files stay where they are).
 
 A NULL partition value is a partition like any other (joins are null-safe).
 Untouched partitions are neither read in full nor written.

@@ -43,6 +43,9 @@ def get_session(app: str = "keyedit", master: str | None = None,
     return spark
 
 
+_CHECKPOINT_SET: set[tuple[str, str]] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -57,7 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="keyedit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    app = (spark.sparkContext.applicationId, path)
+    if app not in _CHECKPOINT_SET:      # each call would make another subfolder
+        spark.sparkContext.setCheckpointDir(path)
+        _CHECKPOINT_SET.add(app)
     return path
 
 

@@ -20,15 +20,16 @@ def _changes(spark, target, key, columns, data):
     return coerce_changes(stage_as_text(bind_changeset(raw, columns), columns), target.schema, key, columns)
 
 
-def _table(spark, name, data):
+def _table(spark, name, data, folder):
     spark.sql(f"drop table if exists {name}")
-    spark.createDataFrame(data, "id long, v string, p long").write.partitionBy("p").format("parquet").saveAsTable(name)
+    (spark.createDataFrame(data, "id long, v string, p long").write.partitionBy("p").format("parquet")
+     .option("path", os.path.join(folder, name)).saveAsTable(name))
     return spark.table(name)
 
 
 def test_updated_partition_column_keeps_all_rows(spark, tmp_dir):
     """Id 1 moves into a partition that others live in; its old partition keeps id 2."""
-    t = _table(spark, "moving", [(1, "a", 1), (2, "b", 1), (3, "c", 2), (4, "d", 2)])
+    t = _table(spark, "moving", [(1, "a", 1), (2, "b", 1), (3, "c", 2), (4, "d", 2)], tmp_dir)
     co = _changes(spark, t, "id", ["p"], [(2, "1", "2")])
     run = apply_to_partitions(spark, "moving", ["p"], "id", ["p"], co, os.path.join(tmp_dir, "bak"), "r1")
     spark.catalog.refreshTable("moving")
@@ -38,7 +39,7 @@ def test_updated_partition_column_keeps_all_rows(spark, tmp_dir):
 
 
 def test_emptied_partition_is_dropped(spark, tmp_dir):
-    t = _table(spark, "emptied", [(1, "a", 1), (3, "c", 2), (5, "e", 3)])
+    t = _table(spark, "emptied", [(1, "a", 1), (3, "c", 2), (5, "e", 3)], tmp_dir)
     co = _changes(spark, t, "id", ["p"], [(2, "1", "2")])
     apply_to_partitions(spark, "emptied", ["p"], "id", ["p"], co, os.path.join(tmp_dir, "bak"), "r2")
     spark.catalog.refreshTable("emptied")
@@ -46,7 +47,7 @@ def test_emptied_partition_is_dropped(spark, tmp_dir):
 
 
 def test_null_partition_is_rewritten(spark, tmp_dir):
-    t = _table(spark, "nullpart", [(1, "a", None), (2, "b", None), (3, "c", 2)])
+    t = _table(spark, "nullpart", [(1, "a", None), (2, "b", None), (3, "c", 2)], tmp_dir)
     co = _changes(spark, t, "id", ["v"], [(2, "1", "new"), (3, "3", "new")])
     run = apply_to_partitions(spark, "nullpart", ["p"], "id", ["v"], co, os.path.join(tmp_dir, "bak"), "r3")
     spark.catalog.refreshTable("nullpart")
@@ -56,7 +57,7 @@ def test_null_partition_is_rewritten(spark, tmp_dir):
 
 
 def test_merge_errors_that_quote_the_statement_are_raised(spark, tmp_dir):
-    t = _table(spark, "merged", [(1, "a", 1)])
+    t = _table(spark, "merged", [(1, "a", 1)], tmp_dir)
     co = _changes(spark, t, "id", ["v"], [(2, "1", "new")])
     assert apply_with_merge(spark, "merged", "id", ["v"], co, partition_cols=["p"], backup_path=os.path.join(tmp_dir, "b"),
                             run_id="m2") == "partitions"

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from keyedit.functions import fixed
 from keyedit.operators.joins import can_broadcast, change_stats, keyed_join, stats_fit
 from keyedit.operators.staging import KEY, KEY_CAST, ROW_NUM
+from keyedit.session import ensure_checkpoint_dir
 
 APPLIED = "applied"
 MISSING_KEY = "missing_key"
@@ -246,15 +247,17 @@ def restore_rows(current: DataFrame, backup: DataFrame, keys: DataFrame, key_col
     hold one row per key.
     """
     tkey = _target_name(current, key_column)
-    sel = keys.select(F.col(tkey)).where(F.col(tkey).isNotNull()).distinct()
-    sel_fits = can_broadcast(sel)                 # measured once, used by every join below
+    ensure_checkpoint_dir(current.sparkSession)
+    # written once: the measurement and every join below read the selection, not its plan
+    sel = keys.select(F.col(tkey)).where(F.col(tkey).isNotNull()).distinct().checkpoint()
+    sel_fits = can_broadcast(sel)
     if columns is None:
         kept = keyed_join(current, sel, [tkey], "left_anti", small_fits=sel_fits)
         back = keyed_join(backup, sel, [tkey], "left_semi", small_fits=sel_fits)
         return kept.unionByName(back.select(*current.columns))
     names = [_target_name(current, c) for c in columns]
     old = keyed_join(backup.select(tkey, *names), sel, [tkey], "left_semi", small_fits=sel_fits).select(
-        tkey, *[F.col(f"`{n}`").alias(_NEW + n) for n in names], F.lit(True).alias(_HIT))
+        tkey, *[F.col(f"`{n}`").alias(_NEW + n) for n in names], F.lit(True).alias(_HIT)).checkpoint()
     stats = change_stats(old, tkey)
     if stats["dup_keys"]:
         raise ValueError("the backup holds several rows for a selected key; restore whole rows instead")

@@ -24,6 +24,7 @@ from keyedit.operators import preview as pv
 from keyedit.operators.staging import (KEY, KEY_CAST, ROW_NUM, bind_changeset, bind_two_column,
                                        changeset_keys, coerce_changes, stage_as_text)
 from keyedit.plans import fixtures as fx
+from keyedit.session import ensure_checkpoint_dir
 from keyedit.spec import UpdateSpec, normalize_columns_expr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,6 +254,8 @@ def q_upsert_by_key(spark, d):
     """U4: matched keys updated, absent keys inserted."""
     target, coerced = _prepared(spark, d, fx.cs1, fx.CUSTOMER_SPEC)
     spec = fx.CUSTOMER_SPEC
+    ensure_checkpoint_dir(spark)
+    coerced = coerced.checkpoint()      # staged once, as a run does
     new_t = ap.apply_updates(target, coerced, spec.key_column, spec.update_columns)
     return ap.upsert_by_key(target, new_t, coerced, spec.key_column, spec.update_columns)
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyedit.functions import fixed
 from keyedit.operators.joins import keyed_join
 from keyedit.operators.staging import KEY, KEY_CAST, ROW_NUM
 

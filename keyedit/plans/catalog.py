@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from keyedit.functions import fixed
 from keyedit.plans.duck_sql import duck_canonical_key, duck_coerce
-from keyedit.functions.text import backup_name, classify_error, idiv, is_blank, megabytes, staging_name
+from keyedit.functions.text import backup_name, classify_error, is_blank, megabytes, staging_name
 from keyedit.operators import apply as ap
 from keyedit.operators import audit as au
 from keyedit.operators import checks as ck

@@ -1,13 +1,12 @@
 import hashlib
 
 import duckdb
-import pandas as pd
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as cp
 from conftest import SF001
-from llm.conftest import SCHEMA, got
+from llm.conftest import got
 
 from keyedit.llm import decontaminate as dc
 from keyedit.llm import jaccard_join as jj

@@ -14,7 +14,7 @@ from keyedit.llm import jaccard_join as jj
 from keyedit.llm import suffix_dedup as sd
 from keyedit.llm.common import table
 from keyedit.llm.components import components
-from keyedit.llm.quality_rules import OP1_SQL, op1_quality_rules, quality_rules
+from keyedit.llm.quality_rules import OP1_SQL, quality_rules
 
 
 def duck(sql, documents, benchmark=None):

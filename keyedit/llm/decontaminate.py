@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from keyedit.llm.common import slices, stored, table, text_bytes, texts
 
 WINDOW = 10
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 500_000
 BLOCK_BYTES = 16 << 20     # of test phrases sent to the tasks at once
 
 #: Upper case to lower case; every ASCII character but digits and letters to a space.

@@ -32,6 +32,7 @@ from keyedit.llm.lm_score import count_tokens
 
 SAMPLE = 20_000            # labelled findings that a forest learns from
 DICTIONARY = 20_000        # most frequent words of 4 letters and more
+RARE = 500_000             # a word of the dictionary is more than one in so many tokens
 TREES, DEPTH, LEAF = 25, 8, 3
 THRESHOLD = 0.5
 SEED = 5
@@ -181,9 +182,16 @@ class Forest:
 # ---------------------------------------------------------------- Spark
 
 def frequent_words(docs: DataFrame) -> Words:
-    """The ``DICTIONARY`` most frequent purely alphabetic words of the corpus (a fixed number)."""
-    counts = count_tokens(docs).select(F.decode("token", "UTF-8").alias("w"), "c").where(F.col("w").rlike(r"^\p{L}{4,20}$"))
-    return Words([r["w"] for r in counts.orderBy(F.desc("c"), "w").limit(DICTIONARY).collect()])
+    """The most frequent purely alphabetic words of the corpus, at most ``DICTIONARY``.
+
+    Only words that make up more than one in ``RARE`` tokens are ranked: there are
+    fewer than ``RARE`` of them, so what the tasks send has a bound of its own.
+    """
+    counts = stored(count_tokens(docs), "token-counts")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    words = counts.where(F.col("c") * RARE > total).select(F.decode("token", "UTF-8").alias("w"), "c")
+    words = words.where(F.col("w").rlike(r"^\p{L}{4,20}$"))
+    return Words([r["w"] for r in words.orderBy(F.desc("c"), "w").limit(DICTIONARY).collect()])
 
 
 def _sources(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:

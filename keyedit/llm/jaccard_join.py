@@ -172,6 +172,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int64())],
                                              names=["tok", "n"])
+    _HASHES.clear()
 
 
 def _signatures(hot: np.ndarray, light: int):
@@ -194,6 +195,7 @@ def _signatures(hot: np.ndarray, light: int):
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array(sketches, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "node", "sketch", "entries"])
+        _HASHES.clear()         # the worker may go on to another stage
     return run
 
 

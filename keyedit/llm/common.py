@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,10 +56,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches, rows: int = 256):
-    """Parts of Arrow batches, so that Python objects exist for a few hundred texts at once."""
+    """Parts of Arrow batches, so that Python objects exist for a few hundred texts at once.
+
+    At the end of a task's input what Arrow holds for later use is given back:
+    the worker goes on to tasks of other stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def slices_of_size(batches, column: str = "text", size: int = 8 << 20):
+    """Parts of Arrow batches whose texts take about ``size`` bytes, or hold one longer text."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(length) // size
+        at = 0
+        for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
+            if end > at:
+                yield batch.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -66,6 +85,25 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class Memory:
+    """Values by key in two generations: what is in use stays, the rest goes when the newer one is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def find(self, keys: list) -> list:
+        """The values, None where unknown. Found ones belong to the newer generation from now on."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        values = list(map(new.get, keys))
+        if old:
+            for i, x in enumerate(values):
+                if x is None and (x := old.get(keys[i])) is not None:
+                    values[i] = new[keys[i]] = x
+        return values
+
+
 class Split:
     """Texts of an Arrow array cut at single spaces, with each distinct piece once.
 
@@ -78,7 +116,7 @@ class Split:
         self.offsets = lists.offsets
         coded = lists.flatten().dictionary_encode()
         self.indices = coded.indices
-        self.pieces: list[str] = coded.dictionary.to_pylist()
+        self.pieces: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
     def join(self, values: list[bytes | None], separator: bytes, skip_first: bool = False) -> list[bytes | None]:
         """Joined values of each text's pieces; None where a piece's value is None."""

@@ -25,7 +25,7 @@ first. Other columns are ignored. An empty table gives empty files.
 from __future__ import annotations
 
 import itertools
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyedit.llm.common import Split, slices, table, texts
+from keyedit.llm.common import Memory, Split, slices, slices_of_size, table, texts
 from keyedit.session import scratch_path
 
 MODEL = "byte_bpe_50k.json"
@@ -47,16 +47,17 @@ END_ID = 0
 BLOCK_IDS = 1024
 SEGMENT_IDS = 1 << 18
 FIT = 0.9                  # share of a block's values that its width holds
-CACHE_PIECES = 800_000
+CACHE_PIECES = 200_000     # and as many again that were in use before
 
-#: A piece whose ends can't be taken for white space by any reading of the term.
-_SAFE = re.compile(r"(?s)[!-~¡-ɏ](?:.*[!-~¡-ɏ])?")
+#: Characters that no reading of the term takes for white space; a piece that starts and ends with them is safe.
+_SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)])) - {"\xad"}
 
 
 # ---------------------------------------------------------------- encoding
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core
         self.tokenizer = t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
         t.no_truncation()
@@ -64,16 +65,18 @@ class Encoder:
         self.opens = np.zeros(max(names.values()) + 1, bool)    # ids that start with a space
         for name, i in names.items():
             self.opens[i] = name.startswith("Ġ")
-        self.known: dict[str, bytes | None] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.known = Memory(CACHE_PIECES)
+        self.firsts = Memory(CACHE_PIECES // 20)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        """Ids of ' ' + piece; None marks pieces that can't be taken by themselves."""
-        safe = [p for p in pieces if _SAFE.fullmatch(p)]
-        self.known.update(dict.fromkeys(set(pieces).difference(safe)))
+        """Ids of ' ' + piece; b"" marks pieces that can't be taken by themselves."""
+        known = self.known.new
+        safe = [p for p in pieces if p and p[0] in _SAFE and p[-1] in _SAFE]
+        if len(safe) < len(pieces):
+            known.update(dict.fromkeys(set(pieces).difference(safe), b""))
         parts = [safe[at:at + 2000] for at in range(0, len(safe), 2000)]
         coded = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
         for part, x in zip(parts, coded):
@@ -81,33 +84,31 @@ class Encoder:
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):    # white space inside a piece opens an id of its own
                 for p in part:
-                    self.known[p] = self.whole(" " + p)
+                    known[p] = self.whole(" " + p)
                 continue
             raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
             for p, a, b in zip(part, (starts * 4).tolist(), ends, strict=True):
-                self.known[p] = raw[a:b]
+                known[p] = raw[a:b]
 
     def first(self, piece: str, more: bool) -> bytes | None:
         """Ids of a text's first piece, which no space precedes."""
-        if more and not _SAFE.fullmatch(piece):
+        if more and not (piece and piece[0] in _SAFE and piece[-1] in _SAFE):
             return None
-        got = self.firsts.get(piece)
+        got = self.firsts.find([piece])[0]
         if got is None:
-            if len(self.firsts) > CACHE_PIECES // 10:
-                self.firsts = {}
-            got = self.firsts[piece] = self.whole(piece)
+            got = self.firsts.new[piece] = self.whole(piece)
         return got
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         column = pc.fill_null(column, "")
         cut = Split(column)
-        new = [p for p in cut.pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, cut.pieces
+        values = self.known.find(cut.pieces)
+        new = [p for p, x in zip(cut.pieces, values) if x is None]
         if new:
             self.learn(new)
-        rest = cut.join([self.known[p] for p in cut.pieces], b"", skip_first=True)
+            values = [self.known.new[p] if x is None else x for p, x in zip(cut.pieces, values)]
+        rest = cut.join([x or None for x in values], b"", skip_first=True)
         out, ends, at = [], cut.offsets.to_pylist(), cut.indices.to_numpy()
         for k, (ids, a, b) in enumerate(zip(rest, ends, ends[1:])):
             head = self.first(cut.pieces[at[a]], b > a + 1) if ids is not None and b > a else None
@@ -218,7 +219,7 @@ def _segments(path: str, end_id: int):
             first, docs, ids, size = first + size, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=SEGMENTS)
 
-        for batch in slices(batches):
+        for batch in slices_of_size(batches, size=4 << 20):
             for doc, x in zip(batch.column("doc_id").to_pylist(),
                               enc.encode(batch.column("text"))):
                 x += end

@@ -6,8 +6,8 @@ one by one. A chunk's adjacent symbol pairs wait in an agenda ordered by score,
 then by place; the best pair is merged until none is left. Symbols outside the
 vocabulary become byte pieces. Within each Arrow batch the chunks seen for the
 first time are also encoded by the sentencepiece library; any difference stops
-the job. Chunk results are remembered up to a fixed number of entries (for
-memory's sake only: results don't depend on it).
+the job. Chunk results are remembered within a task, up to a fixed number of
+entries (for speed only: results don't depend on it).
 
 Defined cases: a NULL or empty text has no ids and decodes to "". Repeated
 rows are encoded one by one; other columns are ignored; an empty table gives an
@@ -27,11 +27,11 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from keyedit.llm.common import Split, slices, table, texts
+from keyedit.llm.common import Memory, Split, slices_of_size, table, texts
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE_CHUNKS = 600_000     # remembered chunks of a worker; beyond, the memory starts anew
+CACHE_CHUNKS = 120_000     # remembered chunks of a worker, and as many again that were in use before
 
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -55,22 +55,24 @@ class MergeVocabulary:
                       for p, i in id_of.items() for k in range(1, len(p)) if p[:k] in id_of and p[k:] in id_of}
         self.chars = {p: i for p, i in id_of.items() if len(p) == 1}
         #: What a chunk (without its first mark) is encoded to: decimals joined by commas.
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(CACHE_CHUNKS)
         self.odd: dict[str, str] = {}       # chunks that do not decode to themselves
 
+    def forget(self) -> None:
+        self.known, self.odd = Memory(CACHE_CHUNKS), {}
+
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk, its marks included."""
         sym: list = [self.chars.get(c, c) for c in chunk]       # ids; a character outside stays text
-        n, pairs = len(sym), self.pairs
+        n, pair, push, pop = len(sym), self.pairs.get, heapq.heappush, heapq.heappop
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i, two in enumerate(zip(sym, sym[1:])):
-            if two in pairs:
-                agenda.append((*pairs[two], i, two))
-        agenda = [(s, i, merged, two) for s, merged, i, two in agenda]
+            if found := pair(two):
+                agenda.append((found[0], i, found[1], two))
         heapq.heapify(agenda)
         while agenda:
-            _, i, merged, (left, right) = heapq.heappop(agenda)
+            _, i, merged, (left, right) = pop(agenda)
             j = after[i]
             if j >= n or sym[i] != left or sym[j] != right:
                 continue                    # one of the two has been merged meanwhile
@@ -78,12 +80,10 @@ class MergeVocabulary:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (two := (merged, sym[k])) in pairs:
-                    s, m = pairs[two]
-                    heapq.heappush(agenda, (s, i, m, two))
-            if (h := before[i]) >= 0 and (two := (sym[h], merged)) in pairs:
-                s, m = pairs[two]
-                heapq.heappush(agenda, (s, h, m, two))
+                if found := pair(two := (merged, sym[k])):
+                    push(agenda, (found[0], i, found[1], two))
+            if (h := before[i]) >= 0 and (found := pair(two := (sym[h], merged))):
+                push(agenda, (found[0], h, found[1], two))
         ids: list[int] = []
         for x in sym:
             if isinstance(x, int):
@@ -116,7 +116,7 @@ class MergeVocabulary:
             ids = self.merge(MARK + c)
             if ids != theirs and c:
                 raise ValueError(f"agenda and library differ on {c!r}: {ids} and {theirs}")
-            self.known[c] = ",".join(map(str, ids)).encode()
+            self.known.new[c] = ",".join(map(str, ids)).encode()
             if "".join([pieces[i] for i in ids]) != MARK + c:
                 if (back := self.text_of(ids)) != " " + c.replace(MARK, " "):
                     self.odd[c] = back
@@ -136,14 +136,20 @@ class MergeVocabulary:
         plain = [t != "" and t[0] != " " and "  " not in t and MARK not in t for t in texts]
         cut = Split(pa.array([t if p else None for t, p in zip(texts, plain)], pa.string()))
         rows = {k: self.chunks(t) for k, (t, p) in enumerate(zip(texts, plain)) if not p}
-        found = set(cut.pieces).union(*rows.values())
-        new = found - self.known.keys()
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known, self.odd, new = {}, {}, found
+        if len(self.odd) > CACHE_CHUNKS:
+            self.forget()
+        values = self.known.find(cut.pieces)
+        new = {c for c, x in zip(cut.pieces, values) if x is None}
+        if rows:
+            others = list(set().union(*rows.values()))
+            self.known.limit += len(self.known.new)         # the pieces just found stay
+            new.update(c for c, x in zip(others, self.known.find(others)) if x is None)
+            self.known.limit = CACHE_CHUNKS
         if new:
             self.learn(new)
-        known = self.known
-        csv = cut.join([known[c] for c in cut.pieces], b",")
+            values = [self.known.new[c] if x is None else x for c, x in zip(cut.pieces, values)]
+        known = self.known.new
+        csv = cut.join(values, b",")
         if self.odd and not self.odd.keys().isdisjoint(cut.pieces):
             for k, t in enumerate(texts):
                 if plain[k] and not self.odd.keys().isdisjoint(cs := t.split(" ")):
@@ -166,7 +172,7 @@ def vocabulary(path: str) -> MergeVocabulary:
 def _encode(path: str, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in slices(batches):
+        for batch in slices_of_size(batches, size=4 << 20):
             csv, back = v.encode(batch.column("text"))
             out = [batch.column("doc_id"), pa.array([c.count(b",") + 1 if c else 0 for c in csv], pa.int64())]
             if ids:
@@ -177,6 +183,7 @@ def _encode(path: str, ids: bool):
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids" if ids else "ids_sha256",
                                                          "decoded" if ids else "decoded_sha256"])
+        v.forget()          # the worker may go on to tasks of other stages
     return run
 
 

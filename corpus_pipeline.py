@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each reread from Parquet.
 
 1. quality_model: documents that the quality classifier rejects go;
-2. jaccard_join: of each group of near-duplicates the smallest doc_id stays;
+2. jaccard_join: of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays;
 3. decontaminate: documents that hold a benchmark window go;
 4. secret_scan: secrets in the texts are replaced by a mask;
 5. pieces: the texts are encoded and decoded; returns the digests per document.
@@ -25,6 +25,9 @@ from keyedit.llm.secret_scan import learn_secrets, redact
 #: Ids dropped by a stage are sent to the tasks up to this number (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 
+#: What makes near-duplicates of the corpus; operator 9 by itself has figures of its own.
+SHINGLE, THRESHOLD = 5, (4, 5)
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -44,7 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, shingle=SHINGLE, threshold=THRESHOLD)
     kept = without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept

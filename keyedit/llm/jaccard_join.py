@@ -44,12 +44,12 @@ from pyspark.sql import functions as F
 from keyedit.llm.common import slices, stored, table, text_bytes, texts
 from keyedit.llm.components import components, find
 
-SHINGLE = 3
-TENTHS = 9                 # threshold in tenths: 100 * intersection >= 90 * union
+SHINGLE = 3                # words of a shingle in operator 9
+THRESHOLD = 9, 10          # its similarity as a ratio: 10 * intersection >= 9 * union
 HOT_SHARE = 200_000        # shingles put last: those with more than 1/HOT_SHARE of all list entries
 MIN_HOT = 64               # and at least so many entries; there are at most HOT_SHARE of them
 LIST_BLOCK = 2000          # longer lists are cut into blocks of about this length
-SKETCH_BITS = 512          # of sets up to 2,048 shingles; longer sets have more
+SKETCH_BITS = 512          # of sets up to 2,048 shingles at operator 9's threshold; longer sets have more
 BROADCAST_IDS = 500_000    # candidate documents looked up by broadcast (16 bytes each); beyond, by shuffle
 LIGHT_LIMIT = 30           # sizes tried for the boundary
 
@@ -93,17 +93,18 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def sketch_bits(n: int) -> int:
+def sketch_bits(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     """Unrelated sets differ in half of the bits: more than linked sets of ``n`` may differ in."""
+    p, q = threshold
     bits = SKETCH_BITS
-    while bits * 4 < n:
+    while bits * 4 * (p + q) < 19 * (q - p) * n:
         bits *= 2
     return bits
 
 
-def sketch(s: np.ndarray) -> bytes:
+def sketch(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> bytes:
     """Parity of the shingles in each of ``sketch_bits`` classes; folding halves gives the smaller sketches."""
-    n = sketch_bits(len(s))
+    n = sketch_bits(len(s), threshold)
     bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -114,49 +115,53 @@ def folded(sk: np.ndarray, words: int) -> np.ndarray:
     return sk
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-TENTHS * n // 10) + 1
+def prefix_length(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
+    p, q = threshold
+    return n - -(-p * n // q) + 1
 
 
-def shared(n: int, m: int) -> int:
+def shared(n: int, m: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     """Shingles that linked sets of sizes n and m share at least."""
-    return -(-TENTHS * (n + m) // (10 + TENTHS))
+    p, q = threshold
+    return -(-p * (n + m) // (p + q))
 
 
-def subset_sizes(n: int) -> list[int]:
+def subset_sizes(n: int, threshold: tuple[int, int] = THRESHOLD) -> list[int]:
     """Subset sizes with which a light set of ``n`` must be found by a different linked set."""
+    p, q = threshold
     found = set()
-    for m in range(-(-TENTHS * n // 10), 10 * n // TENTHS + 1):
-        c = shared(n, m)
+    for m in range(-(-p * n // q), q * n // p + 1):
+        c = shared(n, m, threshold)
         if c <= min(n, m) and not (n == m and c == n):
             found.add(c)
     return sorted(found)
 
 
-def subsets_cost(n: int) -> int:
-    return sum(math.comb(n, c) for c in subset_sizes(n))
+def subsets_cost(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
+    return sum(math.comb(n, c) for c in subset_sizes(n, threshold))
 
 
-def boundary(mean_list: float) -> int:
+def boundary(mean_list: float, threshold: tuple[int, int] = THRESHOLD) -> int:
     """Largest light size: subsets must cost no more than the lists that they replace."""
+    p, q = threshold
     x = 0
-    while x < LIGHT_LIMIT and subsets_cost(x + 1) <= prefix_length(x + 1) * max(1.0, mean_list):
+    while x < LIGHT_LIMIT and subsets_cost(x + 1, threshold) <= prefix_length(x + 1, threshold) * max(1.0, mean_list):
         x += 1
-    return max(x, TENTHS - 1)      # smaller sets link with nothing but copies
+    return max(x, -(-p // (q - p)) - 1)      # smaller sets link with nothing but copies
 
 
-def subset_keys(s: np.ndarray) -> np.ndarray:
+def subset_keys(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """Keys of all subsets of the needed sizes (commutative sums of mixed shingles)."""
     v, out = _mix(s + np.uint64(1)), []
-    for c in subset_sizes(len(s)):
+    for c in subset_sizes(len(s), threshold):
         drop = np.array(list(itertools.combinations(range(len(s)), len(s) - c)), np.int64).reshape(math.comb(len(s), c), len(s) - c)
         out.append(_mix(v.sum(dtype=np.uint64) - v[drop].sum(axis=1, dtype=np.uint64) + np.uint64(c) * _K[4]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, hot: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """The first shingles in the common order: hot ones last, else by value."""
-    p = prefix_length(len(s))
+    p = prefix_length(len(s), threshold)
     if len(hot):
         last = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
         if last[:p].any():
@@ -164,32 +169,36 @@ def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return s[:p]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(size: int, threshold: tuple[int, int]):
     """Prefix shingles by value alone, counted batch by batch."""
-    for batch in slices(batches, 2048):
-        found = [s[:prefix_length(len(s))] for t in text_bytes(batch.column("text")) if len(s := shingles(t))]
-        if found:
-            x, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int64())],
-                                             names=["tok", "n"])
-    _HASHES.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            found = [s[:prefix_length(len(s), threshold)] for t in text_bytes(batch.column("text")) if len(s := shingles(t, size))]
+            if found:
+                x, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n, pa.int64())],
+                                                 names=["tok", "n"])
+        _HASHES.clear()
+    return run
 
 
-def _signatures(hot: np.ndarray, light: int):
+def _signatures(hot: np.ndarray, light: int, size: int, threshold: tuple[int, int]):
+    p, q = threshold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, nodes, sketches, entries = [], [], [], []
             for t in text_bytes(batch.column("text")):
-                s = shingles(t)
+                s = shingles(t, size)
                 n = len(s)
                 e = []
                 if n and n <= light:
-                    e.append(subset_keys(s))
-                if 10 * n >= TENTHS * (light + 1):
-                    e.append(prefix(s, hot))
+                    e.append(subset_keys(s, threshold))
+                if q * n >= p * (light + 1):
+                    e.append(prefix(s, hot, threshold))
                 sizes.append(n)
                 nodes.append(node_of(s) if n else None)
-                sketches.append(sketch(s) if n else None)
+                sketches.append(sketch(s, threshold) if n else None)
                 entries.append(np.unique(np.concatenate(e)).view(np.int64) if e else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
@@ -199,8 +208,9 @@ def _signatures(hot: np.ndarray, light: int):
     return run
 
 
-def _pairs(g, side, n, node, sketches, part):
+def _pairs(g, side, n, node, sketches, part, threshold):
     """Positions of the surviving pairs of a chunk that holds whole lists (rows sorted by list)."""
+    p, q = threshold
     left, right, dist = [], [], []
     own = [np.frombuffer(x, np.uint64) for x in sketches]
     size = np.array([len(x) for x in own])
@@ -220,7 +230,7 @@ def _pairs(g, side, n, node, sketches, part):
         alive = alive[alive + d < len(g)]
         alive = alive[g[alive] == g[alive + d]]
         i, j = alive, alive + d
-        ok = (10 * np.minimum(n[i], n[j]) >= TENTHS * np.maximum(n[i], n[j])) & (node[i] != node[j])
+        ok = (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & (node[i] != node[j])
         ok &= (side[i] == 0) | (side[i] != side[j])
         if part is not None:
             ok &= part[i] != part[j]
@@ -229,7 +239,7 @@ def _pairs(g, side, n, node, sketches, part):
         for words, (at, sk) in levels.items():
             finer = np.flatnonzero(np.minimum(size[i], size[j]) >= words)
             x[finer] = np.bitwise_count(sk[at[i[finer]]] ^ sk[at[j[finer]]]).sum(axis=1)
-            ok = x * (10 + TENTHS) <= (10 - TENTHS) * (n[i] + n[j])
+            ok = x * (p + q) <= (q - p) * (n[i] + n[j])
             i, j, x = i[ok], j[ok], x[ok]
         left.append(i)
         right.append(j)
@@ -239,13 +249,13 @@ def _pairs(g, side, n, node, sketches, part):
     return tuple(np.concatenate(x) if x else empty for x in (left, right, dist))
 
 
-def _scan(forest: bool):
+def _scan(forest: bool, threshold: tuple[int, int]):
     """Surviving pairs: a spanning forest of each chunk, or all of them."""
     def chunk(t: pa.Table):
         g, n, node = (t.column(c).to_numpy() for c in ("g", "n", "node"))
         side = t.column("side").to_numpy()
         part = None if forest else t.column("part").to_numpy()
-        i, j, dist = _pairs(g, side, n, node, t.column("sketch").to_pylist(), part)
+        i, j, dist = _pairs(g, side, n, node, t.column("sketch").to_pylist(), part, threshold)
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         order = np.lexsort((b, a, dist))
         a, b = a[order], b[order]
@@ -286,28 +296,34 @@ def _scan(forest: bool):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(size: int):
     """Shingle sets of the wanted nodes."""
-    for batch in slices(batches):
-        s = [shingles(t) for t in text_bytes(batch.column("text"))]
-        keep = [k for k, (x, want) in enumerate(zip(s, batch.column("want").to_pylist())) if len(x) and node_of(x) == want]
-        yield pa.RecordBatch.from_arrays([batch.column("want").take(pa.array(keep, pa.int64())),
-                                          pa.array([s[k].tobytes() for k in keep], pa.binary())],
-                                         names=["node", "s"])
-
-
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        linked = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            o = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(10 * o >= TENTHS * (len(x) + len(y) - o))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("lossy"),
-                                          pa.array(linked, pa.bool_())], names=["a", "b", "lossy", "linked"])
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            s = [shingles(t, size) for t in text_bytes(batch.column("text"))]
+            keep = [k for k, (x, want) in enumerate(zip(s, batch.column("want").to_pylist())) if len(x) and node_of(x) == want]
+            yield pa.RecordBatch.from_arrays([batch.column("want").take(pa.array(keep, pa.int64())),
+                                              pa.array([s[k].tobytes() for k in keep], pa.binary())],
+                                             names=["node", "s"])
+    return run
+
+
+def _checked(threshold: tuple[int, int]):
+    p, q = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            linked = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                o = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(q * o >= p * (len(x) + len(y) - o))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("lossy"),
+                                              pa.array(linked, pa.bool_())], names=["a", "b", "lossy", "linked"])
+    return run
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """Pairs with ``linked``: the similarity of the whole sets."""
     pairs = stored(pairs.groupBy("a", "b").agg(F.max("lossy").alias("lossy")), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -315,11 +331,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
                     .select("id", F.col("node").alias("want")), "wanted")
     small = wanted.count() <= BROADCAST_IDS
     found = docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = stored(found.select("want", "text").mapInArrow(_sets, "node long, s binary").dropDuplicates(["node"]), "sets")
+    sets = stored(found.select("want", "text").mapInArrow(_sets(size), "node long, s binary").dropDuplicates(["node"]), "sets")
     full = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"))
     return stored(full.select("a", "b", "lossy", "sa", "sb").mapInArrow(
-        _checked, "a long, b long, lossy boolean, linked boolean"), "checked")
+        _checked(threshold), "a long, b long, lossy boolean, linked boolean"), "checked")
 
 
 def _lists(sigs: DataFrame) -> DataFrame:
@@ -338,27 +354,28 @@ def _lists(sigs: DataFrame) -> DataFrame:
         "n", "node", "sketch")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                       threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; sets of ``shingle`` words, similarity from the ratio ``threshold`` (below 1) on."""
     docs = texts(docs, id_col, text_col)
     seen = Observation()
-    counted = docs.mapInArrow(_counts, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(_counts(shingle, threshold), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
     rare = F.when(F.col("n") < MIN_HOT, F.col("n"))
     often = stored(counted.observe(seen, F.sum("n").alias("entries"), F.sum(rare).alias("few"),
                                    F.sum(rare * rare).alias("squares")).where(f"n >= {MIN_HOT}"), "often")
     total = seen.get
     hot = often.where(F.col("n") >= max(MIN_HOT, (total["entries"] or 0) // HOT_SHARE)).select("tok").collect()
     hot_tokens = np.sort(np.array([r["tok"] for r in hot], np.int64).view(np.uint64))
-    light = boundary((total["squares"] or 0) / (total["few"] or 1))
-    sigs = stored(docs.mapInArrow(_signatures(hot_tokens, light),
+    light = boundary((total["squares"] or 0) / (total["few"] or 1), threshold)
+    sigs = stored(docs.mapInArrow(_signatures(hot_tokens, light, shingle, threshold),
                                   "doc_id long, n long, node long, sketch binary, entries array<long>"), "sigs")
     lists = stored(_lists(sigs), "lists")
 
     def scan(rows: DataFrame, forest: bool) -> DataFrame:
         return rows.repartition("g").sortWithinPartitions("g").mapInArrow(
-            _scan(forest), "a long, b long, lossy boolean")
+            _scan(forest, threshold), "a long, b long, lossy boolean")
 
-    first = _verify(scan(lists, True), docs, sigs)
+    first = _verify(scan(lists, True), docs, sigs, shingle, threshold)
     links = first.where("linked").select("a", "b")
     torn = first.where("lossy and not linked")
     if torn.limit(1).count():
@@ -367,7 +384,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         open_nodes = around.join(open_roots, "root").select("node")
         parts = components(links)
         parts = open_nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part"))
-        second = _verify(scan(lists.join(stored(parts, "parts"), "node"), False), docs, sigs)
+        second = _verify(scan(lists.join(stored(parts, "parts"), "node"), False), docs, sigs, shingle, threshold)
         links = links.union(second.where("linked").select("a", "b"))
     comps = components(links)
     least = (sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import duckdb
 import public_tokenizers
@@ -6,7 +7,8 @@ import sentencepiece
 
 import corpus_pipeline as cp
 from conftest import SF001
-from llm.conftest import got
+from llm.conftest import SCHEMA, got, prose, rows_of
+from llm.test_rules_and_dedup import near_copies
 
 from keyedit.llm import decontaminate as dc
 from keyedit.llm import jaccard_join as jj
@@ -61,6 +63,54 @@ def test_stages_handle_edge_rows(spark, edge, nothing):
     assert ids == sorted([1, 2, 3, 4, 5, 8, 9, 10, 11, 13, 14], key=str)
 
 
+def linked(texts, size, p, q):
+    """The smallest place of each text's component, by all pairs."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, x in enumerate(sets):
+        for b in range(a):
+            y = sets[b]
+            if q * min(len(x), len(y)) >= p * max(len(x), len(y)) and q * (o := len(x & y)) >= p * (len(x) + len(y) - o):
+                i, j = find(a), find(b)
+                root[max(i, j)] = min(i, j)
+    return [find(k) for k in range(len(texts))]
+
+
+def test_near_duplicates_are_five_words_and_four_fifths(spark):
+    """Groups that drift, and copies with a block of new text (similarity between 0.8 and 0.9), of short and long texts."""
+    rng = random.Random(11)
+    found = [t for k, size in enumerate((4, 5, 6, 8, 9, 12, 24, 148, 2500)) for t in near_copies(k, 24, size)]
+    for size in (200, 3000):
+        for k in range(6):
+            t = prose(rng, size)
+            found += [t, t + " " + prose(rng, size * (12 + 3 * k) // 100)]
+    want = linked(found, 5, 4, 5)
+    assert want != linked(found, 3, 9, 10)
+    docs = spark.createDataFrame(rows_of(list(enumerate(found))), SCHEMA).repartition(4)
+    comp = jj.jaccard_components(docs, shingle=5, threshold=(4, 5))
+    assert {r["doc_id"]: r["component_id"] for r in comp.collect()} == dict(enumerate(want))
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, SF001).collect()) == sorted(set(want))
+
+
+def test_bounds_at_four_fifths():
+    t = 4, 5
+    for n in range(1, 50):
+        for m in range(n, 64):
+            for o in range(0, n + 1):
+                if 5 * o >= 4 * (n + m - o) and not n == m == o:
+                    assert o >= jj.shared(n, m, t)
+                    assert jj.shared(n, m, t) in jj.subset_sizes(n, t) and jj.shared(n, m, t) in jj.subset_sizes(m, t)
+                    assert n - jj.prefix_length(n, t) + 1 <= o
+    for n in (10, 2000, 100_000):       # unrelated sets differ in half of the bits
+        assert jj.sketch_bits(n, t) * 9 > 2 * 2 * n
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in cp.STAGES] == ["quality_model", "jaccard_join", "decontaminate", "secret_scan", "pieces"]
 

@@ -6,8 +6,10 @@
 4. secret_scan: secrets in the texts are replaced by a mask;
 5. pieces: the texts are encoded and decoded; returns the digests per document.
 
-A stage gets what its predecessor kept and works on all of it. Repeated doc_ids:
-stage 2 keeps one row for each doc_id, stage 3 judges the rows of an id together.
+A stage gets what its predecessor kept and works on all of it. Stages 2 and 3 judge
+rows, not ids: where doc_ids repeat or are NULL the rows are numbered first, in the
+order of doc_id (NULL last) and a hash of the row. Of near-duplicate rows the one
+that is first in this order stays.
 """
 
 from __future__ import annotations
@@ -31,12 +33,25 @@ SHINGLE, THRESHOLD = 5, (4, 5)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (NULL equals NULL) is not in ``ids`` (doc_id)."""
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` (NULL equals NULL) is not in ``ids`` (doc_id)."""
     ids = stored(ids.select(F.col("doc_id").alias("gone")).distinct(), "dropped")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+    return docs.join(ids, docs[key].eqNullSafe(ids["gone"]), "left_anti")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``: the doc_id where that names one row each, else a number in the order of doc_id and row hash.
+
+    Only rows that are equal in every column may change places.
+    """
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns).asc()]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +61,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS)
-    groups = jaccard_components(docs, shingle=SHINGLE, threshold=THRESHOLD)
-    kept = without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    docs = numbered(docs.select(COLUMNS))
+    groups = jaccard_components(docs, id_col="row", shingle=SHINGLE, threshold=THRESHOLD)
+    return without(docs, groups.where("doc_id <> component_id"), "row").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS)
-    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    docs = numbered(docs.select(COLUMNS))
+    judged = decontaminate(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, judged.where("contaminated"), "row").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import duckdb
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from conftest import SF001
@@ -98,6 +99,33 @@ def test_near_duplicates_are_five_words_and_four_fifths(spark):
     assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, SF001).collect()) == sorted(set(want))
 
 
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    """Only real copies and contaminated rows go, whatever other rows hold their id."""
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 90) for _ in range(5))
+    item = next(r["text"] for r in table(spark, SF001, "benchmark").collect() if len(r["text"].split()) >= 10)
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, d), (3, b), (None, e), (None, a), (None, None), (None, c + " end"), (None, ""), (4, "")]
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA).repartition(5)
+    kept = [(1, a), (2, b), (3, c), (3, d), (None, e), (None, None), (None, ""), (4, "")]
+    out = cp.near_duplicates(spark, docs, SF001)
+    assert out.columns == cp.COLUMNS
+    assert got(out.select("doc_id", "text")) == sorted(kept, key=str)
+    more = docs.union(spark.createDataFrame(rows_of([(None, c + " " + item), (2, item)]), SCHEMA))
+    out = cp.decontaminated(spark, more, SF001)
+    assert got(out.select("doc_id", "text")) == sorted(rows, key=str)
+
+
+def test_pipeline_keeps_what_all_pairs_leave(spark):
+    """The stages up to the third against brute force, at five words and 0.8."""
+    docs, labels = table(spark, SF001, "documents"), table(spark, SF001, "labels")
+    good = {r["doc_id"] for r in qm.quality_scores(docs, labels).collect() if r["predicted"]}
+    left = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good)
+    root = linked([t for _, t in left], 5, 4, 5)
+    left = docs.where(F.col("doc_id").isin([left[k][0] for k in set(root)])).toPandas()
+    hit = duck(dc.OP4_SQL, documents=left, benchmark=table(spark, SF001, "benchmark").toPandas())
+    assert {r["doc_id"] for r in cp.run(spark, SF001).collect()} == set(hit[~hit.contaminated].doc_id)
+
+
 def test_bounds_at_four_fifths():
     t = 4, 5
     for n in range(1, 50):

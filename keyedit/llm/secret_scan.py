@@ -11,8 +11,9 @@ findings (``SAMPLE``, chosen by a hash); scanning covers every text whole.
 assignments to a credential's name); callers with reviewed findings pass their own.
 
 Defined cases: NULL and empty texts have no findings and stay as they are. A NULL
-path counts as empty. Without labelled findings of both kinds every finding is taken
-for a secret. Repeated rows are scanned one by one. Other columns pass ``redact``
+path counts as empty. With fewer than ``LEAST`` labelled findings of a kind the labels by
+shape decide instead of a forest. A model learned from a table without a single finding
+takes every finding of another table for a secret. Repeated rows are scanned one by one. Other columns pass ``redact``
 untouched, whatever their names.
 """
 
@@ -34,6 +35,7 @@ SAMPLE = 20_000            # labelled findings that a forest learns from
 DICTIONARY = 20_000        # most frequent words of 4 letters and more
 RARE = 500_000             # a word of the dictionary is more than one in so many tokens
 TREES, DEPTH, LEAF = 25, 8, 3
+LEAST = 10                 # labelled findings of each kind that a forest needs
 THRESHOLD = 0.5
 SEED = 5
 MASK = "[SECRET]"
@@ -152,14 +154,20 @@ def _grow(x: np.ndarray, y: np.ndarray, rng, depth: int, nodes: list) -> int:
 
 
 class Forest:
-    """Trees over bootstrap samples; a random subset of the features at every split."""
+    """Trees over bootstrap samples, half of either kind; a random subset of the features at every split.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    ``by_shape`` is set where labels of a kind are too few: there are no trees then,
+    and the shape of a finding decides.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, any_findings: bool = True):
         self.trees = []
-        if len(y) and y.min() != y.max():
+        kinds = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
+        self.by_shape = any_findings and min(map(len, kinds)) < LEAST
+        if min(map(len, kinds)) >= LEAST:
             rng = np.random.default_rng(SEED)
             for _ in range(TREES):
-                k = rng.integers(0, len(y), len(y))
+                k = np.concatenate([rng.choice(of, (len(y) + 1) // 2) for of in kinds])
                 nodes: list = []
                 _grow(x[k], y[k], rng, DEPTH, nodes)
                 self.trees.append(np.array(nodes))
@@ -225,28 +233,36 @@ def labelled_findings(docs: DataFrame, words: Words, labels: DataFrame | None =
     return found
 
 
-def train_forest(findings: DataFrame) -> Forest:
-    """Learn from at most about ``SAMPLE`` labelled findings, evenly of both kinds, chosen by a hash."""
+def train_forest(findings: DataFrame, any_findings: bool | None = None) -> Forest:
+    """Learn from at most about ``SAMPLE`` labelled findings, evenly of both kinds, chosen by a hash.
+
+    ``any_findings``: whether the table has findings at all, labelled or not; by default, whether these are some.
+    """
     findings = stored(findings.select("label", "features", F.xxhash64("doc_id", "start", "features").alias("h")), "findings")
     sizes = {r["label"]: r["n"] for r in findings.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    any_findings = bool(sizes) if any_findings is None else any_findings
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, SAMPLE / 2 / n)).otherwise(share)
     rows = findings.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).orderBy("h").limit(2 * SAMPLE).collect()
     x = np.array([r["features"] for r in rows], float).reshape(-1, len(FEATURES))
-    return Forest(x, np.array([r["label"] for r in rows], float))
+    return Forest(x, np.array([r["label"] for r in rows], float), any_findings)
 
 
 def learn_secrets(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
                   path_col: str | None = "source") -> tuple[Words, Forest]:
     words = frequent_words(texts(docs, id_col, text_col))
-    return words, train_forest(labelled_findings(_sources(docs, id_col, text_col, path_col), words, labels))
+    # findings that no given label is for are findings, too
+    return words, train_forest(labelled_findings(_sources(docs, id_col, text_col, path_col), words, labels),
+                               None if labels is None else True)
 
 
 def _judge(text: str, path: str, words: Words, forest: Forest) -> list[tuple[int, str, float]]:
     found = candidates(text)
     if not found:
         return []
+    if forest.by_shape:
+        return [(at, w, float(shape_label(text, at, w))) for at, w in found]
     p = forest.probability(np.array([describe(text, at, w, path, words) for at, w in found], float))
     return [(at, w, float(q)) for (at, w), q in zip(found, p)]
 

@@ -174,6 +174,30 @@ def test_secrets_found_and_masked(spark, nothing, edge):
     assert all(r["is_secret"] for r in ss.scan_secrets(docs, *unlearned).collect())
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 12])
+def test_few_secrets_among_many_findings(spark, n):
+    """Neither everything nor nothing is a secret where few findings have the shape of one."""
+    rng = random.Random(n)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16))
+    rows = [(i, f"the order {rng.randrange(10**15, 10**16)} came") for i in range(300)]
+    truth = {1000 + i: key() for i in range(n)}
+    docs = spark.createDataFrame(rows_of(rows + [(i, f"with {w} here") for i, w in truth.items()]), SCHEMA).repartition(3)
+    words, forest = ss.learn_secrets(docs)
+    assert forest.by_shape == (n < ss.LEAST)
+    found = ss.scan_secrets(docs, words, forest).collect()
+    assert len(found) == 300 + n and {r["doc_id"] for r in found if r["is_secret"]} == set(truth)
+
+
+def test_bootstraps_hold_both_kinds_evenly():
+    """Twelve secrets among thousands of findings that differ in one feature are not outvoted."""
+    rng = np.random.default_rng(2)
+    x = rng.random((5012, len(ss.FEATURES)))
+    y = np.r_[np.ones(12), np.zeros(5000)]
+    x[:, 0] = np.where(y == 1, 40, 16)
+    p = ss.Forest(x, y).probability(x)
+    assert p[:12].min() > ss.THRESHOLD > p[12:].max()
+
+
 def test_secrets_learn_from_given_labels(spark):
     """Reviewed findings replace the labels by shape."""
     rng = random.Random(4)

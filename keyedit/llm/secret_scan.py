@@ -1,14 +1,18 @@
 """Operator 5, secret scans with a random forest that removes false positives.
 
-Candidates are long runs of key characters that hold a digit, or very long ones of
-mixed case. Each is described by its length, character classes and transitions,
+Candidates are values of any length and characters that follow a credential's name,
+bearer tokens, passwords in URLs, JSON web tokens, PEM blocks of private keys, keys
+with an issuer's prefix, and long runs of key characters that hold a digit, or very
+long ones of mixed case. Each is described by its length, character classes and transitions,
 the share of it that frequent words of the corpus cover, the path (source) of its
 document and its neighbouring words. A random forest learned from labelled
 findings decides which are secrets. Training uses a bounded sample of labelled
 findings (``SAMPLE``, chosen by a hash); scanning covers every text whole.
 
-``shape_labels`` labels findings of strict, well-known shapes (key prefixes,
-assignments to a credential's name); callers with reviewed findings pass their own.
+``shape_label`` labels findings of well-known shapes: 1 for those of credentials, 0 for
+digit ids and dates, UUIDs, paths, hashes named as such and placeholders. Others have
+no label: the forest doesn't learn from them but judges them. Callers with reviewed
+findings pass their own.
 
 Defined cases: NULL and empty texts have no findings and stay as they are. A NULL
 path counts as empty. With fewer than ``LEAST`` labelled findings of a kind the labels by
@@ -45,8 +49,39 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 NAMES = ("token", "password", "passwd", "pwd", "secret", "apikey", "api_key", "api-key", "access_key", "private_key",
          "auth", "credential")
 #: Prefixes of keys that services issue.
-PREFIXES = re.compile(r"AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|gh[pousr]_[0-9A-Za-z]{30,}$|xox[abprs]-|sk_live_|AIza[0-9A-Za-z_\-]{35}$")
-_ASSIGNED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")\s*[:=]\s*[\"']?$")
+_PREFIXED = (r"A(?:KIA|SIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_\-]{20,}"
+             r"|xox[abeoprs]-[0-9A-Za-z\-]+|xapp-[0-9A-Za-z\-]+|[sr]k_(?:live|test)_[0-9A-Za-z]+|whsec_[0-9A-Za-z]+"
+             r"|AIza[0-9A-Za-z_\-]{35}|ya29\.[0-9A-Za-z_\-]+|sk-[0-9A-Za-z_\-]{20,}|SG\.[0-9A-Za-z_\-]+\.[0-9A-Za-z_\-]+"
+             r"|npm_[0-9A-Za-z]{36}|pypi-[0-9A-Za-z_\-]{16,}|hf_[0-9A-Za-z]{30,}|dop_v1_[0-9a-f]{64}|hvs\.[0-9A-Za-z_\-]{20,}")
+PREFIXES = re.compile(f"(?:{_PREFIXED})$")
+_JWT = r"eyJ[0-9A-Za-z_\-]+\.[0-9A-Za-z_\-]+\.[0-9A-Za-z_\-]*"
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_SET = r"(?::=|=>|={1,3}|::?)"
+_NAME = r"(?:(?:" + "|".join(NAMES) + r")s?|\bAuthorization)[\"'`]?\s*"
+_SCHEMES = r"(?:Bearer|Basic|Token)\s+"
+_ASSIGNED = re.compile(rf"(?i){_NAME}{_SET}\s*[\"'`]?(?:{_SCHEMES})?[\"'`]?$")
+_BEARER = re.compile(r"(?i)\bBearer\s+$")
+_USERINFO = re.compile(r"://[^\s/:@\"']*:$")
+#: Literals of which a text must hold one (in lower case), and what is then searched for: the group is the finding.
+_MARKED = tuple((heads, re.compile(x)) for heads, x in (
+    (("-----begin ",), rf"({_PEM}(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----)"),
+    (("eyj",), rf"(?<![0-9A-Za-z_\-])({_JWT})"),
+    (("://",), r"://[^\s/:@\"']*:([^\s/\"'<>]+)(?=@)"),
+    (("akia", "asia", "gh", "glpat-", "xox", "xapp-", "k_live_", "k_test_", "whsec_", "aiza", "ya29.", "sk-", "sg.", "npm_", "pypi-",
+      "hf_", "dop_v1_", "hvs."), rf"(?<![0-9A-Za-z_\-])({_PREFIXED})"),
+    (("bearer",), r"(?i)\bBearer\s+([0-9A-Za-z._~+/\-]{8,}=*)")))
+_SETS = re.compile(_SET)
+_NAME_ENDS = re.compile(rf"(?i){_NAME}$")
+_VALUE = re.compile(rf"(?i)(?:\s*(?=[\"'`])|[ \t]*)(?:{_SCHEMES})?(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]?(?:{_SCHEMES})?([^\s\"'`,;&<>]+))")
+#: What stands after a credential's name without being one.
+_PLACEHOLDER = re.compile(r"(?i)true|false|null|none|nil|undefined|yes|no|required|optional|string|str|\*+|x+|\.+|\[SECRET\]|"
+                          r"[$%]?\{+.*\}+|\$\w+")
+_CALL = re.compile(r"\$?\(.*|[A-Za-z_][\w.]*[(\[].*|os\.environ.*|process\.env.*")   # where no quote stands
+_DIGITS = re.compile(r"\d+(?:[\-/_+]\d+)*(?:T\d+(?:[+\-]\d+)?)?")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
+_PATH = re.compile(r"/{0,2}(?:(?:[a-z_\-]+|[A-Z][a-z_\-]+|[a-z_\-]*\d{1,8}[a-z_\-]*)/)+(?:[A-Za-z]?[a-z_\-]*\d{0,8}[a-z_\-]*)")
+_HASH = re.compile(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128}|(?:sha\d+|md5)-[0-9a-z+/]+=*")
+_HASHED = re.compile(r"(?i)(?:md5|sha-?\d+|checksum|commit|revision|digest|etag|index|tree|blob|parent)(?:sum)?[\"']?[\s:=@(]*[\"']?$")
 _EXAMPLE = re.compile(r"(?i)test|example|sample|demo|doc")
 
 FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "distinct", "entropy", "hex", "transitions",
@@ -55,13 +90,30 @@ FEATURES = ("length", "digits", "upper", "lower", "other", "switches", "distinct
 
 
 def candidates(text: str) -> list[tuple[int, str]]:
-    """Place and text of each candidate."""
-    out = []
+    """Place and text of each candidate, from left to right; none overlap."""
+    spans = []
     for m in CANDIDATE.finditer(text):
         w = m[0]
         if any(c.isdigit() for c in w) or (len(w) >= 24 and not w.islower() and not w.isupper()):
-            out.append((m.start(), w))
-    return out
+            spans.append((m.start(), m.end()))
+    lower = text.lower()
+    for heads, marked in _MARKED:
+        if any(h in lower for h in heads):
+            spans += [m.span(1) for m in marked.finditer(text)]
+    if any(n in lower for n in NAMES):
+        end = 0         # what stands within a value is part of it
+        for m in _SETS.finditer(text):
+            if (m.start() >= end and _NAME_ENDS.search(text, max(0, m.start() - 40), m.start())
+                    and (v := _VALUE.match(text, m.end()))):
+                spans.append(v.span(v.lastindex))
+                end = v.end()
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, text[a:b]) for a, b in out]
 
 
 class Words:
@@ -115,10 +167,21 @@ def describe(text: str, at: int, w: str, path: str, words: Words) -> list[float]
             len(path), path.count("/"), float(bool(_EXAMPLE.search(path)))]
 
 
-def shape_label(text: str, at: int, w: str) -> int:
-    """1 for strict shapes of credentials, else 0."""
-    before = text[max(0, at - 40):at]
-    return int(bool(PREFIXES.match(w) or _ASSIGNED.search(before)))
+def shape_label(text: str, at: int, w: str) -> int | None:
+    """1 for shapes of credentials, 0 for known shapes of other things, else None."""
+    before = text[max(0, at - 80):at]
+    if PREFIXES.match(w) or re.match(_PEM, w) or re.fullmatch(_JWT, w):
+        return 1
+    named = _ASSIGNED.search(before) or _USERINFO.search(before) or _BEARER.search(before)
+    if named:
+        quoted = before[-1:] in ("\"", "'", "`")
+        if _PLACEHOLDER.fullmatch(w) or not quoted and _CALL.fullmatch(w):
+            return 0
+        # a bare word of prose ("secret: the") tells nothing
+        return 1 if quoted or not w.strip(".:!?)").isalpha() or _USERINFO.search(before) else None
+    if _DIGITS.fullmatch(w) or _UUID.fullmatch(w) or _PATH.fullmatch(w):
+        return 0
+    return 0 if _HASH.fullmatch(w) and _HASHED.search(before) else None
 
 
 # ---------------------------------------------------------------- forest
@@ -241,6 +304,7 @@ def train_forest(findings: DataFrame, any_findings: bool | None = None) -> Fores
     findings = stored(findings.select("label", "features", F.xxhash64("doc_id", "start", "features").alias("h")), "findings")
     sizes = {r["label"]: r["n"] for r in findings.groupBy("label").agg(F.count("*").alias("n")).collect()}
     any_findings = bool(sizes) if any_findings is None else any_findings
+    sizes.pop(None, None)
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, SAMPLE / 2 / n)).otherwise(share)
@@ -262,7 +326,7 @@ def _judge(text: str, path: str, words: Words, forest: Forest) -> list[tuple[int
     if not found:
         return []
     if forest.by_shape:
-        return [(at, w, float(shape_label(text, at, w))) for at, w in found]
+        return [(at, w, float(shape_label(text, at, w) or 0)) for at, w in found]
     p = forest.probability(np.array([describe(text, at, w, path, words) for at, w in found], float))
     return [(at, w, float(q)) for (at, w), q in zip(found, p)]
 

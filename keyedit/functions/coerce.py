@@ -6,7 +6,8 @@ value marks its row instead of failing the job:
 * integral target: the text is read as ``decimal(38,18)`` and rounded half
   away from zero (``'1.5'`` -> 2, ``'1e3'`` -> 1000, ``' 7 '`` -> 7,
   ``'12abc'`` -> NULL), then range-checked for the target width;
-* key against an integral key column: as above but only whole numbers match;
+* key against an integral key column: as above but only whole numbers match, judged
+  on the digits as written (``'1e-19'`` is not 0, ``'70e-1'`` is 7);
 * decimal / floating / boolean / date / timestamp: ``try_cast``;
 * string: unchanged.
 """
@@ -43,10 +44,30 @@ def coerce_value(text: Column, dt: T.DataType) -> Column:
     if is_integral(dt):
         lo, hi = _INTEGRAL_RANGE[type(dt)]
         whole = F.round(text.try_cast(_WIDE), 0)
-        return F.when(whole.between(F.lit(lo), F.lit(hi)), whole.try_cast(dt))
+        return _plain_or(text, dt, F.when(whole.between(F.lit(lo), F.lit(hi)), whole.try_cast(dt)))
     return text.try_cast(dt)
 
 
+def _plain_or(text: Column, dt: T.DataType, other: Column) -> Column:
+    """Plain digits as they are; the decimal rules only for text that is no plain number."""
+    lo, hi = _INTEGRAL_RANGE[type(dt)]
+    plain = text.try_cast("bigint")
+    return F.when(plain.isNotNull(), F.when(plain.between(F.lit(lo), F.lit(hi)), plain.cast(dt))).otherwise(other)
+
+
+def _whole(text: Column) -> Column:
+    """Is the numeral in ``text`` a whole number? By its digits, so nothing is rounded first.
+
+    The fraction's digits must be used up by the exponent and by the zeros that end the digits.
+    """
+    mantissa = F.regexp_extract(text, "([0-9.]+)", 1)
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    fraction = F.length(F.regexp_extract(text, r"\.([0-9]*)", 1))
+    exponent = F.coalesce(F.regexp_extract(text, "[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    significant = F.rtrim(digits, F.lit("0"))
+    return (significant == "") | (F.length(digits) - F.length(significant) + exponent >= fraction)
+
+
 def canonical_key(text: Column, dt: T.DataType) -> Column:
     """Change-side key in the target key's type; only the change side is cast."""
     if isinstance(dt, T.StringType):
@@ -54,8 +75,5 @@ def canonical_key(text: Column, dt: T.DataType) -> Column:
     if is_integral(dt):
         lo, hi = _INTEGRAL_RANGE[type(dt)]
         d = text.try_cast(_WIDE)
-        # whole number test as floor = ceil: both sides share one type, whereas
-        # d = floor(d) is compared at a common decimal type that drops the last
-        # fractional digit (1e-10 would pass as whole)
-        return F.when((F.floor(d) == F.ceil(d)) & d.between(F.lit(lo), F.lit(hi)), d.try_cast(dt))
+        return _plain_or(text, dt, F.when(_whole(text) & d.between(F.lit(lo), F.lit(hi)), d.try_cast(dt)))
     return text.try_cast(dt)

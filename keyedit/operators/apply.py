@@ -7,7 +7,7 @@ one projection. The change side is broadcast when its measured size allows,
 otherwise the join shuffles with hot target keys salted (see ``joins``).
 
 Outcome per change row, first hit wins: ``missing_key``, ``type_mismatch``,
-``null_not_allowed``, ``applied``.
+``null_not_allowed``, the rules of ``constraints``, ``applied``.
 """
 
 from __future__ import annotations
@@ -85,8 +85,12 @@ def matched_key_counts(target: DataFrame, key_column: str, change_keys: DataFram
 
 
 def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
-                 unmatched: str = "ignore", fits: bool | None = None) -> DataFrame:
-    """``row_num, key_value, status, reason, rows_updated, failed`` for every change row."""
+                 unmatched: str = "ignore", fits: bool | None = None, refused: DataFrame | None = None) -> DataFrame:
+    """``row_num, key_value, status, reason, rows_updated, failed`` for every change row.
+
+    ``refused`` (``key_cast, status, reason``) are changes that break a rule of the target
+    (see ``constraints``).
+    """
     fits = change_keys_fit(coerced) if fits is None else fits
     counts = matched_key_counts(target, key_column, coerced, fits)
     joined = keyed_join(coerced, counts, [KEY_CAST], "left", small_fits=fits, big_unique=True)
@@ -95,9 +99,15 @@ def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
               .when(~F.col("type_ok"), F.lit(TYPE_MISMATCH))
               .when(~F.col("null_ok"), F.lit(NULL_NOT_ALLOWED))
               .otherwise(F.lit(APPLIED)))
+    if refused is not None:
+        joined = keyed_join(joined, refused.select(KEY_CAST, F.col("status").alias("__rule"), F.col("reason").alias("__why")),
+                            [KEY_CAST], "left", small_fits=fits, big_unique=True)
+        status = F.when(status == APPLIED, F.coalesce("__rule", status)).otherwise(status)
     reason = (F.when(status == MISSING_KEY, F.lit(fixed.REASON_ZERO_ROWS))
               .when(status == TYPE_MISMATCH, F.lit(fixed.REASON_TYPE_MISMATCH))
               .when(status == NULL_NOT_ALLOWED, F.lit(fixed.REASON_NULL_NOT_ALLOWED)))
+    if refused is not None:
+        reason = F.when(status == F.col("__rule"), F.col("__why")).otherwise(reason)
     counts_as_failure = status != APPLIED
     if unmatched == "ignore":
         counts_as_failure = counts_as_failure & (status != MISSING_KEY)

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyedit.operators.joins import keyed_join
 from keyedit.operators.staging import KEY, KEY_CAST, ROW_NUM
+from keyedit.session import ensure_checkpoint_dir
 
 # A key with more occurrences than this has its row numbers listed in blocks of about as many.
 ROWS_PER_CHUNK = 100_000
@@ -53,25 +54,41 @@ def first_rows(changes: DataFrame, key=KEY) -> DataFrame:
             .agg(F.min(ROW_NUM).alias("first_row"), F.count(F.lit(1)).cast("long").alias("occurrences")))
 
 
+def second_rows(changes: DataFrame, key=KEY) -> DataFrame:
+    """``(key…, second_row)`` of each duplicated key: the second smallest of its row numbers.
+
+    Ranks up to two are cut to two rows for each key before the shuffle (a group limit
+    of the window), so a hot key leaves a task as two rows; nothing is collected.
+    """
+    ks = _keys(key)
+    order = Window.partitionBy(*ks).orderBy(ROW_NUM)
+    ranked = _keyed(changes, key).select(*ks, ROW_NUM, F.row_number().over(order).alias("__rank"))
+    return ranked.where(F.col("__rank") <= 2).where(F.col("__rank") == 2).select(*ks, F.col(ROW_NUM).alias("second_row"))
+
+
 def duplicate_keys(changes: DataFrame, key=KEY) -> DataFrame:
     """Distinct duplicated keys with their count and first row."""
     return first_rows(changes, key).where(F.col("occurrences") > 1)
 
 
+def _found_once(dups: DataFrame) -> DataFrame:
+    """The duplicated keys written once: measuring and joining them read what was written, not their plan."""
+    ensure_checkpoint_dir(dups.sparkSession)
+    return dups.checkpoint()
+
+
 def duplicate_pairs(changes: DataFrame, key=KEY) -> DataFrame:
     """Every repeat as ``(key…, first_row, row_num)``: k occurrences give k-1 rows."""
     ks = _keys(key)
-    dups = duplicate_keys(changes, key).select(*ks, "first_row")
+    dups = _found_once(duplicate_keys(changes, key).select(*ks, "first_row"))
     rows = _keyed(changes, key).select(*ks, ROW_NUM)
     j = keyed_join(rows, dups, ks, "inner")
     return j.where(F.col(ROW_NUM) > F.col("first_row")).select(*ks, "first_row", ROW_NUM)
 
 
 def duplicate_keys_ordered(changes: DataFrame, key=KEY) -> DataFrame:
-    """Duplicated keys ordered by their second occurrence (``second_row``)."""
-    return (duplicate_pairs(changes, key).groupBy(*_keys(key))
-            .agg(F.min(ROW_NUM).alias("second_row"))
-            .orderBy("second_row"))
+    """Duplicated keys ordered by their second occurrence (``second_row``): one scan, no join."""
+    return second_rows(changes, key).orderBy("second_row")
 
 
 def duplicate_keys_top(changes: DataFrame, n: int = 5, key=KEY) -> DataFrame:
@@ -88,7 +105,7 @@ def duplicate_key_rows(changes: DataFrame, key=KEY, rows_per_chunk: int = ROWS_P
     key; concatenating a key's chunks in ``chunk`` order gives its full list.
     """
     ks = _keys(key)
-    dups = duplicate_keys(changes, key).select(*ks, "occurrences")
+    dups = _found_once(duplicate_keys(changes, key).select(*ks, "occurrences"))
     rows = keyed_join(_keyed(changes, key).select(*ks, ROW_NUM), dups, ks, "inner")
     chunk = F.when(F.col("occurrences") > rows_per_chunk, (F.col(ROW_NUM) / F.lit(rows_per_chunk)).cast("long")).otherwise(F.lit(0).cast("long"))
     return (rows.groupBy(*[F.col(k) for k in ks], chunk.alias("chunk"))

@@ -928,3 +928,6 @@ def q_apply_updates_orders(spark, d):
     """J4 with double and timestamp columns: only rows whose every value converts are applied."""
     target, coerced = _prepared(spark, d, fx.cso, fx.ORDERS_SPEC)
     return ap.apply_updates(target, coerced, "o_orderkey", fx.ORDERS_SPEC.update_columns)
+
+
+from keyedit.plans import catalog_runs  # noqa: E402,F401  (registers its queries)

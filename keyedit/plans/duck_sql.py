@@ -41,6 +41,12 @@ def duck_canonical_key(expr: str, dt: T.DataType) -> str:
     if is_integral(dt):
         lo, hi = _INTEGRAL_RANGE[type(dt)]
         d = f"try_cast({expr} as decimal(38,18))"
-        return (f"case when floor({d}) = ceil({d}) and {d} between {lo} and {hi} "
+        # whole numbers by their digits: the cast to a decimal rounds what lies beyond its scale
+        digits = f"replace(regexp_extract({expr}, '([0-9.]+)', 1), '.', '')"
+        fraction = f"length(regexp_extract({expr}, '[.]([0-9]*)', 1))"
+        exponent = f"coalesce(try_cast(regexp_extract({expr}, '[eE]([+-]?[0-9]+)', 1) as integer), 0)"
+        whole = (f"(rtrim({digits}, '0') = '' or "
+                 f"length({digits}) - length(rtrim({digits}, '0')) + {exponent} >= {fraction})")
+        return (f"case when {whole} and {d} between {lo} and {hi} "
                 f"then try_cast({d} as {_DUCK_INTEGRAL[type(dt)]}) end")
     return f"try_cast({expr} as {_duck_type(dt)})"

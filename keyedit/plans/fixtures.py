@@ -7,7 +7,7 @@ derivation filters rows away.
 
 * ``CS1`` - clean change set for ``customer``: one row per customer; every
   tenth key (``c_custkey % 10 = 5``) points outside the table.
-* ``CS2`` - dirty change set for ``customer``: NULL keys, leading-zero keys,
+* ``CS2`` - dirty change set for ``customer``: NULL keys, leading-zero keys, keys a hair above a whole number,
   blank strings, ``'12x'``, ``'3.5'`` and NULL values.
 * ``CSD`` - change set with duplicate keys: one row per order keyed by
   ``o_custkey``.
@@ -71,6 +71,7 @@ def cs2(spark, sf_dir) -> DataFrame:
         (F.when(k % 20 == 15, F.lit(None).cast("string"))
          .when(k % 20 == 5, _s(k + 1000000))
          .when(k % 40 == 10, F.lpad(_s(k), 6, "0"))
+         .when(k % 40 == 30, F.concat(_s(k), F.lit(".0000000000000000001")))
          .otherwise(_s(k))).alias("key_value"),
         F.when(k % 60 == 40, F.lit("")).otherwise(F.concat(F.lit("SEG"), _s(k % 3))).alias("c_mktsegment"),
         (F.when(k % 30 == 0, F.lit("12x"))
@@ -84,6 +85,7 @@ CS2_SQL = """select cast(c_custkey + 2 as bigint) as row_num,
        case when c_custkey % 20 = 15 then null
             when c_custkey % 20 = 5 then cast(c_custkey + 1000000 as varchar)
             when c_custkey % 40 = 10 then lpad(cast(c_custkey as varchar), 6, '0')
+            when c_custkey % 40 = 30 then cast(c_custkey as varchar) || '.0000000000000000001'
             else cast(c_custkey as varchar) end as key_value,
        case when c_custkey % 60 = 40 then '' else 'SEG' || cast(c_custkey % 3 as varchar) end as c_mktsegment,
        case when c_custkey % 30 = 0 then '12x' when c_custkey % 50 = 20 then null
@@ -293,3 +295,80 @@ ERR_SQL = """select event_id, (case event_id % 6 when 0 then 'ORA-01722' when 1
        when 2 then 'ORA-00942' when 3 then 'ORA-00904' when 4 then 'ORA-00001' else 'ORA-12541' end)
        || ': failure at event ' || cast(event_id as varchar) as message
 from events"""
+
+
+# --- runs on a target of several files -------------------------------------------
+
+FILES = 16      # files that the customer table is laid out in, by c_custkey % FILES
+
+
+def csf(spark, sf_dir) -> DataFrame:
+    """Change set for ``customer`` from the suppliers: its keys lie in three of the table's files."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        (k + 2).cast("long").alias("row_num"), _s(k * FILES + F.col("s_nationkey") % 3).alias("key_value"),
+        F.concat(F.lit("FILE"), _s(k % 4)).alias("c_mktsegment"),
+        F.when(k % 9 == 4, F.lit("n/a")).otherwise(_s((F.col("s_nationkey") + 1) % 25)).alias("c_nationkey"))
+
+
+CSF_SQL = f"""select cast(s_suppkey + 2 as bigint) as row_num,
+       cast(s_suppkey * {FILES} + s_nationkey % 3 as varchar) as key_value,
+       'FILE' || cast(s_suppkey % 4 as varchar) as c_mktsegment,
+       case when s_suppkey % 9 = 4 then 'n/a' else cast((s_nationkey + 1) % 25 as varchar) end as c_nationkey
+from supplier"""
+
+
+def cse(spark, sf_dir) -> DataFrame:
+    """Change set for one column of ``customer``: the priority of each customer's first order, NULL for a fifth of them."""
+    first = F.min_by("o_orderpriority", "o_orderkey")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(first.alias("p")).select(
+        (F.col("o_custkey") + 2).cast("long").alias("row_num"), _s(F.col("o_custkey")).alias("key_value"),
+        F.when(F.col("o_custkey") % 5 != 3, F.col("p")).alias("c_mktsegment"))
+
+
+CSE_SQL = """select cast(o_custkey + 2 as bigint) as row_num, cast(o_custkey as varchar) as key_value,
+       case when o_custkey % 5 <> 3 then arg_min(o_orderpriority, o_orderkey) end as c_mktsegment
+from orders group by o_custkey"""
+
+SEGMENT_SPEC = UpdateSpec(table="customer", key_column="c_custkey", update_columns=("c_mktsegment",))
+
+
+# --- constraints ----------------------------------------------------------------------
+
+NAME_SPEC = UpdateSpec(table="customer", key_column="c_custkey", update_columns=("c_name", "c_nationkey", "c_mktsegment"))
+SEGMENT_BYTES = 10
+
+
+def csu(spark, sf_dir) -> DataFrame:
+    """Renames of every customer: chains that end at a free or a kept name, swaps, equal wishes, NULLs; some values break other rules."""
+    k = F.col("c_custkey")
+
+    def name(x):
+        return F.concat(F.lit("Customer#"), F.lpad(_s(x), 9, "0"))
+    renamed = (F.when((k % 10).between(1, 4) | (k % 20 == 15) | (k % 10 == 7), name(k + 1))
+               .when(k % 20 == 5, F.concat(F.lit("New#"), _s(k)))
+               .when(k % 10 == 8, name(k - 1))
+               .when(k % 10 == 9, F.concat(F.lit("Same#"), _s(k % 30)))
+               .when(k % 20 == 0, F.lit(None).cast("string"))
+               .otherwise(name(k)))
+    return table(spark, sf_dir, "customer").select(
+        (k + 2).cast("long").alias("row_num"),
+        _s(F.when(k % 23 == 0, k + 1000000).otherwise(k)).alias("key_value"), renamed.alias("c_name"),
+        F.when(k % 37 == 0, F.lit("99")).otherwise(_s((k * 7) % 25)).alias("c_nationkey"),
+        F.when(k % 41 == 0, F.lit("SEGMENT TOO LONG")).when(k % 43 == 0, F.lit("éééééé"))
+        .otherwise(F.concat(F.lit("SEG"), _s(k % 3))).alias("c_mktsegment"))
+
+
+CSU_SQL = """select cast(c_custkey + 2 as bigint) as row_num,
+       cast(case when c_custkey % 23 = 0 then c_custkey + 1000000 else c_custkey end as varchar) as key_value,
+       case when c_custkey % 10 between 1 and 4 or c_custkey % 20 = 15 or c_custkey % 10 = 7
+                 then 'Customer#' || lpad(cast(c_custkey + 1 as varchar), 9, '0')
+            when c_custkey % 20 = 5 then 'New#' || cast(c_custkey as varchar)
+            when c_custkey % 10 = 8 then 'Customer#' || lpad(cast(c_custkey - 1 as varchar), 9, '0')
+            when c_custkey % 10 = 9 then 'Same#' || cast(c_custkey % 30 as varchar)
+            when c_custkey % 20 = 0 then null
+            else 'Customer#' || lpad(cast(c_custkey as varchar), 9, '0') end as c_name,
+       case when c_custkey % 37 = 0 then '99' else cast((c_custkey * 7) % 25 as varchar) end as c_nationkey,
+       case when c_custkey % 41 = 0 then 'SEGMENT TOO LONG' when c_custkey % 43 = 0 then 'éééééé'
+            else 'SEG' || cast(c_custkey % 3 as varchar) end as c_mktsegment
+from customer"""

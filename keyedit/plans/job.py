@@ -22,8 +22,10 @@ from keyedit.functions import fixed
 from keyedit.operators import apply as ap
 from keyedit.operators import audit as au
 from keyedit.operators import checks as ck
+from keyedit.operators.constraints import Constraints, constraint_failures, without_failed
 from keyedit.operators.joins import change_stats, stats_fit
 from keyedit.operators.staging import KEY_CAST, bind_changeset, coerce_changes, stage_as_text
+from keyedit.plans.versions import VersionStore
 from keyedit.session import checkpoint_by_key
 from keyedit.sinks.writers import snapshot, write_counted
 from keyedit.spec import UpdateSpec
@@ -39,6 +41,8 @@ class RunResult:
     summary: dict
     gates: list[dict]
     outcomes_path: str | None
+    version: int | None = None       # the store's version to use from now on, where the target is a store
+    files_rewritten: int | None = None
 
 
 def restore_full(current: DataFrame, backup: DataFrame) -> DataFrame:
@@ -71,9 +75,13 @@ def _rolled_back(spark: SparkSession, spec: UpdateSpec, bak_name: str, run_ts: s
 def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, target_path: str,
                out_dir: str, run_ts: str, *, audit_path: str | None = None,
                history_path: str | None = None, snapshot_mode: str = "pointer",
-               run_id: str | None = None) -> RunResult:
+               run_id: str | None = None, rules: Constraints | None = None) -> RunResult:
     """Apply ``raw_changes`` (``row_num`` + positional data columns) to the parquet target.
 
+    ``target_path`` may also be the root of a ``VersionStore``: the run then publishes the
+    store's next version and rewrites only the files that hold a matching row; untouched
+    files are listed again, and the old values are kept for ``VersionStore.undone``.
+
     Writes under ``out_dir``: ``target_<ts>`` (new version, unless nothing may
     be published) and ``outcomes_<ts>``. The input version is never modified,
     so by default it *is* the snapshot (``snapshot_mode="pointer"``: the
@@ -83,12 +91,16 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     Audit entry and history record go to a folder of their own, named by
     ``run_id`` (default: table, stamp and microseconds of the clock); a retry
     that is given the id of its first try replaces what that wrote. A run that
-    publishes nothing adds a ROLLBACK entry.
+    publishes nothing adds a ROLLBACK entry. Changes that break one of ``rules`` fail with a
+    reason of their own and are not applied.
     """
     stamp = _stamp(run_ts, fixed.NAME_TS_FORMAT)
+    files = None
     run_id = run_id or f"{spec.table}-{stamp}-{datetime.now():%f}"
+    store = VersionStore(spark, target_path)
+    store = store if store.exists() else None
     try:
-        target = spark.read.parquet(target_path)
+        target = store.frame() if store else spark.read.parquet(target_path)
     except AnalysisException as exc:
         if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -142,8 +154,14 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         # 3. outcomes (written: they feed the summary, the report and the decision)
         outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
         # run outputs are unique per run and never inputs (checked), so a retried run overwrites its own partial output
-        write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits), outcomes_path,
-                      mode="overwrite")
+        refused = None
+        if rules:
+            refused = constraint_failures(coerced, backup, spec.key_column, spec.update_columns, rules, fits=fits)
+            refused = refused.checkpoint()
+        write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits, refused=refused),
+                      outcomes_path, mode="overwrite")
+        if refused is not None:
+            coerced = without_failed(coerced, refused, fits)
         outcomes = spark.read.parquet(outcomes_path)
         summary = ap.run_summary(outcomes).first().asDict()
 
@@ -151,10 +169,15 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
         publish = not (spec.on_failure == "restore" and summary["fail_count"] > 0)
         new_path = None
         if publish:
-            new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
-            new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
-                                     changes_fit=fits)
-            write_counted(new_t, new_path, mode="overwrite")
+            if store:
+                new_path = target_path
+                files = store.apply(spec.key_column, spec.update_columns, coerced, row_key=spec.row_key or None,
+                                    fits=fits, check_unique=False)
+            else:
+                new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
+                new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
+                                         changes_fit=fits)
+                write_counted(new_t, new_path, mode="overwrite")
 
         # 5. audit entry and history record
         one = spark.createDataFrame([summary])
@@ -179,4 +202,5 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     else:
         msg = f"{summary['fail_count']} changes failed; nothing published, target unchanged"
     return RunResult(publish, msg, new_path if publish else target_path, backup_path, bak_name, summary, gates,
-                     outcomes_path)
+                     outcomes_path, files.version if files else store.latest() if store else None,
+                     files.files_rewritten if files else None)

@@ -9,7 +9,7 @@ a file; no window over the rows).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyedit.functions import fixed
@@ -19,7 +19,8 @@ from keyedit.operators.staging import ROW_NUM
 _MAX_BROADCAST_BLOCKS = 1_000_000
 
 
-def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW, with_path: bool = False) -> DataFrame:
+def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW, with_path: bool = False,
+                     mark: Column | None = None) -> DataFrame:
     """Add ``row_num`` = position in its own file + ``first``, all on the JVM.
 
     ``df`` must be a file scan. A scan task reads its pieces of files one after
@@ -27,28 +28,38 @@ def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW, with_path
     ``monotonically_increasing_id``; how Spark packs pieces into tasks does not
     matter. Counts per piece (a small table, one row per piece of a file) give
     each piece's offset with a running sum within its file. ``with_path`` adds
-    the file as ``path``: row numbers repeat across the files of a folder.
+    the file as ``path``: row numbers repeat across the files of a folder. ``mark``
+    adds ``first_marked``, the number of the first row of the file for which it holds.
     """
     cols = df.columns
     base = df.select(F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
                      F.monotonically_increasing_id().alias("__m"), *cols)
-    counts = base.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__min"))
+    counts = base.groupBy("__f", "__b").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__min"),
+        F.min(F.when(F.lit(False) if mark is None else mark, F.col("__m"))).alias("__marked"))
     before = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__f", "__b", "__min", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__off"))
+    if mark is not None:
+        marked = F.col("__off") + F.col("__marked") - F.col("__min") + F.lit(first)
+        offsets = (counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long"))
+                   .select("__f", "__b", "__min", "__off",
+                           F.min(marked).over(Window.partitionBy("__f")).cast("long").alias("first_marked")))
     # one offset row per piece; a piece has a task of its own or shares one, so planning knows the bound (no job)
     n_parts = df.rdd.getNumPartitions()
     side = F.broadcast(offsets) if n_parts <= _MAX_BROADCAST_BLOCKS else offsets
     row_num = (F.col("__off") + F.col("__m") - F.col("__min") + F.lit(first)).cast("long")
     path = [F.col("__f").alias("path")] if with_path else []
+    path += [F.col("first_marked")] if mark is not None else []
     return base.join(side, ["__f", "__b"]).select(row_num.alias(ROW_NUM), *path, *[F.col(f"`{c}`") for c in cols])
 
 
 def _numbered_csv(spark: SparkSession, path: str, schema, with_path: bool, options: dict) -> DataFrame:
-    """CSV rows with the numbers of their lines: blank lines count, the header line is line 1 of each file."""
+    """CSV rows with the numbers of their lines: blank lines count, a file's header is its first line that is not blank."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     named = reader.option("header", "true").option("inferSchema", "false").options(**options).csv(path)
-    lines = with_row_numbers(spark.read.text(path), first=1, with_path=True)
-    cells = lines.where((F.col(ROW_NUM) > 1) & (F.trim("value") != "")).select(
+    filled = F.col("value").rlike(r"[^\x00-\x20]")
+    lines = with_row_numbers(spark.read.text(path), first=1, with_path=True, mark=filled)
+    cells = lines.where((F.col(ROW_NUM) > F.col("first_marked")) & filled).select(
         ROW_NUM, "path", F.from_csv("value", ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(named.schema.fields)),
                                     {"mode": "PERMISSIVE", **{k: str(v) for k, v in options.items()}}).alias("r"))
     return cells.select(ROW_NUM, *(["path"] if with_path else []),

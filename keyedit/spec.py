@@ -44,6 +44,7 @@ class UpdateSpec:
     unmatched: str = "ignore"
     max_rows: int | None = None          # None: no row limit at scale
     max_text: int | None = None          # staged text limit (4000 in the tool)
+    row_key: tuple[str, ...] = ()        # what tells the target rows of one key apart (undo in a version store)
 
     def __post_init__(self):
         object.__setattr__(self, "update_columns", tuple(normalize_columns(self.update_columns)))

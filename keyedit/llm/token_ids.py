@@ -15,7 +15,8 @@ splitting rule never joins characters across a space that stands between two
 visible characters, and every such piece's first id starts with the space. New
 pieces are encoded by the library in one call; results are remembered up to a
 fixed number of entries (for speed only). Texts with other white space next to a
-space, or with unusual characters there, go to the library whole.
+space, or with unusual characters there, go to the library whole, as do texts that hold the
+literal of an added token (the library makes it that token's id).
 
 Defined cases: a NULL or empty text has the end id alone. Rows with the same
 doc_id are all written, ordered by a hash of their text; NULL doc_ids come
@@ -59,8 +60,9 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         t.no_truncation()
+        #: added tokens are found before the text is split, wherever they stand
+        self.literals = [a.content for a in t.get_added_tokens_decoder().values()]
         names = t.get_vocab()
         self.opens = np.zeros(max(names.values()) + 1, bool)    # ids that start with a space
         for name, i in names.items():
@@ -102,6 +104,9 @@ class Encoder:
     def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         column = pc.fill_null(column, "")
+        odd = np.zeros(len(column), bool)
+        for x in self.literals:
+            odd |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
         cut = Split(column)
         values = self.known.find(cut.pieces)
         new = [p for p, x in zip(cut.pieces, values) if x is None]
@@ -111,7 +116,7 @@ class Encoder:
         rest = cut.join([x or None for x in values], b"", skip_first=True)
         out, ends, at = [], cut.offsets.to_pylist(), cut.indices.to_numpy()
         for k, (ids, a, b) in enumerate(zip(rest, ends, ends[1:])):
-            head = self.first(cut.pieces[at[a]], b > a + 1) if ids is not None and b > a else None
+            head = self.first(cut.pieces[at[a]], b > a + 1) if ids is not None and b > a and not odd[k] else None
             out.append(head + ids if head is not None else self.whole(column[k].as_py()))
         return out
 

@@ -273,8 +273,8 @@ def test_blocks_round_trip(n, high):
 def test_token_ids_equal_the_library(spark, edge, tmp_dir, monkeypatch):
     monkeypatch.setattr(ti, "SEGMENT_IDS", 3000)
     t = Tokenizer.from_file(public_tokenizers.path(ti.MODEL))
-    t.encode_special_tokens = True
-    docs = edge.union(spark.createDataFrame(rows_of([(100 + k, x) for k, x in enumerate(ODD + mixed(5))]), SCHEMA))
+    more = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|", "word. <|endoftext|><|endoftext|>next one"]
+    docs = edge.union(spark.createDataFrame(rows_of([(100 + k, x) for k, x in enumerate(ODD + mixed(5) + more)]), SCHEMA))
     path = tmp_dir + "/ids"
     ti.write_token_ids(docs, path)
     order = docs.selectExpr("doc_id", "text", "xxhash64(text) as tie").orderBy("doc_id", "tie").collect()

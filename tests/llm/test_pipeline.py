@@ -33,8 +33,8 @@ def test_pipeline_equals_brute_force(spark):
     bench = table(spark, SF001, "benchmark").toPandas()
     good = [r["doc_id"] for r in qm.quality_scores(docs, labels).collect() if r["predicted"]]
     left = docs.toPandas().set_index("doc_id", drop=False).loc[good]
-    comp = duck(jj.OP9_SQL, documents=left.reset_index(drop=True))
-    left = left.loc[comp[comp.doc_id == comp.component_id].doc_id]
+    left = left.sort_index()
+    left = left.iloc[sorted(set(linked(left.text.tolist(), 5, 4, 5)))]
     hit = duck(dc.OP4_SQL, documents=left.reset_index(drop=True), benchmark=bench)
     left = left.loc[hit[~hit.contaminated].doc_id]
     assert 0 < len(left) < len(good) < docs.count()
@@ -60,8 +60,8 @@ def test_stages_handle_edge_rows(spark, edge, nothing):
             n = out.count()
             assert n <= docs.count()
     ids = sorted((r["doc_id"] for r in cp.near_duplicates(spark, edge, SF001).collect()), key=str)
-    # one text under 1, 6, 7, 7 and NULL stays once; the two texts of id 8 are one document
-    assert ids == sorted([1, 2, 3, 4, 5, 8, 9, 10, 11, 13, 14], key=str)
+    # one text under 1, 6, 7, 7, 12 (with a word more) and NULL stays once; the two texts of id 8 are two rows
+    assert ids == sorted([1, 2, 3, 4, 5, 8, 8, 9, 10, 11, 13, 14], key=str)
 
 
 def linked(texts, size, p, q):

@@ -79,7 +79,8 @@ _PLACEHOLDER = re.compile(r"(?i)true|false|null|none|nil|undefined|yes|no|requir
 _CALL = re.compile(r"\$?\(.*|[A-Za-z_][\w.]*[(\[].*|os\.environ.*|process\.env.*")   # where no quote stands
 _DIGITS = re.compile(r"\d+(?:[\-/_+]\d+)*(?:T\d+(?:[+\-]\d+)?)?")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
-_PATH = re.compile(r"/{0,2}(?:(?:[a-z_\-]+|[A-Z][a-z_\-]+|[a-z_\-]*\d{1,8}[a-z_\-]*)/)+(?:[A-Za-z]?[a-z_\-]*\d{0,8}[a-z_\-]*)")
+_FOLDER = re.compile(r"[A-Z][a-z_\-]+|[a-z_\-]+|[a-z_\-]*+\d{1,8}[a-z_\-]*+")
+_FILE = re.compile(r"[A-Za-z]?[a-z_\-]*+(?:\d{1,8}[a-z_\-]*+)?")
 _HASH = re.compile(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128}|(?:sha\d+|md5)-[0-9a-z+/]+=*")
 _HASHED = re.compile(r"(?i)(?:md5|sha-?\d+|checksum|commit|revision|digest|etag|index|tree|blob|parent)(?:sum)?[\"']?[\s:=@(]*[\"']?$")
 _EXAMPLE = re.compile(r"(?i)test|example|sample|demo|doc")
@@ -167,6 +168,16 @@ def describe(text: str, at: int, w: str, path: str, words: Words) -> list[float]
             len(path), path.count("/"), float(bool(_EXAMPLE.search(path)))]
 
 
+def is_path(w: str) -> bool:
+    """Folders between slashes and a last name, each judged by itself: in proportion to the length."""
+    for slashes in range(3):
+        if w[:slashes] == "/" * slashes:
+            *folders, last = w[slashes:].split("/")
+            if folders and _FILE.fullmatch(last) and all(map(_FOLDER.fullmatch, folders)):
+                return True
+    return False
+
+
 def shape_label(text: str, at: int, w: str) -> int | None:
     """1 for shapes of credentials, 0 for known shapes of other things, else None."""
     before = text[max(0, at - 80):at]
@@ -179,7 +190,7 @@ def shape_label(text: str, at: int, w: str) -> int | None:
             return 0
         # a bare word of prose ("secret: the") tells nothing
         return 1 if quoted or not w.strip(".:!?)").isalpha() or _USERINFO.search(before) else None
-    if _DIGITS.fullmatch(w) or _UUID.fullmatch(w) or _PATH.fullmatch(w):
+    if _DIGITS.fullmatch(w) or _UUID.fullmatch(w) or is_path(w):
         return 0
     return 0 if _HASH.fullmatch(w) and _HASHED.search(before) else None
 

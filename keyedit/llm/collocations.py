@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyedit.llm.common import on_workers, slices_of_size, stored, table, text_bytes
+from keyedit.llm.common import on_workers, slices, slices_of_size, stored, table, text_bytes
 
 WORDS, LEAST, TOP, SHARE, SCALE = 4, 30, 2000, 80, 2_000_000
 OVERLAP = WORDS - 1
@@ -133,10 +134,11 @@ class Slice:
         lists = pc.split_pattern(batch.column("chunk"), b" ")
         coded = lists.flatten().dictionary_encode()
         sizes = np.diff(lists.offsets.to_numpy())
-        self.words: list[bytes] = coded.dictionary.to_pylist()
+        self.word = coded.dictionary
+        words = self.word.to_pylist()
         self.token = coded.indices.to_numpy(zero_copy_only=False)
-        self.hash = _word_hashes(self.words)[self.token]
-        is_word = np.array([w != END for w in self.words], bool)[self.token]
+        self.hash = _word_hashes(words)[self.token]
+        is_word = np.array([w != END for w in words], bool)[self.token]
         # a chunk's last tokens are the next one's
         owned = np.ones(len(self.token), bool)
         ends = np.cumsum(sizes)
@@ -153,13 +155,6 @@ class Slice:
         self.phrase.append(_step(self.seed[self.at[0]], self.hash[self.at[0]]))
         self.is_word = is_word
 
-    def hashed(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Hashes of the ``k`` words from each place on."""
-        h = self.seed[at]
-        for j in range(k):
-            h = _step(h, self.hash[at + j])
-        return h.view(np.int64)
-
     def grow(self, keep: np.ndarray | None = None) -> None:
         """Phrases of one more word, of the present ones for which ``keep`` holds."""
         at, h, k = self.at[-1], self.phrase[-1], len(self.at)
@@ -233,39 +228,70 @@ def _count_long(pairs):
     return run
 
 
-_NAMES = "h long, lang string, phrase string, words int, parts array<struct<k:int,left:long,right:long>>, inner array<long>"
+_NAMES = "h long, lang string, phrase string"
 
 
 def _name(pairs, wanted):
-    """Text and hashes of the parts of each phrase that may be wanted, once for each slice."""
+    """Text of each phrase that may be wanted, once for each slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, want = Bitmap(pairs.value), Bitmap(wanted.value)
         for batch in slices_of_size(batches, "chunk", 8 << 20):
             s = Slice(batch)
             _grow_frequent(s, frequent)
             for k in range(1, WORDS):
-                n = k + 1
                 h, first = np.unique(s.phrase[k], return_index=True)
-                first = first[want.holds(h)]
-                at, h = s.at[k][first], s.phrase[k][first].view(np.int64)
-                phrase = [b" ".join([s.words[x] for x in row]) for row in s.token[at[:, None] + np.arange(n)].tolist()]
-                cuts = range(1, n)
-                parts = pa.StructArray.from_arrays(
-                    [pa.array(np.tile(np.array(cuts, np.int32), len(at))),
-                     pa.array(np.stack([s.hashed(at, c) for c in cuts], 1).reshape(-1)),
-                     pa.array(np.stack([s.hashed(at + c, n - c) for c in cuts], 1).reshape(-1))], ["k", "left", "right"])
-                inside = [s.hashed(at + b, m) for m in range(2, n) for b in range(n - m + 1)]
-                inner = np.stack(inside, 1).reshape(-1) if inside else np.zeros(0, np.int64)
-                places = np.arange(len(at) + 1, dtype=np.int32)
+                held = want.holds(h)
+                at = s.at[k][first[held]]
+                tokens = s.word.take(pa.array(s.token[at[:, None] + np.arange(k + 1)].reshape(-1)))
+                places = pa.array(np.arange(len(at) + 1, dtype=np.int32) * (k + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(s.langs, pa.string()).take(pa.array(s.lang[at])),
-                     pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(len(at), n, np.int32)),
-                     pa.ListArray.from_arrays(pa.array(places * len(cuts)), parts),
-                     pa.ListArray.from_arrays(pa.array(places * len(inside)), pa.array(inner))],
-                    names=["h", "lang", "phrase", "words", "parts", "inner"])
+                    [pa.array(h[held].view(np.int64)), pa.array(s.langs, pa.string()).take(pa.array(s.lang[at])),
+                     pc.binary_join(pa.ListArray.from_arrays(places, tokens), b" ").cast(pa.string())],
+                    names=["h", "lang", "phrase"])
     return run
 
 
+_PARTS = ("h long, f long, lang string, phrase string, parts array<struct<k:int,left:long,right:long>>, "
+          "inner array<long>")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each phrase the hashes of the two parts of every cut, and of the shorter phrases of two words or more in it."""
+    for batch in slices(batches, 20_000):
+        parts, inner = [], []
+        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+            w = phrase.encode().split(b" ")
+            of, n = _stretches(lang, w), len(w)
+            parts.append([{"k": k, "left": of[0, k], "right": of[k, n]} for k in range(1, n)])
+            inner.append([of[a, b] for a in range(n) for b in range(a + 2, n + 1) if b - a < n])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("h", "f", "lang", "phrase")),
+             pa.array(parts, pa.list_(pa.struct([("k", pa.int32()), ("left", pa.int64()), ("right", pa.int64())]))),
+             pa.array(inner, pa.list_(pa.int64()))], names=["h", "f", "lang", "phrase", "parts", "inner"])
+
+
+def _stretches(lang: str, words: list[bytes]) -> dict[tuple[int, int], int]:
+    """Hashes of all stretches of a phrase, as the tables have them."""
+    h, out = _word_hashes(words), {}
+    state = np.full(len(words), _step(_word_hashes([lang.encode()]), np.full(1, _M2))[0])
+    for k in range(len(words)):
+        state = _step(state[:len(words) - k], h[k:])
+        out.update({(a, a + k + 1): x for a, x in enumerate(state.view(np.int64).tolist())})
+    return out
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Within it a query's shuffle files go when the query has ended (what it wrote stays)."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _owned_words(chunks: DataFrame) -> DataFrame:
     """Word occurrences of each language: the tokens of a chunk that are words and not in its overlap."""
     tokens = F.split(F.col("chunk").cast("string"), " ")
@@ -281,25 +307,22 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     ``least`` is the number of occurrences that makes a candidate; a candidate goes when a
     longer one that holds it has ``share`` per cent of its occurrences or more.
     """
-    sc = docs.sparkSession.sparkContext
-    chunks = stored(dictionary(docs, text_col, lang_col), "phrase-dictionary")
+    spark = docs.sparkSession
     counted = "h long, f long"
 
     def frequent(rows: DataFrame) -> DataFrame:
         return rows.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    short = stored(frequent(chunks.mapInArrow(_count_short, counted)), "phrases-short")
-    pairs = sc.broadcast(bitmap_parts(short))
-    long = frequent(chunks.mapInArrow(_count_long(pairs), counted))
-    counts = stored(short.unionByName(long), "phrases")
-    wanted = sc.broadcast(bitmap_parts(counts))
-    names = chunks.mapInArrow(_name(pairs, wanted), _NAMES).groupBy("h").agg(
-        F.min("phrase").alias("phrase"), F.max("phrase").alias("other"), F.min("lang").alias("lang"),
-        F.max("lang").alias("other_lang"), F.min("parts").alias("parts"), F.min("inner").alias("inner"))
-    same = (F.col("phrase") == F.col("other")) & (F.col("lang") == F.col("other_lang"))
-    found = names.join(counts, "h").select(
-        "h", "f", F.when(same, F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases share a hash"))).alias("phrase"),
-        "lang", "parts", "inner")
-    found = stored(found, "candidates")
+    with _shuffles_dropped(spark):
+        chunks = stored(dictionary(docs, text_col, lang_col), "phrase-dictionary")
+        short = stored(frequent(chunks.mapInArrow(_count_short, counted)), "phrases-short")
+        pairs = spark.sparkContext.broadcast(bitmap_parts(short))
+        long = stored(frequent(chunks.mapInArrow(_count_long(pairs), counted)), "phrases-long")
+        counts = short.unionByName(long)
+        wanted = spark.sparkContext.broadcast(bitmap_parts(counts))
+        names = chunks.mapInArrow(_name(pairs, wanted), _NAMES).distinct()
+        found = stored(names.join(counts, "h").select("h", "f", "lang", "phrase").mapInArrow(_parts, _PARTS), "candidates")
+        if not found.groupBy("h").count().where("count > 1").isEmpty():
+            raise ValueError("two phrases share a hash")
     left = counts.select(F.col("h").alias("left"), F.col("f").alias("l"))
     right = counts.select(F.col("h").alias("right"), F.col("f").alias("r"))
     score = F.expr(f"cast({SCALE} as decimal(38,0)) * a div (l + r)")

@@ -93,7 +93,13 @@ def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
     """
     fits = change_keys_fit(coerced) if fits is None else fits
     counts = matched_key_counts(target, key_column, coerced, fits)
-    joined = keyed_join(coerced, counts, [KEY_CAST], "left", small_fits=fits, big_unique=True)
+    return judged(coerced, counts, unmatched, fits, refused)
+
+
+def judged(coerced: DataFrame, counts: DataFrame, unmatched: str, fits: bool, refused: DataFrame | None = None,
+           keep: Sequence[str] = ()) -> DataFrame:
+    """Outcomes from the matched rows of each key; ``keep`` names further columns to carry along."""
+    joined = keyed_join(coerced, counts, [KEY_CAST], "left", small_fits=fits, big_unique=not keep)
     n = F.coalesce(F.col("rows_matched"), F.lit(0)).cast("long")
     status = (F.when(n == 0, F.lit(MISSING_KEY))
               .when(~F.col("type_ok"), F.lit(TYPE_MISMATCH))
@@ -112,7 +118,7 @@ def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
     if unmatched == "ignore":
         counts_as_failure = counts_as_failure & (status != MISSING_KEY)
     return joined.select(
-        F.col(ROW_NUM), F.col(KEY), status.alias("status"), reason.alias("reason"),
+        *keep, F.col(ROW_NUM), F.col(KEY), status.alias("status"), reason.alias("reason"),
         F.when(status == APPLIED, n).otherwise(F.lit(0).cast("long")).alias("rows_updated"),
         counts_as_failure.alias("failed"),
     )

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 from keyedit.operators import apply as ap
 from keyedit.operators.constraints import Constraints, Reference, constraint_failures, without_failed
+from keyedit.operators.ordered_sets import apply_in_order, outcomes_in_order
 from keyedit.operators.staging import bind_changeset, coerce_changes, stage_as_text
 from keyedit.plans import fixtures as fx
-from keyedit.plans.catalog import _CUSTOMER_COLS, _CUSTOMER_TYPES, _applied_sql, _coerced_sql, _outcomes_sql, query
+from keyedit.plans.bucketed import BucketedTarget
+from keyedit.plans.catalog import ORACLE, _CUSTOMER_COLS, _CUSTOMER_TYPES, _applied_sql, _coerced_sql, _outcomes_sql, query
 from keyedit.plans.versions import VersionStore, file_name
 from keyedit.session import scratch_path
 
@@ -188,3 +190,61 @@ def q_apply_updates_constraints(spark, d):
     """The new target holds no value that breaks a rule; names stay unique."""
     target, coerced, refused = _judged(spark, d)
     return ap.apply_updates(target, without_failed(coerced, refused), "c_custkey", fx.NAME_SPEC.update_columns)
+
+
+# --- several change sets in one run -------------------------------------------------------
+
+def _sets(spark, d):
+    target = fx.table(spark, d, "customer")
+    return target, [(_typed(target, raw(spark, d), spec), spec.update_columns) for raw, _, spec in _THREE_RUNS]
+
+
+@query("apply_in_order", f"with {_STATES} select * from s3")
+def q_apply_in_order(spark, d):
+    """Three change sets with different columns in one pass over the target, as if run one after another."""
+    target, sets = _sets(spark, d)
+    return apply_in_order(target, sets, "c_custkey")
+
+
+@query("outcomes_in_order", "\nunion all\n".join(
+    f"(with {_outcomes_sql(sql, spec, _CUSTOMER_TYPES)} select {k} as set_no, oc.* from oc)"
+    for k, (_, sql, spec) in enumerate(_THREE_RUNS)))
+def q_outcomes_in_order(spark, d):
+    """Outcomes of every change of the three sets."""
+    target, sets = _sets(spark, d)
+    return outcomes_in_order(target, sets, "c_custkey")
+
+
+# --- a target in buckets ------------------------------------------------------------------
+
+def _bucketed(spark, d, table: str, key: str) -> BucketedTarget:
+    name = f"{table}_{uuid.uuid4().hex}"
+    return BucketedTarget.write(fx.table(spark, d, table), name, key, scratch_path(spark, name))
+
+
+@query("apply_updates_bucketed", ORACLE["apply_updates_lineitem"])
+def q_apply_updates_bucketed(spark, d):
+    """Lineitem updated in buckets by its key, without a shuffle of the target."""
+    target = _bucketed(spark, d, "lineitem", "l_orderkey")
+    return target.apply_updates(_typed(target.frame(), fx.csl(spark, d), fx.LINEITEM_SPEC), fx.LINEITEM_SPEC.update_columns)
+
+
+@query("row_outcomes_bucketed", ORACLE["row_outcomes_lineitem"])
+def q_row_outcomes_bucketed(spark, d):
+    """Outcomes against the buckets."""
+    target = _bucketed(spark, d, "lineitem", "l_orderkey")
+    return target.row_outcomes(_typed(target.frame(), fx.csl(spark, d), fx.LINEITEM_SPEC))
+
+
+@query("missing_keys_bucketed", ORACLE["missing_keys"])
+def q_missing_keys_bucketed(spark, d):
+    """Change keys that no bucket holds, repeats kept."""
+    target = _bucketed(spark, d, "customer", "c_custkey")
+    return target.missing_keys(_typed(target.frame(), fx.cs1(spark, d), fx.CUSTOMER_SPEC))
+
+
+@query("present_keys_bucketed", ORACLE["present_keys"])
+def q_present_keys_bucketed(spark, d):
+    """Change keys that a bucket holds."""
+    target = _bucketed(spark, d, "customer", "c_custkey")
+    return target.present_keys(_typed(target.frame(), fx.cs1(spark, d), fx.CUSTOMER_SPEC))

@@ -26,6 +26,7 @@ from keyedit.operators.constraints import Constraints, constraint_failures, with
 from keyedit.operators.joins import change_stats, stats_fit
 from keyedit.operators.staging import KEY_CAST, bind_changeset, coerce_changes, stage_as_text
 from keyedit.plans.versions import VersionStore
+from keyedit.scratch import RunScratch
 from keyedit.session import checkpoint_by_key
 from keyedit.sinks.writers import snapshot, write_counted
 from keyedit.spec import UpdateSpec
@@ -93,10 +94,20 @@ def run_update(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, ta
     that is given the id of its first try replaces what that wrote. A run that
     publishes nothing adds a ROLLBACK entry. Changes that break one of ``rules`` fail with a
     reason of their own and are not applied.
+
+    What the run stages and checkpoints is removed when it ends, also by an error (``scratch``).
     """
     stamp = _stamp(run_ts, fixed.NAME_TS_FORMAT)
-    files = None
     run_id = run_id or f"{spec.table}-{stamp}-{datetime.now():%f}"
+    with RunScratch(spark, run_id):
+        return _run(spark, spec, raw_changes, target_path, out_dir, run_ts, stamp, audit_path, history_path,
+                    snapshot_mode, run_id, rules)
+
+
+def _run(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, target_path: str, out_dir: str, run_ts: str,
+         stamp: str, audit_path: str | None, history_path: str | None, snapshot_mode: str, run_id: str,
+         rules: Constraints | None) -> RunResult:
+    files = None
     store = VersionStore(spark, target_path)
     store = store if store.exists() else None
     try:

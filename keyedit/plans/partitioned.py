@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from keyedit.operators import apply as ap
 from keyedit.operators.joins import keyed_join
 from keyedit.operators.staging import KEY_CAST
+from keyedit.scratch import RunScratch
 from keyedit.session import ensure_checkpoint_dir, scratch_path
 from keyedit.sinks.writers import write_counted
 
@@ -41,7 +42,6 @@ class PartitionRun:
     touched_partitions: int
     rows_rewritten: int
     backup_path: str
-    staged_path: str
 
 
 def touched_partitions(target: DataFrame, partition_cols: Sequence[str], key_column: str,
@@ -99,14 +99,23 @@ def _drop_partitions(spark: SparkSession, table: str, gone: DataFrame, partition
 def apply_to_partitions(spark: SparkSession, table: str, partition_cols: Sequence[str], key_column: str,
                         update_columns: Sequence[str], coerced: DataFrame, backup_path: str,
                         run_id: str) -> PartitionRun:
-    """Rewrite only the partitions of catalog table ``table`` that the changes touch."""
+    """Rewrite only the partitions of catalog table ``table`` that the changes touch.
+
+    The staged partitions are removed when the run ends, also by an error; the backup stays.
+    """
+    with RunScratch(spark, f"{table}-{run_id}"):
+        return _apply(spark, table, partition_cols, key_column, update_columns, coerced, backup_path, run_id)
+
+
+def _apply(spark: SparkSession, table: str, partition_cols: Sequence[str], key_column: str,
+           update_columns: Sequence[str], coerced: DataFrame, backup_path: str, run_id: str) -> PartitionRun:
     target = spark.table(table)
     ap.assert_unique_keys(coerced)
     ensure_checkpoint_dir(spark)
     parts = touched_partitions(target, partition_cols, key_column, coerced, update_columns).checkpoint()
     n_parts = parts.count()
     if n_parts == 0:
-        return PartitionRun(0, 0, backup_path, "")
+        return PartitionRun(0, 0, backup_path)
     # the partition list is counted above; broadcast it (which also enables
     # dynamic partition pruning of the scan) only while it is small
     max_parts = int(spark.conf.get("keyedit.partitions.maxBroadcast", "1000000"))
@@ -127,7 +136,7 @@ def apply_to_partitions(spark: SparkSession, table: str, partition_cols: Sequenc
     left = _named(spark.read.parquet(staged).select(*partition_cols).distinct(), partition_cols)
     was = old.select(*partition_cols).distinct()
     _drop_partitions(spark, table, was.join(left, _same_partition(was, left, partition_cols), "left_anti"), partition_cols)
-    return PartitionRun(n_parts, n_rows, backup_path, staged)
+    return PartitionRun(n_parts, n_rows, backup_path)
 
 
 def merge_sql(table: str, source_view: str, key_column: str, update_columns: Sequence[str]) -> str:

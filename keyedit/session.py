@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -67,9 +68,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH_ROOT: ContextVar[str | None] = ContextVar("scratch_root", default=None)
+
+
+def use_scratch_root(root: str | None) -> str | None:
+    """From now on scratch tables of this thread go below ``root``; returns the previous one (None: the checkpoint folder)."""
+    previous = _SCRATCH_ROOT.get()
+    _SCRATCH_ROOT.set(root)
+    return previous
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    """A path under the shared checkpoint folder (or the run's part of it) for written intermediate tables."""
+    base = (_SCRATCH_ROOT.get() or ensure_checkpoint_dir(spark)).rstrip("/")
     return f"{base}/{name}"
 
 

@@ -18,6 +18,12 @@ WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[ \t-\r]"
 
 
+#: What a worker's arrays leave goes back to the system, not to a store of its own: workers go on to other stages.
+_FRUGAL = {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
+#: Rows of an Arrow batch between the JVM and a worker: both hold whole batches, and texts are long.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +35,9 @@ def on_workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    env.update(_FRUGAL)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(
+        BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyedit.functions import fixed
+from keyedit.operators.joins import keyed_join
 from keyedit.operators.staging import ROW_NUM
+from keyedit.session import ensure_checkpoint_dir
 
 
 _MAX_BROADCAST_BLOCKS = 1_000_000
+LINES_PER_BLOCK = 100_000       # lines of a file that one task puts in order
+MAX_RECORD_LINES = 10_000       # lines of one record, beyond which a quote must have been left open
 
 
 def with_row_numbers(df: DataFrame, first: int = fixed.FIRST_DATA_ROW, with_path: bool = False,
@@ -66,6 +70,59 @@ def _numbered_csv(spark: SparkSession, path: str, schema, with_path: bool, optio
                         *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(named.columns)])
 
 
+def _records(spark: SparkSession, path: str, quote: str, max_lines: int) -> DataFrame:
+    """``row_num, path, value``: the records of CSV files whose cells may hold line breaks.
+
+    A line stands inside a quoted cell when an odd number of quotes goes before it in its file
+    (a doubled quote adds two). Lines are numbered in parallel, taken in blocks of
+    ``LINES_PER_BLOCK``; the blocks' parities are added up over one row per block, and so is the last
+    record begun in the blocks before. Only then is a record put together, from its own lines.
+    """
+    lines = with_row_numbers(spark.read.text(path), first=1, with_path=True)
+    block = F.floor(F.col(ROW_NUM) / LINES_PER_BLOCK).alias("__b")
+    lines = lines.select("path", block, ROW_NUM, "value", (F.length("value") - F.length(
+        F.replace("value", F.lit(quote), F.lit("")))).alias("__q"))
+    before = Window.partitionBy("path").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_blocks(rows: DataFrame, per_block: DataFrame) -> DataFrame:
+        return keyed_join(rows, per_block, ["path", "__b"], "left")
+    odd = lines.groupBy("path", "__b").agg(F.sum("__q").alias("__n")).select(
+        "path", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("path", "__b").orderBy(ROW_NUM)
+    so_far = F.coalesce(F.sum("__q").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
+    begun = with_blocks(lines, odd).withColumn("__begins", F.when(so_far % 2 == 0, F.col(ROW_NUM)))
+    begun = begun.withColumn("__start", F.max("__begins").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    ensure_checkpoint_dir(spark)
+    begun = begun.select("path", "__b", ROW_NUM, "value", "__begins", "__start").checkpoint()
+    last = begun.groupBy("path", "__b").agg(F.max("__begins").alias("__n")).select(
+        "path", "__b", F.max("__n").over(before).alias("__earlier"))
+    placed = with_blocks(begun, last).select("path", F.coalesce("__start", "__earlier").alias("__start"), ROW_NUM, "value")
+    longest = placed.groupBy("path", "__start").count().orderBy(F.desc("count")).first()
+    if longest and longest["count"] > max_lines:
+        raise ValueError(f"a record of {longest['count']} lines starts at line {longest['__start']} of {longest['path']}: "
+                         "a quote is not closed")
+    return placed.groupBy("path", "__start").agg(F.array_sort(F.collect_list(F.struct(ROW_NUM, "value"))).alias("__l")).select(
+        F.col("__start").alias(ROW_NUM), "path", F.array_join(F.col("__l.value"), "\n").alias("value"))
+
+
+def _multi_line_csv(spark: SparkSession, path: str, schema, with_path: bool, options: dict, max_lines: int) -> DataFrame:
+    """CSV rows with the number of each record's first line; line breaks inside quotes belong to their cell."""
+    lower = {k.lower(): v for k, v in options.items()}
+    quote = str(lower.get("quote", '"'))
+    options = {**{k: v for k, v in options.items() if k.lower() not in ("multiline", "escape")}, "escape": quote}
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    named = reader.option("header", "true").option("inferSchema", "false").option("multiLine", "true").options(**options).csv(path)
+    records = _records(spark, path, quote, max_lines)
+    filled = records.where(F.col("value").rlike(r"[^\x00-\x20]"))
+    header = filled.groupBy("path").agg(F.min(ROW_NUM).alias("__header"))
+    rows = keyed_join(filled, header, ["path"], "inner").where(F.col(ROW_NUM) > F.col("__header"))
+    cells = rows.select(ROW_NUM, "path", F.from_csv(
+        "value", ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(named.schema.fields)),
+        {"mode": "PERMISSIVE", **{k: str(v) for k, v in options.items()}}).alias("r"))
+    return cells.select(ROW_NUM, *(["path"] if with_path else []),
+                        *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(named.columns)])
+
+
 def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col: str | None = None,
                    schema=None, with_path: bool = False, **options) -> DataFrame:
     """Read a change set; returns ``row_num`` followed by the data columns in file order.
@@ -78,8 +135,16 @@ def read_changeset(spark: SparkSession, path: str, fmt: str = "csv", row_num_col
 
     Without ``row_num_col`` rows are numbered by their place in their own file;
     ``with_path`` adds the file. For ``csv`` the number is the line's: blank lines
-    count. (With ``multiLine`` or another ``encoding`` only records are counted.)
+    count. With ``multiLine`` (quotes doubled inside cells, as spreadsheets write them) a record
+    has the number of its first line; one of more than ``max_record_lines`` lines is an error,
+    as its quote is hardly meant to stay open. (With another ``encoding`` or ``escape`` only records
+    are counted.)
     """
+    max_lines = int(options.pop("max_record_lines", MAX_RECORD_LINES))
+    lower = {k.lower(): str(v).lower() for k, v in options.items()}
+    if (fmt == "csv" and not row_num_col and lower.get("multiline") == "true" and not set(lower) & {"encoding", "charset", "header", "linesep"}
+            and lower.get("escape", lower.get("quote", '"')) == lower.get("quote", '"')):
+        return _multi_line_csv(spark, path, schema, with_path, options, max_lines)
     if fmt == "csv" and not row_num_col and not {k.lower() for k in options} & {"multiline", "encoding", "charset", "header", "linesep"}:
         return _numbered_csv(spark, path, schema, with_path, options)
     reader = spark.read if schema is None else spark.read.schema(schema)

@@ -6,14 +6,20 @@ needs the fewest phrases, normalised by sample and text length, wins. Parsing
 takes the whole text, in blocks of ``BLOCK`` characters that start a new phrase, so
 that many blocks step through the automata together.
 
-Characters: lower-cased letters; every run of others is one space. A letter that
-no sample holds is a phrase by itself.
+Characters: lower-cased letters; every run of others is one space. The ``LETTERS`` most
+frequent letters of the samples have a class each. Others are spelt by four symbols (five
+beyond 10,000 letters), each from classes of its own, so that no two letters are one. A letter
+that no sample holds is a phrase by itself.
+
+A sample is made of pieces of ``PIECE`` characters, distinct by content: of each language those with the
+smallest hashes, up to its share. Texts of any length give pieces, so no labelled language is lost.
 
 Defined cases: a NULL text or one without a letter is ``und`` with score 0, and so
 is everything when there is no labelled text. Ties go to the language that sorts
 first. Repeated rows are judged one by one; lang and other columns of the judged
 rows play no part. Languages are taken as few: all samples together hold
-``SAMPLE_CHARS`` characters, whatever the size of the table.
+``SAMPLE_CHARS`` characters, or a piece for each language where that is more, whatever the
+size of the table.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyedit.llm.common import crc_bucket, on_workers, slices, table, texts
@@ -32,7 +38,8 @@ from keyedit.llm.common import crc_bucket, on_workers, slices, table, texts
 SAMPLE_CHARS = 128_000     # of labelled text, shared evenly by the languages
 BLOCK = 512
 SPACE, PAD = 0, 1          # classes before those of letters
-LETTERS, SHARED = 120, 40  # most frequent letters with a class each; the others share classes by code point
+LETTERS, SHARED = 120, 40  # most frequent letters with a class each; classes of the symbols that spell the others
+PIECE = 400                # characters of the pieces that a sample is made of
 
 
 def normal_text(text: str) -> str:
@@ -85,12 +92,19 @@ class CrossParser:
                 self.classes[i] = width - 1
         for k, c in enumerate(own):
             self.classes[ord(c)] = k + 2
-        for c in rest:
-            self.classes[ord(c)] = len(own) + 2 + ord(c) % SHARED
+        digits = 4 if len(rest) <= 10_000 else 5
+        base = SHARED // digits
+        #: symbols of the letters without a class: row 0 is no letter
+        self.spelt = np.zeros((len(rest) + 1, digits), np.int32)
+        self.rare = np.zeros(0x110000, np.int32)
+        for k, c in enumerate(rest):
+            self.rare[ord(c)] = k + 1
+            self.spelt[k + 1] = [len(own) + 2 + d * base + k // base ** d % base for d in range(digits)]
+            self.classes[ord(c)] = self.spelt[k + 1, 0]
         tables, self.roots, self.bits, states = [], [], [], 0
         for name in self.languages:
             s = samples[name]
-            auto = SuffixAutomaton([int(self.classes[ord(c)]) for c in s])
+            auto = SuffixAutomaton(self.symbols(s).tolist())
             root = states * width
             start = np.full(width, root * 4 + 2, np.int64)      # unknown: the phrase ends, and so does the letter's own
             for c, to in auto.next[0].items():
@@ -107,14 +121,30 @@ class CrossParser:
             states += len(auto.next)
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
 
+    def symbols(self, text: str) -> np.ndarray:
+        """Classes of a lower-cased text: of each run of others only the first stays, rare letters are spelt."""
+        at = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        c = self.classes[at]
+        keep = c != SPACE
+        keep[1:] |= keep[:-1]
+        if not (c != SPACE).any():
+            return c[:0]
+        c, rare = c[keep], self.rare[at[keep]]
+        if not rare.any():
+            return c
+        digits = self.spelt.shape[1]
+        size = np.where(rare > 0, digits, 1)
+        out = np.repeat(c, size)
+        first = (np.cumsum(size) - size)[rare > 0]
+        for d in range(1, digits):
+            out[first + d] = self.spelt[rare[rare > 0], d]
+        return out
+
     def parse(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language, and letters and spaces parsed, of each text."""
         cut, sizes = [], []
         for t in rows:
-            c = self.classes[np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32)]
-            keep = c != SPACE
-            keep[1:] |= keep[:-1]                       # the first of each run of others stays
-            c = c[keep] if keep.any() else c[:0]
+            c = self.symbols(t.lower())
             sizes.append(len(c))
             cut.append(np.concatenate([c, np.full(-len(c) % BLOCK, PAD, np.int32)]))
         sizes = np.array(sizes)
@@ -149,25 +179,35 @@ class CrossParser:
 
 
 def sample_languages(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """A sample of each language's text (doc_id, text, lang), chosen by a hash of the row."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    """A sample of each language's text (text, lang), chosen by a hash of its pieces."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not totals:
         return {}
-    share = chars // len(totals)
-    wanted = F.lit(0.0)
-    for name, n in totals.items():
-        wanted = F.when(F.col("lang") == name, 3.0 * share / n).otherwise(wanted)
-    picked: dict[str, list] = {}
-    for r in rows.where(F.pmod("h", F.lit(1_000_000)) < wanted * 1_000_000).collect():
-        picked.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    out = {}
-    for name, found in picked.items():
-        text = " ".join(normal_text(t) for _, t in sorted(found))[:share]
-        if text.strip():
-            out[name] = text
-    return out
+    share = max(chars // len(totals), PIECE)
+    wanted = 2 * -(-share // PIECE)         # letters alone are fewer than characters
+    cut = F.expr(f"explode(transform(sequence(0, (length(text) - 1) div {PIECE}), i -> substring(text, i * {PIECE} + 1, {PIECE})))")
+    pieces = rows.select("lang", cut.alias("piece")).where(F.col("piece").rlike(r"\p{L}"))
+    pieces = pieces.withColumn("h", F.pmod(F.xxhash64("lang", "piece"), F.lit(1 << 40)))
+    picked: dict[str, list[str]] = {}
+    missing, many = dict(totals), 16
+    while missing:
+        # about ``many`` times the pieces wanted by hash, then of these the first; all, where that gives none
+        shares = spark_map({name: min(1.0, many * wanted * PIECE / n) for name, n in missing.items()})
+        few = pieces.where(F.col("h") < shares[F.col("lang")] * float(1 << 40)).groupBy("lang", "h").agg(F.first("piece").alias("piece"))
+        order = Window.partitionBy("lang").orderBy("h")
+        for r in few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= wanted).orderBy("lang", "h").collect():
+            picked.setdefault(r["lang"], []).append(r["piece"])
+        done = many * wanted * PIECE >= max(missing.values())
+        missing = {} if done else {k: n for k, n in missing.items() if k not in picked}
+        many *= 64
+    out = {name: " ".join(map(normal_text, found))[:share] for name, found in picked.items()}
+    return {name: text for name, text in out.items() if text.strip()}
+
+
+def spark_map(values: dict[str, float]) -> Column:
+    """A map literal, whatever the number of keys."""
+    return F.map_from_arrays(F.lit(list(values)), F.lit(list(values.values())))
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id",

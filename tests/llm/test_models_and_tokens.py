@@ -137,8 +137,38 @@ def test_language_edge_rows(spark, edge, nothing):
     assert {r["lang_pred"] for r in li.predict_languages(edge, {}).collect()} == {"und"}
 
 
+def test_no_labelled_language_is_lost(spark):
+    """One text of 2 M characters, copies of one text, many short texts, one word: each label gets a sample."""
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["qrat", "zulo", "vemi", "poks", "xan"]) for _ in range(420_000))
+    pairs = [("long", long[:2_000_000])] + [("copies", "the same words again and again " * 20)] * 50
+    pairs += [("short", f"kort tekst {k}") for k in range(300)] + [("word", "unique"), ("none", "123"), (None, "no label")]
+    rows = spark.createDataFrame(pairs, "lang string, text string").repartition(5)
+    samples = li.sample_languages(rows)
+    assert sorted(samples) == ["copies", "long", "short", "word"] and samples["word"] == "unique"
+    share = li.SAMPLE_CHARS // 4
+    assert share // 2 < len(samples["long"]) <= share and "copies" in samples
+    assert li.sample_languages(rows.repartition(2)) == samples
+    p = li.CrossParser(samples)
+    assert p.predict([long[-900:], "again the same words", "kort tekst 7"])[0] == ["long", "copies", "short"]
+    assert sorted(li.sample_languages(rows, chars=3)) == sorted(samples)       # a share below one piece
+
+
+def test_rare_letters_are_told_apart():
+    """Letters without a class of their own never match each other, whatever their code points."""
+    common = "".join(chr(0x4E00 + k) for k in range(li.LETTERS)) * 3
+    a = "".join(chr(0x5E00 + k) for k in range(0, 400, 2))
+    b = "".join(chr(0x5E00 + k) for k in range(1, 400, 2))
+    p = li.CrossParser({"a": common + a, "b": common + b})
+    rare = [tuple(p.symbols(c).tolist()) for c in a + b]
+    assert len(set(rare)) == len(rare) and all(len(x) == 4 for x in rare)
+    found, sizes = p.parse([a[20:120], b[20:120], "a " + a[:3]])
+    assert found[0][0] == 1 and found[1][1] == 1 and found[0][1] > 90 and found[1][0] > 90 and sizes[0] == 400
+    assert p.predict([a[50:90], b[50:90]])[0] == ["a", "b"]
+
+
 def test_language_with_many_letters():
-    """Letters beyond the own classes share classes: the step table stays bounded."""
+    """Letters beyond the own classes are spelt with a few more: the step table stays bounded."""
     s = "".join(chr(0x4E00 + k % 3000) for k in range(9000))
     p = li.CrossParser({"zh": s, "en": "plain words here"})
     assert p.width <= li.LETTERS + li.SHARED + 3

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyedit.functions import fixed
-from keyedit.operators.joins import can_broadcast, change_stats, keyed_join, stats_fit
+from keyedit.operators.joins import can_broadcast, change_stats, hot_limit, hot_of_counts, keyed_join, stats_fit
 from keyedit.operators.staging import KEY, KEY_CAST, ROW_NUM
 from keyedit.session import ensure_checkpoint_dir
 
@@ -84,15 +84,33 @@ def matched_key_counts(target: DataFrame, key_column: str, change_keys: DataFram
     return keyed_join(counts, keys.distinct(), [KEY_CAST], "left_semi", small_fits=False, big_unique=True)
 
 
-def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str,
-                 unmatched: str = "ignore", fits: bool | None = None, refused: DataFrame | None = None) -> DataFrame:
+def key_table(target: DataFrame, key_column: str, change_keys: DataFrame) -> DataFrame:
+    """``key_cast, rows_matched, wanted``: target rows of each change key that is there, and of each hot key.
+
+    For runs beyond the broadcast bound: the target's keys are counted and shuffled once, and
+    the outcomes (``wanted`` rows) and the salting of the join that applies the changes (hot keys,
+    changed or not) both read this table. It has no more rows than change keys and hot keys.
+    """
+    tkey = _target_name(target, key_column)
+    keys = change_keys.select(KEY_CAST).where(F.col(KEY_CAST).isNotNull()).distinct()
+    tk = target.select(F.col(f"`{tkey}`").alias(KEY_CAST)).where(F.col(KEY_CAST).isNotNull())
+    counts = tk.groupBy(KEY_CAST).agg(F.count(F.lit(1)).alias("rows_matched"))
+    marked = keyed_join(counts, keys.withColumn("__wanted", F.lit(True)), [KEY_CAST], "left", small_fits=False, big_unique=True)
+    ensure_checkpoint_dir(target.sparkSession)
+    return marked.select(KEY_CAST, "rows_matched", F.coalesce("__wanted", F.lit(False)).alias("wanted")).where(
+        F.col("wanted") | (F.col("rows_matched") >= hot_limit(target))).checkpoint()
+
+
+def row_outcomes(coerced: DataFrame, target: DataFrame, key_column: str, unmatched: str = "ignore",
+                 fits: bool | None = None, refused: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """``row_num, key_value, status, reason, rows_updated, failed`` for every change row.
 
     ``refused`` (``key_cast, status, reason``) are changes that break a rule of the target
-    (see ``constraints``).
+    (see ``constraints``). ``keys`` is the run's ``key_table``, where it has one.
     """
     fits = change_keys_fit(coerced) if fits is None else fits
-    counts = matched_key_counts(target, key_column, coerced, fits)
+    counts = (matched_key_counts(target, key_column, coerced, fits) if keys is None
+              else keys.where("wanted").select(KEY_CAST, "rows_matched"))
     return judged(coerced, counts, unmatched, fits, refused)
 
 
@@ -130,13 +148,13 @@ def passing_changes(coerced: DataFrame) -> DataFrame:
 
 def apply_updates(target: DataFrame, coerced: DataFrame, key_column: str,
                   update_columns: Sequence[str], *, check_unique: bool = True,
-                  changes_fit: bool | None = None) -> DataFrame:
+                  changes_fit: bool | None = None, keys: DataFrame | None = None) -> DataFrame:
     """New target: every target row once; matched rows get all listed columns.
 
     Unmatched changes are ignored (no inserts), no row is deleted, column
     order and types are those of the target. One aggregate pass over the
     passing changes both proves their keys unique and measures them for the
-    broadcast decision.
+    broadcast decision. ``keys`` (``key_table``) spares counting the target's hot keys.
     """
     tkey = _target_name(target, key_column)
     names = [_target_name(target, c) for c in update_columns]
@@ -151,7 +169,8 @@ def apply_updates(target: DataFrame, coerced: DataFrame, key_column: str,
             raise ValueError("change set has duplicate keys; run the duplicate check first")
         if changes_fit is None:
             changes_fit = stats_fit(good, stats)
-    joined = keyed_join(target, good, [tkey], "left", small_fits=changes_fit)
+    hot = "find" if keys is None else hot_of_counts(keys.withColumnRenamed(KEY_CAST, tkey), [tkey], "rows_matched")
+    joined = keyed_join(target, good, [tkey], "left", small_fits=changes_fit, hot=hot)
     hit = F.coalesce(F.col(_HIT), F.lit(False))
     out = []
     for c in target.columns:

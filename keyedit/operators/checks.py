@@ -71,17 +71,20 @@ def duplicate_keys(changes: DataFrame, key=KEY) -> DataFrame:
     return first_rows(changes, key).where(F.col("occurrences") > 1)
 
 
-def _found_once(dups: DataFrame) -> DataFrame:
-    """The duplicated keys written once: measuring and joining them read what was written, not their plan."""
-    ensure_checkpoint_dir(dups.sparkSession)
-    return dups.checkpoint()
+def _keys_once(changes: DataFrame, key) -> DataFrame:
+    """Keys and row numbers written once: finding, measuring and joining duplicates read what was written.
+
+    The canonical spelling of a key is not worked out again in each pass.
+    """
+    ensure_checkpoint_dir(changes.sparkSession)
+    return _keyed(changes, key).select(*_keys(key), ROW_NUM).checkpoint()
 
 
 def duplicate_pairs(changes: DataFrame, key=KEY) -> DataFrame:
     """Every repeat as ``(key…, first_row, row_num)``: k occurrences give k-1 rows."""
     ks = _keys(key)
-    dups = _found_once(duplicate_keys(changes, key).select(*ks, "first_row"))
-    rows = _keyed(changes, key).select(*ks, ROW_NUM)
+    rows = _keys_once(changes, key)
+    dups = duplicate_keys(rows, key).select(*ks, "first_row")
     j = keyed_join(rows, dups, ks, "inner")
     return j.where(F.col(ROW_NUM) > F.col("first_row")).select(*ks, "first_row", ROW_NUM)
 
@@ -105,8 +108,9 @@ def duplicate_key_rows(changes: DataFrame, key=KEY, rows_per_chunk: int = ROWS_P
     key; concatenating a key's chunks in ``chunk`` order gives its full list.
     """
     ks = _keys(key)
-    dups = _found_once(duplicate_keys(changes, key).select(*ks, "occurrences"))
-    rows = keyed_join(_keyed(changes, key).select(*ks, ROW_NUM), dups, ks, "inner")
+    written = _keys_once(changes, key)
+    dups = duplicate_keys(written, key).select(*ks, "occurrences")
+    rows = keyed_join(written, dups, ks, "inner")
     chunk = F.when(F.col("occurrences") > rows_per_chunk, (F.col(ROW_NUM) / F.lit(rows_per_chunk)).cast("long")).otherwise(F.lit(0).cast("long"))
     return (rows.groupBy(*[F.col(k) for k in ks], chunk.alias("chunk"))
             .agg(F.count(F.lit(1)).cast("long").alias("n_rows"),

@@ -118,19 +118,32 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int,
     join is split into pieces of about ``rows_per_bucket`` rows however large
     it is. ``None`` when no key is hot.
     """
-    per = rows_per_bucket or hot_rows
-    hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-           .where(F.col("__n") >= hot_rows)
-           .select(*keys, F.greatest(F.ceil(F.col("__n") / F.lit(per)), F.lit(2)).cast("int").alias(_BUCKETS),
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return hot_of_counts(counts, keys, "__n", hot_rows, rows_per_bucket)
+
+
+def hot_of_counts(counts: DataFrame, keys: Sequence[str], n: str, hot_rows: int | None = None,
+                  rows_per_bucket: int | None = None) -> DataFrame | None:
+    """As ``hot_keys``, from rows per key that are counted already (column ``n``)."""
+    hot_rows = hot_rows or hot_limit(counts)
+    per = rows_per_bucket or _conf_int(counts, "keyedit.skew.rowsPerBucket", hot_rows)
+    hot = (counts.where(F.col(n) >= hot_rows)
+           .select(*keys, F.greatest(F.ceil(F.col(n) / F.lit(per)), F.lit(2)).cast("int").alias(_BUCKETS),
                    F.lit(True).alias(_HOT)))
-    ensure_checkpoint_dir(big.sparkSession)
+    ensure_checkpoint_dir(counts.sparkSession)
     hot = hot.checkpoint()
     return None if hot.isEmpty() else hot
 
 
+def hot_limit(df: DataFrame) -> int:
+    """Rows from which a key is hot."""
+    return _conf_int(df, "keyedit.skew.hotRows", 1_000_000)
+
+
 def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
                *, small_fits: bool | None = None, hot_rows: int | None = None,
-               big_unique: bool = False, equal_rows: bool = False) -> DataFrame:
+               big_unique: bool = False, equal_rows: bool = False,
+               hot: DataFrame | None | str = "find") -> DataFrame:
     """Join ``big`` with ``small`` on equal ``keys`` (USING semantics).
 
     ``how`` is one of ``left``, ``inner``, ``left_semi``, ``left_anti``; the
@@ -138,6 +151,8 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     side has one row per non-NULL key (e.g. an aggregate), so no key can be hot.
     ``equal_rows`` says that many rows of a key may be equal in all columns (a
     projection of a file scan): they are then told apart by their place in it.
+    ``hot`` gives the big side's hot keys (``hot_of_counts``; None: there are none)
+    where they are known; else they are counted.
 
     Rows with a NULL key match nothing: in a shuffle join they never travel by
     key. ``left`` and ``left_anti`` keep them aside and add them back, ``inner``
@@ -153,9 +168,10 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     for k in keys:
         keyed = keyed & F.col(f"`{k}`").isNotNull()
     full, small = big.where(keyed), small.where(keyed)
-    hot = None
-    if not big_unique:
-        hot_rows = hot_rows or _conf_int(big, "keyedit.skew.hotRows", 1_000_000)
+    if big_unique:
+        hot = None
+    elif isinstance(hot, str):
+        hot_rows = hot_rows or hot_limit(big)
         per_bucket = _conf_int(big, "keyedit.skew.rowsPerBucket", hot_rows)
         hot = hot_keys(full, keys, hot_rows, per_bucket)
     out = full.join(small, keys, how) if hot is None else _salted(full, small, keys, how, hot, equal_rows)

@@ -165,11 +165,12 @@ def _run(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, target_p
         # 3. outcomes (written: they feed the summary, the report and the decision)
         outcomes_path = f"{out_dir.rstrip('/')}/outcomes_{stamp}"
         # run outputs are unique per run and never inputs (checked), so a retried run overwrites its own partial output
+        keys = None if fits else ap.key_table(backup, spec.key_column, coerced)
         refused = None
         if rules:
             refused = constraint_failures(coerced, backup, spec.key_column, spec.update_columns, rules, fits=fits)
             refused = refused.checkpoint()
-        write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits, refused=refused),
+        write_counted(ap.row_outcomes(coerced, backup, spec.key_column, spec.unmatched, fits=fits, refused=refused, keys=keys),
                       outcomes_path, mode="overwrite")
         if refused is not None:
             coerced = without_failed(coerced, refused, fits)
@@ -187,7 +188,7 @@ def _run(spark: SparkSession, spec: UpdateSpec, raw_changes: DataFrame, target_p
             else:
                 new_path = f"{out_dir.rstrip('/')}/target_{stamp}"
                 new_t = ap.apply_updates(backup, coerced, spec.key_column, spec.update_columns, check_unique=False,
-                                         changes_fit=fits)
+                                         changes_fit=fits, keys=keys)
                 write_counted(new_t, new_path, mode="overwrite")
 
         # 5. audit entry and history record

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyedit.llm.common import Memory, slices_of_size, table, text_bytes, texts
+from keyedit.llm.common import Memory, kept, slices_of_size, table, text_bytes, texts
 
 MODEL = "byte_bpe_50k.json"
 WINDOW = 8                  # bytes under the rolling hash
@@ -272,13 +272,8 @@ def _byte_of_symbol() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(rest)}}
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return kept("chunks", path, ChunkEncoder)
 
 
 # ---------------------------------------------------------------- over a table
@@ -353,7 +348,7 @@ def _encode(path: str, shared, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         e.shared = {c: np.frombuffer(x, e.kind) for c, x in shared.value}
-        for batch in slices_of_size(batches, size=4 << 20):
+        for batch in slices_of_size(batches, size=4 << 20, keeps=True):
             data = text_bytes(batch.column("text"))
             if ids:
                 found = [e.encode(t) for t in data]

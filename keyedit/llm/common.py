@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -18,6 +19,12 @@ WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[ \t-\r]"
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim
+except (AttributeError, OSError):       # another C library: it keeps what it likes
+    _LIBC = None
+
 #: What a worker's arrays leave goes back to the system, not to a store of its own: workers go on to other stages.
 _FRUGAL = {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
 #: Rows of an Arrow batch between the JVM and a worker: both hold whole batches, and texts are long.
@@ -64,20 +71,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches, rows: int = 256):
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept(kind: str, path: str, make):
+    """What ``make(path)`` gives, kept in this worker for later tasks; only the last one asked for."""
+    if (kind, path) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, path] = make(path)
+    return _KEPT[kind, path]
+
+
+def _task_starts(keeps: bool) -> None:
+    if not keeps:
+        _KEPT.clear()       # left by a stage of another operator
+
+
+def _task_ends() -> None:
+    """What Arrow and the allocator hold for later use is given back: the worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def slices(batches, rows: int = 256, keeps: bool = False):
     """Parts of Arrow batches, so that Python objects exist for a few hundred texts at once.
 
-    At the end of a task's input what Arrow holds for later use is given back:
-    the worker goes on to tasks of other stages.
+    ``keeps``: the task uses what ``kept`` holds; else that is dropped first.
     """
+    _task_starts(keeps)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    _task_ends()
 
 
-def slices_of_size(batches, column: str = "text", size: int = 8 << 20):
+def slices_of_size(batches, column: str = "text", size: int = 8 << 20, keeps: bool = False):
     """Parts of Arrow batches whose texts take about ``size`` bytes, or hold one longer text."""
+    _task_starts(keeps)
     for batch in batches:
         length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(length) // size
@@ -86,7 +117,7 @@ def slices_of_size(batches, column: str = "text", size: int = 8 << 20):
             if end > at:
                 yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()
+    _task_ends()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -61,7 +61,7 @@ class _WordHashes(dict):
     """Word to 64-bit hash, remembered up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

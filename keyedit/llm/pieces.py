@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from keyedit.llm.common import Memory, Split, slices_of_size, table, texts
+from keyedit.llm.common import Memory, Split, kept, slices_of_size, table, texts
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -160,19 +160,14 @@ class MergeVocabulary:
         return csv, texts
 
 
-_LOADED: dict[str, MergeVocabulary] = {}
-
-
 def vocabulary(path: str) -> MergeVocabulary:
-    if path not in _LOADED:
-        _LOADED[path] = MergeVocabulary(path)
-    return _LOADED[path]
+    return kept("pieces", path, MergeVocabulary)
 
 
 def _encode(path: str, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in slices_of_size(batches, size=4 << 20):
+        for batch in slices_of_size(batches, size=4 << 20, keeps=True):
             csv, back = v.encode(batch.column("text"))
             out = [batch.column("doc_id"), pa.array([c.count(b",") + 1 if c else 0 for c in csv], pa.int64())]
             if ids:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyedit.llm.common import Memory, Split, slices, slices_of_size, table, texts
+from keyedit.llm.common import Memory, Split, kept, slices, slices_of_size, table, texts
 from keyedit.session import scratch_path
 
 MODEL = "byte_bpe_50k.json"
@@ -121,13 +121,8 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept("token ids", path, Encoder)
 
 
 # ---------------------------------------------------------------- blocks
@@ -224,7 +219,7 @@ def _segments(path: str, end_id: int):
             first, docs, ids, size = first + size, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=SEGMENTS)
 
-        for batch in slices_of_size(batches, size=4 << 20):
+        for batch in slices_of_size(batches, size=4 << 20, keeps=True):
             for doc, x in zip(batch.column("doc_id").to_pylist(),
                               enc.encode(batch.column("text"))):
                 x += end

@@ -35,6 +35,12 @@ MISSING_COUNT = "0"
 
 # --- fixed values: exports and empty views ---------------------------------
 LOG_EXPORT_HEADERS = ("时间", "级别", "消息")      # time, level, message
+EXPORT_SHEET = "Sheet1"                         # sheet of exported records
+LOG_SHEET = "更新日志"                             # sheet of an exported log
+LOG_WIDTH = 40                                  # width of each of its columns
+EXPORT_HEADER_FILL = "4472C4"                   # header cells: fill and text colour
+EXPORT_HEADER_TEXT = "FFFFFF"
+SHEET_ROWS = 1048576                            # rows of a sheet, by the format
 NO_RECORDS = "无记录"                            # status text of the empty-history row
 
 # --- fixed values: audit action types --------------------------------------

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyedit.functions import fixed
 from keyedit.operators import apply as ap
 from keyedit.operators.constraints import Constraints, Reference, constraint_failures, without_failed
 from keyedit.operators.ordered_sets import apply_in_order, outcomes_in_order
 from keyedit.operators.staging import bind_changeset, coerce_changes, stage_as_text
 from keyedit.plans import fixtures as fx
 from keyedit.plans.bucketed import BucketedTarget
-from keyedit.plans.catalog import ORACLE, _CUSTOMER_COLS, _CUSTOMER_TYPES, _applied_sql, _coerced_sql, _outcomes_sql, query
+from keyedit.plans.catalog import ORACLE, QUERIES, _CUSTOMER_COLS, _CUSTOMER_TYPES, _applied_sql, _coerced_sql, _outcomes_sql, query
 from keyedit.plans.versions import VersionStore, file_name
 from keyedit.session import scratch_path
+from keyedit.sinks.workbook import export_workbook
+from keyedit.sources.workbook import changes_from_workbooks, read_workbooks
 
 
 def _typed(target: DataFrame, raw: DataFrame, spec) -> DataFrame:
@@ -248,3 +251,28 @@ def q_present_keys_bucketed(spark, d):
     """Change keys that a bucket holds."""
     target = _bucketed(spark, d, "customer", "c_custkey")
     return target.present_keys(_typed(target.frame(), fx.cs1(spark, d), fx.CUSTOMER_SPEC))
+
+
+# --- workbooks ------------------------------------------------------------------------------
+
+def _exported(spark, df: DataFrame, **how) -> DataFrame:
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    export_workbook(df, path, **how)
+    rows = changes_from_workbooks(read_workbooks(spark, path, len(df.columns)))
+    return rows.select(*[F.coalesce(F.col(f"c{i + 1}"), F.lit("")).alias(c) for i, c in enumerate(df.columns)])
+
+
+@query("export_workbook", ORACLE["failed_records"])
+def q_export_workbook(spark, d):
+    """K6/K7: the failed records as workbooks, a part for each task, and read back."""
+    target = fx.table(spark, d, "customer")
+    coerced = _typed(target, fx.cs2(spark, d), fx.CUSTOMER_SPEC)
+    failed = ap.failed_records(ap.row_outcomes(coerced, target, "c_custkey"), fx.RUN_TS)
+    return _exported(spark, failed.repartition(3, "key_value"))
+
+
+@query("export_log_workbook", f"select time, level, message from ({ORACLE['log_parse']})")
+def q_export_log_workbook(spark, d):
+    """K9: the run log as workbooks with the tool's sheet and widths."""
+    log = QUERIES["log_parse"](spark, d).select("time", "level", "message")
+    return _exported(spark, log, sheet=fixed.LOG_SHEET, widths=[fixed.LOG_WIDTH] * 3)

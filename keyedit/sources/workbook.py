@@ -28,6 +28,7 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 _REF = re.compile(r"([A-Z]+)(\d+)")
+_SPELT = re.compile("_x([0-9A-Fa-f]{4})_")
 
 
 def _col_index(letters: str) -> int:
@@ -94,11 +95,16 @@ def _serial_to_text(serial: float, date1904: bool) -> str:
     return value.strftime("%Y-%m-%d %H:%M:%S")
 
 
+def _unescaped(text: str) -> str:
+    """The format spells characters that XML can't hold as ``_xHHHH_``."""
+    return _SPELT.sub(lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
+
+
 def _cell_text(c, shared: list[str], date_styles: set[int] = frozenset(), date1904: bool = False) -> str | None:
     t = c.get("t")
     if t == "inlineStr":
         node = c.find("m:is", _NS)
-        return "".join(x.text or "" for x in node.iter(f"{{{_NS['m']}}}t")) if node is not None else None
+        return _unescaped("".join(x.text or "" for x in node.iter(f"{{{_NS['m']}}}t"))) if node is not None else None
     v = c.find("m:v", _NS)
     if v is None or v.text is None:
         return None
@@ -125,7 +131,7 @@ def decode_workbook(data: bytes, sheet: str | None = None) -> list[tuple[int, li
         if "xl/sharedStrings.xml" in z.namelist():
             sst = ET.fromstring(z.read("xl/sharedStrings.xml"))
             for si in sst.findall("m:si", _NS):
-                shared.append("".join(x.text or "" for x in si.iter(f"{{{_NS['m']}}}t")))
+                shared.append(_unescaped("".join(x.text or "" for x in si.iter(f"{{{_NS['m']}}}t"))))
         root = ET.fromstring(z.read(_sheet_path(z, sheet)))
         date_styles = _date_styles(z)
         pr = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)

@@ -22,6 +22,7 @@ are looked up in one pass over the target's columns of the set.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from typing import Sequence
 
@@ -57,6 +58,19 @@ class Constraints:
     unique: tuple[tuple[str, ...], ...] = ()
 
 
+def declared_bytes(schema: T.StructType) -> dict[str, int]:
+    """Declared lengths of a table's ``char(n)`` and ``varchar(n)`` columns, for ``Constraints.max_bytes``.
+
+    Spark declares characters; text of one-byte characters is the case in which both are the same.
+    """
+    out = {}
+    for f in schema.fields:
+        declared = re.fullmatch(r"(?:var)?char\((\d+)\)", (f.metadata or {}).get("__CHAR_VARCHAR_TYPE_STRING", ""))
+        if declared:
+            out[f.name] = int(declared[1])
+    return out
+
+
 def _failure(keys: DataFrame, status: str, reason: Column) -> DataFrame:
     return keys.select(KEY_CAST, F.lit(_ORDER.index(status)).alias("rank"), reason.alias("reason"))
 

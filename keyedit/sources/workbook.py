@@ -3,8 +3,9 @@
 Files are listed with the ``binaryFile`` source (its ``length`` column serves
 the size gate before anything is decoded) and decoded inside
 ``mapInPandas`` with the standard library (``zipfile`` + ``ElementTree``):
-shared strings, then the rows of the named sheet (or the first sheet). A
-file is bounded by the size gate, so no task holds more than one such file.
+shared strings, then the rows of the named sheet (or the first sheet), streamed and
+handed on in pieces of ``ROWS_AT_ONCE`` rows. A file is bounded by the size gate, so no task
+holds more than one such file, as it is packed.
 
 Output: ``path, row_num, n_cells, c1 … cN`` as text; row 1 is the header.
 """
@@ -12,6 +13,7 @@ Output: ``path, row_num, n_cells, c1 … cN`` as text; row 1 is the header.
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from datetime import datetime, timedelta
@@ -28,6 +30,7 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 _REF = re.compile(r"([A-Z]+)(\d+)")
+ROWS_AT_ONCE = 10_000       # rows of a sheet that a task holds
 _SPELT = re.compile("_x([0-9A-Fa-f]{4})_")
 
 
@@ -124,29 +127,44 @@ def _cell_text(c, shared: list[str], date_styles: set[int] = frozenset(), date19
     return text
 
 
+def _elements(stream, tag: str) -> Iterator[ET.Element]:
+    """The elements of a name one after another; each is dropped when the next is asked for."""
+    parsed = ET.iterparse(stream, events=("start", "end"))
+    path = []
+    for event, e in parsed:
+        if event == "start":
+            path.append(e)
+            continue
+        path.pop()
+        if e.tag == tag:
+            yield e
+            if path:
+                path[-1].remove(e)
+
+
 def decode_workbook(data: bytes, sheet: str | None = None) -> list[tuple[int, list]]:
     """``[(sheet row number, [cell text or None, …]), …]`` of one workbook."""
+    return list(workbook_rows(data, sheet))
+
+
+def workbook_rows(data: bytes, sheet: str | None = None) -> Iterator[tuple[int, list]]:
+    """As ``decode_workbook``, row by row: the sheet's XML is streamed, only shared strings are held whole."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            sst = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            for si in sst.findall("m:si", _NS):
+            for si in _elements(z.open("xl/sharedStrings.xml"), f"{{{_NS['m']}}}si"):
                 shared.append(_unescaped("".join(x.text or "" for x in si.iter(f"{{{_NS['m']}}}t"))))
-        root = ET.fromstring(z.read(_sheet_path(z, sheet)))
         date_styles = _date_styles(z)
         pr = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
         date1904 = pr is not None and pr.get("date1904", "0").lower() in ("1", "true")
-    rows = []
-    for r in root.iter(f"{{{_NS['m']}}}row"):
-        num = int(r.get("r"))
-        cells: dict[int, str | None] = {}
-        for c in r.findall("m:c", _NS):
-            m = _REF.fullmatch(c.get("r", ""))
-            idx = _col_index(m.group(1)) if m else len(cells)
-            cells[idx] = _cell_text(c, shared, date_styles, date1904)
-        width = max(cells) + 1 if cells else 0
-        rows.append((num, [cells.get(i) for i in range(width)]))
-    return rows
+        for r in _elements(z.open(_sheet_path(z, sheet)), f"{{{_NS['m']}}}row"):
+            cells: dict[int, str | None] = {}
+            for c in r.findall("m:c", _NS):
+                m = _REF.fullmatch(c.get("r", ""))
+                idx = _col_index(m.group(1)) if m else len(cells)
+                cells[idx] = _cell_text(c, shared, date_styles, date1904)
+            width = max(cells) + 1 if cells else 0
+            yield int(r.get("r")), [cells.get(i) for i in range(width)]
 
 
 def read_workbooks(spark: SparkSession, path: str, n_columns: int, sheet: str | None = None,
@@ -168,11 +186,10 @@ def read_workbooks(spark: SparkSession, path: str, n_columns: int, sheet: str |
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
-                out = []
-                for num, cells in decode_workbook(bytes(content), sheet):
-                    padded = (cells + [None] * n_columns)[:n_columns]
-                    out.append([p, num, len(cells)] + padded)
-                yield pd.DataFrame(out, columns=["path", "row_num", "n_cells"] + cols)
+                rows = ([p, num, len(cells)] + (cells + [None] * n_columns)[:n_columns]
+                        for num, cells in workbook_rows(bytes(content), sheet))
+                while out := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                    yield pd.DataFrame(out, columns=["path", "row_num", "n_cells"] + cols)
 
     return files.select("path", "content").mapInPandas(decode, schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyedit.operators import apply as ap
 from keyedit.operators.constraints import (CHILD_FOUND, NO_PARENT, NOT_UNIQUE, TOO_LONG, Constraints, Reference,
-                                           constraint_failures, without_failed)
+                                           constraint_failures, declared_bytes, without_failed)
 from keyedit.operators.staging import coerce_changes
 from keyedit.plans.job import run_update
 from keyedit.spec import UpdateSpec
@@ -147,3 +147,11 @@ def test_run_with_rules(spark, tmp_dir):
     assert got == {1: "b", 2: "n", 3: "c"}
     statuses = spark.read.parquet(res.outcomes_path).where(F.col("failed")).collect()
     assert [(r["key_value"], r["status"]) for r in statuses] == [("3", NOT_UNIQUE)]
+
+
+def test_declared_lengths_of_a_table(spark, tmp_dir):
+    spark.sql(f"create table declared (id bigint, code varchar(4), fixed char(2), free string) using parquet location '{tmp_dir}/d'")
+    try:
+        assert declared_bytes(spark.table("declared").schema) == {"code": 4, "fixed": 2}
+    finally:
+        spark.sql("drop table declared")

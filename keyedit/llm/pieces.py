@@ -6,8 +6,8 @@ one by one. A chunk's adjacent symbol pairs wait in an agenda ordered by score,
 then by place; the best pair is merged until none is left. Symbols outside the
 vocabulary become byte pieces. Within each Arrow batch the chunks seen for the
 first time are also encoded by the sentencepiece library; any difference stops
-the job. Chunk results are remembered within a task, up to a fixed number of
-entries (for speed only: results don't depend on it).
+the job. Chunk results are remembered by a worker until it goes on to another operator,
+up to a fixed number of entries (for speed only: results don't depend on it).
 
 Defined cases: a NULL or empty text has no ids and decodes to "". Repeated
 rows are encoded one by one; other columns are ignored; an empty table gives an
@@ -178,7 +178,6 @@ def _encode(path: str, ids: bool):
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids" if ids else "ids_sha256",
                                                          "decoded" if ids else "decoded_sha256"])
-        v.forget()          # the worker may go on to tasks of other stages
     return run
 
 

@@ -1,14 +1,18 @@
 """Operator 2, language-model scores.
 
-A log-bilinear model over the most frequent words: the vectors of the last
-``ORDER`` words, each scaled for its place, add up to a predicted vector; a word's
-score is its inner product with that vector plus a bias. It is trained in numpy
-by noise-contrastive estimation over all training tokens: every partition trains
-its copy, and the copies are averaged by their token counts, round by round. As a
-context is ``ORDER`` words of a fixed vocabulary, the normalising sums of all
-contexts are computed once, by batched matrix products, so token log-probabilities
-are normalised exactly. Words outside the vocabulary share one entry; its
-probability is divided among them by add-half counts.
+A log-bilinear model over all words: the vectors of the last ``ORDER`` words'
+entries, each scaled for its place, add up to a predicted vector; an entry's
+score is its inner product with that vector plus a bias. Every word that makes up
+more than one in ``OWN`` training tokens has an entry of its own (there are fewer
+than ``OWN``); each other word, seen or not, belongs to one of ``BINS`` entries by
+its crc32, as a context and as a word to be predicted. A bin's probability is
+divided among its words, and one not seen, by add-half counts of the whole training
+corpus, so the probabilities of all words add up to one.
+
+The model is trained in numpy by noise-contrastive estimation over all training
+tokens: every partition trains its copy, and the copies are averaged by their token
+counts, round by round. An entry's score is a sum over the context's words, so the
+normalising sums of all contexts are products of matrices with a row for each entry.
 
 Counts cover the whole training corpus. Words that make up more than one in
 ``HEAD`` tokens (at most ``HEAD`` words) are sent to the tasks; the others are
@@ -22,6 +26,7 @@ likely. Repeated rows are scored one by one; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,17 +39,19 @@ from pyspark.sql import functions as F
 from keyedit.llm.common import crc_bucket, slices, stored, table, text_bytes, texts
 
 END = b""                  # no word is empty
-VOCABULARY = 510           # words of the model, beside the unknown word and the end
+OWN = 4_000                # a word that is more than one in so many tokens has its own entry
+BINS = 1_024               # entries of all other words
 DIMENSION = 16
 ORDER = 2                  # context words
-NOISE = 32                 # noise words, shared by a batch
-BATCH = 8192
+NOISE = 64                 # noise words, shared by a batch
+BATCH = 4096
 ROUNDS = 1                 # passes over the training tokens
 RATE = 0.05
+FIRST_SQUARE = 1e-7        # below the gradients of entries that are met rarely
 HEAD = 500_000
 SEED = 11
 
-UNKNOWN_ID, END_ID = 0, 1
+END_ID = 0
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -107,13 +114,18 @@ class LogBilinear:
     def log_sums(self) -> np.ndarray:
         """Log normalising sum of every context, shape (V,) * ORDER."""
         v = len(self.bias)
-        grid = np.indices((v,) * (ORDER - 1)).reshape(ORDER - 1, -1).T
-        out = np.empty((v, len(grid)), np.float32)
-        for first in range(v):
-            x = self.predicted(np.hstack([np.full((len(grid), 1), first), grid])) @ self.target.T + self.bias
-            top = x.max(axis=1, keepdims=True)
-            out[first] = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
-        return out.reshape((v,) * ORDER)
+        factors, top = [], 0.0
+        for k in range(ORDER):
+            x = (self.context * self.place[k]).astype(np.float64) @ self.target.T.astype(np.float64)
+            x += self.bias if k == 0 else 0
+            high = x.max(axis=1)
+            factors.append(np.exp(x - high[:, None]))
+            top = np.add.outer(top, high)
+        left = factors[0]
+        for f in factors[1:-1]:
+            left = (left[:, None, :] * f).reshape(-1, v)
+        sums = left @ factors[-1].T if ORDER > 1 else left.sum(axis=1)
+        return (np.log(sums).reshape((v,) * ORDER) + top).astype(np.float32)
 
 
 def contexts_of(ids: np.ndarray) -> np.ndarray:
@@ -124,6 +136,7 @@ def contexts_of(ids: np.ndarray) -> np.ndarray:
 
 def _add_rows(shape, index: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros(shape, np.float32)
+    index = index.astype(np.min_scalar_type(shape[0]))      # short keys are sorted by radix
     order = np.argsort(index, kind="stable")
     ranked = index[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -136,7 +149,7 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, seed: int):
         self.model, self.rng = model, np.random.default_rng(seed)
-        self.squares = [np.full(p.shape, 1e-3, np.float32) for p in model.parts()]
+        self.squares = [np.full(p.shape, FIRST_SQUARE, np.float32) for p in model.parts()]
         self.cumulative = np.cumsum(model.unigram)
         self.log_noise = np.log(NOISE * model.unigram).astype(np.float32)
 
@@ -163,15 +176,36 @@ class Trainer:
             p -= RATE * g / np.sqrt(sq)
 
 
-def _train(model: LogBilinear, ids_of: dict[bytes, int], round_: int):
+class Entries(dict):
+    """The entry of each word: its own, or its bin."""
+
+    def __init__(self, own: list[bytes]):
+        super().__init__({END: END_ID} | {w: k + 1 for k, w in enumerate(own)})
+        self.first_bin, self.bins = len(self), BINS
+
+    def __missing__(self, word: bytes) -> int:
+        return self.first_bin + zlib.crc32(word) % self.bins
+
+    def __reduce__(self):
+        return _entries, (dict(self), self.first_bin, self.bins)
+
+
+def _entries(items: dict[bytes, int], first_bin: int, bins: int) -> Entries:
+    out = Entries([])
+    out.update(items)
+    out.first_bin, out.bins = first_bin, bins
+    return out
+
+
+def _train(model: LogBilinear, entries: Entries, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         trainer = Trainer(model, SEED + 1000 * round_ + part)
-        known, seen, ids, before, held = _Known(ids_of, UNKNOWN_ID), 0, [], [], 0
+        seen, ids, before, held = 0, [], [], 0
         for batch in slices(batches):
             for t in text_bytes(batch.column("text")):
                 w = tokens(t)
-                x = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+                x = np.fromiter(map(entries.__getitem__, w), np.int64, len(w))
                 ids.append(x)
                 before.append(contexts_of(x))
                 held += len(x)
@@ -215,10 +249,11 @@ def _average(t: pa.Table) -> pa.Table:
 class Scorer:
     """What scoring needs in the tasks: model, normalising sums, counts of the head."""
 
-    def __init__(self, model: LogBilinear, ids_of: dict[bytes, int], head: list[tuple[bytes, int]]):
-        self.model, self.sums = model, model.log_sums()
+    def __init__(self, model: LogBilinear, entries: Entries, shared: np.ndarray, head: list[tuple[bytes, int]]):
+        self.model, self.sums, self.entries = model, model.log_sums(), entries
+        self.shared = np.log10(shared)      # what a bin's words divide its probability by; own entries have 1
         self.words = [w for w, _ in head]
-        self.ids = np.array([ids_of.get(w, UNKNOWN_ID) for w in self.words] + [UNKNOWN_ID], np.int64)
+        self.ids = np.array([entries[w] for w in self.words] + [END_ID], np.int64)
         self.logs = np.array([np.log10(c + 0.5) for _, c in head] + [0.0])      # the last stands for words to be joined
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,49 +265,58 @@ class Scorer:
                 w = tokens(t)
                 k = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
                 ids, logs = self.ids[k], self.logs[k]
+                other = [(i, w[i]) for i in np.flatnonzero(k == len(self.words)).tolist()]
+                for i, x in other:
+                    ids[i] = self.entries[x]
                 c = contexts_of(ids)
                 score = ((m.predicted(c) * m.target[ids]).sum(axis=1) + m.bias[ids]
                          - self.sums[tuple(c[:, j] for j in range(ORDER))]).astype(np.float64)
-                rare = Counter([w[i] for i in np.flatnonzero(k == len(self.words)).tolist()])
-                unknown = ids == UNKNOWN_ID
-                rows.append((len(w), len(w) - sum(rare.values()), float(logs.sum()),
-                             float(score.sum() / np.log(10)), int(unknown.sum()), float(logs[unknown].sum()),
+                rare = Counter([x for _, x in other])
+                share = logs[ids >= self.entries.first_bin].sum() - self.shared[ids].sum()
+                rows.append((len(w), len(w) - len(other), float(logs.sum()), float(score.sum() / np.log(10) + share),
                              list(rare.keys()), list(rare.values())))
             n = batch.num_rows
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(at, at + n) + (part << 33), pa.int64()), batch.column("doc_id"),
-                 *(pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
-                                                               pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))))],
-                names=["row", "doc_id", "n_tokens", "n_head", "logs", "model", "n_unknown", "unknown_logs", "rare", "rare_n"])
+                 *(pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(),
+                                                               pa.list_(pa.binary()), pa.list_(pa.int64()))))],
+                names=["row", "doc_id", "n_tokens", "n_head", "logs", "model", "rare", "rare_n"])
             at += n
 
 
-_SCORED = ("row long, doc_id long, n_tokens long, n_head long, logs double, model double, n_unknown long, "
-           "unknown_logs double, rare array<binary>, rare_n array<long>")
+_SCORED = ("row long, doc_id long, n_tokens long, n_head long, logs double, model double, "
+           "rare array<binary>, rare_n array<long>")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_bucket(doc_id, 5) == 1, F.lit(False))
 
 
-def fit(training: DataFrame, counts: DataFrame) -> tuple[LogBilinear, dict[bytes, int], dict[bytes, int]]:
-    """The model, the ids of its vocabulary, and the counts of its vocabulary."""
+def fit(training: DataFrame, counts: DataFrame) -> tuple[LogBilinear, Entries, np.ndarray, dict[bytes, int]]:
+    """The model, the entries of its words, what each entry's words share, and the counts of the words with their own."""
     total = counts.agg(F.sum("c")).first()[0] or 0
-    # ranked among fewer than HEAD tokens, however many the table has
-    often = counts.where((F.col("c") * HEAD > total) & (F.col("token") != F.lit(END)))
-    top = often.orderBy(F.desc("c"), "token").limit(VOCABULARY).collect()
+    # fewer than OWN rows, however many words the table has
+    own = {bytes(r["token"]): r["c"] for r in
+           counts.where((F.col("c") * OWN > total) & (F.col("token") != F.lit(END))).orderBy(F.desc("c"), "token").collect()}
     end = counts.where(F.col("token") == F.lit(END)).first()
-    ids_of = {END: END_ID} | {bytes(r["token"]): k + 2 for k, r in enumerate(top)}
-    known = {bytes(r["token"]): r["c"] for r in top} | ({END: end["c"]} if end else {})
-    covered = sum(known.values())
-    unigram = np.array([total - covered, end["c"] if end else 0, *(r["c"] for r in top)], float) + 0.5
+    entries = Entries(list(own))
+    known = own | ({END: end["c"]} if end else {})
+    # every word's count is in its bin's mass; those with an entry of their own are taken out again
+    mass = np.full(BINS, 0.5)
+    for r in counts.groupBy(F.pmod(F.crc32("token"), F.lit(BINS)).alias("bin")).agg(
+            F.sum(F.col("c") + 0.5).alias("mass")).collect():
+        mass[r["bin"]] += r["mass"]
+    for w, c in known.items():
+        mass[zlib.crc32(w) % BINS] -= c + 0.5
+    unigram = np.array([(end["c"] if end else 0) + 0.5, *(c + 0.5 for c in own.values()), *mass])
+    shared = np.concatenate([np.ones(len(own) + 1), mass])
     model = LogBilinear(unigram)
     for k in range(ROUNDS if total else 0):
-        blocks = (training.mapInArrow(_train(model, ids_of, k), "block int, n long, sums array<double>")
+        blocks = (training.mapInArrow(_train(model, entries, k), "block int, n long, sums array<double>")
                   .groupBy("block").applyInArrow(_average, "block int, sums array<double>").collect())
         model.load(np.concatenate([r["sums"] for r in sorted(blocks, key=lambda r: r["block"])]))
-    return model, ids_of, known
+    return model, entries, shared, known
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,11 +326,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counts = stored(count_tokens(training), "token-counts")
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = size["n"] or 0, size["v"]
-    model, ids_of, known = fit(training, counts)
-    covered = sum(known.values())
+    model, entries, shared, known = fit(training, counts)
     head = known | {bytes(r["token"]): r["c"] for r in counts.where(F.col("c") * HEAD > n).collect()}
     spark = docs.sparkSession
-    scorer = spark.sparkContext.broadcast(Scorer(model, ids_of, list(head.items())))
+    scorer = spark.sparkContext.broadcast(Scorer(model, entries, shared, list(head.items())))
     scored = stored(docs.mapInArrow(lambda b: scorer.value.run(b), _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select(
         "row", F.col("x.rare").alias("token"), F.col("x.rare_n").alias("k"))
@@ -295,13 +338,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
     full = scored.drop("rare", "rare_n").join(rare, "row", "left").fillna(0, ["rare_logs", "rare_known"])
     base = float(np.log10(n + 0.5 * (v + 1)))
-    # words outside the vocabulary share the unknown word's probability by add-half counts
-    others = float(np.log10(n - covered + 0.5 * (v - min(v, len(ids_of)) + 1)))
     return full.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("n_head") + F.col("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model") + F.col("unknown_logs") + F.col("rare_logs") - F.col("n_unknown") * others).alias("score"))
+        (F.col("model") + F.col("rare_logs")).alias("score"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,39 @@ def test_lm_edge_rows(spark, edge, nothing):
         assert (r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0) and -20 < r["score"] < 0
 
 
+def test_lm_every_word_has_its_place(spark, monkeypatch):
+    """No word is left out of the model: frequent ones have entries of their own, however many, the others bins by their names."""
+    words = [f"w{k}" for k in range(1500)]
+    rows = rows_of([(k, " ".join(words[k % 3::3])) for k in range(30)])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = lm.count_tokens(docs)
+    entries = lm.fit(docs, counts)[1]
+    assert len({entries[w.encode()] for w in words}) == len(words)
+
+    monkeypatch.setattr(lm, "OWN", 20)          # no word is that frequent
+    monkeypatch.setattr(lm, "BINS", 16)
+    model, entries, shared, known = lm.fit(docs, counts)
+    c = {bytes(r["token"]): r["c"] for r in counts.collect()}
+    assert len(model.bias) == len(shared) == entries.first_bin + 16
+    for e in range(entries.first_bin, len(shared)):
+        assert shared[e] == pytest.approx(sum(k + .5 for w, k in c.items() if entries[w] == e) + .5)
+
+
+def test_lm_tells_rare_words_apart(spark, monkeypatch):
+    """Words of one count, over 600 others before them in any order: what stands before a word counts."""
+    rng = random.Random(5)
+    # every even word is followed by the next one
+    train = [(i, " ".join(f"w{k} w{k + 1}" for k in rng.sample(range(0, 1500, 2), 750))) for i in range(400)
+             if zlib.crc32(str(i).encode()) % 5 != 1]
+    test = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5 == 1][:200]
+    ordered = [(i, f"w{800 + 2 * (i % 50)} w{801 + 2 * (i % 50)}") for i in test[:100]]
+    turned = [(i, f"w{801 + 2 * (i % 50)} w{800 + 2 * (i % 50)}") for i in test[100:]]
+    docs = spark.createDataFrame(rows_of(train + ordered + turned), SCHEMA).coalesce(1)
+    monkeypatch.setattr(lm, "BATCH", 512)
+    s = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs).collect()}
+    assert np.mean([s[i] for i in test[:100]]) > np.mean([s[i] for i in test[100:]]) + 0.3
+
+
 # ---------------------------------------------------------------- 3
 
 def test_cross_parsing_equals_brute_force(monkeypatch):

@@ -27,8 +27,8 @@ except (AttributeError, OSError):       # another C library: it keeps what it li
 
 #: What a worker's arrays leave goes back to the system, not to a store of its own: workers go on to other stages.
 _FRUGAL = {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
-#: Rows of an Arrow batch between the JVM and a worker: both hold whole batches, and texts are long.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch between the JVM and a worker: both hold whole batches, and texts are long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,7 @@ def on_workers(spark: SparkSession) -> None:
     env.update(_FRUGAL)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(
         BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,6 +121,19 @@ def slices_of_size(batches, column: str = "text", size: int = 8 << 20, keeps: bo
     _task_ends()
 
 
+def gathered(batches, column: str = "text", size: int = 8 << 20):
+    """Arrow batches put together until their texts take ``size`` bytes: what equal rows share is worked out once for all."""
+    held, length = [], 0
+    for batch in batches:
+        held.append(batch)
+        length += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if length >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, length = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; NULL gives an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -153,6 +153,7 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
     return rows.mapInArrow(_windows, "item_id string, phrase binary").distinct()
 
 
+_DIGESTS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _HITS = "segment string, at int, doc_id long, n_words long, spans array<int>, items array<string>"
 
 
@@ -208,20 +209,24 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Exact matches of ``windows`` rows in every document of the index: spans of hit words, items.
-
-    Phrases are dealt into blocks by a hash, as many as their measured size
-    asks for; each block is one pass over the index.
-    """
+def _phrase_blocks(phrases: DataFrame) -> list[list[tuple[bytes, list[str]]]]:
+    """``windows`` rows dealt into blocks by a hash, as many as their measured size asks for."""
     phrases = stored(phrases.groupBy("phrase").agg(F.collect_set("item_id").alias("items")), "phrases")
     size = phrases.agg(F.sum(F.length("phrase") + F.aggregate("items", F.lit(0), lambda a, x: a + F.length(x) + 8))).first()[0]
     blocks = -(-(size or 0) // BLOCK_BYTES) or 1
-    parts = []
-    for k in range(blocks):
-        mine = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).collect()
-        parts.append(index.mapInArrow(_search([(bytes(r["phrase"]), r["items"]) for r in mine]), _HITS))
-    if blocks == 1:
+    return [[(bytes(r["phrase"]), r["items"]) for r in
+             phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).collect()] for k in range(blocks)]
+
+
+def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Exact matches of ``windows`` rows in every document of the index: spans of hit words, items."""
+    return _block_hits(index, _phrase_blocks(phrases))
+
+
+def _block_hits(index: DataFrame, blocks: list[list[tuple[bytes, list[str]]]]) -> DataFrame:
+    """Each block of phrases is one pass over the index."""
+    parts = [index.mapInArrow(_search(block), _HITS) for block in blocks]
+    if len(parts) == 1:
         return parts[0]
     hits = parts[0]
     for p in parts[1:]:
@@ -253,9 +258,11 @@ def near_hits(index: DataFrame, queries: list[str], width: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    hits = phrase_hits(build_index(docs), windows(items))
-    return hits.select("doc_id", "n_words", "spans", "items").mapInArrow(
-        _finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    index, blocks = build_index(docs), _phrase_blocks(windows(items))
+    if len(blocks) == 1:        # one after the other in one worker: two steps in a row would hold a second worker for each task
+        search = _search(blocks[0])
+        return index.mapInArrow(lambda batches: _finish(search(batches)), _DIGESTS)
+    return _block_hits(index, blocks).select("doc_id", "n_words", "spans", "items").mapInArrow(_finish, _DIGESTS)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,13 @@ def test_decontaminate_in_blocks(spark, edge, monkeypatch):
     assert got(dc.decontaminate(edge, bench)) == whole
 
 
+def test_decontaminate_takes_one_worker_a_task(spark, edge):
+    """Search and digests are one Python step: two in a row hold two workers for each task at once."""
+    bench = spark.createDataFrame([(1, "one"), (2, "not there")], "item_id long, text string")
+    plan = dc.decontaminate(edge, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_decontaminate_empty(spark, nothing, edge):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(nothing, bench).count() == 0

@@ -37,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyedit.llm.common import on_workers, slices, slices_of_size, stored, table, text_bytes
+from keyedit.llm.common import gathered, on_workers, slices, slices_of_size, stored, table, text_bytes
 
 WORDS, LEAST, TOP, SHARE, SCALE = 4, 30, 2000, 80, 2_000_000
 OVERLAP = WORDS - 1
 TRIGGER_BITS = 5            # a trigger for about every 2 ** TRIGGER_BITS tokens
 MOST = 512                  # tokens of a chunk without a trigger
+SLICE = 4 << 20             # bytes of chunks whose phrases are summed before they are shuffled
 BITMAP_BITS = 27            # a bitmap takes 16 MB at any size of the input
 BUCKET = 1 << 15            # bits of one value of Spark's bitmap functions
 
@@ -197,7 +198,7 @@ def _summed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def _count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices_of_size(batches, "chunk", 8 << 20):
+    for batch in slices_of_size(gathered(batches, "chunk", SLICE), "chunk", 2 * SLICE):
         s = Slice(batch)
         s.grow()
         yield _summed(np.concatenate(s.phrase), np.concatenate([s.n[at] for at in s.at]))
@@ -221,7 +222,7 @@ def _grow_frequent(s: Slice, frequent: Bitmap) -> None:
 def _count_long(pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Bitmap(pairs.value)
-        for batch in slices_of_size(batches, "chunk", 8 << 20):
+        for batch in slices_of_size(gathered(batches, "chunk", SLICE), "chunk", 2 * SLICE):
             s = Slice(batch)
             _grow_frequent(s, frequent)
             yield _summed(np.concatenate(s.phrase[2:]), np.concatenate([s.n[at] for at in s.at[2:]]))
@@ -235,7 +236,7 @@ def _name(pairs, wanted):
     """Text of each phrase that may be wanted, once for each slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, want = Bitmap(pairs.value), Bitmap(wanted.value)
-        for batch in slices_of_size(batches, "chunk", 8 << 20):
+        for batch in slices_of_size(gathered(batches, "chunk", SLICE), "chunk", 2 * SLICE):
             s = Slice(batch)
             _grow_frequent(s, frequent)
             for k in range(1, WORDS):

@@ -264,3 +264,12 @@ def test_bitmap_holds_what_was_sent(spark):
     assert held.holds(h.view(np.uint64)).all() and held.holds(np.array([0, 2 ** 64 - 1, 2 ** 63], np.uint64)).all()
     other = np.random.default_rng(2).integers(-2 ** 63, 2 ** 63 - 1, 5000)
     assert held.holds(other.view(np.uint64)).mean() < 0.01
+
+
+def test_phrases_of_small_batches_are_summed_together():
+    """Spark hands over chunks in batches of a few hundred KB; a phrase is sent once for all of them."""
+    chunk = pa.RecordBatch.from_arrays([pa.array(["en"] * 2), pa.array([b"a b c \n \n \n", b"b c d \n \n \n"]), pa.array([3, 4])],
+                                       names=["lang", "chunk", "n"])
+    rows = [(h, f) for b in co._count_short(iter([chunk] * 20)) for h, f in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(rows) == len({h for h, _ in rows}) == 7
+    assert sorted(f for _, f in rows) == [60, 60, 80, 80, 140, 140, 140]

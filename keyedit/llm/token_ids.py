@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyedit.llm.common import Memory, Split, kept, slices, slices_of_size, table, texts
+from keyedit.llm.common import Memory, Split, gathered, kept, slices, slices_of_size, table, texts
 from keyedit.session import scratch_path
 
 MODEL = "byte_bpe_50k.json"
@@ -48,7 +48,8 @@ END_ID = 0
 BLOCK_IDS = 1024
 SEGMENT_IDS = 1 << 18
 FIT = 0.9                  # share of a block's values that its width holds
-CACHE_PIECES = 200_000     # and as many again that were in use before
+CACHE_PIECES = 600_000     # and as many again that were in use before
+SLICE = 8 << 20            # bytes of texts whose distinct pieces are looked up at once
 
 #: Characters that no reading of the term takes for white space; a piece that starts and ends with them is safe.
 _SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)])) - {"\xad"}
@@ -219,7 +220,7 @@ def _segments(path: str, end_id: int):
             first, docs, ids, size = first + size, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=SEGMENTS)
 
-        for batch in slices_of_size(batches, size=4 << 20, keeps=True):
+        for batch in slices_of_size(gathered(batches, size=SLICE), size=2 * SLICE, keeps=True):
             for doc, x in zip(batch.column("doc_id").to_pylist(),
                               enc.encode(batch.column("text"))):
                 x += end

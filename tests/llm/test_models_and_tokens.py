@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -356,6 +357,20 @@ def test_token_ids_empty(spark, nothing, tmp_dir):
     assert ti.read_token_ids(spark, tmp_dir + "/none").count() == 0
 
 
+def test_small_batches_are_encoded_together(monkeypatch):
+    """Distinct pieces are looked up once for some MB of texts, however small the batches that Spark hands over."""
+    sizes = []
+
+    def encode(column):
+        sizes.append(len(column))
+        return [b"\1\0\0\0"] * len(column)
+    monkeypatch.setattr(ti, "encoder", lambda path: SimpleNamespace(encode=encode))
+    monkeypatch.setattr(ti, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(["a", None, "c"])], names=["doc_id", "text"])
+    out = [r for b in ti._segments("", 0)(iter([batch] * 20)) for r in b.to_pylist()]
+    assert sizes == [60] and [r["n_ids"] for r in out] == [120] and out[0]["doc_ids"] == [1, 2, None] * 20
+
+
 # ---------------------------------------------------------------- 8
 
 def test_pieces_equal_the_library(spark, edge, monkeypatch):

@@ -26,9 +26,11 @@ except (AttributeError, OSError):       # another C library: it keeps what it li
     _LIBC = None
 
 #: What a worker's arrays leave goes back to the system, not to a store of its own: workers go on to other stages.
-_FRUGAL = {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
-#: Rows and bytes of an Arrow batch between the JVM and a worker: both hold whole batches, and texts are long.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+_FRUGAL = {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2",
+           "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows and bytes of an Arrow batch between the JVM and a worker. Both hold whole batches, and the JVM some times as
+#: much outside its heap: its buffers double as they grow, and what it frees it keeps. A longer row is a batch alone.
+BATCH_ROWS, BATCH_BYTES = 2_000, 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from keyedit.llm import jaccard_join as jj
 from keyedit.llm import pieces as pc
 from keyedit.llm import quality_model as qm
 from keyedit.llm import secret_scan as ss
-from keyedit.llm.common import table
+from keyedit.llm.common import table, texts
 
 
 def duck(sql, **tables):
@@ -149,3 +150,17 @@ def test_dropped_ids_by_broadcast_and_by_shuffle(spark, edge, monkeypatch):
     monkeypatch.setattr(cp, "BROADCAST_IDS", 0)
     assert got(cp.without(edge, gone).select("doc_id")) == a
     assert not {1, 7, None} & {r[0] for r in a}
+
+
+def test_batches_and_workers_stay_small(spark):
+    """Long rows, as the segments of an index, come to a worker a few MB at a time, and its Arrow memory goes back to the system."""
+    rows = spark.range(12).repartition(1).selectExpr("id doc_id", "repeat('x', 1 << 20) text")
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"n": b.num_rows, "size": b.column("text").nbytes, "pool": pa.default_memory_pool().backend_name}])
+
+    found = texts(rows).mapInArrow(seen, "n long, size long, pool string").collect()
+    assert sum(r["n"] for r in found) == 12
+    assert max(r["size"] for r in found) <= 5 << 20
+    assert {r["pool"] for r in found} == {"system"}

@@ -31,6 +31,8 @@ _FRUGAL = {"MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str
 #: Rows and bytes of an Arrow batch between the JVM and a worker. Both hold whole batches, and the JVM some times as
 #: much outside its heap: its buffers double as they grow, and what it frees it keeps. A longer row is a batch alone.
 BATCH_ROWS, BATCH_BYTES = 2_000, 3 << 20
+#: Rows that a Parquet reader decodes at once: 4,096 texts are arrays of many MB, for which the JVM's heap grows.
+READ_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,8 @@ def on_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(
         BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(
+        READ_ROWS, int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,3 +164,4 @@ def test_batches_and_workers_stay_small(spark):
     assert sum(r["n"] for r in found) == 12
     assert max(r["size"] for r in found) <= 5 << 20
     assert {r["pool"] for r in found} == {"system"}
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512      # rows of a Parquet file decoded at once

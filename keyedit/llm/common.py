@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +168,8 @@ class Memory:
 class Split:
     """Texts of an Arrow array cut at single spaces, with each distinct piece once.
 
-    ``pieces`` are the distinct pieces; ``join`` puts a value for each piece back
-    into the texts' order, one value per text.
+    ``distinct`` are the distinct pieces, ``pieces`` the same as a list; ``join`` puts a value
+    for each piece back into the texts' order, one value per text.
     """
 
     def __init__(self, column: pa.Array):
@@ -176,17 +177,23 @@ class Split:
         self.offsets = lists.offsets
         coded = lists.flatten().dictionary_encode()
         self.indices = coded.indices
-        self.pieces: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.distinct = coded.dictionary
 
-    def join(self, values: list[bytes | None], separator: bytes, skip_first: bool = False) -> list[bytes | None]:
+    @cached_property
+    def pieces(self) -> list[str]:
+        return self.distinct.to_numpy(zero_copy_only=False).tolist()
+
+    def join(self, values: list[bytes | None] | pa.Array, separator: bytes, skip_first: bool = False) -> list[bytes | None]:
         """Joined values of each text's pieces; None where a piece's value is None."""
         indices = self.indices
+        if not isinstance(values, pa.Array):
+            values = pa.array(values, pa.large_binary())
         if skip_first:
-            values = [*values, b""]
+            values = pa.concat_arrays([values, pa.array([b""], pa.large_binary())])
             at = self.offsets.to_numpy()[:-1]
             at = at[at < self.offsets.to_numpy()[1:]]
             x = indices.to_numpy().copy()
             x[at] = len(values) - 1
             indices = pa.array(x)
-        taken = pa.array(values, pa.large_binary()).take(indices)
+        taken = values.take(indices)
         return pc.binary_join(pa.ListArray.from_arrays(self.offsets, taken), pa.scalar(separator, pa.large_binary())).to_pylist()

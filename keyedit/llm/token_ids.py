@@ -12,9 +12,11 @@ parts before it (one row for each part).
 
 Texts are cut at single spaces before the library sees them: its byte-level
 splitting rule never joins characters across a space that stands between two
-visible characters, and every such piece's first id starts with the space. New
-pieces are encoded by the library in one call; results are remembered up to a
-fixed number of entries (for speed only). Texts with other white space next to a
+visible characters, and every such piece's first id starts with the space. Up to
+``MOST_STOPS`` stops after a piece's last letter or digit are a token of that rule by
+themselves, so a piece is looked up as a word and its stops. New words are encoded by
+the library in one call; results are remembered up to a fixed number of entries (for
+speed only). Texts with other white space next to a
 space, or with unusual characters there, go to the library whole, as do texts that hold the
 literal of an added token (the library makes it that token's id).
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -50,13 +53,29 @@ SEGMENT_IDS = 1 << 18
 FIT = 0.9                  # share of a block's values that its width holds
 CACHE_PIECES = 600_000     # and as many again that were in use before
 SLICE = 8 << 20            # bytes of texts whose distinct pieces are looked up at once
+MOST_STOPS = 4
 
 #: Characters that no reading of the term takes for white space; a piece that starts and ends with them is safe.
 _SAFE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)])) - {"\xad"}
+#: Neither letters, digits nor white space; an apostrophe may open a token with the letters after it.
+_STOPS = string.punctuation.replace("'", "")
+#: Letters and digits in every version of Unicode since 5.0.
+_WORD_END = "[0-9A-Za-zÀ-ÖØ-öø-ɏ]$"
 
 
 # ---------------------------------------------------------------- encoding
 
+def apart(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each piece as a word that ends in a letter or digit and the stops after it, or as it is and no stops."""
+    words = pc.ascii_rtrim(pieces, characters=_STOPS)
+    n = pc.subtract(pc.binary_length(pieces), pc.binary_length(words))
+    n = pc.if_else(pc.and_(pc.less_equal(n, MOST_STOPS), pc.match_substring_regex(words, _WORD_END)), n, 0)
+    stops = pa.scalar("")
+    for k in range(1, MOST_STOPS + 1):
+        stops = pc.if_else(pc.equal(n, k), pc.utf8_slice_codeunits(pieces, -k), stops)
+    return pc.if_else(pc.greater(n, 0), words, pieces), stops
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # a task has one core
@@ -109,15 +128,21 @@ class Encoder:
         for x in self.literals:
             odd |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
         cut = Split(column)
-        values = self.known.find(cut.pieces)
-        new = [p for p, x in zip(cut.pieces, values) if x is None]
+        words, stops = (x.dictionary_encode() for x in apart(cut.distinct))
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = self.known.find(names)
+        new = [p for p, x in zip(names, values) if x is None]
         if new:
             self.learn(new)
-            values = [self.known.new[p] if x is None else x for p, x in zip(cut.pieces, values)]
-        rest = cut.join([x or None for x in values], b"", skip_first=True)
+            values = [self.known.new[p] if x is None else x for p, x in zip(names, values)]
+        coded = pc.binary_join_element_wise(
+            pa.array([x or None for x in values], pa.large_binary()).take(words.indices),
+            pa.array([self.first(x, False) for x in stops.dictionary.to_pylist()], pa.large_binary()).take(stops.indices),
+            pa.scalar(b"", pa.large_binary()))
+        rest = cut.join(coded, b"", skip_first=True)
         out, ends, at = [], cut.offsets.to_pylist(), cut.indices.to_numpy()
         for k, (ids, a, b) in enumerate(zip(rest, ends, ends[1:])):
-            head = self.first(cut.pieces[at[a]], b > a + 1) if ids is not None and b > a and not odd[k] else None
+            head = self.first(cut.distinct[at[a]].as_py(), b > a + 1) if ids is not None and b > a and not odd[k] else None
             out.append(head + ids if head is not None else self.whole(column[k].as_py()))
         return out
 
@@ -131,6 +156,12 @@ def encoder(path: str) -> Encoder:
 _HEAD = np.dtype([("min", "<u4"), ("n", "<u2"), ("exceptions", "<u2"), ("width", "u1"), ("pad", "u1")])
 
 
+def _eight(w: int) -> Iterator[tuple[int, np.uint64, range]]:
+    """Eight values of ``w`` bits take ``w`` bytes: for each, its first bit within a byte and its bytes."""
+    for k in range(8):
+        yield k, np.uint64(k * w % 8), range(k * w // 8, (k * w + w - 1) // 8 + 1)
+
+
 def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Blocks of the ids one after another, and the byte at which each starts."""
     n = len(ids)
@@ -150,8 +181,12 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         if w:
-            bits = np.unpackbits(v[at].view("u1").reshape(len(at), BLOCK_IDS, 4), axis=2, bitorder="little")[:, :, :w]
-            rows = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+            eights = (v[at].astype("<u8") & np.uint64((1 << w) - 1)).reshape(len(at), -1, 8)
+            rows = np.zeros((len(at), BLOCK_IDS // 8, w), "u1")
+            for k, shift, places in _eight(w):
+                x = eights[:, :, k] << shift
+                for byte, j in enumerate(places):
+                    rows[:, :, j] |= (x >> np.uint64(8 * byte)).astype("u1")
             for k, row in zip(at, rows):
                 packed[k] = row.tobytes()
     over_row, over_at = np.nonzero(v >> np.minimum(width, 31).astype("<u4")[:, None])
@@ -183,11 +218,13 @@ def unpack_blocks(payload: bytes, starts: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(heads["width"] == w)
         if w:
             size = w * BLOCK_IDS // 8
-            rows = raw[body[at][:, None] + np.arange(size)]
-            bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(at), BLOCK_IDS, w)
-            wide = np.zeros((len(at), BLOCK_IDS, 32), "u1")
-            wide[:, :, :w] = bits
-            v[at] = np.packbits(wide, axis=2, bitorder="little").reshape(len(at), BLOCK_IDS * 4).view("<u4")
+            rows = np.stack([raw[s:s + size] for s in body[at].tolist()]).reshape(len(at), -1, w)
+            eights = np.zeros((len(at), BLOCK_IDS // 8, 8), "<u8")
+            for k, shift, places in _eight(w):
+                for byte, j in enumerate(places):
+                    eights[:, :, k] |= rows[:, :, j].astype("<u8") << np.uint64(8 * byte)
+                eights[:, :, k] >>= shift
+            v[at] = (eights & np.uint64((1 << w) - 1)).reshape(len(at), BLOCK_IDS)
     for k in np.flatnonzero(heads["exceptions"]):
         e, at = int(heads["exceptions"][k]), int(body[k]) + int(heads["width"][k]) * BLOCK_IDS // 8
         v[k, np.frombuffer(payload, "<u2", e, at)] = np.frombuffer(payload, "<u4", e, at + 2 * e)

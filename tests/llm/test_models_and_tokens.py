@@ -371,6 +371,36 @@ def test_small_batches_are_encoded_together(monkeypatch):
     assert sizes == [60] and [r["n_ids"] for r in out] == [120] and out[0]["doc_ids"] == [1, 2, None] * 20
 
 
+def test_a_word_is_encoded_once_whatever_stops_follow(monkeypatch):
+    """The library is asked for the word, not for each of its forms; ids are those of the whole texts."""
+    asked, learn = Counter(), ti.Encoder.learn
+
+    def learns(self, words):
+        asked.update(words)
+        learn(self, words)
+    monkeypatch.setattr(ti.Encoder, "learn", learns)
+    e = ti.Encoder(public_tokenizers.path(ti.MODEL))
+    forms = ["word", "word.", "word,", "word!?", "word***", "über", "über;", "7", "7%", "word_", "word\"."]
+    assert e.encode(pa.array(["x " + " ".join(forms)])) == [e.whole("x " + " ".join(forms))]
+    assert asked == Counter(["x", "word", "über", "7"])
+    odd = ["word'.", "word.'s", "word.s.", "it's.", "***", "'", "×.", "word\n.", "日本.", "word.....", "w\xad.", "a.\nB.", "._", "<|endoftext|.",
+           "word😀.", "word\xa0.", "'ll.", "é'.", "7.5.", "ɏ~", ".word"]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(forms + odd, k=rng.randrange(9))) for _ in range(500)] + [f"x {p} y" for p in odd]
+    assert e.encode(pa.array(texts)) == [e.whole(x) for x in texts]
+
+
+@pytest.mark.parametrize("width", [0, 1, 3, 8, 13, 16, 17, 31])
+def test_blocks_hold_low_bits_in_order(width):
+    """The stored bits: value after value, lowest bit first, after the ten bytes of the head."""
+    rng = random.Random(width)
+    x = [0, *(rng.randrange(1 << width) for _ in range(ti.BLOCK_IDS - 2)), (1 << width) - 1]
+    x[1::2] = [(1 << width) - 1] * (ti.BLOCK_IDS // 2)
+    payload, starts = ti.pack_blocks(np.array(x, "<u4"))
+    assert starts.tolist() == [0] and len(payload) == 10 + width * ti.BLOCK_IDS // 8
+    assert int.from_bytes(payload[10:], "little") == sum(v << k * width for k, v in enumerate(x))
+
+
 # ---------------------------------------------------------------- 8
 
 def test_pieces_equal_the_library(spark, edge, monkeypatch):

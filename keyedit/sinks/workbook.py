@@ -117,6 +117,15 @@ def _files(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def _clear(fs: pafs.FileSystem, root: str, job: str) -> None:
+    folder = f"{root}/{_TEMPORARY}/{job}"
+    if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+        fs.delete_dir(folder)
+    above = f"{root}/{_TEMPORARY}"
+    if (fs.get_file_info(above).type != pafs.FileType.NotFound and not fs.get_file_info(pafs.FileSelector(above))):
+        fs.delete_dir(above)
+
+
 @dataclass
 class Part(WriterCommitMessage):
     file: str | None
@@ -139,7 +148,8 @@ class WorkbookWriter(DataSourceArrowWriter):
         folder = f"{root}/{_TEMPORARY}/{self.job}/{context.taskAttemptId()}"
         for batch in iterator:
             if batch.num_rows and book is None:
-                fs.create_dir(folder, recursive=True)
+                # the job's folder is gone once the job is aborted: a task that is killed late makes no new one
+                fs.create_dir(folder, recursive=False)
                 stream = fs.open_output_stream(f"{folder}/{name}")
                 book = WorkbookFile(stream, self.names, self.numbers, self.widths, self.sheet, self.limit)
             if batch.num_rows:
@@ -155,20 +165,12 @@ class WorkbookWriter(DataSourceArrowWriter):
         for m in messages:
             if m is not None and m.file:
                 fs.move(m.file, f"{root}/{m.file.rsplit('/', 1)[1]}")
-        self._clear(fs, root)
+        _clear(fs, root, self.job)
         if any(m is not None and m.file for m in messages):
             fs.open_output_stream(f"{root}/_SUCCESS").close()
 
     def abort(self, messages) -> None:
-        self._clear(*_files(self.path))
-
-    def _clear(self, fs: pafs.FileSystem, root: str) -> None:
-        folder = f"{root}/{_TEMPORARY}/{self.job}"
-        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
-            fs.delete_dir(folder)
-        above = f"{root}/{_TEMPORARY}"
-        if (fs.get_file_info(above).type != pafs.FileType.NotFound and not fs.get_file_info(pafs.FileSelector(above))):
-            fs.delete_dir(above)
+        _clear(*_files(self.path), self.job)
 
 
 class WorkbookSource(DataSource):
@@ -199,5 +201,11 @@ def export_workbook(df: DataFrame, path: str, sheet: str = fixed.EXPORT_SHEET, w
     spark.dataSource.register(WorkbookSource)
     cells = [F.col(f"`{f.name}`") if isinstance(f.dataType, _NUMBERS) else F.col(f"`{f.name}`").cast("string").alias(f.name)
              for f in df.schema.fields]
-    (df.select(*cells).write.format(FORMAT).mode("append").option("job", uuid.uuid4().hex).option("sheet", sheet)
-     .option("rows_per_sheet", rows_per_sheet).option("widths", ",".join(map(str, widths))).save(path))
+    job = uuid.uuid4().hex
+    fs.create_dir(f"{root}/{_TEMPORARY}/{job}", recursive=True)
+    try:
+        (df.select(*cells).write.format(FORMAT).mode("append").option("job", job).option("sheet", sheet)
+         .option("rows_per_sheet", rows_per_sheet).option("widths", ",".join(map(str, widths))).save(path))
+    except Exception:
+        _clear(fs, root, job)       # what a task wrote while the job was being aborted
+        raise

@@ -3,11 +3,14 @@
 import os
 import random
 import zipfile
+from types import SimpleNamespace
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from keyedit.sinks import workbook
 from keyedit.sinks.workbook import Part, WorkbookWriter, export_workbook
 from keyedit.sources.workbook import changes_from_workbooks, decode_workbook, read_workbooks
 
@@ -84,3 +87,18 @@ def test_only_named_files_are_committed(spark, tmp_dir):
     assert sorted(os.listdir(f"{tmp_dir}/out")) == ["_SUCCESS", "part-00000.xlsx"]
     with open(f"{tmp_dir}/out/part-00000.xlsx") as f:
         assert f.read() == "2"
+
+
+def test_a_task_that_outlives_its_job_writes_nothing(spark, tmp_dir, monkeypatch):
+    """Its first rows come after the abort, which has taken the job's folder away."""
+    monkeypatch.setattr(workbook, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(
+        partitionId=lambda: 0, taskAttemptId=lambda: 7)))
+    os.makedirs(f"{tmp_dir}/out/_temporary/j")
+    options = {"path": f"{tmp_dir}/out", "job": "j", "sheet": "S", "rows_per_sheet": "10", "widths": "9"}
+    writer = WorkbookWriter(options, spark.range(1).selectExpr("cast(id as string) a").schema)
+    batch = pa.RecordBatch.from_pydict({"a": ["x"]})
+    assert writer.write(iter([batch])).rows == 1
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([batch]))
+    assert os.listdir(f"{tmp_dir}/out") == []

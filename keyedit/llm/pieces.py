@@ -3,7 +3,8 @@
 A text is cut before every run of word marks; no piece of the vocabulary spans
 such a cut (checked when the model is loaded), so the chunks can be encoded
 one by one. A chunk's adjacent symbol pairs wait in an agenda ordered by score,
-then by place; the best pair is merged until none is left. Symbols outside the
+then by place; the best pair is merged until none is left. The agenda of a chunk of
+few symbols is a list in the order of places, that of a longer one a heap. Symbols outside the
 vocabulary become byte pieces. Within each Arrow batch the chunks seen for the
 first time are also encoded by the sentencepiece library; any difference stops
 the job. Chunk results are remembered by a worker until it goes on to another operator,
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -32,6 +34,7 @@ from keyedit.llm.common import Memory, Split, kept, slices_of_size, table, texts
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 CACHE_CHUNKS = 120_000     # remembered chunks of a worker, and as many again that were in use before
+FEW = 24                   # symbols of a chunk up to which its agenda is a list: searching it costs less than a heap
 
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -50,10 +53,29 @@ class MergeVocabulary:
         self.unknown = sp.unk_id()
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in id_of):
             raise ValueError("a piece holds a word mark after another character: texts can't be cut at spaces")
-        #: (left id, right id) -> (negative score, merged id)
-        self.pairs = {(id_of[p[:k]], id_of[p[k:]]): (-sp.get_score(i), i)
-                      for p, i in id_of.items() for k in range(1, len(p)) if p[:k] in id_of and p[k:] in id_of}
+        pairs = {(id_of[p[:k]], id_of[p[k:]]): (-sp.get_score(i), i)
+                 for p, i in id_of.items() for k in range(1, len(p)) if p[:k] in id_of and p[k:] in id_of}
+        order = {x: k for k, x in enumerate(sorted({x for x, _ in pairs.values()}))}
+        #: The place of a pair that makes no piece in the order of scores: after all others.
+        self.never = len(order)
+        #: A character outside the vocabulary. The same for all: none is ever merged.
+        self.outside = size
+        #: By left id: right id -> the merged piece's place in the order of scores.
+        self.places: list[dict[int, int]] = [{}] * (size + 1)
+        #: Merged id by place; None where pieces share a score, these are found by their pair.
+        self.merged: list[int | None] = [None] * len(order)
+        self.tied: dict[tuple[int, int], int] = {}
+        sharing = Counter(x for x, _ in set(pairs.values()))
+        for (left, right), (x, i) in pairs.items():
+            if not self.places[left]:
+                self.places[left] = {}
+            self.places[left][right] = order[x]
+            if sharing[x] > 1:
+                self.tied[left, right] = i
+            else:
+                self.merged[order[x]] = i
         self.chars = {p: i for p, i in id_of.items() if len(p) == 1}
+        self.decimal = [b"%d" % i for i in range(size)]
         #: What a chunk (without its first mark) is encoded to: decimals joined by commas.
         self.known = Memory(CACHE_CHUNKS)
         self.odd: dict[str, str] = {}       # chunks that do not decode to themselves
@@ -63,34 +85,61 @@ class MergeVocabulary:
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk, its marks included."""
-        sym: list = [self.chars.get(c, c) for c in chunk]       # ids; a character outside stays text
-        n, pair, push, pop = len(sym), self.pairs.get, heapq.heappush, heapq.heappop
+        outside, chars = self.outside, self.chars
+        sym = [chars.get(c, outside) for c in chunk]
+        sym = self._merge_few(sym) if len(sym) <= FEW else self._merge_many(sym)
+        if outside not in sym:
+            return sym
+        ids: list[int] = []
+        at = 0
+        for x in sym:
+            if x != outside:
+                ids.append(x)
+                at += len(self.pieces[x])
+            else:
+                ids += [self.byte_id[b] for b in chunk[at].encode()] if self.byte_id else [self.unknown]
+                at += 1
+        return ids
+
+    def _merge_few(self, sym: list[int]) -> list[int]:
+        """The agenda as a list: the place in the order of scores of each symbol and the next one."""
+        places, merged, never = self.places, self.merged, self.never
+        agenda = [places[x].get(y, never) for x, y in zip(sym, sym[1:])]
+        while agenda and (best := min(agenda)) < never:
+            i = agenda.index(best)
+            if (new := merged[best]) is None:
+                new = self.tied[sym[i], sym[i + 1]]
+            sym[i] = new
+            del sym[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = places[sym[i - 1]].get(new, never)
+            if i < len(agenda):
+                agenda[i] = places[new].get(sym[i + 1], never)
+        return sym
+
+    def _merge_many(self, sym: list) -> list[int]:
+        """The agenda as a heap."""
+        places, never, n, push, pop = self.places, self.never, len(sym), heapq.heappush, heapq.heappop
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i, two in enumerate(zip(sym, sym[1:])):
-            if found := pair(two):
-                agenda.append((found[0], i, found[1], two))
+        agenda = [(place, i, x, y) for i, (x, y) in enumerate(zip(sym, sym[1:]))
+                  if (place := places[x].get(y, never)) < never]
         heapq.heapify(agenda)
         while agenda:
-            _, i, merged, (left, right) = pop(agenda)
+            best, i, left, right = pop(agenda)
             j = after[i]
             if j >= n or sym[i] != left or sym[j] != right:
                 continue                    # one of the two has been merged meanwhile
-            sym[i], sym[j] = merged, None
+            if (new := self.merged[best]) is None:
+                new = self.tied[left, right]
+            sym[i], sym[j] = new, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := pair(two := (merged, sym[k])):
-                    push(agenda, (found[0], i, found[1], two))
-            if (h := before[i]) >= 0 and (found := pair(two := (sym[h], merged))):
-                push(agenda, (found[0], h, found[1], two))
-        ids: list[int] = []
-        for x in sym:
-            if isinstance(x, int):
-                ids.append(x)
-            elif x is not None:
-                ids += [self.byte_id[b] for b in x.encode()] if self.byte_id else [self.unknown]
-        return ids
+                if (place := places[new].get(sym[k], never)) < never:
+                    push(agenda, (place, i, new, sym[k]))
+            if (h := before[i]) >= 0 and (place := places[sym[h]].get(new, never)) < never:
+                push(agenda, (place, h, sym[h], new))
+        return [x for x in sym if x is not None]
 
     def text_of(self, ids: list[int]) -> str:
         """Decode without removing the leading mark's space."""
@@ -109,14 +158,14 @@ class MergeVocabulary:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode new chunks (without their first mark) and hold them against the library."""
-        new, pieces = list(chunks), self.pieces
+        new, pieces, decimal = list(chunks), self.pieces, self.decimal
         # the library puts the first mark before a text itself; the empty chunk is a lone mark
         checked = self.library.encode([c.replace(MARK, " ") for c in new], num_threads=1)
         for c, theirs in zip(new, checked, strict=True):
             ids = self.merge(MARK + c)
             if ids != theirs and c:
                 raise ValueError(f"agenda and library differ on {c!r}: {ids} and {theirs}")
-            self.known.new[c] = ",".join(map(str, ids)).encode()
+            self.known.new[c] = b",".join([decimal[i] for i in ids])
             if "".join([pieces[i] for i in ids]) != MARK + c:
                 if (back := self.text_of(ids)) != " " + c.replace(MARK, " "):
                     self.odd[c] = back

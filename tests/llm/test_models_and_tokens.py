@@ -426,6 +426,44 @@ def test_pieces_without_a_small_memory():
         assert back[0] == sp.decode(sp.encode(t))
 
 
+def by_agenda(v, chunk):
+    """Merged one pair at a time: of all pairs that make a piece the one of best score, then the leftmost."""
+    id_of = {p: i for i, p in enumerate(v.pieces)}
+    sym = list(chunk)
+    while pairs := [(-v.library.get_score(id_of[x + y]), i) for i, (x, y) in enumerate(zip(sym, sym[1:])) if x + y in id_of]:
+        i = min(pairs)[1]
+        sym[i:i + 2] = [sym[i] + sym[i + 1]]
+    return [i for x in sym for i in ([id_of[x]] if x in id_of else [v.byte_id[b] for b in x.encode()])]
+
+
+def test_pieces_agenda_as_list_and_as_heap(monkeypatch):
+    """Both agendas give what merging pair by pair gives, also where pieces share a score."""
+    v = pc.MergeVocabulary(public_tokenizers.path(pc.MODEL))
+    rng = random.Random(8)
+    texts = [pc.MARK * n + "x" for n in range(1, 40)] + [pc.MARK + "".join(rng.choices("aeinorst.,é漢🙂\n" + pc.MARK, k=n))
+                                                        for n in range(1, 60)]
+    texts += [c for t in mixed(9) for c in [pc.MARK + x for x in v.chunks(t)[:20]]]
+    want = [by_agenda(v, t) for t in texts]
+    assert v.tied
+    for few in (0, pc.FEW, 1 << 30):
+        monkeypatch.setattr(pc, "FEW", few)
+        assert [v.merge(t) for t in texts] == want
+
+
+def test_pieces_of_short_chunks_need_no_heap(monkeypatch):
+    """A heap costs a short chunk most of its time; a long one needs it."""
+    v = pc.MergeVocabulary(public_tokenizers.path(pc.MODEL))
+
+    def no(*args):
+        raise AssertionError("a heap")
+
+    for name in ("heapify", "heappush", "heappop"):
+        monkeypatch.setattr(pc.heapq, name, no)
+    assert v.merge(pc.MARK + "theation") == v.library.encode("theation")
+    with pytest.raises(AssertionError, match="a heap"):
+        v.merge(pc.MARK + "theation" * 100)
+
+
 def test_pieces_empty(nothing):
     assert pc.encode_pieces(nothing).count() == 0
 

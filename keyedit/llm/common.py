@@ -67,15 +67,20 @@ def crc_bucket(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.encode(col.cast("string"), "UTF-8")), F.lit(n))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: For rows of some MB. Parquet's writer looks at what it holds only every 100 rows, compresses a page of them outside
+#: the JVM's heap, and its reader decodes a row group at once: with these, both hold a few rows.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     The committed files replace the lineage: an executor lost later costs a
-    re-read, not a recomputation.
+    re-read, not a recomputation. ``options``: of the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Operator 4, benchmark decontamination with a distributed positional index.
 
-The index is a table of *segments*: each holds some thousand documents whole, the
-list of their terms, and for each term the ascending places of all its
+The index is a table of *segments*: each holds documents whole (bounded by words and
+by bytes), the list of their terms, and for each term the ascending places of all its
 occurrences. Test phrases are answered segment by segment: the list of a phrase's
 rarest term, shifted by the term's offset, is intersected with the next rarest
 list, and so on; what is left are the exact matches. Proximity search starts from
@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyedit.llm.common import slices, stored, table, text_bytes, texts
+from keyedit.llm.common import LARGE_ROWS, slices, stored, table, text_bytes, texts
 
 WINDOW = 10
 SEGMENT_WORDS = 500_000
+SEGMENT_BYTES = 8 << 20    # of its texts, DOC_BYTES more for each: words may be long, texts empty
+DOC_BYTES = 64
 BLOCK_BYTES = 16 << 20     # of test phrases sent to the tasks at once
 
 #: Upper case to lower case; every ASCII character but digits and letters to a space.
@@ -103,7 +105,7 @@ _INDEX_DDL = "segment string, doc_ids array<long>, doc_ends binary, terms array<
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId(), 0
-    docs, ends, ids, terms, size = [], [], [], _Terms(), 0
+    docs, ends, ids, terms, size, held = [], [], [], _Terms(), 0, 0
 
     def flush():
         all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -116,11 +118,12 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
             w = words_of(text)
-            if docs and size + len(w) > SEGMENT_WORDS:
+            if docs and (size + len(w) > SEGMENT_WORDS or held + len(text) + DOC_BYTES > SEGMENT_BYTES):
                 yield flush()
                 made += 1
-                docs, ends, ids, terms, size = [], [], [], _Terms(), 0
+                docs, ends, ids, terms, size, held = [], [], [], _Terms(), 0, 0
             size += len(w)
+            held += len(text) + DOC_BYTES
             docs.append(doc)
             ends.append(size)
             if w:
@@ -131,7 +134,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored positional index of ``docs``."""
-    return stored(texts(docs, id_col, text_col).mapInArrow(_build, _INDEX_DDL), "index")
+    return stored(texts(docs, id_col, text_col).mapInArrow(_build, _INDEX_DDL), "index", LARGE_ROWS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +161,6 @@ _HITS = "segment string, at int, doc_id long, n_words long, spans array<int>, it
 
 
 def _search(phrases: list[tuple[bytes, list[str]]]):
-    queries = [(p.split(), items) for p, items in phrases]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             r = batch.to_pylist()[0]
@@ -167,7 +168,8 @@ def _search(phrases: list[tuple[bytes, list[str]]]):
             seg = Segment(r["terms"], np.frombuffer(r["starts"], "<i4"), np.frombuffer(r["postings"], "<i4"), ends)
             edge = np.zeros(int(ends[-1]) + 1, np.int32)
             found: list[set[str]] = [set() for _ in ends]
-            for words, items in queries:
+            for phrase, items in phrases:       # split anew each time: kept as words, they take some times the memory
+                words = phrase.split()
                 at = seg.phrase(words)
                 if len(at):
                     np.add.at(edge, at, 1)
